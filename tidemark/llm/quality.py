@@ -13,7 +13,7 @@ from tidemark.llm.common import added, part, text_slices, texts_of
 #: Weights of the model.
 BUCKETS = 1 << 18
 #: Labelled rows that training takes at most (about); they are chosen by a hash of doc_id.
-TRAIN_ROWS = 40_000
+TRAIN_ROWS = 20_000
 #: Parts of the training rows; each trains alone and the weights are averaged.
 SHARDS = 8
 
@@ -81,7 +81,7 @@ def scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str = "quality") -> np.ndarray:
     """The weights. Labelled rows whose crc32(doc_id) mod 4 is 2 are held out; null labels and texts are left out.
 
-    At most about `rows` labels are used; both tables are cut to them before the join, so no other text is shuffled.
+    At most about `rows` labels are used: so few are broadcast, and only their documents' texts are shuffled.
     A document labelled more than once takes its largest label. Without any label every weight is 0 (score 0.5).
     """
     known = labels.where(F.col(label).isNotNull() & (part("doc_id", 4) != 2)).select("doc_id", F.col(label).alias("y"))
@@ -90,7 +90,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label
     share = min(1.0, rows / max(1, total))
     chosen = F.pmod(F.xxhash64(F.lit(4711), F.col("doc_id")), F.lit(1 << 30)) < int((1 << 30) * share)
     docs = documents.where(F.col("text").isNotNull() & chosen).select("doc_id", "text")
-    both = docs.join(known.where(chosen), "doc_id").select(
+    both = docs.join(F.broadcast(known.where(chosen)), "doc_id").select(
         "y", "text", F.xxhash64(F.lit(7), "doc_id").alias("at"), F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(SHARDS)).alias("shard")
     )
 
