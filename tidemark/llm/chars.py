@@ -6,6 +6,8 @@ import functools
 import unicodedata
 
 import numpy as np
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 _STEP = 0x9E3779B97F4A7C15
 #: White space as Unicode's White_Space property has it.
@@ -14,18 +16,33 @@ SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 
 @functools.cache
 def classes() -> np.ndarray:
-    """For each code point: 0 white space, 1 letter, 2 number, 3 anything else."""
+    """For each code point: 0 white space, 1 letter, 2 number, 3 anything else.
+
+    Code points that Python's Unicode tables don't know yet are as the tokenizers library's patterns have them.
+    """
     table = np.full(0x110000, 3, np.uint8)
-    for i in range(0x110000):
-        k = unicodedata.category(chr(i))[0]
-        if k == "L":
+    category = [unicodedata.category(chr(i)) for i in range(0x110000)]
+    for i, k in enumerate(category):
+        if k[0] == "L":
             table[i] = 1
-        elif k == "N":
+        elif k[0] == "N":
             table[i] = 2
+    late = [i for i in range(0x40000) if category[i] == "Cn"]  # later planes have no letters
+    at = np.array(late)
+    every = "".join(map(chr, late))
+    for k, letters in ((1, r"\p{L}+"), (2, r"\p{N}+")):
+        for _, (start, end) in Split(Regex(letters), "removed", invert=True).pre_tokenize_str(every):
+            table[at[start:end]] = k
     table[SPACES] = 0
     return table
 
 
+@functools.cache
+def recent() -> np.ndarray:
+    """Code points that Python's own Unicode tables don't know, so that it can't fold their case."""
+    return np.array([unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)])
+
+
 @functools.cache
 def words_and_marks() -> np.ndarray:
     """0 white space, 1 letters, digits and underscore, 3 anything else."""

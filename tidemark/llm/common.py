@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,19 +72,24 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def slices_of(counts: np.ndarray, **keys) -> list[dict]:
-    """Rows of a table of counts: nonzero slices as packed float64."""
+    """Rows of a table of counts: nonzero slices as compressed float64."""
     out = []
     for k in range(0, len(counts), SLICE):
         piece = counts[k : k + SLICE]
         if piece.any():
-            out.append(keys | {"slice": k // SLICE, "counts": piece.astype("<f8").tobytes()})
+            out.append(keys | {"slice": k // SLICE, "counts": zlib.compress(piece.astype("<f8").tobytes(), 1)})
     return out
 
 
+def _array(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), "<f8")
+
+
 def tree_sum(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
     """Sums packed arrays (`counts`) by keys, at most FAN_IN arrays a group and round, so no group grows with the input.
 
-    df has `task`, the number of the task that made a row: one row for each task and key.
+    df has `task`, the number of the task that made a row: one row for each task and key. `partitions`: how many tasks there
+    are, about. Where they are more, several rows are left for a key, and unpack() adds those.
     """
     schema = df.schema
 
@@ -91,7 +97,7 @@ def tree_sum(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
         import pandas as pd
 
         row = pdf.iloc[:1].copy()
-        row["counts"] = [sum(np.frombuffer(x, "<f8") for x in pdf["counts"]).astype("<f8").tobytes()]
+        row["counts"] = [zlib.compress(sum(_array(x) for x in pdf["counts"]).astype("<f8").tobytes(), 1)]
         return pd.DataFrame(row)
 
     while True:
@@ -106,6 +112,6 @@ def unpack(rows, size: int) -> np.ndarray:
     """The dense array of rows (slice, counts)."""
     out = np.zeros(size)
     for r in rows:
-        a = np.frombuffer(r["counts"], "<f8")
+        a = _array(r["counts"])
         out[r["slice"] * SLICE : r["slice"] * SLICE + len(a)] += a
     return out

@@ -55,8 +55,8 @@ class Counts:
 SIZE = 2 * WORDS + 1 + PAIRS
 
 
-def train(background: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the background and of the target documents; every document counts, with its whole text.
+def train(documents: DataFrame, good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all documents (background) and of those whose doc_id is in good (target); whole texts count.
 
     Each task adds up its own documents first; what tasks send grows with their number, what the driver gets is of fixed size.
     """
@@ -75,11 +75,14 @@ def train(background: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndar
 
         return count
 
+    scan = documents.select("text")
+    # the ids in good grow with the corpus: they are not broadcast
+    target = documents.select("doc_id", "text").join(good.select("doc_id").hint("merge"), "doc_id", "left_semi").select("text")
+    shuffled = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = []
-    for name, df in (("background", background), ("target", target)):
-        df = df.select("text")
+    for name, df, tasks in (("background", scan, scan.rdd.getNumPartitions()), ("target", target, shuffled)):
         counts = df.mapInArrow(counter(name), "model string, task int, slice int, counts binary")
-        out.append(unpack(tree_sum(counts, ["model", "slice"], df.rdd.getNumPartitions()).collect(), SIZE).astype(np.float32))
+        out.append(unpack(tree_sum(counts, ["model", "slice"], tasks).collect(), SIZE).astype(np.float32))
     return out[0], out[1]
 
 
@@ -117,5 +120,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    background, target = train(documents, documents.join(good, "doc_id", "left_semi"))
+    background, target = train(documents, good)
     return score(documents, background, target).drop("text")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, lm_score, quality
+from tidemark.llm import bpe, language, lm_score, packing, quality
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op6_bpe": bpe.op6_bpe,
     "op9_language_id": language.op9_language_id,
     "op10_lm_scoring": lm_score.op10_lm_scoring,
 }
