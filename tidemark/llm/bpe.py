@@ -27,6 +27,7 @@ REMEMBERED = 1 << 20
 #: Characters that are encoded at once; a longer text goes through in parts that end after white space.
 WINDOW = 1 << 20
 
+_NONE = 1 << 62
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
@@ -49,6 +50,7 @@ class Model:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.merges = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.fast = {a << 20 | b: r << 20 | c for (a, b), (r, c) in self.merges.items()}  # pair -> rank and new symbol
         letters = byte_letters()
         self.inner = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.suffix] for x in letters]
@@ -91,16 +93,19 @@ class Model:
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of a row of symbols, lowest rank first, leftmost among equals."""
-        merges = self.merges
-        while len(ids) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                m = merges.get(pair)
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, i
-            if best is None:
+        get, none = self.fast.get, _NONE
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            ids = [*ids[:at], best[1], *ids[at + 2 :]]
+            k = ranks.index(best)
+            ids[k : k + 2] = [new := best & 0xFFFFF]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = get(new << 20 | ids[k + 1], none)
+            if k:
+                ranks[k - 1] = get(ids[k - 1] << 20 | new, none)
         return ids
 
     def transduce(self, stream: Iterable[bytes]) -> Iterator[int]:
@@ -131,7 +136,7 @@ class Model:
         """Ids of one word."""
         data = word.encode("utf-8", "replace")
         if len(data) <= 2 * (self.lookahead + self.longest):
-            return self.merge([*(self.inner[b] for b in data[:-1]), self.last[data[-1]]])
+            return self.merge([*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]])
         return list(self.transduce([data]))
 
 
