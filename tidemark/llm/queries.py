@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, language, lm_score, packing, quality
+from tidemark.llm import bpe, language, lm_score, packing, quality, secrets
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_bpe": bpe.op6_bpe,
     "op9_language_id": language.op9_language_id,
     "op10_lm_scoring": lm_score.op10_lm_scoring,
