@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, language, lm_score, packing, quality, secrets
+from tidemark.llm import bpe, language, lm_score, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_bpe": bpe.op6_bpe,
+    "op7_warc": warc.op7_warc,
     "op9_language_id": language.op9_language_id,
     "op10_lm_scoring": lm_score.op10_lm_scoring,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_warc": """
+        with p as (
+            select page_id, coalesce(html, '') as payload from pages where page_id is not null
+        ), q as (
+            select page_id, strlen(payload)::bigint as payload_bytes, sha256(payload) as payload_digest,
+                   min(page_id) over (partition by sha256(payload)) as first from p
+        )
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 100 and first <> page_id then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and first <> page_id then first end as refers_to
+        from q
+    """,
+}
