@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, language, lm_score, packing, quality, secrets, warc
+from tidemark.llm import bpe, language, lm_score, packing, quality, secrets, vectors, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
+    "op2_permutation_index": vectors.op2_permutation_index,
+    "op3_multi_index_dedup": vectors.op3_multi_index_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_bpe": bpe.op6_bpe,
