@@ -1,10 +1,69 @@
-"""A corpus pipeline: quality, language, near copies, secrets, packing."""
+"""A corpus pipeline over `documents`: quality, language, near copies, secrets, packing.
+
+Each stage is (spark, documents, sf_dir) -> DataFrame over all that its predecessor kept; run() writes each stage's rows as
+Parquet in the shared folder and reads them again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import language, near_copies, packing, quality, secrets
+from tidemark.llm.common import stored
+
+#: Documents below these scores go.
+LEAST_QUALITY = 0.5
+LEAST_LANGUAGE = 0.5
+
+
+def quality_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the quality classifier, trained on `labels`, doesn't reject."""
+    weights = quality.train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(documents, weights)
+    return scored.where(F.col("quality_score") >= LEAST_QUALITY).select(*documents.columns)
+
+
+def language_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is known: not `und`, and with a posterior of LEAST_LANGUAGE or more."""
+    found = language.identify(documents, *language.train(documents))
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE)).select(*documents.columns)
+
+
+def near_copies_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each class of near copies the document of the smallest doc_id (once), and documents without doc_id."""
+    first = near_copies.classes(documents.select("doc_id", "text")).where("doc_id = class_id").select("doc_id").distinct()
+    named = documents.where("doc_id is not null").join(stored(first, "first"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*documents.columns).unionByName(documents.where("doc_id is null"))
+
+
+def secrets_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a mark in the place of every secret; n_chars follows the text."""
+    clean = secrets.redact(secrets.find(documents, secrets.train(documents)))
+    changed = clean.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else clean
+    return changed.select(*documents.columns)
+
+
+def packing_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of packing.CAPACITY tokens."""
+    return packing.pack(stored(packing.pieces(documents, public_tokenizers.path("word_bpe_49k.json")), "pieces"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("language identification", language_stage),
+    ("near copies", near_copies_stage),
+    ("secret scan", secrets_stage),
+    ("best-fit packing", packing_stage),
+]
+#: SQL can't express the models, the sampled join and the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table `documents`."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        documents = stored(stage(spark, documents, sf_dir), name.replace(" ", "-"))
+    return documents

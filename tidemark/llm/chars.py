@@ -126,3 +126,12 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if full.any():
         out[full] = np.add.reduceat(values, bounds[:-1][full])
     return out
+
+
+def segment_sums_u64(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of 64-bit words modulo 2**64 within [bounds[i], bounds[i + 1])."""
+    out = np.zeros(len(bounds) - 1, np.uint64)
+    full = bounds[:-1] < bounds[1:]
+    if full.any():
+        out[full] = np.add.reduceat(values, bounds[:-1][full])
+    return out

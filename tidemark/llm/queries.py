@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, language, lm_score, packing, quality, secrets, vectors, warc
+from tidemark.llm import bpe, language, lm_score, near_copies, packing, quality, secrets, vectors, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_bpe": bpe.op6_bpe,
     "op7_warc": warc.op7_warc,
+    "op8_chosen_path_join": near_copies.op8_chosen_path_join,
     "op9_language_id": language.op9_language_id,
     "op10_lm_scoring": lm_score.op10_lm_scoring,
 }
