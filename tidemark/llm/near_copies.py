@@ -26,7 +26,7 @@ LEAF, DEPTH = 64, 3
 #: Estimates from HASHES coordinates below the threshold by less than this are checked exactly (4 standard errors).
 SLACK = 0.2
 #: Sets, and shingles, in one part of a bucket (about).
-PART_SETS, PART_SHINGLES = 2048, 1 << 21
+PART_SETS, PART_SHINGLES = 1024, 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,7 +177,7 @@ def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     sk = _sketch(table.combine_chunks())
     left = np.flatnonzero(own == one)
     right = left if one == two else np.flatnonzero(own == two)
-    pairs = [np.empty((2, 0), np.int64)]
+    pairs = [np.empty((2, 0), np.int32)]
     met = _met(table, path, left, right) if len(left) and len(right) else None
     for a in range(0, len(left) if met is not None else 0, 256):
         rows = left[a : a + 256]
@@ -190,14 +190,14 @@ def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         for k in range(HASHES):
             same += sk[rows, k][:, None] == sk[right, k][None]
         i, j = np.nonzero(open_ & (same >= (THRESHOLD - SLACK) * HASHES))
-        pairs.append(np.array([rows[i], right[j]]))
+        pairs.append(np.array([rows[i], right[j]], np.int32))
     a, b = np.concatenate(pairs, axis=1)
     return a, b
 
 
 def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Common shingles of the pairs (a[i], b[i]) of sets: products of 0/1 matrices, a slab of shingles at a time."""
-    out = np.zeros(len(a), np.int64)
+    out = np.zeros(len(a), np.int32)
     if len(a) <= 4 * len(sets):  # few pairs: merge them one by one
         for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
             both = np.concatenate([sets[i], sets[j]])
@@ -212,11 +212,11 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     rows, code = rows[order], code[order]
     one, at_one = np.unique(a, return_inverse=True)
     two, at_two = np.unique(b, return_inverse=True)
-    for low in range(0, int((count > 1).sum()), 4096):
-        x, y = np.searchsorted(code, [low, low + 4096])
-        m = np.zeros((len(sets), 4096), np.float32)
+    for low in range(0, int((count > 1).sum()), 2048):
+        x, y = np.searchsorted(code, [low, low + 2048])
+        m = np.zeros((len(sets), 2048), np.float32)
         m[rows[x:y], code[x:y] - low] = 1
-        out += (m[one] @ m[two].T)[at_one, at_two].astype(np.int64)
+        out += (m[one] @ m[two].T).astype(np.int32)[at_one, at_two]
     return out
 
 
@@ -265,7 +265,7 @@ def join(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         if len(a):
             bag = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")]
             common = _overlaps(bag, a, b)
-            near = common >= THRESHOLD * (sizes[a] + sizes[b] - common) - 1e-9
+            near = common * (1 + THRESHOLD) >= THRESHOLD * (sizes[a] + sizes[b]) - 1e-9
             a, b = a[near], b[near]
         n = np.zeros(len(rep), np.int64)
         np.add.at(n, a, weight[b])
