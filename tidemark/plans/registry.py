@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.plans import market
+
+QUERIES = {**market.Q}
+ORACLE_SQL = {**market.S}
