@@ -99,7 +99,7 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "order_id", "instrument_id", "account_id", "order_side", "quantity", "price", "event",
         F.when(F.col("event") == "FILLED", F.col("quantity")).alias("last_qty"),
         F.when(F.col("event") == "FILLED", F.col("price")).alias("last_px"),
-        (F.col("ts") + F.col("k") * 1_000_000_000).alias("ts_event"), F.col("k").cast("long").alias("seq"),
+        (F.col("ts") + F.col("k").cast("long") * 1_000_000_000).alias("ts_event"), F.col("k").cast("long").alias("seq"),
     )
 
 
