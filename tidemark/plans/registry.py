@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market
+from tidemark.plans import accounts, catalogue, depth, derivatives, market, performance, records, streams, technical
 
-QUERIES = {**market.Q}
-ORACLE_SQL = {**market.S}
+_MODULES = (market, technical, performance, depth, derivatives, accounts, records, catalogue, streams)
+QUERIES = {name: f for m in _MODULES for name, f in m.Q.items()}
+ORACLE_SQL = {name: text for m in _MODULES for name, text in m.S.items()}
