@@ -108,6 +108,51 @@ def tree_sum(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
             return df
 
 
+def by_blocks(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """run(table) -> table for the rows of each combination of integer keys: one shuffle and one sort, and no call into Python
+    for each of many small blocks. A block's rows are held together, so blocks must be of bounded size."""
+
+    def blocks(batches):
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in keys]
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = last is not None and tuple(int(c[0]) for c in columns) != last
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            last = tuple(int(c[-1]) for c in columns)
+            table = pa.Table.from_batches([batch])
+            start = 0
+            for cut in np.flatnonzero(new).tolist():
+                held.append(table.slice(start, cut - start))
+                yield pa.concat_tables(held) if len(held) > 1 else held[0]
+                held, start = [], cut
+            held.append(table.slice(start))
+        if held:
+            yield pa.concat_tables(held) if len(held) > 1 else held[0]
+
+    def map_blocks(batches):
+        out: list[pa.Table] = []
+        rows = 0
+        for block in blocks(batches):
+            if not block.num_rows:
+                continue
+            made = run(block)
+            if made.num_rows:
+                out.append(made)
+                rows += made.num_rows
+            if rows >= 10_000:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+                out, rows = [], 0
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(map_blocks, schema)
+
+
 def unpack(rows, size: int) -> np.ndarray:
     """The dense array of rows (slice, counts)."""
     out = np.zeros(size)

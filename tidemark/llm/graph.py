@@ -37,7 +37,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.explode(F.array(F.struct(u, F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("p")
         edges = stored(large.join(least, "u").select(pairs).select("p.u", "p.v").where("u <> v").distinct(), "links")

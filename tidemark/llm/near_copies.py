@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chars
-from tidemark.llm.common import stored, text_slices, texts_of
+from tidemark.llm.common import by_blocks, stored, text_slices, texts_of
 from tidemark.llm.graph import components, local_roots
 
 WORDS = 5
@@ -171,10 +171,17 @@ def _met(table: pa.Table, path: int, left: np.ndarray, right: np.ndarray) -> np.
 
 def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one block that this block has to answer for: likely similar, and in no earlier bucket together."""
+    sizes = table.column("size").to_numpy()
+    if len(sizes) < 2 or len(sizes) == 2 and sizes.min() < THRESHOLD * sizes.max():
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     path = table.column("path")[0].as_py()
     one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-    own, sizes = table.column("own").to_numpy(), table.column("size").to_numpy()
-    sk = _sketch(table.combine_chunks())
+    own = table.column("own").to_numpy()
+    sk = _sketch(table)
+    if len(sizes) <= 16 and one == two:  # most buckets: first see whether any sets are alike
+        alike = (sk[:, None] == sk[None]).sum(2) >= (THRESHOLD - SLACK) * HASHES
+        if alike.sum() == len(sizes):
+            return np.empty(0, np.int32), np.empty(0, np.int32)
     left = np.flatnonzero(own == one)
     right = left if one == two else np.flatnonzero(own == two)
     pairs = [np.empty((2, 0), np.int32)]
@@ -235,14 +242,18 @@ def join(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = stored(lists.join(sets.select("rep", "k1", "size", "sketch"), "rep"), "known")
     rows = found.join(known, "rep")
 
+    nothing = pa.table({"path": pa.array([], pa.int64()), "rep": pa.array([], pa.int64())})
+
     def likely(table: pa.Table) -> pa.Table:
         a, b = _candidates(table)
+        if not len(a):
+            return nothing
         rep = table.column("rep").to_numpy()
         both = np.unique(np.concatenate([rep[a], rep[b]]))
         return pa.table({"path": pa.array([table.column("path")[0].as_py()] * len(both), pa.int64()), "rep": pa.array(both, pa.int64())})
 
     block = ["path", "one", "two"]
-    involved = stored(_grid(rows).groupBy(*block).applyInArrow(likely, "path long, rep long").distinct(), "likely")
+    involved = stored(by_blocks(_grid(rows), block, likely, "path long, rep long").distinct(), "likely")
 
     # the shingles of those that may have a partner, and nobody else's
     wanted = stored(involved.select("rep").distinct(), "wanted")
@@ -276,7 +287,7 @@ def join(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pa.table({"id": pa.array(nodes, pa.int64()), "n": pa.array(count, pa.int64()), "root": pa.array(root, pa.int64())})
 
     full = _grid(involved.join(known, "rep")).join(bags, ["rep", "k1"])
-    links = stored(full.groupBy(*block).applyInArrow(exact, "id long, n long, root long"), "links")
+    links = stored(by_blocks(full, block, exact, "id long, n long, root long"), "links")
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     facts = sets.select("k1", "k2", "rep", "weight").join(counts, F.col("rep") == F.col("id"), "left").drop("id").join(groups, F.col("rep") == F.col("id"), "left")
