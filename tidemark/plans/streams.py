@@ -1,2 +1,58 @@
+"""Streaming queries: each runs a stream over the trades to its end and returns what it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators.windows import rounded
+from tidemark.plans.catalogue import scratch
+from tidemark.sources import views
+from tidemark.sources.views import sql
+from tidemark.streaming import streams
+
 Q: dict = {}
 S: dict = {}
+
+
+#: Where the month is cut: parts are written one after the other, since a file stream goes by the files' times.
+CUTS = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01")
+
+
+def run(spark, d, make, mode: str = "append"):
+    """The trades, cut by time into files and read as a stream; the last file only moves the watermark past all others."""
+    folder = scratch(spark)
+    t = views.trades(spark, d).withColumn("ts", F.timestamp_micros(F.call_function("div", F.col("ts_event"), F.lit(1000)))).drop("ts_event")
+    t = t.select("instrument_id", "price", "size", "aggressor_side", "ts", "seq")
+    for a, b in zip(CUTS, CUTS[1:], strict=False):
+        part = t.where((F.col("ts") >= F.lit(a).cast("timestamp")) & (F.col("ts") < F.lit(b).cast("timestamp")))
+        part.coalesce(1).sortWithinPartitions("ts", "seq").write.mode("append").parquet(f"{folder}/in")
+    end = t.limit(1).select(F.lit("~end").alias("instrument_id"), F.lit(0.0).alias("price"), F.lit(0.0).alias("size"), F.lit("").alias("aggressor_side"), F.lit("2030-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("seq"))
+    end.write.mode("append").parquet(f"{folder}/in")
+    out = make(streams.read_files(spark, f"{folder}/in", files_per_trigger=1))
+    q = out.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").where("instrument_id <> '~end'")
+
+
+_NS = "epoch_us(date_trunc('hour', make_timestamp(ts_event // 1000)))"
+_BAR = "arg_min(price, (ts_event, seq)) as open, max(price) as high, min(price) as low, arg_max(price, (ts_event, seq)) as close, sum(size) as volume"
+Q["stream_time_bars"] = lambda spark, d: run(spark, d, lambda s: streams.time_bars(s, "1 hour", "10 minutes")).select("instrument_id", F.unix_micros("start").alias("start"), "open", "high", "low", "close", "volume", "count")
+S["stream_time_bars"] = sql(f"select instrument_id, {_NS} as start, {_BAR}, count(*) as count from trades group by 1, 2", "trades")
+Q["stream_chained_bars"] = lambda spark, d: run(spark, d, lambda s: streams.chained_bars(s, "1 hour", "6 hours", "10 minutes")).select("instrument_id", F.unix_micros("end").alias("end"), "open", "high", "low", "close", "volume")
+S["stream_chained_bars"] = sql(f"select instrument_id, (ts_event // 21600000000000 + 1) * 21600000000 as end, {_BAR} from trades group by 1, 2", "trades")
+Q["stream_deduplicated"] = lambda spark, d: run(spark, d, lambda s: streams.deduplicated(s.unionByName(s), ["instrument_id", "seq"], "1 hour")).groupBy("instrument_id").agg(F.count("*").alias("n"))
+S["stream_deduplicated"] = sql("select instrument_id, count(*) as n from trades group by 1", "trades")
+Q["stream_sessions"] = lambda spark, d: run(spark, d, lambda s: streams.sessions(s, "40 minutes", "10 minutes")).select("instrument_id", F.unix_micros("start").alias("start"), "n", "volume")
+S["stream_sessions"] = sql("select instrument_id, min(ts_event) // 1000 as start, count(*) as n, sum(size) as volume from (select *, sum(new) over (partition by instrument_id order by ts_event, seq rows unbounded preceding) as g from (select *, case when ts_event - lag(ts_event) over (partition by instrument_id order by ts_event, seq) < 2400000000000 then 0 else 1 end as new from trades)) group by instrument_id, g", "trades")
+Q["stream_rate_monitor"] = lambda spark, d: run(spark, d, lambda s: streams.rate_monitor(s, "30 minutes", "10 minutes", 4, "10 minutes")).select("instrument_id", F.unix_micros("end").alias("end"), "n")
+S["stream_rate_monitor"] = sql("select instrument_id, (ts_event // 600000000000 + k) * 600000000 as end, count(*) as n from trades, (values (1), (2), (3)) as r(k) group by 1, 2 having count(*) > 4", "trades")
+Q["stream_imbalance_bars"] = lambda spark, d: run(spark, d, lambda s: streams.imbalance_bars(s, 6))
+Q["stream_ema"] = lambda spark, d: rounded(run(spark, d, lambda s: streams.ema(s, 10)))
+Q["stream_positions"] = lambda spark, d: rounded(run(spark, d, lambda s: streams.position_fold(s)))
+Q["stream_latest_legs"] = lambda spark, d: run(spark, d, lambda s: streams.latest_legs(s, ("view", "click"))).select("seq", "first", "second")
+S["stream_latest_legs"] = sql("""select seq, a as first, b as second from (select seq, last_value(case when instrument_id = 'view' then price end ignore nulls) over w as a, last_value(case when instrument_id = 'click' then price end ignore nulls) over w as b
+    from trades where instrument_id in ('view', 'click') window w as (order by ts_event, seq rows between unbounded preceding and current row)) where a is not null and b is not null""", "trades")
+Q["stream_changed_prices"] = lambda spark, d: run(spark, d, lambda s: streams.changed_prices(s)).select("instrument_id", "seq")
+S["stream_changed_prices"] = sql("select instrument_id, seq from (select *, lag(price) over (partition by instrument_id order by ts_event, seq) as b from trades) where b is null or b <> price", "trades")
+Q["stream_subscription"] = lambda spark, d: run(spark, d, lambda s: streams.subscribed(s, "?i*")).groupBy("instrument_id").agg(F.count("*").alias("n"))
+S["stream_subscription"] = sql("select instrument_id, count(*) as n from trades where instrument_id like '_i%' group by 1", "trades")
