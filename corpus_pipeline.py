@@ -6,6 +6,8 @@ Parquet in the shared folder and reads them again for the next.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,22 @@ LEAST_QUALITY = 0.5
 LEAST_LANGUAGE = 0.5
 
 
+def _keeping(*names: str):
+    """Lets a stage use columns of these names although documents may have such columns of their own, which stay."""
+
+    def around(stage):
+        @functools.wraps(stage)
+        def run(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+            own = {c: f"own__{c}" for c in documents.columns if c in names}
+            out = stage(spark, documents.withColumnsRenamed(own), sf_dir)
+            return out.withColumnsRenamed({v: k for k, v in own.items()})
+
+        return run
+
+    return around
+
+
+@_keeping("quality_score")
 def quality_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier, trained on `labels`, doesn't reject."""
     weights = quality.train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -25,6 +43,7 @@ def quality_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> Dat
     return scored.where(F.col("quality_score") >= LEAST_QUALITY).select(*documents.columns)
 
 
+@_keeping("lang_pred", "lang_score")
 def language_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known: not `und`, and with a posterior of LEAST_LANGUAGE or more."""
     found = language.identify(documents, *language.train(documents))
@@ -38,6 +57,7 @@ def near_copies_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) ->
     return named.select(*documents.columns).unionByName(documents.where("doc_id is null"))
 
 
+@_keeping("secret_spans", "_base", "_more")
 def secrets_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in the place of every secret; n_chars follows the text."""
     clean = secrets.redact(secrets.find(documents, secrets.train(documents)))

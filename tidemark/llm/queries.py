@@ -17,6 +17,20 @@ QUERIES = {
     "op10_lm_scoring": lm_score.op10_lm_scoring,
 }
 ORACLE_SQL = {
+    "op3_multi_index_dedup": """
+        with recursive v as (
+            select vec_id, embedding::double[] as e from embeddings
+            where embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: isfinite(x))) and list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+        ), links as (
+            select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reach as (
+            select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b
+        )
+        select vec_id, (select count(*) from links where a = vec_id) as n_links,
+               least(vec_id, coalesce((select min(b) from reach where a = vec_id), vec_id)) as component_id,
+               vec_id = least(vec_id, coalesce((select min(b) from reach where a = vec_id), vec_id)) as kept
+        from embeddings
+    """,
     "op7_warc": """
         with p as (
             select page_id, coalesce(html, '') as payload from pages where page_id is not null
