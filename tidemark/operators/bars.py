@@ -234,3 +234,32 @@ def spread_quotes(aligned: DataFrame, ratios: dict[str, float]) -> DataFrame:
     bid = sum(F.lit(float(r)) * F.col(f"{leg}.{'bid' if r > 0 else 'ask'}") for leg, r in ratios.items())
     ask = sum(F.lit(float(r)) * F.col(f"{leg}.{'ask' if r > 0 else 'bid'}") for leg, r in ratios.items())
     return aligned.withColumns({"bid_price": bid, "ask_price": ask})
+
+
+def option_spread_quotes(aligned: DataFrame, ratios: dict[str, float], tick: float) -> DataFrame:
+    """Bid and ask of a spread of options around the spread of mids, vega weighted and rounded out to ticks.
+
+    aligned has structs (bid, ask, vega) by leg. Half-width: mean of (ask - bid) / vega over the legs, times half the absolute
+    sum of ratio times vega.
+    """
+    mid = sum(F.lit(float(r)) * (F.col(f"{leg}.bid") + F.col(f"{leg}.ask")) / 2 for leg, r in ratios.items())
+    per_vega = sum((F.col(f"{leg}.ask") - F.col(f"{leg}.bid")) / F.col(f"{leg}.vega") for leg in ratios) / len(ratios)
+    half = per_vega * F.abs(sum(F.lit(float(r)) * F.col(f"{leg}.vega") for leg, r in ratios.items())) / 2
+    return aligned.withColumns({"bid_price": F.floor(F.round((mid - half) / tick, 9)) * tick, "ask_price": F.ceil(F.round((mid + half) / tick, 9)) * tick})
+
+
+def bounded_rolls(rolls: DataFrame, last_post: str | None = None, first_pre: str | None = None) -> DataFrame:
+    """The rolls from the one that leaves first_pre to the one that enters last_post. One chain's table is small."""
+    w = Window.orderBy("transition")
+    rows = rolls.withColumn("_n", F.row_number().over(w))
+    every = Window.partitionBy()
+    if first_pre is not None:
+        rows = rows.withColumn("_a", F.min(F.when(F.col("pre_id") == first_pre, F.col("_n"))).over(every)).where("_n >= _a").drop("_a")
+    if last_post is not None:
+        rows = rows.withColumn("_b", F.max(F.when(F.col("post_id") == last_post, F.col("_n"))).over(every)).where("_n <= _b").drop("_b")
+    return rows.drop("_n")
+
+
+def single_price() -> Column:
+    """Whether a bar's prices are all one."""
+    return (F.col("open") == F.col("high")) & (F.col("high") == F.col("low")) & (F.col("low") == F.col("close"))

@@ -195,3 +195,11 @@ def derived_quotes(deltas: DataFrame) -> DataFrame:
 
     schema = T.StructType.fromDDL("instrument_id string, bid_price double, ask_price double, bid_size double, ask_size double, ts_event long, seq long")
     return fold(deltas, ["instrument_id"], ["ts_event", "seq"], lambda: {"BUY": {}, "SELL": {}, "last": None}, step, schema)
+
+
+def top_from_ticks(kind: str) -> dict[str, Column]:
+    """The top of a book that only ticks are known of: a quote's sides, a trade's or a bar's price on both."""
+    if kind == "quotes":
+        return {c: F.col(c) for c in ("bid_price", "ask_price", "bid_size", "ask_size")}
+    price, size = (F.col("price"), F.col("size")) if kind == "trades" else (F.col("close"), F.col("volume"))
+    return {"bid_price": price, "ask_price": price, "bid_size": size, "ask_size": size}

@@ -221,3 +221,15 @@ def reconcile(computed: DataFrame, reported: DataFrame, by: Iterable[str]) -> Da
     both = computed.select(*by, F.col("net_qty").alias("ours")).join(reported.select(*by, F.col("net_qty").alias("theirs")), list(by), "full_outer")
     diff = F.coalesce("ours", F.lit(0.0)) - F.coalesce("theirs", F.lit(0.0))
     return both.withColumn("difference", diff).where(F.abs("difference") > 1e-9)
+
+
+def netted(sub_positions: DataFrame, by: Iterable[str]) -> DataFrame:
+    """Hedged sub-positions (signed_qty, avg_px_open, ts_opened, position_id) as one net position with its open price, for margin.
+
+    They are folded in order of opening as if each were a fill.
+    """
+    q = F.col("signed_qty")
+    fills = sub_positions.where(q != 0).select(*by, F.when(q > 0, "BUY").otherwise("SELL").alias("order_side"), F.abs(q).alias("last_qty"), F.col("avg_px_open").alias("last_px"), F.col("ts_opened").alias("ts_event"), F.col("position_id").alias("seq"))
+    rows = cost_basis(fills, by)
+    at = F.struct("ts_event", "seq", "part")
+    return rows.groupBy(*by).agg(F.max_by("after", at).alias("net_qty"), F.max_by("avg_px_open", at).alias("avg_px_open"))

@@ -124,3 +124,11 @@ def balance_returns(balances: DataFrame, by: Iterable[str] = (), balance: str =
     ends = balances.groupBy(*by, day).agg(F.max_by(balance, F.struct(time, "seq")).alias("balance"))
     w = Window.partitionBy(*by).orderBy(day)
     return ends.withColumn("ret", _safe(F.col("balance"), F.lag("balance").over(w)) - 1).where("ret is not null")
+
+
+def bars_with_fills(bars: DataFrame, fills: DataFrame, by: Iterable[str] = ("instrument_id",), interval: int = 3_600_000_000_000) -> DataFrame:
+    """Bars (stamped on their close) with the fills of each interval: count, bought and sold quantity."""
+    end = F.call_function("div", F.col("ts_event") - 1, F.lit(interval)) * interval + interval
+    buy = F.col("order_side") == "BUY"
+    own = fills.groupBy(*by, end.alias("ts_event")).agg(F.count("*").alias("fills"), F.sum(F.when(buy, F.col("last_qty")).otherwise(0.0)).alias("bought"), F.sum(F.when(~buy, F.col("last_qty")).otherwise(0.0)).alias("sold"))
+    return bars.join(own, [*by, "ts_event"], "left").fillna(0, ["fills"]).fillna(0.0, ["bought", "sold"])

@@ -192,3 +192,12 @@ Q["account_report"] = lambda spark, d: rounded(_account_states(spark, d).select(
 S["account_report"] = sql(f"select account_id, seq, currency, round(sum(change) over (partition by account_id, currency order by ts_event, seq rows unbounded preceding), 6) as total from {_MOVES}", "fills")
 Q["account_state_json"] = lambda spark, d: _account_states(spark, d).select("account_id", "seq", F.to_json(F.transform("balances", lambda b: F.struct(b["currency"].alias("currency"), F.round(b["total"]).cast("long").alias("total")))).alias("balances"))
 S["account_state_json"] = sql(f"""select account_id, seq, '[' || string_agg('{{"currency":"' || currency || '","total":' || round(total)::bigint || '}}', ',' order by currency) || ']' as balances from (select account_id, seq, currency, sum(change) over (partition by account_id, currency order by ts_event, seq rows unbounded preceding) as total from {_MOVES}) group by 1, 2""", "fills")
+
+
+def _netted(spark, d):
+    sub = ledger.positions(fills(spark, d).withColumn("position_id", F.col("seq")), ["position_id", *BY]).drop("cycle")
+    return ledger.netted(sub, BY).select(*BY, "net_qty")
+
+
+Q["hedged_positions_netted"] = lambda spark, d: rounded(_netted(spark, d))
+S["hedged_positions_netted"] = sql("select account_id, instrument_id, sum(case when order_side = 'BUY' then last_qty else -last_qty end) as net_qty from fills group by 1, 2", "fills")

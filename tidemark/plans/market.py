@@ -379,3 +379,43 @@ def _(spark, d):
     return rounded(s.groupBy("t").agg(F.max_by("bid_price", F.struct("ts_event", "seq")).alias("bid_price")).withColumnRenamed("t", "ts_event"))
 
 
+
+
+_OPTS = """(select ts_event, seq, last_value(case when instrument_id = 'view' then {'bid': bid_price, 'ask': ask_price, 'vega': bid_size} end ignore nulls) over w as v, last_value(case when instrument_id = 'click' then {'bid': bid_price, 'ask': ask_price, 'vega': bid_size} end ignore nulls) over w as c
+    from quotes where instrument_id in ('view', 'click') window w as (order by ts_event, seq rows between unbounded preceding and current row))"""
+
+
+@query("option_spread_quotes", sql(f"""select ts_event, seq, round(floor(round((mid - half) / 0.05::double, 9)) * 0.05::double, 6) as bid_price, round(ceil(round((mid + half) / 0.05::double, 9)) * 0.05::double, 6) as ask_price from (select ts_event, seq, (v.bid + v.ask) / 2 - 2 * (c.bid + c.ask) / 2 as mid,
+    ((v.ask - v.bid) / v.vega + (c.ask - c.bid) / c.vega) / 2 * abs(v.vega - 2 * c.vega) / 2 as half from {_OPTS} where v is not null and c is not null)""", "quotes"))
+def _(spark, d):
+    q = views.quotes(spark, d).withColumn("all", F.struct(F.col("bid_price").alias("bid"), F.col("ask_price").alias("ask"), F.col("bid_size").alias("vega")))
+    legs = asof.align_latest({n: q.where(F.col("instrument_id") == n) for n in ("view", "click")}, "all")
+    return rounded(bars.option_spread_quotes(legs, {"view": 1.0, "click": -2.0}, 0.05).select("ts_event", "seq", "bid_price", "ask_price"))
+
+
+@query("single_price_bars", sql(f"select instrument_id, count(*) as n from ({_bars(LEFT)}) where open = high and high = low and low = close group by 1", "trades"))
+def _(spark, d):
+    return bars.time_bars(views.trades(spark, d), HOUR).where(bars.single_price()).groupBy("instrument_id").agg(F.count("*").alias("n"))
+
+
+@query("bounded_roll_chain", sql(f"select t.instrument_id, count(*) as n from trades t join (select * from {_ROLLS} where transition between 1704931200000000000 and 1705363200000000000) r on t.instrument_id = r.pre_id and t.ts_event < r.transition group by 1", "trades"))
+def _(spark, d):
+    r = bars.bounded_rolls(rolls(spark), last_post="signup", first_pre="view").select(F.col("pre_id").alias("instrument_id"), "transition")
+    return views.trades(spark, d).join(r, "instrument_id").where("ts_event < transition").groupBy("instrument_id").agg(F.count("*").alias("n"))
+
+
+@query("bars_with_fills", sql(f"""select b.instrument_id, b.ts_event, b.close, coalesce(f.n, 0) as fills, coalesce(f.bought, 0) as bought, coalesce(f.sold, 0) as sold from ({_bars(LEFT)}) b left join (select instrument_id, {LEFT} as ts_event, count(*) as n,
+    sum(case when aggressor_side = 'BUYER' then size else 0 end) as bought, sum(case when aggressor_side <> 'BUYER' then size else 0 end) as sold from trades where seq % 4 = 0 group by 1, 2) f using (instrument_id, ts_event)""", "trades"))
+def _(spark, d):
+    from tidemark.operators import stats
+
+    t = views.trades(spark, d)
+    f = t.where("seq % 4 = 0").select("instrument_id", "ts_event", F.when(F.col("aggressor_side") == "BUYER", "BUY").otherwise("SELL").alias("order_side"), F.col("size").alias("last_qty"))
+    return stats.bars_with_fills(bars.time_bars(t, HOUR), f).select("instrument_id", "ts_event", "close", "fills", "bought", "sold")
+
+
+@query("top_from_trades", sql("select instrument_id, seq, price as bid_price, price as ask_price, size as bid_size, size as ask_size from trades", "trades"))
+def _(spark, d):
+    from tidemark.operators import book
+
+    return views.trades(spark, d).select("instrument_id", "seq", *[c.alias(n) for n, c in book.top_from_ticks("trades").items()])

@@ -56,3 +56,5 @@ Q["stream_changed_prices"] = lambda spark, d: run(spark, d, lambda s: streams.ch
 S["stream_changed_prices"] = sql("select instrument_id, seq from (select *, lag(price) over (partition by instrument_id order by ts_event, seq) as b from trades) where b is null or b <> price", "trades")
 Q["stream_subscription"] = lambda spark, d: run(spark, d, lambda s: streams.subscribed(s, "?i*")).groupBy("instrument_id").agg(F.count("*").alias("n"))
 S["stream_subscription"] = sql("select instrument_id, count(*) as n from trades where instrument_id like '_i%' group by 1", "trades")
+Q["stream_snapshots"] = lambda spark, d: run(spark, d, lambda s: streams.snapshots(s, "6 hours", "10 minutes")).select("instrument_id", F.unix_micros("end").alias("end"), "price", "size", "seq")
+S["stream_snapshots"] = sql("select instrument_id, (ts_event // 21600000000000 + 1) * 21600000000 as end, arg_max(price, (ts_event, seq)) as price, arg_max(size, (ts_event, seq)) as size, arg_max(seq, (ts_event, seq)) as seq from trades group by 1, 2", "trades")

@@ -172,3 +172,38 @@ def with_late_rows(stream: DataFrame, checkpoint: str, table: str, late_table: s
         seen["newest"] = max(x for x in (seen["newest"], newest) if x is not None) if newest or seen["newest"] else None
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def book_quotes(stream: DataFrame) -> DataFrame:
+    """Quotes from book updates (action, side, price, size, flags): after each F_LAST, when both sides stand and have changed.
+
+    The state is the live levels of one instrument, as text; it is given back when a CLEAR empties the book.
+    """
+    import json
+
+    def one(v, row, key):
+        book = json.loads(v[0]) if v[0] else {"BUY": {}, "SELL": {}, "last": None}
+        if row.action == "CLEAR":
+            book["BUY"], book["SELL"] = {}, {}
+        elif row.action == "DELETE" or row.size == 0:
+            book[row.side].pop(repr(row.price), None)
+        else:
+            book[row.side][repr(row.price)] = row.size
+        out = []
+        if row.flags & frames.F_LAST and book["BUY"] and book["SELL"]:
+            bid, ask = max(book["BUY"], key=float), min(book["SELL"], key=float)
+            new = [float(bid), float(ask), book["BUY"][bid], book["SELL"][ask]]
+            if new != book["last"]:
+                book["last"] = new
+                out = [(key, row.seq, *new)]
+        v[0] = json.dumps(book)
+        return out
+
+    return _keyed(stream, lambda: ("",), one, "instrument_id string, seq long, bid_price double, ask_price double, bid_size double, ask_size double", "levels string")
+
+
+def snapshots(stream: DataFrame, interval: str, delay: str) -> DataFrame:
+    """The last row of each instrument in every interval, given out when the interval is over."""
+    last = F.max_by(F.struct("price", "size", "seq"), F.struct("ts", "seq")).alias("x")
+    out = stream.withWatermark("ts", delay).groupBy("instrument_id", F.window("ts", interval)).agg(last)
+    return out.select("instrument_id", F.col("window.end").alias("end"), "x.price", "x.size", "x.seq")
