@@ -23,7 +23,7 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else f"{v + 0.0:.6f}" if abs(v) < 1e9 else f"{v:.9g}"
+        return None if math.isnan(v) else f"{v + 0.0:.10g}"
     if isinstance(v, decimal.Decimal):
         return f"{v:.6f}"
     if isinstance(v, datetime.datetime):

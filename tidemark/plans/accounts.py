@@ -76,8 +76,8 @@ Q["maker_taker_fees"] = lambda spark, d: rounded(fills(spark, d).groupBy(*BY).ag
 S["maker_taker_fees"] = sql(f"select account_id, instrument_id, round(sum({_FEE}), 6) as commission from fills group by 1, 2", "fills")
 Q["fixed_fees"] = lambda spark, d: rounded(fills(spark, d).withColumn("list", F.floor(F.col("seq") / 3)).withColumn("fee", ledger.fixed_fee(1.5, "list")).groupBy("account_id").agg(F.sum("fee").alias("fees")))
 S["fixed_fees"] = sql("select account_id, round(sum(case when n = 1 then 1.5::double else 0 end), 6) as fees from (select *, row_number() over (partition by seq // 3 order by ts_event, seq) as n from fills) group by 1", "fills")
-Q["option_fees"] = lambda spark, d: rounded(fills(spark, d).select("seq", F.col("last_qty").alias("quantity"), F.col("last_px").alias("underlying"), (F.col("last_px") * (F.col("seq") % 7) / 1000).alias("premium")).select("seq", ledger.option_fee(0.0003).alias("fee")))
-S["option_fees"] = sql("select seq, round(least(last_qty * last_px * 0.0003::double, last_qty * (last_px * (seq % 7) / 1000) * 0.125::double), 6) as fee from fills", "fills")
+Q["option_fees"] = lambda spark, d: rounded(fills(spark, d).select("seq", F.col("last_qty").alias("quantity"), F.col("last_px").alias("underlying"), (F.col("last_px") * (F.col("seq") % 7) / 1000).alias("premium")).select("seq", ledger.option_fee(0.0003).alias("fee")), 12)
+S["option_fees"] = sql("select seq, round(least(last_qty * last_px * 0.0003::double, last_qty * (last_px * (seq % 7) / 1000) * 0.125::double), 12) as fee from fills", "fills")
 Q["net_of_base_commission"] = lambda spark, d: rounded(fills(spark, d).withColumn("last_qty", F.col("last_qty") * F.when(F.col("order_side") == "BUY", 1 - 0.001).otherwise(1.0)).groupBy(*BY).agg(F.sum("last_qty").alias("quantity")))
 S["net_of_base_commission"] = sql("select account_id, instrument_id, round(sum(last_qty * case when order_side = 'BUY' then 0.999::double else 1 end), 6) as quantity from fills group by 1, 2", "fills")
 
@@ -86,8 +86,8 @@ Q["running_balances"] = lambda spark, d: rounded(ledger.running_balances(ledger.
 S["running_balances"] = sql(f"select account_id, seq, currency, round(change, 6) as change, round(sum(change) over (partition by account_id, currency order by ts_event, seq rows unbounded preceding), 6) as balance from {_MOVES}", "fills")
 Q["locked_balances"] = lambda spark, d: rounded(ledger.locked(events(spark, d).where("event = 'ACCEPTED'")))
 S["locked_balances"] = sql("select account_id, case when order_side = 'BUY' then 'QUOTE' else 'BASE' end as currency, round(sum(case when order_side = 'BUY' then quantity * price else quantity end), 6) as locked from order_events where event = 'ACCEPTED' group by 1, 2", "order_events")
-Q["margins"] = lambda spark, d: rounded(ledger.margins(fills(spark, d).select(*BY, (F.col("last_qty") * F.col("last_px")).alias("notional")), 0.05, 0.025, 10.0)).withColumn("scope", F.col("scope").cast("long"))
-S["margins"] = sql("select account_id, instrument_id, round(sum(last_qty * last_px / 10 * 0.05::double), 6) as initial, round(sum(last_qty * last_px / 10 * 0.025::double), 6) as maintenance, grouping_id(account_id, instrument_id) as scope from fills group by rollup (account_id, instrument_id)", "fills")
+Q["margins"] = lambda spark, d: rounded(ledger.margins(fills(spark, d).select(*BY, (F.col("last_qty") * F.col("last_px")).alias("notional")), 0.05, 0.025, 10.0), 9).withColumn("scope", F.col("scope").cast("long"))
+S["margins"] = sql("select account_id, instrument_id, round(sum(last_qty * last_px / 10 * 0.05::double), 9) as initial, round(sum(last_qty * last_px / 10 * 0.025::double), 9) as maintenance, grouping_id(account_id, instrument_id) as scope from fills group by rollup (account_id, instrument_id)", "fills")
 
 _NET = f"select f.account_id, f.instrument_id, sum(case when order_side = 'BUY' then last_qty else -last_qty end) as net_qty, max(mark) as mark from fills f join ({_MARK}) m using (instrument_id) group by 1, 2"
 _SIDE = "case when net_qty > 0 then 'LONG' when net_qty < 0 then 'SHORT' else 'FLAT' end"
