@@ -37,3 +37,11 @@ def test_late_rows_go_aside(spark, tmp_path):
     writer.trigger(availableNow=True).start().awaitTermination()
     ids = lambda p: sorted(r["seq"] for r in spark.read.parquet(f"{tmp_path}/{p}").collect())
     assert ids("out") == [1, 3] and ids("late") == [2]
+    # started anew, and after the last trigger was lost: the bound is remembered and no row is there twice
+    df.where("seq = 2").withColumn("seq", F.lit(4).cast("long")).unionByName(df.where("seq = 1").withColumns({"seq": F.lit(5).cast("long"), "ts": F.lit(None).cast("timestamp")})).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        again = streams.with_late_rows(streams.read_files(spark, f"{tmp_path}/in"), f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/late", 120)
+        again.trigger(availableNow=True).start().awaitTermination()
+        assert ids("out") == [1, 3, 5] and ids("late") == [2, 4]
+        for f in (tmp_path / "state" / "commits").glob("*2*"):
+            f.unlink()

@@ -159,17 +159,24 @@ def rolling_sink(stream: DataFrame, path: str, checkpoint: str, seconds: int = 6
 
 
 def with_late_rows(stream: DataFrame, checkpoint: str, table: str, late_table: str, delay_seconds: int):
-    """Writes rows to `table`, and those later than the delay behind the newest row of all earlier triggers to `late_table`."""
-    seen = {"newest": None}
-
-    def write(batch: DataFrame, _: int) -> None:
-        newest = batch.agg(F.max("ts")).first()[0]
-        if seen["newest"] is not None:
-            bound = F.lit(seen["newest"]) - F.expr(f"interval {delay_seconds} seconds")
-            batch.where(F.col("ts") < bound).write.mode("append").parquet(late_table)
-            batch = batch.where(F.col("ts") >= bound)
-        batch.write.mode("append").parquet(table)
-        seen["newest"] = max(x for x in (seen["newest"], newest) if x is not None) if newest or seen["newest"] else None
+    """Writes rows to `table`, and those later than the delay behind the newest row of all earlier triggers to `late_table`.
+
+    Each trigger overwrites its own partition (`batch`), and the newest time so far is kept beside the checkpoint, so a trigger
+    that runs again after a failure or a restart leaves the same rows. Rows without a time are never late.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        times = batch.select(F.col("ts").alias("newest"))
+        late = F.lit(False)
+        if n:
+            before = batch.sparkSession.read.schema(times.schema).parquet(f"{checkpoint}-newest/batch={n - 1}")
+            times = times.unionByName(before)
+            newest = before.first()[0]
+            if newest is not None:
+                late = F.coalesce(F.col("ts") < F.lit(newest) - F.expr(f"interval {delay_seconds} seconds"), late)
+        batch.where(late).write.mode("overwrite").parquet(f"{late_table}/batch={n}")
+        batch.where(~late).write.mode("overwrite").parquet(f"{table}/batch={n}")
+        times.agg(F.max("newest").alias("newest")).write.mode("overwrite").parquet(f"{checkpoint}-newest/batch={n}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
