@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tidemark.operators import bars, book, derived, ledger, stats
+from tidemark.operators import asof, bars, book, derived, ledger, stats
 from tidemark.operators.indicators import Indicators
 from tidemark.operators.windows import affine
 from tidemark.sources import views
@@ -195,3 +195,21 @@ def test_catalog_intervals_and_overlap(spark, tmp_path):
 def test_intervals_of_empty_tables(spark):
     none = spark.createDataFrame([], "identifier string, first long, last long")
     assert merged_intervals(none).count() == 0 and missing_intervals(none, 0, 9).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 7, 1000])
+def test_time_buckets_change_no_join(spark, bucket):
+    rng = random.Random(bucket)
+    rows = lambda n, keys: [(rng.choice(keys), rng.randrange(-20, 40), i, rng.choice([None, 1.0, 2.0, 3.0])) for i in range(n)]
+    schema = "instrument_id string, ts_event long, seq long, value double"
+    left = spark.createDataFrame(rows(80, ["A", "B", "C", None]), schema)
+    right = spark.createDataFrame(rows(25, ["A", "B", "D", None]), schema)
+    text = lambda df: sorted(map(str, df.collect()))
+    for more in ({}, {"forward": True}, {"tolerance": 5}, {"forward": True, "tolerance": 2}, {"keep_unmatched": False}):
+        assert text(asof.asof_join(left, right, bucket=bucket, **more)) == text(asof.asof_join(left, right, **more))
+    legs = {"x": left, "y": right}
+    for by in ((), ("instrument_id",)):
+        want = text(asof.align_latest(legs, "value", by))
+        assert want and text(asof.align_latest(legs, "value", by, bucket=bucket)) == want
+    assert asof.asof_join(left.limit(0), right, bucket=bucket).count() == 0
+    assert asof.asof_join(left, right.limit(0), bucket=bucket).where("r_seq is not null").count() == 0

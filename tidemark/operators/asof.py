@@ -13,12 +13,15 @@ from tidemark.operators.windows import BY, running
 
 def asof_join(
     left: DataFrame, right: DataFrame, by: Iterable[str] = BY, time: str = "ts_event", seq: str | None = "seq",
-    forward: bool = False, tolerance: int | None = None, prefix: str = "r_", keep_unmatched: bool = True,
+    forward: bool = False, tolerance: int | None = None, prefix: str = "r_", keep_unmatched: bool = True, bucket: int | None = None,
 ) -> DataFrame:
     """Each left row with the latest right row at or before it (forward: the first at or after), columns prefixed.
 
     Both sides go through one shuffle and one sort: they are put together, and each left row takes the last right row that
     stands before it. Right rows of equal time count as known. Tolerance is in units of `time`.
+
+    With a bucket (a span of `time`, which must then be a whole number) a key of many rows spreads over many tasks: only rows
+    of one key and bucket are sorted together, and what earlier buckets know goes in front of them as a row more.
     """
     by = list(by)
     row = F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in right.columns if c not in by])
@@ -27,7 +30,14 @@ def asof_join(
     own = left.select(*by, F.col(time).alias("_t"), *[F.col(c).alias("_s") for c in tie], F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
     both = own.unionByName(sides, allowMissingColumns=True)
     turn = F.desc if forward else F.asc
-    w = Window.partitionBy(*by).orderBy(turn("_t"), F.asc("_side"), *[turn("_s") for _ in tie]).rowsBetween(Window.unboundedPreceding, 0)
+    keys = by
+    if bucket is not None:
+        keys = [*by, "_bucket"]
+        both = both.withColumn("_bucket", _bucket("_t", bucket))
+        known = _known_before(both, by, {"_right": F.col("_right")}, ["_t", *["_s" for _ in tie]], forward)
+        edge = F.col("_bucket") + bucket if forward else F.col("_bucket")
+        both = both.unionByName(known.withColumns({"_t": edge, "_side": F.lit(-1)}), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(turn("_t"), F.asc("_side"), *[turn("_s") for _ in tie]).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
     if tolerance is not None:
         gap = F.abs(F.col("_t") - F.col(f"_right.{prefix}{time}"))
@@ -37,14 +47,43 @@ def asof_join(
     return out.select("_left.*", "_right.*")
 
 
-def align_latest(legs: dict[str, DataFrame], value: str, by: Iterable[str] = (), order: Iterable[str] = ("ts_event", "seq")) -> DataFrame:
-    """Every update of any leg with the latest value of all legs in a column each; rows before all legs are known go."""
+def _bucket(time: str, span: int) -> Column:
+    """Where the bucket of a time starts, in whole numbers."""
+    return F.col(time) - F.pmod(F.col(time), F.lit(span))
+
+
+def _known_before(rows: DataFrame, by: list[str], values: dict[str, Column], order: list[str], forward: bool = False) -> DataFrame:
+    """For each key and `_bucket` of rows, the last non-null of each value in earlier buckets (forward: the first in later ones).
+
+    A row for each key and bucket, out of an aggregate that is partial before its shuffle.
+    """
+    pick, turn = (F.min_by, F.desc) if forward else (F.max_by, F.asc)
+    ends = rows.groupBy(*by, "_bucket").agg(*[pick(v, F.when(v.isNotNull(), F.struct(*order))).alias(n) for n, v in values.items()])
+    w = Window.partitionBy(*by).orderBy(turn("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select(*by, "_bucket", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in values])
+
+
+def align_latest(legs: dict[str, DataFrame], value: str, by: Iterable[str] = (), order: Iterable[str] = ("ts_event", "seq"), bucket: int | None = None) -> DataFrame:
+    """Every update of any leg with the latest value of all legs in a column each; rows before all legs are known go.
+
+    With a bucket (a span of the first order column) the rows of a key, or all rows where `by` is empty, spread over many
+    tasks, as in asof_join.
+    """
     by, order = list(by), list(order)
     frames = [df.select(*by, *order, F.lit(name).alias("leg"), F.col(value).alias("_v")) for name, df in legs.items()]
-    w = running(by, [*order, "leg"])
+    own = {n: F.when(F.col("leg") == n, F.col("_v")) for n in legs}
     out = reduce(DataFrame.unionByName, frames)
-    out = out.select(*by, *order, "leg", *[F.last(F.when(F.col("leg") == n, F.col("_v")), ignorenulls=True).over(w).alias(n) for n in legs])
-    return out.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in legs]))
+    w = running(by, [*order, "leg"])
+    if bucket is not None:
+        out = out.withColumn("_bucket", _bucket(order[0], bucket))
+        known = _known_before(out, by, own, order)
+        rows = out.select(*by, "_bucket", *order, "leg", *[v.alias(n) for n, v in own.items()], F.lit(1).alias("_own"))
+        out = rows.unionByName(known.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+        own = {n: F.col(n) for n in legs}
+        w = running([*by, "_bucket"], ["_own", *order, "leg"])
+    latest = [F.last(v, ignorenulls=True).over(w).alias(n) for n, v in own.items()]
+    out = out.select(*by, *order, "leg", *latest)
+    return out.where(reduce(lambda a, b: a & b, [F.col("leg").isNotNull(), *[F.col(n).isNotNull() for n in legs]]))
 
 
 def interval_join(df: DataFrame, intervals: DataFrame, key: str, lo: str, hi: str, time: str = "ts_event") -> DataFrame:

@@ -15,9 +15,9 @@ from tidemark.operators.asof import align_latest
 from tidemark.operators.windows import fold, running
 
 
-def synthetic(legs: dict[str, DataFrame], value: str, formula: Column, digits: int, by: Iterable[str] = ()) -> DataFrame:
-    """A formula over the latest value of each leg, at every update; no row unless all inputs are finite."""
-    aligned = align_latest(legs, value, by)
+def synthetic(legs: dict[str, DataFrame], value: str, formula: Column, digits: int, by: Iterable[str] = (), bucket: int | None = None) -> DataFrame:
+    """A formula over the latest value of each leg, at every update; no row unless all inputs are finite. bucket: see align_latest."""
+    aligned = align_latest(legs, value, by, bucket=bucket)
     price = F.round(formula, digits)
     ok = ~F.isnan(price) & (F.abs(price) < F.lit(float("inf")))
     return aligned.withColumn("price", price).where(ok)

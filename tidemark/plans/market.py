@@ -125,7 +125,7 @@ _SIGNAL = "(select event_type as instrument_id, epoch_us(ts) * 1000 as ts_event,
 def _(spark, d):
     t = views.trades(spark, d)
     n = views.table(spark, d, "events").where("value > 40 and user_id % 3 = 0").select(F.col("event_type").alias("instrument_id"), views.nanos("ts").alias("ts_event"), F.col("event_id").alias("seq"), F.col("value").alias("impact"))
-    return asof.asof_join(t, n, forward=True).select("seq", "r_seq", "r_impact")
+    return asof.asof_join(t, n, forward=True, bucket=DAY).select("seq", "r_seq", "r_impact")
 
 
 @query("delta_batches", sql(f"""select instrument_id, batch, count(*) as n, max(seq) as last_seq from (select *, coalesce(sum(done) over (partition by instrument_id order by ts_event, seq rows unbounded preceding), 0)::bigint as batch
@@ -146,14 +146,14 @@ def _(spark, d):
     on t.instrument_id = q.instrument_id and t.ts_event >= q.ts_event""", "trades", "quotes"))
 def _(spark, d):
     q = views.quotes(spark, d).where("seq % 3 = 0")
-    return asof.asof_join(views.trades(spark, d), q).select("instrument_id", "seq", "r_seq", "r_bid_price")
+    return asof.asof_join(views.trades(spark, d), q, bucket=DAY).select("instrument_id", "seq", "r_seq", "r_bid_price")
 
 
 @query("asof_join_tolerance", sql("""select t.instrument_id, t.seq, case when t.ts_event - q.ts_event <= 600000000000 then q.seq end as r_seq from trades t asof left join (select * from quotes where seq % 3 = 0) q
     on t.instrument_id = q.instrument_id and t.ts_event >= q.ts_event""", "trades", "quotes"))
 def _(spark, d):
     q = views.quotes(spark, d).where("seq % 3 = 0")
-    return asof.asof_join(views.trades(spark, d), q, tolerance=600_000_000_000).select("instrument_id", "seq", "r_seq")
+    return asof.asof_join(views.trades(spark, d), q, tolerance=600_000_000_000, bucket=DAY).select("instrument_id", "seq", "r_seq")
 
 
 _LEGS = """(select ts_event, seq, instrument_id as leg, last_value(case when instrument_id = 'view' then price end ignore nulls) over w as view, last_value(case when instrument_id = 'click' then price end ignore nulls) over w as click
@@ -163,14 +163,14 @@ _LEGS = """(select ts_event, seq, instrument_id as leg, last_value(case when ins
 @query("aligned_latest", sql(f"select * from {_LEGS} where view is not null and click is not null", "trades"))
 def _(spark, d):
     t = views.trades(spark, d)
-    return asof.align_latest({n: t.where(F.col("instrument_id") == n) for n in ("view", "click")}, "price")
+    return asof.align_latest({n: t.where(F.col("instrument_id") == n) for n in ("view", "click")}, "price", bucket=DAY)
 
 
 @query("quote_greeks_join", sql("""select g.instrument_id, g.seq, q.bid_price as r_bid_price, round(g.price / 100, 6) as delta from trades g asof join (select * from quotes where seq % 2 = 0) q
     on g.instrument_id = q.instrument_id and g.ts_event >= q.ts_event where g.seq % 2 = 1""", "trades", "quotes"))
 def _(spark, d):
     greeks = views.trades(spark, d).where("seq % 2 = 1").withColumn("delta", F.col("price") / 100)
-    out = asof.asof_join(greeks, views.quotes(spark, d).where("seq % 2 = 0"), keep_unmatched=False)
+    out = asof.asof_join(greeks, views.quotes(spark, d).where("seq % 2 = 0"), keep_unmatched=False, bucket=DAY)
     return rounded(out.select("instrument_id", "seq", "r_bid_price", "delta"))
 
 
@@ -368,7 +368,7 @@ def _(spark, d):
 
 def _spread(spark, d):
     q = views.quotes(spark, d).withColumn("both", F.struct(F.col("bid_price").alias("bid"), F.col("ask_price").alias("ask")))
-    legs = asof.align_latest({n: q.where(F.col("instrument_id") == n) for n in ("view", "click")}, "both")
+    legs = asof.align_latest({n: q.where(F.col("instrument_id") == n) for n in ("view", "click")}, "both", bucket=DAY)
     return bars.spread_quotes(legs, {"view": 1.0, "click": -2.0})
 
 
@@ -389,7 +389,7 @@ _OPTS = """(select ts_event, seq, last_value(case when instrument_id = 'view' th
     ((v.ask - v.bid) / v.vega + (c.ask - c.bid) / c.vega) / 2 * abs(v.vega - 2 * c.vega) / 2 as half from {_OPTS} where v is not null and c is not null)""", "quotes"))
 def _(spark, d):
     q = views.quotes(spark, d).withColumn("all", F.struct(F.col("bid_price").alias("bid"), F.col("ask_price").alias("ask"), F.col("bid_size").alias("vega")))
-    legs = asof.align_latest({n: q.where(F.col("instrument_id") == n) for n in ("view", "click")}, "all")
+    legs = asof.align_latest({n: q.where(F.col("instrument_id") == n) for n in ("view", "click")}, "all", bucket=DAY)
     return rounded(bars.option_spread_quotes(legs, {"view": 1.0, "click": -2.0}, 0.05).select("ts_event", "seq", "bid_price", "ask_price"))
 
 
