@@ -11,6 +11,7 @@ from tidemark.sources.views import sql
 
 Q: dict = {}
 S: dict = {}
+DAY = 86_400_000_000_000
 _LEGS = """(select ts_event, seq, last_value(case when instrument_id = 'view' then price end ignore nulls) over w as view, last_value(case when instrument_id = 'click' then price end ignore nulls) over w as click
     from trades where instrument_id in ('view', 'click') window w as (order by ts_event, seq, instrument_id rows between unbounded preceding and current row))"""
 
@@ -20,11 +21,11 @@ def legs(spark, d):
     return {n: t.where(F.col("instrument_id") == n) for n in ("view", "click")}
 
 
-Q["synthetic_price"] = lambda spark, d: derived.synthetic(legs(spark, d), "price", (F.col("view") + F.col("click")) / 2.0, 4).select("ts_event", "seq", "price")
+Q["synthetic_price"] = lambda spark, d: derived.synthetic(legs(spark, d), "price", (F.col("view") + F.col("click")) / 2.0, 4, bucket=DAY).select("ts_event", "seq", "price")
 S["synthetic_price"] = sql(f"select ts_event, seq, round((view + click) / 2, 4) as price from {_LEGS} where view is not null and click is not null", "trades")
-Q["synthetic_functions"] = lambda spark, d: derived.synthetic(legs(spark, d), "price", F.when(F.col("view") > F.col("click"), F.greatest(F.ceil("view"), F.floor(F.col("click") * 2))).otherwise(F.least(F.abs(F.col("view") - F.col("click")), F.pow(F.col("view"), F.lit(2.0)) % 7)), 4).select("ts_event", "seq", "price")
+Q["synthetic_functions"] = lambda spark, d: derived.synthetic(legs(spark, d), "price", F.when(F.col("view") > F.col("click"), F.greatest(F.ceil("view"), F.floor(F.col("click") * 2))).otherwise(F.least(F.abs(F.col("view") - F.col("click")), F.pow(F.col("view"), F.lit(2.0)) % 7)), 4, bucket=DAY).select("ts_event", "seq", "price")
 S["synthetic_functions"] = sql(f"select ts_event, seq, round(case when view > click then greatest(ceil(view), floor(click * 2)) else least(abs(view - click), pow(view, 2) % 7) end, 4)::double as price from {_LEGS} where view is not null and click is not null", "trades")
-Q["synthetic_guard"] = lambda spark, d: derived.synthetic({n: x.withColumn("price", F.when(F.col("seq") % 10 != 0, F.col("price")).otherwise(F.lit(0.0))) for n, x in legs(spark, d).items()}, "price", F.try_divide(F.col("view"), F.col("click")), 4).select("ts_event", "seq", "price")
+Q["synthetic_guard"] = lambda spark, d: derived.synthetic({n: x.withColumn("price", F.when(F.col("seq") % 10 != 0, F.col("price")).otherwise(F.lit(0.0))) for n, x in legs(spark, d).items()}, "price", F.try_divide(F.col("view"), F.col("click")), 4, bucket=DAY).select("ts_event", "seq", "price")
 S["synthetic_guard"] = sql(f"select ts_event, seq, round(view / nullif(click, 0), 4) as price from {_LEGS.replace('from trades', 'from (select * replace (case when seq % 10 <> 0 then price else 0 end as price) from trades)')} where view is not null and click is not null and click <> 0", "trades")
 
 _CHAIN = "select p_brand as series, p_size::double as strike, case when p_partkey % 2 = 0 then 'CALL' else 'PUT' end as kind, p_partkey, p_retailprice / 100 as bid, p_retailprice / 100 + 0.5::double as ask, (p_partkey % 100) / 100.0::double as delta, 20 + (p_partkey % 13)::double as underlying_price from part"
