@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import chars
 from tidemark.llm.common import added, slices_of, text_slices, texts_of, tree_sum, unpack
 
-#: Ids of the vocabulary that both models share; every word hashes to one of them.
-WORDS = 1 << 18
-#: Buckets of word pairs.
-PAIRS = 1 << 20
+#: Bits of the ids of the vocabulary that both models share; every word hashes to one of WORDS ids.
+WORD_BITS = 18
+WORDS = 1 << WORD_BITS
+#: Bits of the buckets of word pairs; more keep pairs apart in larger corpora.
+PAIR_BITS = 20
+PAIRS = 1 << PAIR_BITS
 #: Weight of the pair estimate against the single-word estimate.
 PAIR_WEIGHT = 0.7
 SMOOTHING = 0.1
@@ -25,12 +27,12 @@ _COUNTS = pa.schema([("model", pa.string()), ("task", pa.int32()), ("slice", pa.
 def events(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word id, id of the word before (WORDS at a text's start), pair bucket of each word, and text bounds."""
     h, at = chars.token_hashes([t.lower() for t in texts], chars.words_and_marks())
-    w = (h >> np.uint64(46)).astype(np.int64)
+    w = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     before = np.empty_like(w)
     if len(w):
         before[0], before[1:] = WORDS, w[:-1]
         before[at[:-1][at[:-1] < len(w)]] = WORDS
-    pair = (chars.mix((before.astype(np.uint64) << np.uint64(20)) + w.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
+    pair = (chars.mix((before.astype(np.uint64) << np.uint64(WORD_BITS + 2)) + w.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
     return w, before, pair, at
 
 
