@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -82,6 +83,34 @@ def test_lm_score_is_the_sum_over_words(spark):
     assert out[1]["background_bits"] == pytest.approx(b.log_loss(w, before, pair).mean())
 
 
+def test_lm_score_keeps_every_pair_apart(spark):
+    """More distinct pairs than any table of fixed size would keep apart, against plain dictionaries."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 200_000, 6000)) for _ in range(200)] + ["hot pair " * 50, None] + ["hot pair"] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    back, target = lm_score.train(docs, docs.where("doc_id % 4 = 0").select("doc_id"))
+    got = {r["doc_id"]: r for r in lm_score.score(docs, back, target).where("doc_id in (0, 1, 7, 200, 201, 300)").collect()}
+    models = []
+    for step in (1, 4):
+        word, context, pair = Counter(), Counter(), Counter()
+        for t in texts[::step]:
+            w = (t or "").split()
+            word.update(w)
+            context.update(["", *w][:-1] if w else [])
+            pair.update(zip(["", *w], w, strict=False))
+        models.append((word, context, pair))
+    size = len(models[0][0])
+    assert len(models[0][2]) > 1_100_000 and (back.vocabulary, back.pairs.count()) == (size, len(models[0][2]))
+    for i in (0, 1, 7, 200, 201, 300):
+        w = (texts[i] or "").split()
+        for (word, context, pair), name in zip(models, ("background_bits", "target_bits"), strict=True):
+            total, bits = word.total(), 0.0
+            for b, x in zip(["", *w], w, strict=False):
+                single = (word[x] + 0.1) / (total + 0.1 * size)
+                bits -= np.log2(0.7 * pair[b, x] / context[b] + 0.3 * single if context[b] else single)
+            assert got[i]["n_words"] == len(w) and got[i][name] == pytest.approx(bits / max(1, len(w)))
+
+
 def test_bpe_matches_the_library(library):
     m = bpe.model(TOKENIZER)
     rng = random.Random(1)

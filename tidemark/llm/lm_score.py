@@ -1,117 +1,189 @@
-"""Cross-entropy difference: a target and a background word bigram model over one hashed vocabulary."""
+"""Cross-entropy difference: a target and a background word bigram model, counted exactly over one vocabulary."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chars
-from tidemark.llm.common import added, slices_of, text_slices, texts_of, tree_sum, unpack
-
-#: Bits of the ids of the vocabulary that both models share; every word hashes to one of WORDS ids.
-WORD_BITS = 18
-WORDS = 1 << WORD_BITS
-#: Bits of the buckets of word pairs; more keep pairs apart in larger corpora.
-PAIR_BITS = 20
-PAIRS = 1 << PAIR_BITS
+from tidemark.llm.common import stored, text_slices, texts_of
+
+#: What stands before a text's first word.
+START = np.uint64(0)
 #: Weight of the pair estimate against the single-word estimate.
 PAIR_WEIGHT = 0.7
 SMOOTHING = 0.1
-
-_COUNTS = pa.schema([("model", pa.string()), ("task", pa.int32()), ("slice", pa.int32()), ("counts", pa.binary())])
+#: A key with more than this share of a join's rows is dealt to several tasks; there can be 1 / HOT such keys at most.
+HOT = 1 / 1024
 
 
 def events(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word id, id of the word before (WORDS at a text's start), pair bucket of each word, and text bounds."""
-    h, at = chars.token_hashes([t.lower() for t in texts], chars.words_and_marks())
-    w = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    """64-bit hash of each word, that of the word before (START at a text's start), one of the pair, and text bounds."""
+    w, at = chars.token_hashes([t.lower() for t in texts], chars.words_and_marks())
     before = np.empty_like(w)
     if len(w):
-        before[0], before[1:] = WORDS, w[:-1]
-        before[at[:-1][at[:-1] < len(w)]] = WORDS
-    pair = (chars.mix((before.astype(np.uint64) << np.uint64(WORD_BITS + 2)) + w.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return w, before, pair, at
+        before[0], before[1:] = START, w[:-1]
+        before[at[:-1][at[:-1] < len(w)]] = START
+    return w, before, _pair(w, before), at
+
+
+def _pair(w: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return chars.mix(chars.mix(before) + w)
+
+
+def _summed(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts equal keys together, and where each run of them starts in that order."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order, np.flatnonzero(new)
+
+
+@dataclass
+class Model:
+    """Exact counts: pairs (before, word, n: occurrences, rows: texts of a slice with it), all of them, and words of the vocabulary."""
+
+    pairs: DataFrame
+    total: int
+    vocabulary: int
 
 
 class Counts:
-    """Word, context and pair counts of one model."""
+    """A small model in memory, for looking at single words."""
 
-    def __init__(self, word, context, pair):
-        self.word, self.context, self.pair = word, context, pair
+    def __init__(self, before, word, n, vocabulary: int):
+        self.words, at = np.unique(word, return_inverse=True)
+        self.word = np.bincount(at, weights=n, minlength=len(self.words))
+        self.contexts, at = np.unique(before, return_inverse=True)
+        self.context = np.bincount(at, weights=n, minlength=len(self.contexts))
+        pair = _pair(word, before)
+        order = np.argsort(pair)
+        self.pairs, self.pair, self.vocabulary = pair[order], np.asarray(n, np.float64)[order], vocabulary
 
     @classmethod
-    def flat(cls, a: np.ndarray) -> Counts:
-        return cls(a[:WORDS], a[WORDS : 2 * WORDS + 1], a[2 * WORDS + 1 :])
+    def flat(cls, model: Model) -> Counts:
+        rows = model.pairs.select("before", "word", "n").collect()
+        before, word, n = (np.array([r[c] for r in rows], np.int64) for c in ("before", "word", "n"))
+        return cls(before.view(np.uint64), word.view(np.uint64), n, model.vocabulary)
 
     def log_loss(self, w, before, pair) -> np.ndarray:
         """Bits of each word."""
-        single = (self.word[w] + SMOOTHING) / (self.word.sum() + SMOOTHING * WORDS)
-        seen = self.context[before]
-        double = np.minimum(self.pair[pair], seen) / np.maximum(seen, 1)
-        return -np.log2(np.where(seen > 0, PAIR_WEIGHT * double + (1 - PAIR_WEIGHT) * single, single))
 
+        def of(keys, counts, x):
+            at = np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1))
+            return np.where(keys[at] == x, counts[at], 0.0) if len(keys) else np.zeros(len(x))
 
-SIZE = 2 * WORDS + 1 + PAIRS
+        single = (of(self.words, self.word, w) + SMOOTHING) / (self.word.sum() + SMOOTHING * self.vocabulary)
+        seen = of(self.contexts, self.context, before)
+        double = of(self.pairs, self.pair, pair) / np.maximum(seen, 1)
+        return -np.log2(np.where(seen > 0, PAIR_WEIGHT * double + (1 - PAIR_WEIGHT) * single, single))
 
 
-def train(documents: DataFrame, good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _counted(batches):
+    """(before, word, n, rows) of each slice of texts; rows: in how many texts of the slice a pair is."""
+    for batch in batches:
+        texts = texts_of(batch)
+        for a, b in text_slices(texts):
+            w, before, _, at = events(texts[a:b])
+            if not len(w):
+                continue
+            doc = np.repeat(np.arange(b - a), np.diff(at))
+            order, start = _summed(doc, w, before)
+            first = np.zeros(len(w), np.int64)
+            first[start] = 1  # once for each text and pair
+            w, before = w[order], before[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (before[1:] != before[:-1])
+            runs = np.flatnonzero(new)
+            n, rows = np.diff(np.append(runs, len(w))), np.add.reduceat(first, runs)
+            yield pa.RecordBatch.from_arrays([pa.array(before[runs].view(np.int64)), pa.array(w[runs].view(np.int64)), pa.array(n), pa.array(rows)], names=["before", "word", "n", "rows"])
+
+
+def train(documents: DataFrame, good: DataFrame) -> tuple[Model, Model]:
     """Counts of all documents (background) and of those whose doc_id is in good (target); whole texts count.
 
-    Each task adds up its own documents first; what tasks send grows with their number, what the driver gets is of fixed size.
+    Each slice of texts is summed where it is read and each task sums its slices (a partial aggregate), so the tables grow with
+    the distinct pairs, and nothing but their sizes comes to the driver.
     """
-
-    def counter(name: str):
-        def count(batches):
-            total = np.zeros(SIZE, np.float64)
-            for batch in batches:
-                texts = texts_of(batch)
-                for a, b in text_slices(texts):
-                    w, before, pair, _ = events(texts[a:b])
-                    total[:WORDS] += np.bincount(w, minlength=WORDS)
-                    total[WORDS : 2 * WORDS + 1] += np.bincount(before, minlength=WORDS + 1)
-                    total[2 * WORDS + 1 :] += np.bincount(pair, minlength=PAIRS)
-            yield pa.RecordBatch.from_pylist(slices_of(total, model=name, task=TaskContext.get().partitionId()), schema=_COUNTS)
-
-        return count
-
-    scan = documents.select("text")
     # the ids in good grow with the corpus: they are not broadcast
     target = documents.select("doc_id", "text").join(good.select("doc_id").hint("merge"), "doc_id", "left_semi").select("text")
-    shuffled = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = []
-    for name, df, tasks in (("background", scan, scan.rdd.getNumPartitions()), ("target", target, shuffled)):
-        counts = df.mapInArrow(counter(name), "model string, task int, slice int, counts binary")
-        out.append(unpack(tree_sum(counts, ["model", "slice"], tasks).collect(), SIZE).astype(np.float32))
-    return out[0], out[1]
-
-
-def score(documents: DataFrame, background: np.ndarray, target: np.ndarray) -> DataFrame:
+    tables = []
+    for name, df in (("background", documents.select("text")), ("target", target)):
+        rows = df.mapInArrow(_counted, "before long, word long, n long, rows long")
+        tables.append(stored(rows.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")), name))
+    vocabulary = tables[0].select("word").distinct().count()
+    totals = [t.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for t in tables]
+    return Model(tables[0], totals[0], vocabulary), Model(tables[1], totals[1], vocabulary)
+
+
+def _met(rows: DataFrame, table: DataFrame, keys: list[str], n: DataFrame, spread: Column) -> DataFrame:
+    """rows with the columns of table, which has one row for each key. A hot key's rows are dealt to several tasks by `spread`,
+    and its row in the table goes to each of those. n: keys and how many rows each has, as a column n."""
+    total = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(1, int(total * HOT))
+    hot = F.broadcast(n.where(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("parts")))  # at most 1 / HOT rows
+    own = rows.join(hot, keys, "left").withColumn("salt", F.coalesce(F.pmod(spread, F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    every = table.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return own.join(every.hint("merge"), [*keys, "salt"], "left").drop("salt")
+
+
+def _bits(n: str, word: str, seen: str, model: Model) -> Column:
+    """Bits of a word from the counts of its pair, itself and its context."""
+    n, word, seen = (F.coalesce(c, F.lit(0)) for c in (n, word, seen))
+    single = (word + SMOOTHING) / F.lit(max(model.total + SMOOTHING * model.vocabulary, SMOOTHING))
+    return -F.log2(F.when(seen > 0, PAIR_WEIGHT * n / seen + (1 - PAIR_WEIGHT) * single).otherwise(single))
+
+
+def pair_bits(background: Model, target: Model) -> DataFrame:
+    """before, word, rows, background_bits and target_bits of every pair of the background."""
+    pairs = background.pairs.withColumnRenamed("n", "nb").join(target.pairs.select("before", "word", F.col("n").alias("nt")).hint("merge"), ["before", "word"], "left")
+    pairs = stored(pairs, "pairs")
+    sums = [F.sum("nb"), F.sum("nt"), F.count("*")]
+    words = stored(pairs.groupBy("word").agg(*[s.alias(c) for s, c in zip(sums, ("wb", "wt", "n"), strict=True)]), "words")
+    contexts = stored(pairs.groupBy("before").agg(*[s.alias(c) for s, c in zip(sums, ("sb", "st", "n"), strict=True)]), "contexts")
+    found = _met(pairs, words.drop("n"), ["word"], words.select("word", "n"), F.xxhash64("before"))
+    found = _met(found, contexts.drop("n"), ["before"], contexts.select("before", "n"), F.xxhash64("word"))
+    return stored(
+        found.select("before", "word", "rows", _bits("nb", "wb", "sb", background).alias("background_bits"), _bits("nt", "wt", "st", target).alias("target_bits")), "bits"
+    )
+
+
+def _asked(batches):
+    """(text_key, before, word, n) of each text."""
+    for batch in batches:
+        texts, keys = texts_of(batch), batch.column("text_key").to_numpy()
+        for a, b in text_slices(texts):
+            w, before, _, at = events(texts[a:b])
+            doc = np.repeat(np.arange(b - a), np.diff(at))
+            order, start = _summed(w, before, doc)
+            first = order[start]
+            n = np.diff(np.append(start, len(order)))
+            columns = [pa.array(keys[a:b][doc[first]]), pa.array(before[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["text_key", "before", "word", "n"])
+
+
+def score(documents: DataFrame, background: Model, target: Model) -> DataFrame:
     """documents with n_words, background_bits, target_bits (a word) and lm_score = target_bits - background_bits.
 
     Lower is nearer to the target. A text without words has n_words 0 and 0.0 in the others. Columns of those names are replaced.
+    The background must have counted every text, as train() does; an unknown pair is an error. Rows are told apart by number,
+    so documents are stored once with it.
     """
-    model = documents.sparkSession.sparkContext.broadcast((background, target))  # 2 x SIZE floats
     documents = documents.drop("n_words", "background_bits", "target_bits", "lm_score")
-    schema = added(documents, n_words="long", background_bits="double", target_bits="double", lm_score="double")
-    names = schema.fieldNames()
-
-    def run(batches):
-        both = [Counts.flat(x) for x in model.value]
-        for batch in batches:
-            texts = texts_of(batch)
-            n = np.zeros(len(texts), np.int64)
-            bits = np.zeros((2, len(texts)))
-            for a, b in text_slices(texts):
-                w, before, pair, at = events(texts[a:b])
-                n[a:b] = np.diff(at)
-                for k in (0, 1):
-                    bits[k, a:b] = chars.segment_sums(both[k].log_loss(w, before, pair), at) / np.maximum(1, n[a:b])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(bits[0]), pa.array(bits[1]), pa.array(bits[1] - bits[0])], names=names)
-
-    return documents.mapInArrow(run, schema)
+    numbered = stored(documents.withColumn("text_key", F.monotonically_increasing_id()), "numbered")
+    bits = pair_bits(background, target)
+    asks = numbered.select("text_key", "text").mapInArrow(_asked, "text_key long, before long, word long, n long")
+    found = _met(asks, bits.drop("rows"), ["before", "word"], bits.select("before", "word", F.col("rows").alias("n")), F.xxhash64("text_key"))
+    known = lambda c: F.coalesce(c, F.raise_error(F.lit("a pair that the background model hasn't counted")).cast("double"))
+    sums = found.groupBy("text_key").agg(F.sum("n").alias("n_words"), *[F.sum(F.col("n") * known(c)).alias(c) for c in ("background_bits", "target_bits")])
+    mean = {c: F.coalesce(F.col(c) / F.col("n_words"), F.lit(0.0)) for c in ("background_bits", "target_bits")}
+    out = numbered.join(sums, "text_key", "left").select(*documents.columns, F.coalesce("n_words", F.lit(0)).alias("n_words"), *[v.alias(c) for c, v in mean.items()])
+    return out.withColumn("lm_score", F.col("target_bits") - F.col("background_bits"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
