@@ -262,6 +262,40 @@ def test_vector_links(spark):
     assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in range(400, 405))
 
 
+def test_vector_links_of_correlated_vectors():
+    """Pairs at cosine 0.951 that differ along few directions or coordinates: all are visited, from the smaller cell alone."""
+    rng = np.random.default_rng(5)
+    scale = 1 / np.sqrt(np.arange(1, 65))
+    unit = lambda a: a / np.linalg.norm(a, axis=1)[:, None]
+    x = unit(rng.normal(size=(4000, 64)) * scale)
+    index = vectors.MultiIndex(x, 0.95)
+    two = np.zeros_like(x)
+    np.put_along_axis(two, rng.random(x.shape).argsort(1)[:, :2], rng.normal(size=(4000, 2)), 1)
+    for aside in (rng.normal(size=x.shape), rng.normal(size=x.shape) * scale, rng.normal(size=x.shape) * (np.arange(64) < 8), two):
+        aside = unit(aside - (aside * x).sum(1)[:, None] * x)
+        y = 0.951 * x + np.sqrt(1 - 0.951**2) * aside
+        (a, fa, ba), (b, fb, bb) = index.visits(x), index.visits(y)
+        for i in range(len(x)):
+            to, firsts, bits = (b[i], fa[i], ba[i]) if a[i] <= b[i] else (a[i], fb[i], bb[i])
+            at = np.flatnonzero(firsts == to // vectors.CODEWORDS)
+            assert len(at) == 1 and int(bits[at[0]]) >> int(to % vectors.CODEWORDS) & 1
+
+
+def test_vector_links_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64)) / np.sqrt(np.arange(1, 65))
+    x[1500:] = x[:1500]
+    for i in range(1500, 3000):
+        k = rng.integers(0, 64, 2)
+        x[i, k] += rng.normal(size=2) * np.linalg.norm(x[i]) * 0.22
+    x = x.astype(np.float32)
+    out = {r["vec_id"]: r["n_links"] for r in vectors.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = (u @ u.T >= 0.95) & ~np.eye(3000, dtype=bool)
+    assert near.sum() > 500 and [out[i] for i in range(3000)] == near.sum(1).tolist()
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]

@@ -16,8 +16,8 @@ PIVOTS, POSTED = 64, 16
 FIT_QUERIES, FIT_RECALL = 128, 0.985
 #: Rows and queries in one block of a posting list.
 BLOCK, QUERY_BLOCK = 8192, 512
-#: Multi-index: codewords of each half, vectors that fit them, share of pairs at the threshold that traversal must reach.
-CODEWORDS, FIT_VECTORS, REACH = 64, 8192, 0.9999
+#: Multi-index: codewords of each half (64 at most: a set of them is the bits of a long), vectors that fit them.
+CODEWORDS, FIT_VECTORS = 64, 8192
 
 
 def dimension(vectors: DataFrame, column: str = "embedding") -> int:
@@ -198,8 +198,8 @@ class MultiIndex:
     """Codebooks of both halves of unit vectors, and how far traversal of their product grid goes.
 
     A cell's cost for a vector is the sum over halves of the squared distance to the border between the vector's own codeword
-    and the cell's: nothing in the cell can be nearer. Cells are visited by rising cost up to `reach`, within which REACH of
-    the neighbours lie that were drawn at the similarity threshold around the fitted vectors.
+    and the cell's: nothing in the cell can be nearer. Cells are visited up to a cost of `reach`, the squared distance of unit
+    vectors at the similarity threshold, so no pair is missed, however its vectors differ.
     """
 
     def __init__(self, sample: np.ndarray, least: float, seed: int = 1):
@@ -207,13 +207,7 @@ class MultiIndex:
         self.cut = max(1, sample.shape[1] // 2)
         n = int(np.clip(len(sample) // 16, 1, CODEWORDS))
         self.codewords = [self._fit(h, n, rng) for h in self._halves(sample)]
-        aside = rng.normal(size=sample.shape)
-        aside -= (aside * sample).sum(1)[:, None] * sample
-        aside /= np.maximum(np.sqrt((aside * aside).sum(1)), 1e-12)[:, None]
-        near = least * sample + np.sqrt(1 - least**2) * aside
-        costs, cells = self._costs(sample), [c.argmin(1) for c in self._distances(near)]
-        rows = np.arange(len(sample))
-        self.reach = float(np.quantile(sum(c[rows, k] for c, k in zip(costs, cells, strict=True)), REACH)) + 1e-9
+        self.reach = 2 * (1 - least) + 1e-9
 
     def _halves(self, x: np.ndarray) -> list[np.ndarray]:
         return [x[:, : self.cut], x[:, self.cut :]] if x.shape[1] > 1 else [x, np.zeros((len(x), 1))]
@@ -240,37 +234,33 @@ class MultiIndex:
             out.append((np.maximum(d - d.min(1)[:, None], 0) / (2 * apart)) ** 2)
         return out
 
-    def visits(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each vector's own cell, and the cells that it visits, cheapest first, of its own number or above.
-
-        A pair in two cells is met from the one of the smaller number."""
-        n = len(self.codewords[1])
-        own, seen = np.empty(len(x), np.int64), []
-        for a in range(0, len(x), 1024):
-            one, two = self._costs(x[a : a + 1024])
-            o1, o2 = one.argmin(1), two.argmin(1)
-            own[a : a + 1024] = o1 * n + o2
-            first, second = np.argsort(one, 1), np.argsort(two, 1)
-            for i in range(len(one)):
-                seen.append(self._traverse(one[i], two[i], first[i], second[i], n, o1[i] * n + o2[i]))
-        return own, seen
-
-    def _traverse(self, one, two, first, second, n: int, own: int) -> np.ndarray:
-        """Multi-sequence traversal: of both sorted lists only prefixes whose sums stay within reach are combined."""
-        a = first[: np.searchsorted(one[first], self.reach, "right")]
-        b = second[: np.searchsorted(two[second], self.reach, "right")]
-        total = one[a][:, None] + two[b][None]
-        cells = (a[:, None] * n + b[None])[total <= self.reach]
-        order = np.argsort(total[total <= self.reach], kind="stable")
-        return (cells := cells[order])[cells >= own]
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Each vector's own cell (first codeword * CODEWORDS + second), and the cells that it visits, of its own number or
+        above: for each first codeword the second ones as bits.
+
+        A pair in two cells is met from the one of the smaller number. Within reach are pairs from either side."""
+        own, firsts, bits = np.empty(len(x), np.int64), [], []
+        grid = np.arange(len(self.codewords[0]))[:, None] * CODEWORDS + np.arange(len(self.codewords[1]))[None]
+        for a in range(0, len(x), 256):
+            one, two = self._costs(x[a : a + 256])
+            own[a : a + 256] = one.argmin(1) * CODEWORDS + two.argmin(1)
+            seen = np.zeros((len(one), len(grid), 64), bool)
+            seen[:, :, : grid.shape[1]] = (one[:, :, None] + two[:, None] <= self.reach) & (grid[None] >= own[a : a + 256, None, None])
+            packed = np.packbits(seen, axis=2, bitorder="little").view("<i8")[:, :, 0]
+            for row in packed:
+                at = np.flatnonzero(row)
+                firsts.append(at)
+                bits.append(row[at])
+        return own, firsts, bits
 
 
 def link(vectors: DataFrame, least: float = 0.95, column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row, for links of cosine >= least between different rows.
 
     Equal vectors are first put together, and count as often as they are there. Each of the others is posted in its cell of
-    the product grid and compared, in double precision, with what visits that cell. Blocks of a cell return each vector's
-    number of links and the smallest id that it reaches within the block, never pairs.
+    the product grid and compared, in double precision, with what visits that cell; a visitor goes once to all cells of a first
+    codeword. Blocks of those return each vector's number of links and the smallest id that it reaches within the block, never
+    pairs.
     Null, zero and non-finite vectors, and vectors of another length than most, have no links; so have rows without vec_id.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).alias("embedding"))
@@ -287,30 +277,38 @@ def link(vectors: DataFrame, least: float = 0.95, column: str = "embedding") ->
     def place(batches):
         for batch in batches:
             if batch.num_rows:
-                own, seen = index.value.visits(_unit(_matrix(batch)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(seen, pa.list_(pa.int64()))], names=["vec_id", "weight", "embedding", "own", "cells"])
+                own, firsts, bits = index.value.visits(_unit(_matrix(batch)))
+                cells = pa.array([[{"cell": c, "bits": b} for c, b in zip(f.tolist(), m.tolist(), strict=True)] for f, m in zip(firsts, bits, strict=True)], visited)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), cells], names=["vec_id", "weight", "embedding", "own", "cells"])
 
+    visited = pa.list_(pa.struct([("cell", pa.int64()), ("bits", pa.int64())]))
     kind = dict(same.dtypes)["embedding"]
     placed = stored(
-        same.select(F.col("rep").alias("vec_id"), "weight", "embedding").mapInArrow(place, f"vec_id long, weight long, embedding {kind}, own long, cells array<long>"), "cells"
+        same.select(F.col("rep").alias("vec_id"), "weight", "embedding").mapInArrow(
+            place, f"vec_id long, weight long, embedding {kind}, own long, cells array<struct<cell: long, bits: long>>"
+        ),
+        "cells",
     )
-    posts = placed.select("vec_id", "weight", "embedding", F.col("own").alias("cell"), F.lit(False).alias("role"), F.lit(False).alias("home"))
-    asks = placed.select("vec_id", "weight", "embedding", "own", F.explode("cells").alias("cell"))
-    asks = asks.select("vec_id", "weight", "embedding", "cell", F.lit(True).alias("role"), (F.col("own") == F.col("cell")).alias("home"))
+    posts = placed.select("vec_id", "weight", "embedding", "own", F.floor(F.col("own") / CODEWORDS).alias("cell"), F.lit(0).cast("long").alias("bits"), F.lit(False).alias("role"))
+    asks = placed.select("vec_id", "weight", "embedding", "own", F.explode("cells").alias("c"))
+    asks = asks.select("vec_id", "weight", "embedding", "own", "c.cell", "c.bits", F.lit(True).alias("role"))
 
     def compare(table: pa.Table) -> pa.Table:
         role = table.column("is_query").to_numpy(zero_copy_only=False)
-        home = table.column("home").to_numpy(zero_copy_only=False)
+        cell, bits = table.column("own").to_numpy(), table.column("bits").to_numpy().view(np.uint64)
         ids, weight, x = table.column("vec_id").to_numpy(), table.column("weight").to_numpy(), _unit(_matrix(table))
         rows = np.flatnonzero(~role)
         found_q, found_r = [], []
-        for a in range(0, int(role.sum()) if len(rows) else 0, 1024):
-            asks = np.flatnonzero(role)[a : a + 1024]
-            near = x[asks] @ x[rows].T >= least - 1e-12
-            near &= ids[asks][:, None] != ids[rows][None]
-            q, r = np.nonzero(near)
-            found_q.append(asks[q])
-            found_r.append(rows[r])
+        for second in np.unique(cell[rows] % CODEWORDS).tolist():
+            posts = rows[cell[rows] % CODEWORDS == second]
+            every = np.flatnonzero(role & ((bits >> np.uint64(second)) & np.uint64(1) == 1))
+            for a in range(0, len(every), 1024):
+                asks = every[a : a + 1024]
+                near = x[asks] @ x[posts].T >= least - 1e-12
+                near &= ids[asks][:, None] != ids[posts][None]
+                q, r = np.nonzero(near)
+                found_q.append(asks[q])
+                found_r.append(posts[r])
         q = np.concatenate(found_q) if found_q else np.empty(0, np.int64)
         r = np.concatenate(found_r) if found_r else np.empty(0, np.int64)
         if len(q):
@@ -318,7 +316,7 @@ def link(vectors: DataFrame, least: float = 0.95, column: str = "embedding") ->
             q, r = q[exact], r[exact]
         count = np.zeros(len(ids), np.int64)
         np.add.at(count, q, weight[r])
-        away = ~home[q]  # a pair of one cell is met from both sides
+        away = cell[q] != cell[r]  # a pair of one cell is met from both sides
         np.add.at(count, r[away], weight[q[away]])
         nodes, root = local_roots(ids[q], ids[r])
         own = np.flatnonzero(count)
