@@ -335,6 +335,26 @@ def test_near_copies_match_brute_force(spark):
     assert got == {i: (roots.get(i, i), n[i]) for i in range(len(texts))}
 
 
+def test_near_copies_in_a_large_group(spark):
+    """A group whose buckets go through all rounds: of more than a million links near the threshold hardly any is missed."""
+    rng = random.Random(7)
+    hub, n = [f"h{i}" for i in range(300)], 1500
+    texts, kept = [], np.ones((n, 296), np.float32)
+    for i in range(n):
+        own = list(hub)
+        for k in rng.sample(range(5, 295), 3):
+            own[k] = f"x{i}_{k}"
+            kept[i, max(0, k - 4) : k + 1] = 0
+        texts.append(" ".join(own))
+    common = kept @ kept.T
+    near = (common / (2 * 296 - common) >= 0.8 - 1e-9) & ~np.eye(n, dtype=bool)
+    out = {r["doc_id"]: r for r in near_copies.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = np.array([out[i]["n_links"] for i in range(n)])
+    assert near.sum() > 1_000_000 and (got <= near.sum(1)).all() and {r["class_id"] for r in out.values()} == {0}
+    assert near.sum() - got.sum() <= 1e-4 * near.sum()
+    assert near_copies.missed(near_copies.RUNS, near_copies.ALIKE) <= 1e-4 < near_copies.missed(14, 39)
+
+
 def test_near_copies_of_repeats_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words stand in this one"), (None, "a b c d e f"), (2, None)], "doc_id long, text string")
     rows = near_copies.classes(df).collect()

@@ -7,6 +7,8 @@ sets part unless they agree. Buckets of LEAF sets or fewer, and all that are lef
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +22,34 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Min-wise coordinates of a set.
 HASHES = 64
-#: Runs: a pair at the threshold stays together for a run with probability 0.63, 0.47 or 0.37 after 1, 2 or 3 rounds.
-RUNS = 14
 LEAF, DEPTH = 64, 3
-#: Estimates from HASHES coordinates below the threshold by less than this are checked exactly (4 standard errors).
-SLACK = 0.2
+#: Share of pairs at the threshold that may be missed, also in buckets that go through all rounds.
+MISSED = 1e-4
+
+
+def _shares() -> list[float]:
+    """How likely a pair at the threshold agrees in 0, 1, .. HASHES coordinates."""
+    return [math.comb(HASHES, m) * THRESHOLD**m * (1 - THRESHOLD) ** (HASHES - m) for m in range(HASHES + 1)]
+
+
+def missed(runs: int, alike: int) -> float:
+    """Share of pairs at the threshold that agree in fewer than `alike` coordinates or part in every one of the runs.
+
+    A node's children in which a pair stays together are its chosen coordinates among those that agree, so a run is a
+    branching process, and the runs are independent given the number of coordinates that agree.
+    """
+    out, chosen = 0.0, 1 / (THRESHOLD * HASHES)
+    for m, share in enumerate(_shares()):
+        parted = 0.0
+        for _ in range(DEPTH):
+            parted = (1 - chosen + chosen * parted) ** m
+        out += share * (parted**runs if m >= alike else 1)
+    return out
+
+
+#: Pairs that agree in so many of the HASHES coordinates are checked exactly: of those at the threshold all but MISSED / 4.
+ALIKE = next(m for m in range(HASHES + 1) if sum(_shares()[: m + 1]) > MISSED / 4)
+RUNS = next(n for n in range(1, 1000) if missed(n, ALIKE) <= MISSED)
 #: Sets, and shingles, in one part of a bucket (about).
 PART_SETS, PART_SHINGLES = 1024, 1 << 20
 
@@ -179,7 +204,7 @@ def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     own = table.column("own").to_numpy()
     sk = _sketch(table)
     if len(sizes) <= 16 and one == two:  # most buckets: first see whether any sets are alike
-        alike = (sk[:, None] == sk[None]).sum(2) >= (THRESHOLD - SLACK) * HASHES
+        alike = (sk[:, None] == sk[None]).sum(2) >= ALIKE
         if alike.sum() == len(sizes):
             return np.empty(0, np.int32), np.empty(0, np.int32)
     left = np.flatnonzero(own == one)
@@ -196,7 +221,7 @@ def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         same = np.zeros(open_.shape, np.uint8)
         for k in range(HASHES):
             same += sk[rows, k][:, None] == sk[right, k][None]
-        i, j = np.nonzero(open_ & (same >= (THRESHOLD - SLACK) * HASHES))
+        i, j = np.nonzero(open_ & (same >= ALIKE))
         pairs.append(np.array([rows[i], right[j]], np.int32))
     a, b = np.concatenate(pairs, axis=1)
     return a, b
