@@ -10,6 +10,7 @@ from tests.conftest import SF
 from tidemark.operators import asof, bars, book, derived, ledger, stats
 from tidemark.operators.indicators import Indicators
 from tidemark.operators.windows import affine
+from tidemark.plans import registry
 from tidemark.sources import views
 from tidemark.sources.catalog import Catalog, OverlapError, merged_intervals, missing_intervals
 
@@ -213,3 +214,32 @@ def test_time_buckets_change_no_join(spark, bucket):
         assert want and text(asof.align_latest(legs, "value", by, bucket=bucket)) == want
     assert asof.asof_join(left.limit(0), right, bucket=bucket).count() == 0
     assert asof.asof_join(left, right.limit(0), bucket=bucket).where("r_seq is not null").count() == 0
+
+
+def test_unrealized_result_of_all_open_positions(spark):
+    """Against a plain loop over the fills: also positions built, reduced and turned by several fills."""
+    f = views.fills(spark, SF).select("account_id", "instrument_id", "order_side", "last_qty", "last_px", "ts_event", "seq").collect()
+    state, mark, several = {}, {}, 0
+    for r in sorted(f, key=lambda r: (r["ts_event"], r["seq"])):
+        key = (r["account_id"], r["instrument_id"])
+        qty, cost, n = state.get(key, (0.0, 0.0, 0))
+        q = r["last_qty"] if r["order_side"] == "BUY" else -r["last_qty"]
+        after = round(qty + q, 9)
+        if qty * q >= 0:
+            cost, n = cost + q * r["last_px"], n + 1
+        elif after * qty > 0:
+            cost, n = cost * after / qty, n + 1
+        else:
+            cost, n = after * r["last_px"], 1
+        state[key] = (after, cost, n)
+        mark[r["instrument_id"]] = r["last_px"]
+    want = {}
+    for key, (qty, cost, n) in state.items():
+        if qty:
+            px, m = cost / qty, mark[key[1]]
+            want[key] = ((m - px) * qty, qty * (1 / px - 1 / m))
+            several += n > 1
+    got = {(r["account_id"], r["instrument_id"]): (r["unrealized"], r["unrealized_inverse"]) for r in registry.QUERIES["unrealized_pnl"](spark, SF).collect()}
+    assert several and set(got) == set(want)
+    for key, pair in want.items():
+        assert all(abs(a - b) <= 1e-5 * max(1, abs(b)) for a, b in zip(got[key], pair, strict=True)), key

@@ -65,7 +65,14 @@ def marks(spark, d):
     return fills(spark, d).groupBy("instrument_id").agg(F.max_by("last_px", F.struct("ts_event", "seq")).alias("mark"))
 
 
-Q["unrealized_pnl"] = lambda spark, d: rounded(positions(spark, d).where("signed_qty <> 0 and fills = 1").join(marks(spark, d), "instrument_id").select(*BY, ledger.pnl(F.col("avg_px_open"), F.col("mark"), F.col("signed_qty"), F.lit(1.0), F.lit(False)).alias("unrealized"), ledger.pnl(F.col("avg_px_open"), F.col("mark"), F.col("signed_qty"), F.lit(1.0), F.lit(True)).alias("unrealized_inverse")))
+def unrealized(rows, marks_):
+    """Result at the mark of every open position: the open quantity at what it cost on average, from the last row of its fills."""
+    open_ = rows.groupBy(*BY).agg(F.max_by(F.struct("after", "avg_px_open"), F.struct("ts_event", "seq", "part")).alias("p")).select(*BY, "p.*").where("after <> 0")
+    of = lambda inverse: ledger.pnl(F.col("avg_px_open"), F.col("mark"), F.col("after"), F.lit(1.0), F.lit(inverse))
+    return open_.join(marks_, "instrument_id").select(*BY, of(False).alias("unrealized"), of(True).alias("unrealized_inverse"))
+
+
+Q["unrealized_pnl"] = lambda spark, d: rounded(unrealized(ledger.cost_basis(fills(spark, d), BY), marks(spark, d)))
 Q["realized_pnl_kinds"] = lambda spark, d: rounded(positions(spark, d).where("signed_qty = 0").select(*BY, "cycle", ledger.pnl(F.col("avg_px_open"), F.col("avg_px_close"), F.when(F.col("entry") == "LONG", F.col("peak_qty")).otherwise(-F.col("peak_qty")), F.lit(2.0), F.lit(False)).alias("standard"), ledger.pnl(F.col("avg_px_open"), F.col("avg_px_close"), F.when(F.col("entry") == "LONG", F.col("peak_qty")).otherwise(-F.col("peak_qty")), F.lit(2.0), F.lit(True)).alias("inverse")))
 S["realized_pnl_kinds"] = sql(f"select account_id, instrument_id, cycle, round((avg_px_close - avg_px_open) * q * 2, 6) as standard, round(q * 2 * (1 / avg_px_open - 1 / avg_px_close), 6) as inverse from (select *, case when entry = 'LONG' then peak_qty else -peak_qty end as q from ({_POS}) where signed_qty = 0)", "fills", c=_CYCLES)
 Q["notional_value"] = lambda spark, d: rounded(fills(spark, d).select("seq", ledger.notional(F.col("last_qty"), F.col("last_px"), F.lit(10.0), F.col("seq") % 2 == 0).alias("notional")))
