@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.operators import bars, book
+from tidemark.plans import streams as plans
 from tidemark.plans.streams import run
 from tidemark.sources import views
 from tidemark.streaming import streams
@@ -45,3 +46,12 @@ def test_late_rows_go_aside(spark, tmp_path):
         assert ids("out") == [1, 3, 5] and ids("late") == [2, 4]
         for f in (tmp_path / "state" / "commits").glob("*2*"):
             f.unlink()
+
+
+def test_rows_of_any_time_are_streamed(spark):
+    """Rows before and after the months of the test tables and without a time; the parts are in order of time."""
+    rows = [("A", 1.0, 1.0, "BUYER", ts, k) for k, ts in enumerate(["2031-05-01 00:00:00", "1999-01-01 00:00:00", "2024-01-15 00:00:00", None, "2024-02-01 00:00:00", "2023-12-31 23:59:59"])]
+    df = spark.createDataFrame(rows, "instrument_id string, price double, size double, aggressor_side string, ts string, seq long").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted(r["seq"] for r in plans.replay(spark, df, lambda s: s).collect()) == [0, 1, 2, 3, 4, 5]
+    bars_ = plans.replay(spark, df, lambda s: streams.time_bars(s, "1 hour", "10 minutes")).select("start").collect()
+    assert len(bars_) == 5 and plans.replay(spark, df.limit(0), lambda s: s).count() == 0

@@ -14,23 +14,39 @@ Q: dict = {}
 S: dict = {}
 
 
-#: Where the month is cut: parts are written one after the other, since a file stream goes by the files' times.
-CUTS = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01")
+#: Parts that the input is cut into by time.
+PARTS = 3
+#: How long after the last row the end comes: longer than any window and delay.
+END = "365 days"
 
 
 def run(spark, d, make, mode: str = "append"):
-    """The trades, cut by time into files and read as a stream; the last file only moves the watermark past all others."""
-    folder = scratch(spark)
+    """The trades as a stream, as replay() gives them."""
     t = views.trades(spark, d).withColumn("ts", F.timestamp_micros(F.call_function("div", F.col("ts_event"), F.lit(1000)))).drop("ts_event")
-    t = t.select("instrument_id", "price", "size", "aggressor_side", "ts", "seq")
-    for a, b in zip(CUTS, CUTS[1:], strict=False):
-        part = t.where((F.col("ts") >= F.lit(a).cast("timestamp")) & (F.col("ts") < F.lit(b).cast("timestamp")))
-        part.coalesce(1).sortWithinPartitions("ts", "seq").write.mode("append").parquet(f"{folder}/in")
-    end = t.limit(1).select(F.lit("~end").alias("instrument_id"), F.lit(0.0).alias("price"), F.lit(0.0).alias("size"), F.lit("").alias("aggressor_side"), F.lit("2030-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("seq"))
-    end.write.mode("append").parquet(f"{folder}/in")
-    out = make(streams.read_files(spark, f"{folder}/in", files_per_trigger=1))
-    q = out.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    return replay(spark, t.select("instrument_id", "price", "size", "aggressor_side", "ts", "seq"), make, mode)
+
+
+def replay(spark, t, make, mode: str = "append"):
+    """t, cut by time and read as a stream, a part a trigger; a last row only moves the watermark past all others.
+
+    The cuts divide the span of ts evenly, and the first and the last part are open, so every row is in one part; rows without
+    ts come with the first. Each part is several files by ranges of ts; the stream reads them all before the next is written.
+    """
+    folder = scratch(spark)
+    us = F.unix_micros("ts")
+    lo, hi = t.agg(F.min(us), F.max(us)).first()
+    lo, hi = (0, 0) if lo is None else (lo, hi)
+    number = F.lit(0)
+    for k in range(1, PARTS):
+        number = F.when(us >= lo + (hi - lo) * k // PARTS, k).otherwise(number)
+    parts = [t.where(number == k).repartitionByRange("ts").sortWithinPartitions("ts", "seq") for k in range(PARTS)]
+    ts = F.timestamp_micros(F.lit(hi).cast("long")) + F.expr(f"interval {END}")
+    end = spark.range(1).coalesce(1).select(F.lit("~end").alias("instrument_id"), F.lit(0.0).alias("price"), F.lit(0.0).alias("size"), F.lit("").alias("aggressor_side"), ts.alias("ts"), F.lit(-1).cast("long").alias("seq"))
+    for part in [*parts, end]:
+        part.write.mode("append").parquet(f"{folder}/in")
+        out = make(streams.read_files(spark, f"{folder}/in", files_per_trigger=(1 << 31) - 1))
+        q = out.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out").where("instrument_id <> '~end'")
 
 
