@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -119,10 +120,69 @@ def test_bpe_matches_the_library(library):
     for i, ids in bpe.Encoder(m.word, m.split, m.special).stream(texts):
         got[i] += ids.tolist()
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    word = "".join(rng.choice("thsineraod") for _ in range(3000)).encode()
+    word = "".join(rng.choice("thsineraod") for _ in range(40_000)).encode()
     assert list(m.transduce([word[k : k + 5] for k in range(0, len(word), 5)])) == library.encode(word.decode(), add_special_tokens=False).ids
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word
+
+
+def test_words_of_equal_polynomial_hashes_stay_apart(spark, library):
+    """A Thue-Morse word and its complement share their hash under every odd base modulo 2**64."""
+    one = thue_morse(1024)
+    two = one.translate({97: 98, 98: 97})
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string").coalesce(1)
+    for r in bpe.transcode(docs, TOKENIZER).collect():
+        ids = library.encode(r["text"], add_special_tokens=False).ids
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    for r in packing.pieces(docs, TOKENIZER).collect():
+        ids = [*library.encode(one if r["doc_id"] == 1 else two, add_special_tokens=False).ids, 1]
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert {r["n_links"] for r in near_copies.classes(docs).collect()} == {0}
+    h, _ = chars.token_hashes([one, two], chars.spaces_only())
+    assert h[0] != h[1]
+
+
+def test_windows_of_any_text(library, monkeypatch):
+    """Texts cut every few characters, also within words: the same ids as in one go."""
+    monkeypatch.setattr(bpe, "WINDOW", 40)
+    monkeypatch.setattr(bpe, "HELD", 64)
+    m = bpe.model(TOKENIZER)
+    rng = random.Random(8)
+    kinds = ["thsineraod", "!?'-_", "0123", "éß日本\u0301Åﬁ", "the's 'll "]
+    texts = ["".join(rng.choice(rng.choice(kinds[:k])) for _ in range(rng.randrange(900))) for k in (1, 2, 3, 4, 5) for _ in range(12)]
+    texts += ["".join(rng.choice("thsin") for _ in range(5000)), "日本語" * 400, "!" * 700 + "'s" * 90, "a\x1c!\x1c!" * 100, "e\u0301" * 500, "\u0301" * 300]
+    got = [[] for _ in texts]
+    for i, ids in bpe.Encoder(m.word, m.split, m.special, lambda: bpe.Transducer(m)).stream(texts):
+        got[i] += ids.tolist()
+    for t, own in zip(texts, got, strict=True):
+        assert own == library.encode(t, add_special_tokens=False).ids, t[:80]
+
+
+def test_memory_does_not_grow_with_a_word(library, monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(bpe, "WINDOW", 1 << 13)
+    monkeypatch.setattr(bpe, "HELD", 1 << 11)
+
+    m = bpe.model(TOKENIZER)
+    bpe.word_spans(*chars.code_points(["a"]))  # tables
+    rng = random.Random(9)
+    text = "".join(rng.choices("thsineraod", k=1 << 18))
+    peaks = []
+    for size in (1 << 16, 1 << 18):
+        tracemalloc.start()
+        n = sum(len(ids) for _, ids in bpe.Encoder(m.word, m.split, m.special, lambda: bpe.Transducer(m)).stream([text[:size]]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n > size / 6
+    assert peaks[1] < 1.2 * peaks[0]
+
+
 def test_bpe_query_round_trip(spark, odd, library):
     for r in bpe.transcode(odd.withColumn("n_tokens", F.lit("own")), TOKENIZER).collect():
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids

@@ -8,6 +8,7 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -22,10 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import chars
 from tidemark.llm.common import added
 
-#: Words whose ids one Python worker remembers; beyond that it starts anew.
-REMEMBERED = 1 << 20
-#: Characters that are encoded at once; a longer text goes through in parts that end after white space.
+#: Words, and their characters, whose ids one task remembers; beyond that it starts anew.
+REMEMBERED, REMEMBERED_CHARACTERS = 1 << 19, 1 << 23
+#: Longer words are encoded anew each time.
+REMEMBERED_LENGTH = 256
+#: Characters that are encoded at once; a longer text goes through in parts.
 WINDOW = 1 << 20
+#: Bytes of a word that the transducer holds, besides its lookahead.
+HELD = 1 << 13
 
 _NONE = 1 << 62
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -59,6 +64,7 @@ class Model:
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.token_bytes = self._table()
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.width = {i: len(s.removesuffix(self.suffix)) if self.suffix else len(s) for i, s in self.names.items()}  # bytes
         self.lookahead, self.longest = self._lookahead()
 
     def _table(self) -> list[bytes]:
@@ -94,6 +100,8 @@ class Model:
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of a row of symbols, lowest rank first, leftmost among equals."""
         get, none = self.fast.get, _NONE
+        if len(ids) > 100:
+            return self._merge_many(ids)
         ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks:
             best = min(ranks)
@@ -108,36 +116,66 @@ class Model:
                 ranks[k - 1] = get(ids[k - 1] << 20 | new, none)
         return ids
 
-    def transduce(self, stream: Iterable[bytes]) -> Iterator[int]:
-        """Ids of one word whose bytes come in parts. Holds a few lookaheads of bytes, however long the word is.
+    def _merge_many(self, ids: list[int]) -> list[int]:
+        """merge() with a heap of (rank, place) and a linked list: n log n."""
+        get, n = self.fast.get, len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, k) for k in range(n - 1) if (r := get(ids[k] << 20 | ids[k + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            j = after[k]
+            if ids[k] < 0 or j < 0 or get(ids[k] << 20 | ids[j]) != r:
+                continue  # one of the two has merged since
+            ids[k], ids[j] = r & 0xFFFFF, -1
+            after[k] = i = after[j]
+            if i >= 0:
+                before[i] = k
+                if (x := get(ids[k] << 20 | ids[i])) is not None:
+                    heapq.heappush(heap, (x, k))
+            if (i := before[k]) >= 0 and (x := get(ids[i] << 20 | ids[k])) is not None:
+                heapq.heappush(heap, (x, i))
+        return [x for x in ids if x >= 0]
 
-        A token leaves once `lookahead` more bytes stand after it: nothing that follows can change it then.
-        """
-        kept = bytearray()
-        room = 2 * (self.lookahead + self.longest)
+    def transduce(self, stream: Iterable[bytes]) -> Iterator[int]:
+        """Ids of one word whose bytes come in parts."""
+        machine = Transducer(self)
         for more in stream:
-            for k in range(0, len(more), room):
-                kept += more[k : k + room]
-                while len(kept) >= room:
-                    done = 0
-                    for i in self.merge([self.inner[b] for b in kept[: 2 * room]]):
-                        size = len(self.names[i].removesuffix(self.suffix)) if self.suffix else len(self.names[i])
-                        if done + size + self.lookahead > min(len(kept), 2 * room):
-                            break
-                        yield i
-                        done += size
-                    del kept[:done]
-                    if not done:
-                        break
-        if kept:
-            yield from self.merge([*(self.inner[b] for b in kept[:-1]), self.last[kept[-1]]])
+            yield from machine.feed(more)
+        yield from machine.end()
 
     def word(self, word: str) -> list[int]:
         """Ids of one word."""
-        data = word.encode("utf-8", "replace")
-        if len(data) <= 2 * (self.lookahead + self.longest):
-            return self.merge([*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]])
-        return list(self.transduce([data]))
+        machine = Transducer(self)
+        return machine.feed(word.encode("utf-8", "replace")) + machine.end()
+
+
+class Transducer:
+    """Bytes of one word in, ids out. A token leaves once `lookahead` more bytes stand after it: nothing that follows can
+    change it then. Holds HELD bytes and the lookahead, however long the word is."""
+
+    def __init__(self, m: Model):
+        self.m, self.kept = m, bytearray()
+        self.room = HELD + 2 * (m.lookahead + m.longest)
+
+    def feed(self, more: bytes) -> list[int]:
+        m, out = self.m, []
+        for k in range(0, len(more), HELD):
+            self.kept += more[k : k + HELD]
+            while len(self.kept) > self.room:
+                done = 0
+                for i in m.merge([m.inner[b] for b in self.kept]):
+                    if done + m.width[i] + m.lookahead > len(self.kept):
+                        break
+                    out.append(i)
+                    done += m.width[i]
+                del self.kept[:done]
+        return out
+
+    def end(self) -> list[int]:
+        m, kept = self.m, self.kept
+        self.kept = bytearray()
+        return m.merge([*map(m.inner.__getitem__, kept[:-1]), m.last[kept[-1]]]) if kept else []
 
 
 @functools.cache
@@ -155,6 +193,11 @@ def normal(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
+def folded(text: str) -> str:
+    """text with letters that Python can't fold yet folded by the library."""
+    return _library()[1].normalize_str(text) if chars.recent()[chars.code_points([text])[0]].any() else text
+
+
 @functools.cache
 def _library():
     """The library's own tables, for the few texts that Python's may treat otherwise."""
@@ -183,20 +226,48 @@ def word_spans(c: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.delete(start, drop), np.delete(end, drop)) if drop else (start, end)
 
 
+def safe_cut(x: str, at: int, stop: int) -> tuple[int, bool]:
+    """Where to cut a text from `at` on, and whether the cut parts one word.
+
+    After white space, else before a number, or marks that follow something else; neither side's words or characters change.
+    Where there is none up to `stop`, within a run of letters or of marks, between two characters that don't combine.
+    """
+    if m := _space.search(x, at, stop):
+        return m.end(), False
+    for m in _border.finditer(x, at, stop):
+        return m.start() + 1, False
+    table = chars.classes()
+    for k in range(at, min(stop, len(x))):
+        a, b = x[k - 1], x[k]
+        if "'" in x[max(0, k - 3) : k + 1]:
+            continue  # contractions
+        if not unicodedata.combining(b) and not 0x1100 <= ord(b) < 0x1200 and (b.isascii() or unicodedata.normalize("NFC", a + b) == unicodedata.normalize("NFC", a) + unicodedata.normalize("NFC", b)):
+            if table[ord(a)] == table[ord(b)] != 2:
+                return k, True
+            if table[ord(b)] == 3:  # marks after a letter or number
+                return k, False
+    return len(x), False  # combining marks alone
+
+
+_space = re.compile("[" + "".join(f"\\u{k:04x}" for k in chars.SPACES) + "]")
+_border = re.compile(r"[\x21-\x7e](?=[0-9])|[A-Za-z0-9](?=[!-/:-@\[-`{-~])")
+
+
 class Encoder:
-    """Encodes many texts at once; each distinct word is encoded by `word` once and remembered by its hash."""
+    """Encodes many texts at once; each distinct word is encoded by `word` once and remembered."""
 
-    def __init__(self, word: Callable[[str], list[int]], split: re.Pattern | None = None, special: dict[str, int] | None = None):
-        self.word, self.split, self.special = word, split, special or {}
+    def __init__(self, word: Callable[[str], list[int]], split: re.Pattern | None = None, special: dict[str, int] | None = None, transducer: Callable[[], Transducer] | None = None):
+        self.word, self.split, self.special, self.transducer = word, split, special or {}, transducer
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.flat, self.used, self.characters = np.zeros(1 << 14, np.uint32), 0, 0
+        self.count = 0
 
-    def _add(self, h: int, ids: list[int]) -> int:
-        k = len(self.known)
+    def _add(self, word: str) -> int:
+        ids, k = self.word(word), self.count
         if k == len(self.size):
             self.begin, self.size = np.resize(self.begin, 2 * k), np.resize(self.size, 2 * k)
         while self.used + len(ids) > len(self.flat):
@@ -204,29 +275,58 @@ class Encoder:
         self.begin[k], self.size[k] = self.used, len(ids)
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.known[h] = k
+        self.count += 1
+        if len(word) <= REMEMBERED_LENGTH:
+            self.known[word] = k
+            self.characters += len(word)
         return k
 
-    def parts(self, texts: list[str]) -> Iterator[tuple[int, str | int]]:
-        """Each text's parts in order: special tokens' ids, and texts of about WINDOW characters that end after white space."""
+    def parts(self, texts: list[str]) -> Iterator[tuple[int, str | int, bool]]:
+        """Each text's parts in order: special tokens' ids, and texts of about WINDOW characters; true: the part ends within a word."""
         for i, t in enumerate(texts):
             for x in self.split.split(t) if self.split and "<|" in t else [t]:
                 if x in self.special:
-                    yield i, self.special[x]
+                    yield i, self.special[x], False
                     continue
-                while len(x) > WINDOW:
-                    m = re.compile(r"\s").search(x, WINDOW)
-                    cut = m.end() if m else len(x)
-                    yield i, normal(x[:cut])
-                    x = x[cut:]
-                if x:
-                    yield i, normal(x)
+                at = 0
+                while len(x) - at > 2 * WINDOW:
+                    cut, open_ = safe_cut(x, at + WINDOW, at + 2 * WINDOW)
+                    yield i, normal(x[at:cut]), open_
+                    at = cut
+                if at < len(x):
+                    yield i, normal(x[at:] if at else x), False
 
     def stream(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the text, next ids of it), in order."""
         held: list[tuple[int, str | int]] = []
         size = 0
-        for i, x in self.parts(texts):
+        machine = None  # of a word that spans parts
+        for i, x, open_ in self.parts(texts):
+            if machine is not None or open_:
+                yield from self._ids(held)
+                held, size = [], 0
+                first = folded(x) if isinstance(x, str) else ""
+                cut = len(first)
+                if machine is None:  # all but the last word of the part, which goes on
+                    cut = int(word_spans(*chars.code_points([first]))[0][-1])
+                    yield from self._ids([(i, first[:cut])])
+                    machine = self.transducer()
+                    yield i, np.array(machine.feed(first[cut:].encode("utf-8", "replace")), np.uint32)
+                elif open_ and len(word_spans(*chars.code_points([first]))[0]) == 1:  # the word still goes on
+                    yield i, np.array(machine.feed(first.encode("utf-8", "replace")), np.uint32)
+                else:
+                    _, end = word_spans(*chars.code_points([first]))
+                    cut = int(end[0])
+                    ids = machine.feed(first[:cut].encode("utf-8", "replace")) + machine.end()
+                    yield i, np.array(ids, np.uint32)
+                    machine = None
+                    start, _ = word_spans(*chars.code_points([first[cut:]]))
+                    last = cut + int(start[-1]) if open_ and len(start) else len(first)
+                    yield from self._ids([(i, first[cut:last])])
+                    if open_:
+                        machine = self.transducer()
+                        yield i, np.array(machine.feed(first[last:].encode("utf-8", "replace")), np.uint32)
+                continue
             if size and size + (len(x) if isinstance(x, str) else 0) > WINDOW:
                 yield from self._ids(held)
                 held, size = [], 0
@@ -236,26 +336,27 @@ class Encoder:
             yield from self._ids(held)
 
     def _ids(self, parts: list[tuple[int, str | int]]) -> Iterator[tuple[int, np.ndarray]]:
-        if len(self.known) > REMEMBERED:
+        if not parts:
+            return
+        if len(self.known) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS or self.used > 4 * REMEMBERED_CHARACTERS:
             self._forget()
         texts = [x if isinstance(x, str) else "" for _, x in parts]
         c, offsets = chars.code_points(texts)
         if (new := chars.recent()[c]).any():  # rare: the library folds what Python can't
             for k in np.unique(np.searchsorted(offsets, np.flatnonzero(new), "right") - 1).tolist():
-                texts[k] = _library()[1].normalize_str(texts[k])
+                texts[k] = folded(texts[k])
             c, offsets = chars.code_points(texts)
         start, end = word_spans(c, offsets)
-        hashes = chars.span_hashes(c, start, end).tolist()
-        at = np.fromiter(map(self.known.get, hashes, repeat(-1)), np.int64, len(hashes))
+        whole = "".join(texts)
+        words = [whole[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         for k in np.flatnonzero(at < 0).tolist():
-            h = hashes[k]
-            found = self.known.get(h)
-            at[k] = self._add(h, self.word(c[start[k] : end[k]].tobytes().decode("utf-32-le", "surrogatepass"))) if found is None else found
+            found = self.known.get(words[k])
+            at[k] = self._add(words[k]) if found is None else found
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.begin[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        words = np.searchsorted(start, offsets)
-        bounds = np.append(0, ends)[words]
+        bounds = np.append(0, ends)[np.searchsorted(start, offsets)]
         for k, (i, x) in enumerate(parts):
             yield i, np.array([x], np.uint32) if isinstance(x, int) else ids[bounds[k] : bounds[k + 1]]
 
@@ -301,7 +402,8 @@ def decimals(ids: np.ndarray) -> bytes:
 def transcode(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
     """documents with n_tokens, ids_sha256 and decoded_sha256 of each whole text (null: empty); such columns are replaced.
 
-    Memory: one WINDOW of characters and REMEMBERED words, whatever a text's length.
+    Memory, besides the row: two WINDOWs of characters, REMEMBERED words and HELD bytes of a word that is longer than a
+    window, whatever the text's and its words' lengths.
     """
     documents = documents.drop("n_tokens", "ids_sha256", "decoded_sha256")
     schema = added(documents, n_tokens="long", ids_sha256="string", decoded_sha256="string")
@@ -309,7 +411,7 @@ def transcode(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         m = model(path)
-        encoder = Encoder(m.word, m.split, m.special)
+        encoder = Encoder(m.word, m.split, m.special, lambda: Transducer(m))
         for batch in batches:
             texts = [x or "" for x in batch.column(text).to_pylist()]
             n, ids_hex, text_hex = [0] * len(texts), [""] * len(texts), [""] * len(texts)

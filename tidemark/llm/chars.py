@@ -71,20 +71,6 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        inverse = pow(_STEP, -1, 1 << 64)
-        for k, base in enumerate((_STEP, inverse)):
-            a = np.full(max(n, 1 << 16), base, np.uint64)
-            a[0] = 1
-            _powers[k] = np.cumprod(a, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def runs(c: np.ndarray, offsets: np.ndarray, table: np.ndarray, single: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and class of maximal runs of one class within one text; class `single` stands alone, class 0 is left out."""
     if not len(c):
@@ -105,11 +91,19 @@ def runs(c: np.ndarray, offsets: np.ndarray, table: np.ndarray, single: int = -1
 
 
 def span_hashes(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's code points, the same wherever the span stands."""
-    up, down = _power_tables(len(c) + 1)
-    sums = np.zeros(len(c) + 1, np.uint64)
-    np.cumsum(mix(c.astype(np.uint64) + np.uint64(1)) * up[: len(c)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    """A 64-bit hash of each span's code points, the same wherever the span stands; spans are in order and apart.
+
+    Each code point and its place in the span give one scrambled number, and these add up: other than with powers of one
+    base, no family of regular words (such as Thue-Morse words) shares a sum.
+    """
+    if not len(start):
+        return np.empty(0, np.uint64)
+    place = np.arange(start[0], len(c)) - np.repeat(start, np.diff(np.append(start, len(c))))
+    each = mix((place.astype(np.uint64) << np.uint64(21)) + c[start[0] :].astype(np.uint64) + np.uint64(1))
+    bounds = np.column_stack([start, end]).ravel() - start[0]
+    if bounds[-1] == len(each):
+        bounds = bounds[:-1]
+    return mix(np.add.reduceat(each, bounds)[::2] + (end - start).astype(np.uint64) * np.uint64(_STEP))
 
 
 def token_hashes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -38,7 +38,7 @@ def _encoder(path: str) -> bpe.Encoder:
     def word(w: str) -> list[int]:
         return [t.id for t in library.tokenize("".join(map(letters.__getitem__, w.encode("utf-8", "replace"))))]
 
-    return bpe.Encoder(word, m.split, m.special)
+    return bpe.Encoder(word, m.split, m.special, lambda: bpe.Transducer(m))
 
 
 def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
