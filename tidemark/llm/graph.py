@@ -29,16 +29,18 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node of links (a, b): component is the smallest id reachable. Nodes without links aren't listed.
 
     Rounds of large and small stars: each node hands its larger neighbours, then all its smaller ones, to the smallest
-    neighbour. A hub's smallest neighbour is an aggregate with partial sums; its links meet it in a join that Spark can split.
+    neighbour. A hub's smallest neighbour is an aggregate with partial sums; it is stored, so that the hub's links meet it in a
+    join of two plain tables, whose hot keys Spark can split.
     """
     u, v = F.col("u"), F.col("v")
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         pairs = F.explode(F.array(F.struct(u, F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("p")
         edges = stored(large.join(least, "u").select(pairs).select("p.u", "p.v").where("u <> v").distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

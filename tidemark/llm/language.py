@@ -1,8 +1,9 @@
-"""Language identification: multinomial naive Bayes over hashed character n-grams."""
+"""Language identification: multinomial naive Bayes over hashed character n-grams.
 
-from __future__ import annotations
+The matrix grows with the number of languages, not with the documents.
+"""
 
-import re
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,10 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Labelled documents that training takes at most (about).
 TRAIN_ROWS = 40_000
-#: Languages that a model may know: with BUCKETS the bound of what is broadcast (64 MB).
-MOST_LANGUAGES = 256
+#: Languages in one slice of the matrix: a slice (64 MB with BUCKETS) is broadcast, and documents meet one slice after another.
+SLICE_LANGUAGES = 256
 SMOOTHING = 0.5
 
-_letter = re.compile(r"[^\W\d_]")
-
 
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """For each order the bucket of the n-gram at each character (BUCKETS where it would leave its text), and text bounds."""
@@ -51,6 +50,15 @@ def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.n
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         number: dict[str, int] = {}
+        task = TaskContext.get().partitionId()
+
+        def packed():
+            for lang, total in sums.items():
+                total[BUCKETS] = number[lang]
+                yield pa.RecordBatch.from_pylist(slices_of(total, lang=lang, task=task), schema=_COUNTS)
+            sums.clear()
+            number.clear()
+
         for batch in batches:
             texts, langs = texts_of(batch), batch.column("lang").to_pylist()
             for lang in sorted(set(langs)):
@@ -60,16 +68,13 @@ def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.n
                 for a, b in text_slices(own):
                     for i in grams(own[a:b])[0]:
                         total += np.bincount(i, minlength=BUCKETS + 1)
-        task = TaskContext.get().partitionId()
-        for lang, total in sums.items():
-            total[BUCKETS] = number[lang]
-            yield pa.RecordBatch.from_pylist(slices_of(total, lang=lang, task=task), schema=_COUNTS)
+                if len(sums) >= 64:  # so many arrays at once at most
+                    yield from packed()
+        yield from packed()
 
     counts = known.select("lang", "text").mapInArrow(count, "lang string, task int, slice int, counts binary")
     total = tree_sum(counts, ["lang", "slice"], known.rdd.getNumPartitions()).collect()  # languages x BUCKETS numbers
     langs = sorted({r["lang"] for r in total})
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; a model holds {MOST_LANGUAGES}")
     table = np.array([unpack([r for r in total if r["lang"] == x], BUCKETS + 1) for x in langs]).reshape(len(langs), BUCKETS + 1)
     docs, table = table[:, BUCKETS].copy(), table[:, :BUCKETS] + SMOOTHING
     logs = np.zeros((len(langs), BUCKETS + 2), np.float32)
@@ -81,34 +86,52 @@ def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.n
 _COUNTS = pa.schema([("lang", pa.string()), ("task", pa.int32()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
-def predict(texts: list[str], langs: list[str], logs: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Most probable language and its posterior; `und` and 0 for a text without a letter (or without learnt languages)."""
-    best, sure = np.zeros(len(texts), int), np.zeros(len(texts))
+def _has_letter(texts: list[str]) -> np.ndarray:
+    """Which texts have a letter (a character of Unicode's category L)."""
+    c, at = chars.code_points(texts)
+    return chars.segment_sums(chars.classes()[c] == 1, at) > 0
+
+
+def predict(texts: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the most probable language of the matrix, its log score, and log of the sum of all languages' scores
+    over it. The first of equals counts. Very long texts have very low scores; these are relative to the best."""
+    best, top, rest = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf), np.zeros(len(texts))
     for a, b in text_slices(texts):
-        if not langs:
-            break
         found, at = grams(texts[a:b])
-        points = np.empty((len(langs), b - a))
-        for k in range(len(langs)):
+        points = np.empty((len(logs), b - a))
+        for k in range(len(logs)):
             points[k] = sum(chars.segment_sums(logs[k][i], at) for i in found) / len(ORDERS) + logs[k][BUCKETS + 1]
-        points -= points.max(0)
-        p = np.exp(points)
-        best[a:b], sure[a:b] = points.argmax(0), p.max(0) / p.sum(0)
-    known = [bool(langs) and _letter.search(t) is not None for t in texts]
-    return [langs[i] if k else "und" for i, k in zip(best, known, strict=True)], np.where(known, sure, 0.0)
+        best[a:b], top[a:b] = points.argmax(0), points.max(0)
+        rest[a:b] = np.log(np.exp(points - points.max(0)).sum(0))
+    return best, top, rest
 
 
 def identify(documents: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
-    """documents with `lang_pred` and `lang_score` added; columns of those names in documents are replaced."""
-    model = documents.sparkSession.sparkContext.broadcast((langs, logs))
+    """documents with `lang_pred` and `lang_score` (its posterior) added; columns of those names in documents are replaced.
+
+    A text without a letter is `und` with score 0, and so is every text if no language was learnt.
+    """
+    context = documents.sparkSession.sparkContext
+    slices = [context.broadcast((k, logs[k : k + SLICE_LANGUAGES])) for k in range(0, len(langs), SLICE_LANGUAGES)]
+    names = context.broadcast(langs)
     documents = documents.drop("lang_pred", "lang_score")
     schema = added(documents, lang_pred="string", lang_score="double")
-    names = schema.fieldNames()
+    columns = schema.fieldNames()
 
     def run(batches):
         for batch in batches:
-            best, sure = predict(texts_of(batch), *model.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(sure)], names=names)
+            texts = texts_of(batch)
+            best, top, rest = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf), np.zeros(len(texts))
+            for s in slices:
+                first, table = s.value
+                k, score, more = predict(texts, table)
+                higher = score > top
+                # log of the sum over all languages so far, relative to the best so far
+                rest = np.where(higher, np.logaddexp(more, np.where(np.isinf(top), -np.inf, top + rest) - score), np.logaddexp(rest, more + score - np.where(higher, score, top)))
+                best, top = np.where(higher, first + k, best), np.maximum(top, score)
+            known = _has_letter(texts) & bool(names.value)
+            pred = [names.value[i] if x else "und" for i, x in zip(best.tolist(), known.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(known, np.exp(-rest), 0.0))], names=columns)
 
     return documents.mapInArrow(run, schema)
 

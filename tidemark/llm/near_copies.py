@@ -2,7 +2,8 @@
 
 A set is a text's word shingles. Each run starts one path for all sets; a node of a path chooses some of the HASHES min-wise
 coordinates by a hash of the node alone, and a set goes on to a child for each chosen coordinate and its own value there, so
-sets part unless they agree. Buckets of LEAF sets or fewer, and all that are left after DEPTH rounds, are compared.
+sets part unless they agree. A bucket of LEAF sets or fewer, one that keeps SAME of the bucket that it comes from (its sets are
+alike, so that its pairs are about as many as its links), and whatever is left after DEPTH rounds, is compared outright.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Min-wise coordinates of a set.
 HASHES = 64
-LEAF, DEPTH = 64, 3
+LEAF, DEPTH, SAME = 64, 4, 0.7
 #: Share of pairs at the threshold that may be missed, also in buckets that go through all rounds.
 MISSED = 1e-4
 
@@ -111,11 +112,12 @@ def _sketch(batch) -> np.ndarray:
 
 
 def sets_of(documents: DataFrame) -> DataFrame:
-    """doc_id, two hashes of the set of shingles, its size and its sketch of every row; hashes are null where there are no words."""
+    """doc_id, two hashes of the text (t1, t2), two of the set of shingles, its size and its sketch of every row; the set's
+    hashes are null where there are no words."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
+            own_columns, texts = [batch.column(c) for c in ("doc_id", "t1", "t2")], texts_of(batch)
             for a, b in text_slices(texts):
                 own, at = shingles(texts[a:b])
                 n = np.diff(at)
@@ -124,15 +126,21 @@ def sets_of(documents: DataFrame) -> DataFrame:
                 sk = sketches(own, at)
                 none = n == 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b], pa.int64()), pa.array(k1, mask=none), pa.array(k2, mask=none), pa.array(n), pa.array([x.tobytes() for x in sk], pa.binary())],
-                    names=["doc_id", "k1", "k2", "size", "sketch"],
+                    [*(c.slice(a, b - a) for c in own_columns), pa.array(k1, mask=none), pa.array(k2, mask=none), pa.array(n), pa.array([x.tobytes() for x in sk], pa.binary())],
+                    names=["doc_id", "t1", "t2", "k1", "k2", "size", "sketch"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, size long, sketch binary")
+    return keyed(documents).mapInArrow(run, "doc_id long, t1 long, t2 long, k1 long, k2 long, size long, sketch binary")
+
+
+def keyed(documents: DataFrame, *others: str) -> DataFrame:
+    """doc_id and two hashes of the text (t1, t2), which tell rows of one doc_id apart, the text, and other columns."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(77), "text").alias("t2"), "text", *others)
 
 
 def buckets(sets: DataFrame) -> DataFrame:
     """(path, rep) of sets that share a final bucket with another one."""
+    schema = "path long, rep long, parent long"
 
     def split(roots: bool):
         def run(batches):
@@ -144,19 +152,23 @@ def buckets(sets: DataFrame) -> DataFrame:
                 for start in starts:
                     path = np.full(len(sk), start, np.uint64) if roots else batch.column("path").to_numpy().view(np.uint64)
                     row, child = children(path, sk)
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("rep").take(pa.array(row))], names=["path", "rep"])
+                    parent = pa.nulls(len(row), pa.int64()) if roots else batch.column("n").take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("rep").take(pa.array(row)), parent], names=["path", "rep", "parent"])
 
         return run
 
-    now, out = sets.select("rep", "sketch").mapInArrow(split(True), "path long, rep long"), []
+    now, out = sets.select("rep", "sketch").mapInArrow(split(True), schema), []
     for depth in range(1, DEPTH + 1):
         paths = stored(now, "paths")
-        count = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        shared = stored(paths.join(count, "path").select("path", "rep", "n"), "shared")
-        out.append(shared if depth == DEPTH else shared.where(F.col("n") <= LEAF))
-        if depth < DEPTH:
-            more = shared.where(F.col("n") > LEAF).select("path", "rep")
-            now = more.join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch").mapInArrow(split(False), "path long, rep long")
+        # stored first: what is left is small, or meets the paths in a join of two plain tables, whose hot keys Spark can split
+        count = stored(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        shared = stored(paths.join(count, "path"), "shared")
+        last = (F.col("n") <= LEAF) | F.coalesce(F.col("n") >= SAME * F.col("parent"), F.lit(False)) if depth < DEPTH else F.lit(True)
+        out.append(shared.where(last))
+        more = shared.where(~last).select("path", "rep", "n")
+        if depth == DEPTH or more.isEmpty():
+            break
+        now = more.join(sets.select("rep", "sketch"), "rep").select("path", "rep", "n", "sketch").mapInArrow(split(False), schema)
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
@@ -253,18 +265,20 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
 
 
 def join(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Representatives' links and the membership of documents.
+    """Facts of each distinct set and the membership of documents.
 
-    facts: rep, n (documents linked to it by texts of other sets), component; membership: doc_id, rep, weight (documents with
-    its set). Equal sets are put together first, so copies are never paired with one another.
+    facts: k1, k2 (the set's hashes), weight (documents with it), n (documents of other sets linked to it), class (doc_id, t1
+    and t2 of the first row, by these, that links lead to); membership: doc_id, t1, t2, k1, k2. Equal sets are put together
+    first, so copies are never paired with one another; a set is a node by a number of its own (rep).
     """
     marked = stored(sets_of(documents), "sets")
-    sets = stored(
-        marked.where("size > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "distinct"
+    sets = marked.where("size > 0 and doc_id is not null").groupBy("k1", "k2").agg(
+        F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("sketch").alias("sketch")
     )
+    sets = stored(sets.withColumn("rep", F.monotonically_increasing_id()), "distinct")
     found = stored(buckets(sets).distinct(), "buckets")
     lists = found.groupBy("rep").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # a few dozen for each set
-    known = stored(lists.join(sets.select("rep", "k1", "size", "sketch"), "rep"), "known")
+    known = stored(lists.join(sets.select("rep", "size", "sketch"), "rep"), "known")
     rows = found.join(known, "rep")
 
     nothing = pa.table({"path": pa.array([], pa.int64()), "rep": pa.array([], pa.int64())})
@@ -281,19 +295,19 @@ def join(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     involved = stored(by_blocks(_grid(rows), block, likely, "path long, rep long").distinct(), "likely")
 
     # the shingles of those that may have a partner, and nobody else's
-    wanted = stored(involved.select("rep").distinct(), "wanted")
+    wanted = involved.select("rep").distinct().join(sets.select("rep", "first", "weight"), "rep").select("rep", "weight", "first.*")
+    wanted = stored(wanted, "wanted")
 
     def own(batches):
         for batch in batches:
-            ids, texts = batch.column("rep").to_pylist(), texts_of(batch)
+            texts = texts_of(batch)
             for x, y in text_slices(texts):
                 s, at = shingles(texts[x:y])
-                k1 = chars.segment_sums_u64(s, at).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x:y], pa.int64()), pa.array(k1), pa.array([s[at[i] : at[i + 1]].tobytes() for i in range(y - x)], pa.binary())], names=["rep", "k1", "shingles"])
+                columns = [batch.column(c).slice(x, y - x) for c in ("rep", "weight")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([s[at[i] : at[i + 1]].tobytes() for i in range(y - x)], pa.binary())], names=["rep", "weight", "shingles"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text is not null")
-    bags = texts.join(wanted, "rep", "left_semi").mapInArrow(own, "rep long, k1 long, shingles binary").dropDuplicates(["rep", "k1"])
-    bags = stored(bags.join(sets.select("rep", "k1", "weight"), ["rep", "k1"]), "bags")
+    texts = keyed(documents).where("text is not null").join(wanted, ["doc_id", "t1", "t2"]).select("rep", "weight", "text")
+    bags = stored(texts.mapInArrow(own, "rep long, weight long, shingles binary").dropDuplicates(["rep"]), "bags")
 
     def exact(table: pa.Table) -> pa.Table:
         a, b = _candidates(table)
@@ -311,29 +325,33 @@ def join(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         count = np.bincount(np.searchsorted(nodes, rep[linked]), weights=n[linked], minlength=len(nodes)).astype(np.int64)
         return pa.table({"id": pa.array(nodes, pa.int64()), "n": pa.array(count, pa.int64()), "root": pa.array(root, pa.int64())})
 
-    full = _grid(involved.join(known, "rep")).join(bags, ["rep", "k1"])
+    full = _grid(involved.join(known, "rep")).join(bags, "rep")
     links = stored(by_blocks(full, block, exact, "id long, n long, root long"), "links")
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    facts = sets.select("k1", "k2", "rep", "weight").join(counts, F.col("rep") == F.col("id"), "left").drop("id").join(groups, F.col("rep") == F.col("id"), "left")
-    facts = stored(facts.select("k1", "k2", "rep", "weight", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component")), "facts")
-    return facts, marked.select("doc_id", "k1", "k2")
+    facts = sets.select("k1", "k2", "rep", "weight", "first").join(counts, F.col("rep") == F.col("id"), "left").drop("id").join(groups, F.col("rep") == F.col("id"), "left")
+    facts = stored(facts.select("k1", "k2", "weight", "first", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component")), "facts")
+    heads = stored(facts.groupBy("component").agg(F.min("first").alias("class")), "heads")
+    return facts.join(heads, "component").select("k1", "k2", "weight", "n", "class"), marked.select("doc_id", "t1", "t2", "k1", "k2")
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id that links lead to) and n_links (other documents linked directly) of every row.
+    """doc_id, t1, t2 (hashes of the text), class_id (the smallest doc_id that links lead to), n_links (other documents linked
+    directly) and kept (true for the class's first row by doc_id, t1 and t2, and its repetitions) of every row.
 
-    Equal sets of shingles are links too. Null and empty texts and rows without doc_id have no links and are their own class.
-    Rows that repeat a doc_id are one node: links of any of its texts count for it.
+    Equal sets of shingles are links too. Null and empty texts and rows without doc_id have no links, are their own class and
+    are kept. Rows that repeat a doc_id with other texts are told apart by their texts.
     """
     facts, members = join(documents)
     found = members.join(facts, ["k1", "k2"], "left")
-    known = F.col("doc_id").isNotNull() & F.col("component").isNotNull()
+    known = F.col("doc_id").isNotNull() & F.col("class").isNotNull()
     return found.select(
-        "doc_id", F.when(known, F.col("component")).otherwise(F.col("doc_id")).alias("class_id"), F.when(known, F.col("n") + F.col("weight") - 1).otherwise(0).cast("long").alias("n_links")
-    )
+        "doc_id", "t1", "t2", F.when(known, F.col("class.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(known, F.col("n") + F.col("weight") - 1).otherwise(0).cast("long").alias("n_links"),
+        F.when(known, F.col("class") == F.struct("doc_id", "t1", "t2")).otherwise(True).alias("kept"),
+    )
 
 
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at a Jaccard similarity of THRESHOLD of shingles of WORDS words."""
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id", "n_links")

@@ -33,14 +33,14 @@ ORACLE_SQL = {
     """,
     "op7_warc": """
         with p as (
-            select page_id, coalesce(html, '') as payload from pages where page_id is not null
+            select page_id, coalesce(html, '') as payload from pages
         ), q as (
             select page_id, strlen(payload)::bigint as payload_bytes, sha256(payload) as payload_digest,
                    min(page_id) over (partition by sha256(payload)) as first from p
         )
         select page_id, payload_bytes, payload_digest,
-               case when payload_bytes >= 100 and first <> page_id then 'revisit' else 'response' end as record_type,
-               case when payload_bytes >= 100 and first <> page_id then first end as refers_to
+               case when payload_bytes >= 100 and first is distinct from page_id then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and first is distinct from page_id then first end as refers_to
         from q
     """,
 }

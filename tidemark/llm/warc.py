@@ -13,15 +13,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import shared_dir, stored
 
 #: Payloads below this are never revisits.
 LEAST_REVISIT = 100
-#: A writer begins a new archive beyond so many uncompressed bytes.
-ARCHIVE_BYTES = 1 << 30
+#: A writer begins a new archive beyond so many uncompressed bytes: an archive is one stream, so one task's work.
+ARCHIVE_BYTES = 1 << 28
+#: Records of an archive that one task reads.
+READ_RECORDS = 4096
 #: Bytes that are inflated or read at once.
 CHUNK = 1 << 20
 LEVEL = 4
@@ -34,14 +36,14 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP header alone, which states the payload's size."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {(url or '').translate({13: None, 10: None})}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http;msgtype=response",
@@ -132,7 +134,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 def normalise(archives: DataFrame) -> DataFrame:
     """Rewrites each archive with one gzip member a record, writes its index beside it, and returns the index.
 
-    Each archive is inflated once, as a stream.
+    Each archive is inflated once, as a stream, in a task of its own.
     """
     names = [x.split(" ")[0] for x in INDEX.split(", ")]
 
@@ -154,13 +156,22 @@ def normalise(archives: DataFrame) -> DataFrame:
                 for k in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + 10_000], strict=True)], names=names)
 
-    return archives.select("archive").mapInArrow(run, INDEX)
+    return dealt(archives.select("archive"), archives.count()).mapInArrow(run, INDEX)
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """rows in so many partitions, which adaptive execution doesn't put together again: a row here stands for much work."""
+    return rows.repartition(max(1, parts))
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
     """The records that the index names, each inflated from its own member: PAGE, in any order."""
     names = [x.split(" ")[0] for x in PAGE.split(", ")]
-    number = lambda x: int(x.rpartition(":")[2].rstrip(">"))
+
+    def number(x: str) -> int | None:
+        x = x.rpartition(":")[2].rstrip(">")
+        return int(x) if x else None
+
 
     def run(batches):
         handle, now = None, None
@@ -183,26 +194,31 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return index.select("archive", "position", "size").mapInArrow(run, PAGE)
+    spans = Window.partitionBy("archive").orderBy("position")
+    parts = index.select("archive", "position", "size").withColumn("part", F.floor(F.row_number().over(spans) / READ_RECORDS))
+    number_of_parts = parts.select("archive", "part").distinct().count()
+    return parts.repartition(max(1, number_of_parts), "archive", "part").sortWithinPartitions("archive", "position").select("archive", "position", "size").mapInArrow(run, PAGE)
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """pages with `digest` and `refers_to`: of equal payloads of LEAST_REVISIT bytes or more, the first page_id of all others."""
+    """pages with `digest` and `refers_to`: of equal payloads of LEAST_REVISIT bytes or more, the first page_id of all others.
+
+    Pages without page_id revisit the first that has one; where none has, all are responses. So are rows that repeat the first page_id.
+    """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8")
     pages = pages.withColumns({"digest": F.sha2(payload, 256), "_size": F.octet_length(payload)})
     known = pages.where(F.col("_size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
     known = stored(known.where("_n > 1").select("digest", "_first"), "payloads")  # so Spark knows its size, and moves html only if it must
     found = pages.join(known, "digest", "left")
-    return found.withColumn("refers_to", F.when(F.col("_first") != F.col("page_id"), F.col("_first"))).drop("_first", "_size")
+    return found.withColumn("refers_to", F.when(~F.col("_first").eqNullSafe(F.col("page_id")), F.col("_first"))).drop("_first", "_size", "_n")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, these normalised, and read back by their index. Null html is an empty payload.
 
-    Pages without page_id can't be named in an archive and are left out; repeated page_ids each have their record.
+    Pages without page_id, and repeated page_ids, each have their record and row.
     """
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long").alias("page_id"), "url", "html").where("page_id is not null")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     folder = shared_dir(spark, "warc")
     archives = stored(write(with_revisits(pages), folder), "archives")
-    index = stored(normalise(archives.repartition("archive")), "index")
-    return read(index, folder)
+    return read(stored(normalise(archives), "index"), folder)
