@@ -50,11 +50,18 @@ def language_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> Da
     return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE)).select(*documents.columns)
 
 
+@_keeping("t1", "t2")
 def near_copies_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near copies the document of the smallest doc_id (once), and documents without doc_id."""
-    first = near_copies.classes(documents.select("doc_id", "text")).where("doc_id = class_id").select("doc_id").distinct()
-    named = documents.where("doc_id is not null").join(stored(first, "first"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*documents.columns).unionByName(documents.where("doc_id is null"))
+    """Keeps one document of each class of near copies (the first by doc_id and a hash of the text), and those without doc_id.
+
+    Rows of one doc_id with other texts are documents of their own; rows that repeat doc_id and text are one.
+    """
+    key = ["doc_id", "t1", "t2"]
+    first = near_copies.classes(documents.select("doc_id", "text")).where("kept and doc_id is not null").select(key).distinct()
+    others = [c for c in documents.columns if c not in ("doc_id", "text")]
+    named = near_copies.keyed(documents.where("doc_id is not null"), *others).join(stored(first, "first"), key, "left_semi").dropDuplicates(key)
+    kind = documents.schema["doc_id"].dataType
+    return named.withColumn("doc_id", F.col("doc_id").cast(kind)).select(*documents.columns).unionByName(documents.where("doc_id is null"))
 
 
 @_keeping("secret_spans", "_base", "_more")
