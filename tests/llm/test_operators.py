@@ -352,6 +352,45 @@ def test_nearest_recall(spark):
     assert vectors.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_postings_give_the_footrule():
+    rng = np.random.default_rng(2)
+    orders = rng.random((50, 40)).argsort(1)[:, :9].astype("<u2")
+    postings = vectors.Postings(orders[1:], 40)
+    places = np.full((50, 40), 9)
+    np.put_along_axis(places, orders.astype(int), np.arange(9)[None], 1)
+    assert (9 * 10 - 2 * postings.shared(orders[0]) == np.abs(places[1:] - places[0]).sum(1)).all()
+
+
+def test_nearest_in_clusters_with_outliers(spark):
+    """Clustered vectors and queries far from all: each has its five, by exact cosines, with the stated recall; ties and repeats."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 32))
+    x = centres[rng.integers(0, 40, 6000)] + 0.15 * rng.normal(size=(6000, 32))
+    x[::600] = 5 * rng.normal(size=(10, 32))
+    x[101:111] = x[100]
+    x = x.astype(np.float32).astype(np.float64)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, x[100].tolist()), (103, x[100].tolist()), (50, x[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("own"))
+    got: dict = {}
+    for r in vectors.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert set(got) == set(range(0, 6000, 50))
+    hits = 0
+    for q in range(0, 6000, 50):
+        own = sorted(got[q])
+        assert [k for k, _, _ in own] == [1, 2, 3, 4, 5] and len({v for _, v, _ in own}) == 5
+        s = u @ u[q]
+        if q == 50:
+            s = np.maximum(s, u @ u[7])
+        assert all(score == pytest.approx(max(s[v], u[7] @ u[q] if v == 50 else -1)) for _, v, score in own)
+        s[50] = max(s[50], u[7] @ u[q])
+        s[q] = -2
+        hits += len(set(np.lexsort((np.arange(6000), -np.round(s, 12)))[:5].tolist()) & {v for _, v, _ in own})
+    assert hits / (5 * 120) >= 0.93
+    assert [v for _, v, _ in sorted(got[100])] == [101, 102, 103, 104, 105]
+
+
 def test_vector_links(spark):
     rows = cloud()
     out = {r["vec_id"]: r for r in vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).where("vec_id is not null").collect()}

@@ -11,11 +11,13 @@ from tidemark.llm.common import stored
 from tidemark.llm.graph import components, local_roots
 
 #: Permutation index: pivots, and how many of the nearest each vector is posted under.
-PIVOTS, POSTED = 64, 16
-#: Queries whose true neighbours fit the footrule radius, and the share of those neighbours that must lie within.
-FIT_QUERIES, FIT_RECALL = 128, 0.985
-#: Rows and queries in one block of a posting list.
-BLOCK, QUERY_BLOCK = 8192, 512
+PIVOTS, POSTED = 256, 64
+#: Queries whose true neighbours fit the share of rows that is reranked, and the share of those neighbours that must be in it.
+FIT_QUERIES, FIT_RECALL = 128, 0.96
+#: Rows with one inverted file, and queries that go through it together.
+INDEX_ROWS, INDEX_QUERIES = 1 << 14, 1 << 10
+#: Rows and queries in one block of cells of the multi-index.
+BLOCK = 8192
 #: Multi-index: codewords of each half (64 at most: a set of them is the bits of a long), vectors that fit them.
 CODEWORDS, FIT_VECTORS = 64, 8192
 
@@ -76,96 +78,126 @@ def _blocks(df: DataFrame, key: str, role: Column, sizes: tuple[int, int]) -> Da
 def _order(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Each row's nearest pivots, nearest first."""
     near = -(_unit(x) @ pivots.T)
-    return np.argsort(near, axis=1, kind="stable")[:, : min(POSTED, len(pivots))].astype(np.int32)
+    m = _posted(len(pivots))
+    at = np.argpartition(near, m - 1, axis=1)[:, :m]
+    own = np.take_along_axis(near, at, 1)
+    return np.take_along_axis(at, np.lexsort((at, own), axis=1), 1).astype("<u2")
 
 
-def _places(order: np.ndarray, pivots: int) -> np.ndarray:
-    """For each row and pivot the pivot's place in the row's order; those not in it share the place after the last."""
-    out = np.full((len(order), pivots), order.shape[1], np.int16)
-    np.put_along_axis(out, order.astype(np.int64), np.arange(order.shape[1], dtype=np.int16)[None], 1)
-    return out
+def _posted(pivots: int) -> int:
+    return min(POSTED, max(1, pivots // 4))
 
 
-def _footrules(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)), np.int16)
-    for p in range(a.shape[1]):
-        out += np.abs(a[:, p, None] - b[None, :, p])
-    return out
+def _permutations(table) -> np.ndarray:
+    column = table.column("pivots")
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
 
-def _best(scores: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and cosines of the k largest scores, ties to the smaller id; -inf doesn't count."""
-    at = np.flatnonzero(scores > -np.inf)
-    if len(at) > k:
-        least = np.partition(scores[at], len(at) - k)[len(at) - k]
-        at = at[scores[at] >= least - 1e-9]
-    exact = (x[at] * q).sum(1) / np.sqrt((x[at] * x[at]).sum(1) * (q * q).sum())  # the same for equal vectors, wherever they stand
-    order = np.lexsort((ids[at], -exact))[:k]
-    return at[order], exact[order]
+class Postings:
+    """The inverted file of some rows: for each pivot the rows posted under it and their places in those rows' orders.
+
+    With orders of the m nearest pivots, and all others in place m, the footrule distance (the sum over pivots of the
+    difference of places) is m * (m + 1) - 2 * shared, where shared is the sum over pivots in both orders of the smaller of
+    m - place. So footrules of a query to all rows add up along the lists of its own m pivots, and only those.
+    """
+
+    def __init__(self, orders: np.ndarray, pivots: int):
+        self.rows, self.m = orders.shape
+        flat = orders.ravel()
+        by = np.argsort(flat, kind="stable")
+        self.row, self.weight = by // self.m, (self.m - by % self.m).astype(np.int32)
+        self.bounds = np.searchsorted(flat[by], np.arange(pivots + 1))
+
+    def shared(self, order: np.ndarray) -> np.ndarray:
+        """What each row's footrule to a query lacks to m * (m + 1), halved: larger is nearer."""
+        out = np.zeros(self.rows, np.int32)
+        for place, pivot in enumerate(order.tolist()):
+            a, b = self.bounds[pivot], self.bounds[pivot + 1]
+            out[self.row[a:b]] += np.minimum(self.weight[a:b], self.m - place)
+        return out
+
+    def nearest(self, order: np.ndarray, n: int) -> np.ndarray:
+        """The n rows of smallest footrule, and all that are as near as the last of them."""
+        shared = self.shared(order)
+        if n >= len(shared):
+            return np.arange(len(shared))
+        return np.flatnonzero(shared >= np.partition(shared, len(shared) - n)[len(shared) - n])
+
+
+def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and cosines of the k largest cosines to q, ties to the smaller id, an id once."""
+    exact = (x * q).sum(1) / np.sqrt((x * x).sum(1) * (q * q).sum())  # the same for equal vectors, wherever they stand
+    order = np.lexsort((ids, -exact))
+    _, first = np.unique(ids[order], return_index=True)
+    order = order[np.sort(first)[:k]]
+    return ids[order], exact[order]
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k rows nearest to each query by cosine, the query's own id left out.
 
-    The index: each vector is posted under its POSTED nearest of PIVOTS pivots. A query goes through the lists of its own
-    pivots; rows whose pivot orders lie within a footrule radius of its own are compared exactly. The radius is fitted so that
-    FIT_RECALL of the true neighbours of FIT_QUERIES queries lie within; it holds for every row, however many that are.
-    Null, zero and non-finite vectors and those of another length than most take no part.
+    The index: rows are dealt to parts by a hash, and each part has an inverted file that posts a row under its POSTED nearest
+    of PIVOTS pivots. A query goes through the lists of its own pivots, which rank a part's rows by footrule, and the nearest
+    `share` of them (k at least, and all ties) are compared exactly. The share is fitted so that FIT_RECALL of the true
+    neighbours of FIT_QUERIES queries are in it; it is one of every part's rows, so every query has its k neighbours.
+    Null, zero and non-finite vectors and those of another length than most take no part. Rows that repeat an id and vector
+    count once; an id with several vectors is as near as the nearest of them, as a query too.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).alias("embedding"), queries.alias("query"))
     d = dimension(vectors)
-    vectors = vectors.where(usable(vectors, d))
+    vectors = vectors.where(usable(vectors, d)).groupBy("vec_id", "embedding").agg(F.max("query").alias("query"))
     spark = vectors.sparkSession
+    vectors = stored(vectors, "vectors")
     pivots = _chosen(vectors, PIVOTS) if d else np.zeros((0, 1))
     if not len(pivots):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(pivots)
-    names = [*vectors.columns, "pivots"]
 
     def post(batches):
         for batch in batches:
             if batch.num_rows:
                 order = _order(_matrix(batch), shared.value)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order), pa.list_(pa.int32()))], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in order], pa.binary())], names=[*batch.schema.names, "pivots"])
 
-    schema = ", ".join(f"{c} {t}" for c, t in vectors.dtypes) + ", pivots array<int>"
-    posted = stored(vectors.mapInArrow(post, schema), "posted")
-    radius = _radius(posted, shared, k)
+    posted = stored(vectors.mapInArrow(post, ", ".join(f"{c} {t}" for c, t in vectors.dtypes) + ", pivots binary"), "posted")
+    share = fitted_share(posted, shared, k)
 
     def search(table: pa.Table) -> pa.Table:
-        role = table.column("is_query").to_numpy(zero_copy_only=False)
-        pivot, n = table.column("pivot")[0].as_py(), len(shared.value)
-        ids, x = table.column("vec_id").to_numpy(), _matrix(table)
-        place = _places(_matrix(table, "pivots").astype(np.int64), n)
+        role = table.column("role").to_numpy(zero_copy_only=False)
+        ids, x, order = table.column("vec_id").to_numpy(), _matrix(table), _permutations(table)
         rows, asks = np.flatnonzero(~role), np.flatnonzero(role)
-        out: list[tuple] = []
+        out = []
         if len(rows) and len(asks):
-            far = _footrules(place[asks], place[rows])
-            seen = (place[:, :pivot] < POSTED).astype(np.float32)
-            old = (seen[asks] @ seen[rows].T) > 0  # these met in an earlier list
-            cosine = _unit(x[asks]) @ _unit(x[rows]).T
-            cosine[(far > radius) | old | (ids[asks][:, None] == ids[rows][None])] = -np.inf
-            for i, a in enumerate(asks):
-                at, score = _best(cosine[i], x[a], x[rows], ids[rows], k)
-                out += zip([ids[a]] * len(at), ids[rows[at]].tolist(), score.tolist(), strict=True)
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    lists = posted.withColumn("pivot", F.explode("pivots"))
-    roles = lists.withColumn("role", F.explode(F.when(F.col("query"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    grid = _blocks(roles.drop("query"), "pivot", F.col("role"), (BLOCK, QUERY_BLOCK)).drop("role")
-    found = grid.groupBy("pivot", "part", "query_part").applyInArrow(search, "query_id long, vec_id long, score double")
+            postings = Postings(order[rows], len(shared.value))
+            for a in asks.tolist():
+                at = rows[postings.nearest(order[a], int(np.ceil(share * len(rows))) + k + 1)]
+                at = at[ids[at] != ids[a]]
+                near, score = _best(x[a], x[at], ids[at], k)
+                out.append((np.full(len(near), ids[a]), near, score))
+        return pa.table([np.concatenate(c) if out else [] for c in (zip(*out, strict=True) if out else [[]] * 3)], schema=_FOUND)
+
+    n, asked = posted.agg(F.count("*"), F.count(F.when(F.col("query"), 1))).first()
+    parts, query_parts = -(-n // INDEX_ROWS), max(1, -(-asked // INDEX_QUERIES))
+    h = F.xxhash64(F.lit(5), "vec_id")
+    every = lambda c: F.array(*[F.lit(i) for i in range(c)]) if c < 64 else F.sequence(F.lit(0), F.lit(c - 1))
+    rows = posted.select("vec_id", "embedding", "pivots", F.lit(False).alias("role"), F.pmod(h, F.lit(parts)).cast("int").alias("part"), F.explode(every(query_parts)).alias("query_part"))
+    asks = posted.where("query").select("vec_id", "embedding", "pivots", F.lit(True).alias("role"), F.explode(every(parts)).alias("part"), F.pmod(h, F.lit(query_parts)).cast("int").alias("query_part"))
+    found = rows.unionByName(asks).groupBy("part", "query_part").applyInArrow(search, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _radius(posted: DataFrame, pivots, k: int) -> int:
-    """The footrule within which FIT_RECALL of the true neighbours of FIT_QUERIES queries lie. Such queries meet all rows."""
+def fitted_share(posted: DataFrame, pivots, k: int) -> float:
+    """The share of all rows, by footrule, that has FIT_RECALL of the true neighbours of FIT_QUERIES queries, which meet all rows."""
     rows = posted.where("query").orderBy(F.xxhash64(F.lit(17), "vec_id"), "vec_id").limit(FIT_QUERIES).collect()
     if not rows:
-        return 0
+        return 0.0
     ids, asks = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
-    order = np.array([r["pivots"] for r in rows])
+    order = np.frombuffer(b"".join(bytes(r["pivots"]) for r in rows), "<u2").reshape(len(rows), -1)
 
     def compare(batches):
         for batch in batches:
@@ -174,15 +206,32 @@ def _radius(posted: DataFrame, pivots, k: int) -> int:
                 continue
             cosine = _unit(asks) @ _unit(x).T
             cosine[ids[:, None] == own[None]] = -np.inf
-            far = _footrules(_places(order, len(pivots.value)), _places(_matrix(batch, "pivots").astype(np.int64), len(pivots.value)))
+            postings = Postings(_permutations(batch), len(pivots.value))
             top = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+            shared = np.array([postings.shared(order[q])[top[q]] for q in range(len(ids))])
             q = np.repeat(np.arange(len(ids)), top.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(cosine[q, top.ravel()]), pa.array(far[q, top.ravel()], pa.int32())], names=["q", "score", "far"])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(cosine[q, top.ravel()]), pa.array(shared.ravel(), pa.int32())], names=["q", "score", "shared"])
 
-    near = posted.select("vec_id", "embedding", "pivots").mapInArrow(compare, "q int, score double, far int")
-    by = Window.partitionBy("q").orderBy(F.desc("score"), "far")
-    far = [r["far"] for r in near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).collect()]  # FIT_QUERIES x k rows
-    return int(np.ceil(np.quantile(far, FIT_RECALL))) if far else 0
+    near = posted.select("vec_id", "embedding", "pivots").mapInArrow(compare, "q int, score double, shared int")
+    by = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("shared"))
+    true = near.withColumn("rank", F.row_number().over(by)).where((F.col("rank") <= k) & (F.col("score") > F.lit(float("-inf")))).collect()  # FIT_QUERIES x k rows
+    least = {q: np.array([r["shared"] for r in true if r["q"] == q]) for q in range(len(ids))}
+
+    def ranks(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            postings = Postings(_permutations(batch), len(pivots.value))
+            number, q_of = [], []
+            for q, own in least.items():
+                if len(own):
+                    shared = np.sort(postings.shared(order[q]))
+                    number += (len(shared) - np.searchsorted(shared, own, "left")).tolist()
+                    q_of += [q * k + i for i in range(len(own))]
+            yield pa.RecordBatch.from_arrays([pa.array(q_of, pa.int32()), pa.array(number, pa.int64())], names=["q", "n"])
+
+    found = posted.select("pivots").mapInArrow(ranks, "q int, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()
+    return float(np.quantile([r["n"] for r in found], FIT_RECALL, method="higher")) / posted.count() if found else 0.0
 
 
 def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
