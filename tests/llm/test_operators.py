@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -99,44 +100,78 @@ def test_any_number_of_languages(spark):
     assert out[-3]["lang_score"] == pytest.approx(p.max() / p.sum(), rel=1e-3)
 
 
-def test_lm_score_is_the_sum_over_words(spark):
-    docs = spark.createDataFrame([(1, "a b a b c"), (2, "c c d"), (3, None), (4, "a b")], "doc_id long, text string")
-    back, target = lm_score.train(docs, spark.createDataFrame([(1,), (4,)], "doc_id long"))
-    b = lm_score.Counts.flat(back)
-    assert b.word.sum() == 10 and lm_score.Counts.flat(target).word.sum() == 7
-    out = {r["doc_id"]: r for r in lm_score.score(docs, back, target).collect()}
-    assert out[3]["n_words"] == 0 and out[3]["lm_score"] == 0
-    assert out[1]["lm_score"] < out[2]["lm_score"]
-    w, before, pair, at = lm_score.events(["a b a b c"])
-    assert out[1]["background_bits"] == pytest.approx(b.log_loss(w, before, pair).mean())
+def plain_lm_scores(texts, good):
+    """lm_score by dictionaries, each text scored by models that haven't counted it."""
 
+    def words(t):
+        return re.findall(r"\w+|[^\w\s]+", (t or "").lower())
 
-def test_lm_score_keeps_every_pair_apart(spark):
-    """More distinct pairs than any table of fixed size would keep apart, against plain dictionaries."""
-    rng = np.random.default_rng(3)
-    texts = [" ".join(f"w{i}" for i in rng.integers(0, 200_000, 6000)) for _ in range(200)] + ["hot pair " * 50, None] + ["hot pair"] * 300
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
-    back, target = lm_score.train(docs, docs.where("doc_id % 4 = 0").select("doc_id"))
-    got = {r["doc_id"]: r for r in lm_score.score(docs, back, target).where("doc_id in (0, 1, 7, 200, 201, 300)").collect()}
-    models = []
-    for step in (1, 4):
+    def counted(chosen):
         word, context, pair = Counter(), Counter(), Counter()
-        for t in texts[::step]:
-            w = (t or "").split()
+        for i in chosen:
+            w = words(texts[i])
             word.update(w)
             context.update(["", *w][:-1] if w else [])
             pair.update(zip(["", *w], w, strict=False))
-        models.append((word, context, pair))
-    size = len(models[0][0])
-    assert len(models[0][2]) > 1_100_000 and (back.vocabulary, back.pairs.count()) == (size, len(models[0][2]))
-    for i in (0, 1, 7, 200, 201, 300):
-        w = (texts[i] or "").split()
-        for (word, context, pair), name in zip(models, ("background_bits", "target_bits"), strict=True):
-            total, bits = word.total(), 0.0
+        return word, context, pair
+
+    every, target = counted(range(len(texts))), counted(good)
+    size = max(1, len(every[0]))
+    scale = target[0].total() / every[0].total() if target[0].total() else 1.0
+    out = []
+    for i, t in enumerate(texts):
+        w = words(t)
+        own = counted([i])
+        means = []
+        for model, share, mine in ((every, scale, 1), (target, 1.0, int(i in good))):
+            get = lambda kind, x: (model[kind][x] - mine * own[kind][x]) * share  # noqa: B023, E731
+            bits = 0.0
             for b, x in zip(["", *w], w, strict=False):
-                single = (word[x] + 0.1) / (total + 0.1 * size)
-                bits -= np.log2(0.7 * pair[b, x] / context[b] + 0.3 * single if context[b] else single)
-            assert got[i]["n_words"] == len(w) and got[i][name] == pytest.approx(bits / max(1, len(w)))
+                single = (get(0, x) + 0.1) / ((model[0].total() - mine * len(w)) * share + 0.1 * size)
+                bits -= np.log2((get(2, (b, x)) + 4 * single) / (get(1, b) + 4))
+            means.append(bits / max(1, len(w)))
+        out.append((len(w), means[0], means[1], means[1] - means[0]))
+    return out
+
+
+def test_lm_score_by_dictionaries(spark, monkeypatch):
+    """Many pairs, hot words, copies, empty texts, repeated and missing ids, clashing columns, in chunks and shards of several sizes."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 5_000, rng.integers(1, 600))) for _ in range(150)]
+    texts += ["hot pair " * 50, None, "", "!? it's\u00e9 x_1 ½"] + ["hot pair"] * 60 + [texts[3], texts[8]]
+    good = set(range(0, len(texts), 4))
+    want = plain_lm_scores(texts, good)
+    docs = spark.createDataFrame([(i, t, "own", i) for i, t in enumerate(texts)], "doc_id long, text string, lm_score string, is_target int")
+    ids = spark.createDataFrame([(i,) for i in [*good, 0, 4, None, 99_999]], "doc_id long")
+    for chunk, shard in ((1 << 21, 1 << 22), (3000, 20_000)):
+        monkeypatch.setattr(lm_score, "SHARD", shard)
+        monkeypatch.setattr(lm_score, "CHUNK", chunk)
+        out = lm_score.score(docs.repartition(3), ids)
+        assert out.columns == ["doc_id", "text", "is_target", "n_words", "background_bits", "target_bits", "lm_score"]
+        rows = {r["doc_id"]: r for r in out.collect()}
+        assert len(rows) == len(texts) and all(r["is_target"] == i and r["text"] == texts[i] for i, r in rows.items())
+        for i, w in enumerate(want):
+            assert tuple(rows[i][c] for c in ("n_words", "background_bits", "target_bits", "lm_score")) == pytest.approx(w)
+    twins = [want[i][3] for i in (3, 8)]
+    assert min(twins) > max(want[i][3] for i in range(150) if i not in (3, 8) and i not in good)  # a text that is there twice stands out
+
+
+def test_lm_score_of_no_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
+    none = docs.select("doc_id").limit(0)
+    assert lm_score.score(docs.limit(0), docs.select("doc_id")).count() == 0
+    assert sorted(r["n_words"] for r in lm_score.score(docs, none).collect()) == [0, 1, 2, 2]
+    assert lm_score.score(docs.where("doc_id = 2"), none).first()["lm_score"] == 0
+
+
+def test_very_long_texts_have_the_same_tokens(monkeypatch):
+    rng = random.Random(1)
+    text = "".join(rng.choice("ab !?é1") for _ in range(4000))
+    whole = chars.token_hashes([text], chars.words_and_marks())
+    monkeypatch.setattr(chars, "AT_ONCE", 64)
+    for texts in ([text], ["a", text, ""]):
+        h, at = chars.token_hashes(texts, chars.words_and_marks())
+        assert h[at[len(texts) // 2] : at[len(texts) // 2 + 1]].tolist() == whole[0].tolist() and len(at) == len(texts) + 1
 
 
 def test_bpe_matches_the_library(library):
@@ -288,6 +323,63 @@ def test_secret_spans(spark):
     assert secrets.find(docs.limit(0), secrets.train(docs.limit(0))).count() == 0
 
 
+def plain_spans(text, ratios):
+    """All spans by plain Python: the rules', and candidates that overlap none and whose transitions look drawn at random."""
+    found = base(text)
+    for m in re.finditer(secrets.CANDIDATE, text):
+        c = [ord(x) - secrets.FIRST for x in m[0]]
+        total = 0.0
+        for a, b in zip(c, c[1:], strict=False):
+            total += ratios[a * secrets.SYMBOLS + b]
+        if total >= secrets.LEAST_RATIO * (len(c) - 1) and all(m.end() <= s or e <= m.start() for s, _, e in found if _ < 3):
+            found.append((m.start(), 3, m.end()))
+    return sorted(found)
+
+
+def test_secret_models_on_held_out_samples(spark):
+    """Random strings and identifiers that the models haven't seen: precision and recall, and spans by a plain scorer."""
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    name = lambda: "_".join(rng.choice(_WORDS.split()) for _ in range(rng.randrange(4, 7)))
+    train = spark.createDataFrame([(i, f'token = "{key(40)}"' if i % 2 else ORDINARY + " ".join(name() for _ in range(20))) for i in range(600)], "doc_id long, text string")
+    ratios = secrets.train(train)
+    rows, true = [], {}
+    for i in range(300):
+        parts = [key(rng.randrange(24, 60)) if i % 3 == 0 else name() for _ in range(4)]
+        rows.append((i, " é ".join(parts) + (" secret=" + key(12) if i % 5 == 0 else "")))
+        true[i] = i % 3 == 0
+    odd = " ".join(["password=" + key(8), key(30)] * 700)  # more spans than one group of a scan
+    rows += [(300, odd), (301, key(9000)), (302, f"token={key(30)}/{key(30)}"), (303, "x" * 30), (304, "")]
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["secret_spans"]] for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()}
+    assert all(got[i] == plain_spans(t, ratios) for i, t in rows)
+    hits = [(true[i], any(k == 3 for _, k, _ in got[i])) for i in range(300)]
+    caught = sum(a and b for a, b in hits)
+    assert caught >= 0.95 * sum(a for a, _ in hits) and caught >= 0.95 * sum(b for _, b in hits)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.find(spark.createDataFrame(rows, "doc_id long, text string"), ratios)).collect()}
+    for i, t in rows:
+        out, at = [], 0
+        for s, _, e in got[i]:
+            if s >= at:
+                out.append(t[at:s])
+            at = max(at, e)
+        assert clean[i] == "[SECRET]".join([*out, t[at:]])
+
+
+def test_secret_scan_of_a_megabyte_is_linear(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choice("ABCdef0123+/xyzQRS") for _ in range(1 << 20))
+    ratios = secrets.train(spark.createDataFrame([(1, f"token={text[:200]}"), (2, ORDINARY)], "doc_id long, text string"))
+    times = []
+    for size in (1 << 18, 1 << 20):
+        df = spark.createDataFrame([(1, text[:size] + " password=abcdefgh")], "doc_id long, text string")
+        began = time.perf_counter()
+        spans = secrets.redact(secrets.find(df, ratios).where("size(secret_spans) > 1")).first()["text"]
+        times.append(time.perf_counter() - began)
+        assert spans == "[SECRET] [SECRET]"
+    assert times[1] < 60 and times[1] < 10 * times[0] + 2
+
+
 def test_warc(spark, tmp_path):
     big, small = "<p>é</p>" * 20, "x"
     pages = spark.createDataFrame([(3, "http://a", big), (1, None, big), (2, "http://b\r\nX: y", small), (5, "u", small), (4, "u", None), (6, "u", big)], "page_id long, url string, html string")

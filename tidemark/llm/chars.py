@@ -106,8 +106,27 @@ def span_hashes(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(np.add.reduceat(each, bounds)[::2] + (end - start).astype(np.uint64) * np.uint64(_STEP))
 
 
+#: Characters whose tokens are found at once.
+AT_ONCE = 1 << 21
+
+
 def token_hashes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of the texts in order, and where each text's tokens begin."""
+    """Hashes of all tokens of the texts in order, and where each text's tokens begin.
+
+    A longer text than AT_ONCE goes through in parts that end where a token does, so working arrays stay small.
+    """
+    if len(texts) == 1 and len(texts[0]) > 2 * AT_ONCE:
+        out, at = [], 0
+        while at < len(texts[0]):
+            end = at + AT_ONCE
+            while end < len(texts[0]) and table[ord(texts[0][end])] == table[ord(texts[0][end - 1])]:
+                end += 1
+            out.append(token_hashes([texts[0][at:end]], table)[0])
+            at = end
+        return np.concatenate(out), np.array([0, sum(map(len, out))], np.int64)
+    if len(texts) > 1 and sum(map(len, texts)) > 2 * AT_ONCE:
+        parts = [token_hashes([t], table)[0] for t in texts]
+        return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
     c, offsets = code_points(texts)
     start, end, _ = runs(c, offsets, table)
     return span_hashes(c, start, end), np.searchsorted(start, offsets).astype(np.int64)

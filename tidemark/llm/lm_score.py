@@ -1,4 +1,9 @@
-"""Cross-entropy difference: a target and a background word bigram model, counted exactly over one vocabulary."""
+"""Cross-entropy difference: target and background word bigram models of one vocabulary, counted exactly.
+
+Counts are looked up without a row for each pair: documents are put together in chunks, each chunk sends its distinct keys
+(words, contexts, pairs) with their counts to shards by a range of hashes, a shard adds up what it gets and answers each chunk
+with totals in the order of its keys, and the chunk's texts meet their answers. So keys are moved once and totals once.
+"""
 
 from __future__ import annotations
 
@@ -6,184 +11,199 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chars
-from tidemark.llm.common import stored, text_slices, texts_of
-
-#: What stands before a text's first word.
-START = np.uint64(0)
-#: Weight of the pair estimate against the single-word estimate.
-PAIR_WEIGHT = 0.7
-SMOOTHING = 0.1
-#: A key with more than this share of a join's rows is dealt to several tasks; there can be 1 / HOT such keys at most.
-HOT = 1 / 1024
-
-
-def events(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash of each word, that of the word before (START at a text's start), one of the pair, and text bounds."""
-    w, at = chars.token_hashes([t.lower() for t in texts], chars.words_and_marks())
-    before = np.empty_like(w)
-    if len(w):
-        before[0], before[1:] = START, w[:-1]
-        before[at[:-1][at[:-1] < len(w)]] = START
-    return w, before, _pair(w, before), at
+from tidemark.llm.common import added, stored, texts_of
 
+#: Characters of texts in one chunk, and in all texts for each shard of the counts (about); both bound what a task holds.
+CHUNK, SHARD = 1 << 21, 1 << 22
+#: What every word counts more than seen, and the weight of the single-word estimate in counts of a context.
+SMOOTHING, PRIOR = 0.1, 4.0
 
-def _pair(w: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return chars.mix(chars.mix(before) + w)
-
-
-def _summed(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that puts equal keys together, and where each run of them starts in that order."""
-    order = np.lexsort(keys)
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    return order, np.flatnonzero(new)
+WORD, CONTEXT, PAIR = np.uint64(0), np.uint64(1), np.uint64(2)
+_START = np.uint64(0x5851F42D4C957F2D)
 
 
 @dataclass
-class Model:
-    """Exact counts: pairs (before, word, n: occurrences, rows: texts of a slice with it), all of them, and words of the vocabulary."""
-
-    pairs: DataFrame
-    total: int
-    vocabulary: int
-
-
-class Counts:
-    """A small model in memory, for looking at single words."""
-
-    def __init__(self, before, word, n, vocabulary: int):
-        self.words, at = np.unique(word, return_inverse=True)
-        self.word = np.bincount(at, weights=n, minlength=len(self.words))
-        self.contexts, at = np.unique(before, return_inverse=True)
-        self.context = np.bincount(at, weights=n, minlength=len(self.contexts))
-        pair = _pair(word, before)
-        order = np.argsort(pair)
-        self.pairs, self.pair, self.vocabulary = pair[order], np.asarray(n, np.float64)[order], vocabulary
-
-    @classmethod
-    def flat(cls, model: Model) -> Counts:
-        rows = model.pairs.select("before", "word", "n").collect()
-        before, word, n = (np.array([r[c] for r in rows], np.int64) for c in ("before", "word", "n"))
-        return cls(before.view(np.uint64), word.view(np.uint64), n, model.vocabulary)
-
-    def log_loss(self, w, before, pair) -> np.ndarray:
-        """Bits of each word."""
-
-        def of(keys, counts, x):
-            at = np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1))
-            return np.where(keys[at] == x, counts[at], 0.0) if len(keys) else np.zeros(len(x))
-
-        single = (of(self.words, self.word, w) + SMOOTHING) / (self.word.sum() + SMOOTHING * self.vocabulary)
-        seen = of(self.contexts, self.context, before)
-        double = of(self.pairs, self.pair, pair) / np.maximum(seen, 1)
-        return -np.log2(np.where(seen > 0, PAIR_WEIGHT * double + (1 - PAIR_WEIGHT) * single, single))
-
-
-def _counted(batches):
-    """(before, word, n, rows) of each slice of texts; rows: in how many texts of the slice a pair is."""
-    for batch in batches:
-        texts = texts_of(batch)
-        for a, b in text_slices(texts):
-            w, before, _, at = events(texts[a:b])
-            if not len(w):
-                continue
-            doc = np.repeat(np.arange(b - a), np.diff(at))
-            order, start = _summed(doc, w, before)
-            first = np.zeros(len(w), np.int64)
-            first[start] = 1  # once for each text and pair
-            w, before = w[order], before[order]
-            new = np.ones(len(w), bool)
-            new[1:] = (w[1:] != w[:-1]) | (before[1:] != before[:-1])
-            runs = np.flatnonzero(new)
-            n, rows = np.diff(np.append(runs, len(w))), np.add.reduceat(first, runs)
-            yield pa.RecordBatch.from_arrays([pa.array(before[runs].view(np.int64)), pa.array(w[runs].view(np.int64)), pa.array(n), pa.array(rows)], names=["before", "word", "n", "rows"])
-
-
-def train(documents: DataFrame, good: DataFrame) -> tuple[Model, Model]:
-    """Counts of all documents (background) and of those whose doc_id is in good (target); whole texts count.
-
-    Each slice of texts is summed where it is read and each task sums its slices (a partial aggregate), so the tables grow with
-    the distinct pairs, and nothing but their sizes comes to the driver.
-    """
-    # the ids in good grow with the corpus: they are not broadcast
-    target = documents.select("doc_id", "text").join(good.select("doc_id").hint("merge"), "doc_id", "left_semi").select("text")
-    tables = []
-    for name, df in (("background", documents.select("text")), ("target", target)):
-        rows = df.mapInArrow(_counted, "before long, word long, n long, rows long")
-        tables.append(stored(rows.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")), name))
-    vocabulary = tables[0].select("word").distinct().count()
-    totals = [t.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for t in tables]
-    return Model(tables[0], totals[0], vocabulary), Model(tables[1], totals[1], vocabulary)
-
-
-def _met(rows: DataFrame, table: DataFrame, keys: list[str], n: DataFrame, spread: Column) -> DataFrame:
-    """rows with the columns of table, which has one row for each key. A hot key's rows are dealt to several tasks by `spread`,
-    and its row in the table goes to each of those. n: keys and how many rows each has, as a column n."""
-    total = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1, int(total * HOT))
-    hot = F.broadcast(n.where(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("parts")))  # at most 1 / HOT rows
-    own = rows.join(hot, keys, "left").withColumn("salt", F.coalesce(F.pmod(spread, F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    every = table.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return own.join(every.hint("merge"), [*keys, "salt"], "left").drop("salt")
-
-
-def _bits(n: str, word: str, seen: str, model: Model) -> Column:
-    """Bits of a word from the counts of its pair, itself and its context."""
-    n, word, seen = (F.coalesce(c, F.lit(0)) for c in (n, word, seen))
-    single = (word + SMOOTHING) / F.lit(max(model.total + SMOOTHING * model.vocabulary, SMOOTHING))
-    return -F.log2(F.when(seen > 0, PAIR_WEIGHT * n / seen + (1 - PAIR_WEIGHT) * single).otherwise(single))
-
-
-def pair_bits(background: Model, target: Model) -> DataFrame:
-    """before, word, rows, background_bits and target_bits of every pair of the background."""
-    pairs = background.pairs.withColumnRenamed("n", "nb").join(target.pairs.select("before", "word", F.col("n").alias("nt")).hint("merge"), ["before", "word"], "left")
-    pairs = stored(pairs, "pairs")
-    sums = [F.sum("nb"), F.sum("nt"), F.count("*")]
-    words = stored(pairs.groupBy("word").agg(*[s.alias(c) for s, c in zip(sums, ("wb", "wt", "n"), strict=True)]), "words")
-    contexts = stored(pairs.groupBy("before").agg(*[s.alias(c) for s, c in zip(sums, ("sb", "st", "n"), strict=True)]), "contexts")
-    found = _met(pairs, words.drop("n"), ["word"], words.select("word", "n"), F.xxhash64("before"))
-    found = _met(found, contexts.drop("n"), ["before"], contexts.select("before", "n"), F.xxhash64("word"))
-    return stored(
-        found.select("before", "word", "rows", _bits("nb", "wb", "sb", background).alias("background_bits"), _bits("nt", "wt", "st", target).alias("target_bits")), "bits"
-    )
-
-
-def _asked(batches):
-    """(text_key, before, word, n) of each text."""
-    for batch in batches:
-        texts, keys = texts_of(batch), batch.column("text_key").to_numpy()
-        for a, b in text_slices(texts):
-            w, before, _, at = events(texts[a:b])
-            doc = np.repeat(np.arange(b - a), np.diff(at))
-            order, start = _summed(w, before, doc)
-            first = order[start]
-            n = np.diff(np.append(start, len(order)))
-            columns = [pa.array(keys[a:b][doc[first]]), pa.array(before[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(columns, names=["text_key", "before", "word", "n"])
-
-
-def score(documents: DataFrame, background: Model, target: Model) -> DataFrame:
-    """documents with n_words, background_bits, target_bits (a word) and lm_score = target_bits - background_bits.
-
-    Lower is nearer to the target. A text without words has n_words 0 and 0.0 in the others. Columns of those names are replaced.
-    The background must have counted every text, as train() does; an unknown pair is an error. Rows are told apart by number,
-    so documents are stored once with it.
+class Events:
+    """The words of some texts in order, by number: of the text, the word, the word before (len(words): none) and the pair."""
+
+    text: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    pair: np.ndarray
+    keys: np.ndarray
+    words: int
+
+    def split(self, of_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each event the value of its word's, context's and pair's key."""
+        w, c = self.words, 2 * self.words + 1
+        return of_keys[:w][self.word], of_keys[w:c][self.before], of_keys[c:][self.pair]
+
+    def counts(self, weights: np.ndarray | None = None) -> np.ndarray:
+        """How often each key is there."""
+        w = self.words
+        sizes = (w, w + 1, len(self.keys) - 2 * w - 1)
+        return np.concatenate([np.bincount(x, weights, n) for x, n in zip((self.word, self.before, self.pair), sizes, strict=True)]).astype(np.int64)
+
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each event how often its word, context and pair are in its text."""
+        out = []
+        for x in (self.word, self.before, self.pair):
+            _, at, n = np.unique(self.text * (int(x.max(initial=0)) + 1) + x, return_inverse=True, return_counts=True)
+            out.append(n[at])
+        return tuple(out)
+
+
+def events(texts: list[str]) -> Events:
+    """Words are runs of letters and digits or of marks, in lower case."""
+    h, at = chars.token_hashes([t.lower() for t in texts], chars.words_and_marks())
+    text = np.repeat(np.arange(len(texts)), np.diff(at))
+    words, word = np.unique(h, return_inverse=True)
+    before = np.empty_like(word)
+    if len(h):
+        before[1:] = word[:-1]
+        before[at[:-1][at[:-1] < len(h)]] = len(words)
+    pairs, pair = np.unique(before * len(words) + word, return_inverse=True)
+    hashes = np.append(chars.mix(words), _START)
+    one, two = np.divmod(pairs, max(1, len(words)))
+    kinds = zip((hashes[:-1], chars.mix(hashes + np.uint64(1)), chars.mix(chars.mix(hashes[one]) + hashes[two])), (WORD, CONTEXT, PAIR), strict=True)
+    keys = np.concatenate([k & ~np.uint64(3) | kind for k, kind in kinds])
+    return Events(text, word, before, pair, keys, len(words))
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _small(a: np.ndarray) -> bytes:
+    """The numbers in as few bytes as the largest needs; how many follows from the length."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0)))).tobytes()
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // max(1, n)}").astype(np.int64) if n else np.empty(0, np.int64)
+
+
+def _chunks(documents: DataFrame, flag: str) -> DataFrame:
+    """(chunk, characters, docs, target): documents of about CHUNK characters as one Arrow message, and which are the target's."""
+
+    def run(batches):
+        task, number = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def packed():
+            table = pa.Table.from_batches(held)
+            docs = table.drop_columns([flag])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(docs.combine_chunks())
+            target = table.column(flag).to_numpy().astype(np.uint8).tobytes()
+            return pa.RecordBatch.from_pydict({"chunk": [task << 32 | number], "characters": [size], "docs": [sink.getvalue().to_pybytes()], "target": [target]}, schema=_CHUNK)
+
+        for batch in batches:
+            start = 0
+            for i, n in enumerate(map(len, texts_of(batch))):
+                if size and size + n > CHUNK:
+                    held.append(batch.slice(start, i - start))
+                    yield packed()
+                    held, start, size, number = [], i, 0, number + 1
+                size += n
+            held.append(batch.slice(start))
+        if sum(b.num_rows for b in held):
+            yield packed()
+
+    return documents.mapInArrow(run, "chunk long, characters long, docs binary, target binary")
+
+
+_CHUNK = pa.schema([("chunk", pa.int64()), ("characters", pa.int64()), ("docs", pa.binary()), ("target", pa.binary())])
+_ASKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
+_TOTALS = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("n", pa.binary()), ("t", pa.binary()), ("words", pa.int64()), ("total", pa.int64()), ("target_total", pa.int64())])
+
+
+def _docs(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def score(documents: DataFrame, good: DataFrame) -> DataFrame:
+    """documents with n_words, background_bits, target_bits (bits a word) and lm_score = target_bits - background_bits.
+
+    The background has counted all documents, the target those whose doc_id is in good; a document's own words are left out of
+    both while it is scored. The background's counts are scaled to the target's number of words, so that both are smoothed
+    alike. Lower is nearer to the target. A text without words has n_words 0 and 0.0 in the others. Columns of those names are
+    replaced. Whole texts count; repeated rows count as often as they are there.
     """
     documents = documents.drop("n_words", "background_bits", "target_bits", "lm_score")
-    numbered = stored(documents.withColumn("text_key", F.monotonically_increasing_id()), "numbered")
-    bits = pair_bits(background, target)
-    asks = numbered.select("text_key", "text").mapInArrow(_asked, "text_key long, before long, word long, n long")
-    found = _met(asks, bits.drop("rows"), ["before", "word"], bits.select("before", "word", F.col("rows").alias("n")), F.xxhash64("text_key"))
-    known = lambda c: F.coalesce(c, F.raise_error(F.lit("a pair that the background model hasn't counted")).cast("double"))
-    sums = found.groupBy("text_key").agg(F.sum("n").alias("n_words"), *[F.sum(F.col("n") * known(c)).alias(c) for c in ("background_bits", "target_bits")])
-    mean = {c: F.coalesce(F.col(c) / F.col("n_words"), F.lit(0.0)) for c in ("background_bits", "target_bits")}
-    out = numbered.join(sums, "text_key", "left").select(*documents.columns, F.coalesce("n_words", F.lit(0)).alias("n_words"), *[v.alias(c) for c, v in mean.items()])
-    return out.withColumn("lm_score", F.col("target_bits") - F.col("background_bits"))
+    flag = "is_target"
+    while flag in documents.columns:
+        flag += "_"
+    ids = good.select(F.col("doc_id").alias(f"{flag}_id")).where(F.col(f"{flag}_id").isNotNull()).distinct()
+    # Spark sends the ids to all tasks only where they are few
+    flagged = documents.join(ids, documents["doc_id"] == ids[f"{flag}_id"], "left").withColumn(flag, F.col(f"{flag}_id").isNotNull()).drop(f"{flag}_id")
+    chunks = stored(_chunks(flagged, flag), "chunks")
+    shards = max(1, -(-(chunks.agg(F.sum("characters")).first()[0] or 0) // SHARD))
+
+    def ask(batches):
+        for batch in batches:
+            for chunk, docs, target in zip(*(batch.column(c).to_pylist() for c in ("chunk", "docs", "target")), strict=True):
+                e = events(texts_of(_docs(docs)))
+                order = np.argsort(e.keys)
+                keys = e.keys[order]
+                n, t = e.counts()[order], e.counts(np.frombuffer(target, np.uint8)[e.text].astype(float))[order]
+                bounds = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
+                full = np.flatnonzero(np.diff(bounds)).tolist()
+                parts = [slice(bounds[s], bounds[s + 1]) for s in full]
+                columns = [full, [chunk] * len(full), [keys[p].tobytes() for p in parts], [_small(n[p]) for p in parts], [_small(t[p]) for p in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ASKED, strict=True)], schema=_ASKED)
+
+    def add(table: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("keys")]
+        size = [len(x) for x in lists]
+        keys, at = np.unique(np.concatenate(lists), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([_numbers(x, k) for x, k in zip(table.column(c).to_pylist(), size, strict=True)]), len(keys)).astype(np.int64) for c in ("n", "t")]
+        word = keys & np.uint64(3) == WORD
+        cuts = np.cumsum(size)[:-1]
+        once = [[int(x)] + [0] * (len(size) - 1) for x in (word.sum(), sums[0][word].sum(), sums[1][word].sum())]
+        answers = [[_small(x) for x in np.split(s[at], cuts)] for s in sums]
+        return pa.table([table.column("chunk"), table.column("shard"), *answers, *once], schema=_TOTALS)
+
+    asked = chunks.mapInArrow(ask, "shard int, chunk long, keys binary, n binary, t binary")
+    totals = stored(asked.groupBy("shard").applyInArrow(add, "chunk long, shard int, n binary, t binary, words long, total long, target_total long"), "totals")
+    vocabulary, total, target_total = (x or 0 for x in totals.agg(F.sum("words"), F.sum("total"), F.sum("target_total")).first())
+    scale = target_total / total if target_total else 1.0
+    schema = added(documents, n_words="long", background_bits="double", target_bits="double", lm_score="double")
+    names = schema.fieldNames()
+
+    def bits(counts, own, own_words, total: float, share: float) -> np.ndarray:
+        word, context, pair = ((c - o) * share for c, o in zip(counts, own, strict=True))
+        single = (word + SMOOTHING) / ((total - own_words) * share + SMOOTHING * max(1, vocabulary))
+        return -np.log2((pair + PRIOR * single) / (context + PRIOR))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for docs, target in zip(left.column("docs").to_pylist(), left.column("target").to_pylist(), strict=True):
+            table = _docs(docs)
+            e = events(texts_of(table))
+            order = np.argsort(e.keys)
+            size = np.bincount(_shard(e.keys, shards), minlength=shards)
+            answers = right.sort_by("shard")
+            n = np.bincount(e.text, minlength=table.num_rows)
+            own, own_n, is_target = e.own(), n[e.text], np.frombuffer(target, np.uint8)[e.text]
+            means = []
+            for column, words, share, mine in (("n", total, scale, 1), ("t", target_total, 1.0, is_target)):
+                counts = np.empty(len(order), np.int64)
+                counts[order] = np.concatenate([_numbers(x, size[s]) for x, s in zip(answers.column(column).to_pylist(), answers.column("shard").to_pylist(), strict=True)])
+                each = bits(e.split(counts), [o * mine for o in own], own_n * mine, words, share)
+                means.append(np.bincount(e.text, each, table.num_rows) / np.maximum(n, 1))
+            columns = [*table.columns, pa.array(n, pa.int64()), *map(pa.array, means), pa.array(means[1] - means[0])]
+            out.append(pa.table(columns, names=names))
+        return pa.concat_tables(out)
+
+    return chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(compare, schema)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +213,4 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    background, target = train(documents, good)
-    return score(documents, background, target).drop("text")
+    return score(documents, labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")).drop("text")

@@ -1,7 +1,7 @@
 """Secret scan: rule-based spans, and spans whose characters look drawn at random rather than written as identifiers.
 
 Two first-order character Markov models, one of values that the rules find (random strings) and one of ordinary words, give
-a log-likelihood ratio. Everything runs as SQL expressions.
+a log-likelihood ratio. Everything runs as SQL expressions, in time proportional to a text's length and its number of spans.
 """
 
 from __future__ import annotations
@@ -41,22 +41,52 @@ def _of_kind(k: int):
     return lambda s: s["kind"] == k
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once although use may name it often."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Rows that one array grows by, and characters that are taken apart at once.
+GROUP, PIECE = 256, 4096
+
+
+def _scanned(rows: Column, state: Column, step, out: str) -> Column:
+    """step(state, row) -> (state, array of results) over all rows in order: the results, `out` by type.
+
+    An array grows by one copy a row, so rows go in groups of GROUP, and the groups' results are put together at the end.
+    """
+
+    def inside(acc: Column, row: Column) -> Column:
+        now, more = step(acc["state"], row)
+        return F.struct(now.alias("state"), F.concat(acc["out"], more).alias("out"))
+
+    def over(r: Column) -> Column:
+        def group(acc: Column, k: Column) -> Column:
+            zero = F.struct(acc["state"].alias("state"), F.array().cast(out).alias("out"))
+            return F.aggregate(F.slice(r, k * GROUP + 1, F.lit(GROUP)), zero, inside, lambda g: F.struct(g["state"].alias("state"), F.concat(acc["out"], F.array(g["out"])).alias("out")))
+
+        groups = F.sequence(F.lit(0), F.floor((F.size(r) - 1) / GROUP).cast("int"))
+        zero = F.struct(state.alias("state"), F.array().cast(f"array<{out}>").alias("out"))
+        return F.when(F.size(r) > 0, F.flatten(F.aggregate(groups, zero, group, lambda acc: acc["out"]))).otherwise(F.array().cast(out))
+
+    return _bound(rows, over)
+
+
 def _spans(text: Column, pattern: str, kind: int, keep, group: int = 0) -> Column:
     """Spans of leftmost non-overlapping matches for which keep(group's text) holds, in code points."""
     p = F.lit(pattern)
     hits = F.regexp_extract_all(text, p, F.lit(0))
-    values = F.regexp_extract_all(text, p, F.lit(group)) if group else hits
-    rows = F.arrays_zip(hits.alias("hit"), values.alias("value"), F.slice(F.split(text, pattern), 1, F.size(hits)).alias("gap"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        own = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(keep(x["value"]), F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+    def rows(h: Column) -> Column:
+        values = F.regexp_extract_all(text, p, F.lit(group)) if group else h
+        return F.arrays_zip(F.transform(h, F.length).alias("hit"), F.transform(values, keep).alias("keep"), F.transform(F.slice(F.split(text, pattern), 1, F.size(h)), F.length).alias("gap"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    found = F.aggregate(rows, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
+        own = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["hit"]).alias("end")))
+        return start + x["hit"], F.when(x["keep"], own).otherwise(F.array().cast(SPAN))
+
+    return F.when(text.rlike(pattern), _scanned(_bound(hits, rows), F.lit(0), step, SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -65,14 +95,20 @@ def base_spans(text: Column) -> Column:
     return F.concat(*own)
 
 
-def _cell(word: Column, i: Column) -> Column:
-    return (F.ascii(F.substring(word, i, F.lit(1))) - FIRST) * SYMBOLS + F.ascii(F.substring(word, i + 1, F.lit(1))) - FIRST
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cells(piece: Column) -> Column:
+    """The number of each pair of characters that follow one another."""
+    codes = F.transform(F.split(piece, ""), lambda c: F.ascii(c) - FIRST)
+    return _bound(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: a * SYMBOLS + b))
 
 
 def _transitions(words: DataFrame) -> dict[int, int]:
     """How often each pair of characters follows one another in the column `word`: SYMBOLS squared numbers at most."""
-    long = words.where(F.length("word") >= 2).select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i"))
-    cells = long.select(_cell(F.col("word"), F.col("i")).alias("cell"))
+    pieces = words.select(F.explode(_pieces(F.col("word"))).alias("piece")).where(F.length("piece") >= 2)
+    cells = pieces.select(F.explode(_cells(F.col("piece"))).alias("cell"))
     return {r["cell"]: r["n"] for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}
 
 
@@ -103,13 +139,36 @@ def markov_spans(text: Column, ratios: list[float]) -> Column:
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")  # folded to a constant
 
     def random(word: Column) -> Column:
-        at = F.sequence(F.lit(1), F.length(word) - 1)
-        total = F.aggregate(at, F.lit(0.0), lambda acc, i: acc + F.element_at(table, _cell(word, i) + 1))
-        return total >= LEAST_RATIO * (F.length(word) - 1)
+        def add(acc: Column, piece: Column) -> Column:
+            cells = _cells(F.concat(acc["last"], piece))
+            ratio = F.aggregate(cells, acc["sum"], lambda total, cell: total + F.element_at(table, cell + 1))
+            return F.struct(ratio.alias("sum"), F.substring(piece, -1, 1).alias("last"))
+
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit("").alias("last"))
+        return F.aggregate(_pieces(word), zero, add, lambda acc: acc["sum"]) >= LEAST_RATIO * (F.length(word) - 1)
 
     return _spans(text, CANDIDATE, len(RULES), random)
 
 
+def _apart(base: Column, more: Column) -> Column:
+    """Spans of more that overlap none of base: one pass each way over both in order."""
+    marked = "array<struct<start:int,kind:int,end:int,bad:boolean>>"
+    is_base = lambda s: s["kind"] < len(RULES)
+
+    def forward(end: Column, s: Column) -> tuple[Column, Column]:
+        own = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), (end > s["start"]).alias("bad"))
+        return F.when(is_base(s), F.greatest(end, s["end"])).otherwise(end), F.array(own)
+
+    def backward(start: Column, s: Column) -> tuple[Column, Column]:
+        keep = ~is_base(s) & ~s["bad"] & (start >= s["end"])
+        own = F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+        return F.when(is_base(s), s["start"]).otherwise(start), F.when(keep, own).otherwise(F.array().cast(SPAN))
+
+    one = _scanned(F.array_sort(F.concat(base, more)), F.lit(0), forward, marked)
+    two = _scanned(F.reverse(one), F.lit((1 << 31) - 1), backward, SPAN)
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), two).otherwise(more)
+
+
 def find(documents: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
     """documents with `secret_spans`, by start and then kind (a number into KINDS), end exclusive; a column of that name is replaced.
 
@@ -118,21 +177,30 @@ def find(documents: DataFrame, ratios: list[float], text: str = "text") -> DataF
     documents = documents.drop("secret_spans", "_base", "_more")
     whole = F.coalesce(F.col(text), F.lit(""))
     found = documents.withColumns({"_base": base_spans(whole), "_more": markov_spans(whole, ratios)})
-    new = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn("secret_spans", F.array_sort(F.concat("_base", new))).drop("_base", "_more")
+    return found.withColumn("secret_spans", F.array_sort(F.concat("_base", _apart(F.col("_base"), F.col("_more"))))).drop("_base", "_more")
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataFrame:
     """Puts `mark` in the place of secret_spans (overlapping ones as one) and drops them; other texts stay as they are."""
+    gap = "array<struct<from:int,to:int>>"
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        own = F.array(F.struct(at.alias("from"), s["start"].alias("to")))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, own).otherwise(F.array().cast(gap))
+
+    end = F.length(F.col(text))
+    last = F.struct(end.alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"))
+    gaps = _scanned(F.concat("secret_spans", F.array(last)), F.lit(0), step, gap)
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
-        more = F.concat(acc["out"], before, F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+    def between(pieces: Column, g: Column) -> Column:
+        a, b = g["from"], g["to"]
+        # from a piece, so that no call walks through the text from its start
+        part = lambda k: F.substring(pieces[k], F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(b - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0)))
+        number = lambda x: F.floor(x / PIECE).cast("int")
+        return F.when(b > a, F.array_join(F.transform(F.sequence(number(a), number(b - 1)), part), "")).otherwise("")
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate("secret_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return documents.withColumn(text, F.when(F.size("secret_spans") > 0, rest).otherwise(F.col(text))).drop("secret_spans")
+    clean = _bound(_pieces(F.col(text)), lambda pieces: F.array_join(F.transform(gaps, lambda g: between(pieces, g)), mark))
+    return documents.withColumn(text, F.when(F.size("secret_spans") > 0, clean).otherwise(F.col(text))).drop("secret_spans")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
