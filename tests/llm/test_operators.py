@@ -369,7 +369,7 @@ def test_secret_models_on_held_out_samples(spark):
 def test_secret_scan_of_a_megabyte_is_linear(spark):
     rng = random.Random(6)
     text = "".join(rng.choice("ABCdef0123+/xyzQRS") for _ in range(1 << 20))
-    ratios = secrets.train(spark.createDataFrame([(1, f"token={text[:200]}"), (2, ORDINARY)], "doc_id long, text string"))
+    ratios = secrets.train(spark.createDataFrame([(i, f"token={text[200 * i : 200 * i + 200]}" if i % 2 else ORDINARY) for i in range(200)], "doc_id long, text string"))
     times = []
     for size in (1 << 18, 1 << 20):
         df = spark.createDataFrame([(1, text[:size] + " password=abcdefgh")], "doc_id long, text string")
