@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,13 +18,24 @@ FAN_IN = 32
 SLICE = 1 << 14
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        shared_dir.own = base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below spark.checkpoint.dir; where that is unset, below the warehouse, which executors share too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-scratch"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes what shared_dir() has named since then (a length of its list), but for `keep`. Nothing may read those any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in [p for p in _made[since:] if p not in keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _made.remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
