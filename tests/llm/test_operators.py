@@ -111,7 +111,7 @@ def plain_lm_scores(texts, good):
         for i in chosen:
             w = words(texts[i])
             word.update(w)
-            context.update(["", *w][:-1] if w else [])
+            context.update(["", *w] if w else [])
             pair.update(zip(["", *w], w, strict=False))
         return word, context, pair
 

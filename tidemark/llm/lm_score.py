@@ -1,12 +1,16 @@
 """Cross-entropy difference: target and background word bigram models of one vocabulary, counted exactly.
 
 Counts are looked up without a row for each pair: documents are put together in chunks, each chunk sends its distinct keys
-(words, contexts, pairs) with their counts to shards by a range of hashes, a shard adds up what it gets and answers each chunk
+(words and pairs) with their counts to shards by a range of hashes, a shard adds up what it gets and answers each chunk
 with totals in the order of its keys, and the chunk's texts meet their answers. So keys are moved once and totals once.
+
+A key is its shard and 40 more bits of a hash; shards grow with the texts, so one key in about a million shares its counts
+with another, at any size.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,13 +27,15 @@ CHUNK, SHARD = 1 << 21, 1 << 22
 #: What every word counts more than seen, and the weight of the single-word estimate in counts of a context.
 SMOOTHING, PRIOR = 0.1, 4.0
 
-WORD, CONTEXT, PAIR = np.uint64(0), np.uint64(1), np.uint64(2)
+#: Bytes of a key besides its shard.
+KEY_BYTES = 5
 _START = np.uint64(0x5851F42D4C957F2D)
 
 
 @dataclass
 class Events:
-    """The words of some texts in order, by number: of the text, the word, the word before (len(words): none) and the pair."""
+    """The words of some texts in order, by number: of the text, the word, the word before and the pair. Word 0 stands before
+    a text's first word. A word's count as one before another takes in that the text ends there."""
 
     text: np.ndarray
     word: np.ndarray
@@ -37,25 +43,29 @@ class Events:
     pair: np.ndarray
     keys: np.ndarray
     words: int
+    begun: np.ndarray
 
     def split(self, of_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each event the value of its word's, context's and pair's key."""
-        w, c = self.words, 2 * self.words + 1
-        return of_keys[:w][self.word], of_keys[w:c][self.before], of_keys[c:][self.pair]
+        """For each event the value of its word's, the word before's and the pair's key."""
+        w = of_keys[: self.words]
+        return w[self.word], w[self.before], of_keys[self.words :][self.pair]
 
-    def counts(self, weights: np.ndarray | None = None) -> np.ndarray:
-        """How often each key is there."""
-        w = self.words
-        sizes = (w, w + 1, len(self.keys) - 2 * w - 1)
-        return np.concatenate([np.bincount(x, weights, n) for x, n in zip((self.word, self.before, self.pair), sizes, strict=True)]).astype(np.int64)
+    def counts(self, of_texts: np.ndarray) -> np.ndarray:
+        """How often each key is there; a text's count as often as of_texts says."""
+        weights = of_texts[self.text]
+        out = np.concatenate([np.bincount(self.word, weights, self.words), np.bincount(self.pair, weights, len(self.keys) - self.words)])
+        out[0] = of_texts[self.begun].sum()
+        return out.astype(np.int64)
 
     def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each event how often its word, context and pair are in its text."""
-        out = []
-        for x in (self.word, self.before, self.pair):
-            _, at, n = np.unique(self.text * (int(x.max(initial=0)) + 1) + x, return_inverse=True, return_counts=True)
-            out.append(n[at])
-        return tuple(out)
+        """For each event how often its word, the word before and the pair are in its text."""
+        _, at, n = np.unique(self.text * self.words + self.word, return_inverse=True, return_counts=True)
+        word = n[at]
+        _, at, n = np.unique(self.text * (int(self.pair.max(initial=0)) + 1) + self.pair, return_inverse=True, return_counts=True)
+        before = np.ones_like(word)
+        later = self.before > 0
+        before[later] = word[np.flatnonzero(later) - 1]
+        return word, before, n[at]
 
 
 def events(texts: list[str]) -> Events:
@@ -63,33 +73,47 @@ def events(texts: list[str]) -> Events:
     h, at = chars.token_hashes([t.lower() for t in texts], chars.words_and_marks())
     text = np.repeat(np.arange(len(texts)), np.diff(at))
     words, word = np.unique(h, return_inverse=True)
-    before = np.empty_like(word)
+    word = word + 1
+    before = np.zeros_like(word)
+    begun = np.flatnonzero(np.diff(at))
     if len(h):
         before[1:] = word[:-1]
-        before[at[:-1][at[:-1] < len(h)]] = len(words)
-    pairs, pair = np.unique(before * len(words) + word, return_inverse=True)
-    hashes = np.append(chars.mix(words), _START)
-    one, two = np.divmod(pairs, max(1, len(words)))
-    kinds = zip((hashes[:-1], chars.mix(hashes + np.uint64(1)), chars.mix(chars.mix(hashes[one]) + hashes[two])), (WORD, CONTEXT, PAIR), strict=True)
-    keys = np.concatenate([k & ~np.uint64(3) | kind for k, kind in kinds])
-    return Events(text, word, before, pair, keys, len(words))
+        before[at[:-1][begun]] = 0
+    hashes = np.append(_START, chars.mix(words))
+    pairs, pair = np.unique(before * len(hashes) + word, return_inverse=True)
+    one, two = np.divmod(pairs, len(hashes))
+    keys = np.concatenate([hashes & ~np.uint64(1), chars.mix(chars.mix(hashes[one]) + hashes[two]) | np.uint64(1)])
+    return Events(text, word, before, pair, keys, len(hashes), begun)
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _small(a: np.ndarray) -> bytes:
-    """The numbers in as few bytes as the largest needs; how many follows from the length."""
-    return a.astype(np.min_scalar_type(int(a.max(initial=0)))).tobytes()
+def _cut(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _uncut(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8")[:, 0]
 
 
-def _numbers(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // max(1, n)}").astype(np.int64) if n else np.empty(0, np.int64)
+def _packed(a: np.ndarray) -> bytes:
+    """Counts, most of which are small: a byte each, and those from 255 on once more."""
+    return zlib.compress(np.minimum(a, 255).astype(np.uint8).tobytes() + a[a >= 255].astype("<i8").tobytes(), 1)
 
 
-def _chunks(documents: DataFrame, flag: str) -> DataFrame:
-    """(chunk, characters, docs, target): documents of about CHUNK characters as one Arrow message, and which are the target's."""
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    data = zlib.decompress(data)
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
+    return out
+
+
+def _chunks(documents: DataFrame) -> DataFrame:
+    """(chunk, characters, ids, docs): documents of about CHUNK characters as one Arrow message, and their ids."""
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
@@ -97,13 +121,13 @@ def _chunks(documents: DataFrame, flag: str) -> DataFrame:
         size = 0
 
         def packed():
-            table = pa.Table.from_batches(held)
-            docs = table.drop_columns([flag])
+            docs = pa.Table.from_batches(held).combine_chunks()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(docs.combine_chunks())
-            target = table.column(flag).to_numpy().astype(np.uint8).tobytes()
-            return pa.RecordBatch.from_pydict({"chunk": [task << 32 | number], "characters": [size], "docs": [sink.getvalue().to_pybytes()], "target": [target]}, schema=_CHUNK)
+                w.write_table(docs)
+            ids = docs.column("doc_id").combine_chunks()
+            columns = [pa.array([task << 32 | number]), pa.array([size], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([sink.getvalue().to_pybytes()])]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "characters", "ids", "docs"])
 
         for batch in batches:
             start = 0
@@ -117,10 +141,15 @@ def _chunks(documents: DataFrame, flag: str) -> DataFrame:
         if sum(b.num_rows for b in held):
             yield packed()
 
-    return documents.mapInArrow(run, "chunk long, characters long, docs binary, target binary")
+    return documents.mapInArrow(run, f"chunk long, characters long, ids array<{documents.schema['doc_id'].dataType.simpleString()}>, docs binary")
+
+
+def _target(rows: int, places: list[int] | None) -> np.ndarray:
+    out = np.zeros(rows)
+    out[places or []] = 1
+    return out
 
 
-_CHUNK = pa.schema([("chunk", pa.int64()), ("characters", pa.int64()), ("docs", pa.binary()), ("target", pa.binary())])
 _ASKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
 _TOTALS = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("n", pa.binary()), ("t", pa.binary()), ("words", pa.int64()), ("total", pa.int64()), ("target_total", pa.int64())])
 
@@ -138,40 +167,40 @@ def score(documents: DataFrame, good: DataFrame) -> DataFrame:
     replaced. Whole texts count; repeated rows count as often as they are there.
     """
     documents = documents.drop("n_words", "background_bits", "target_bits", "lm_score")
-    flag = "is_target"
-    while flag in documents.columns:
-        flag += "_"
-    ids = good.select(F.col("doc_id").alias(f"{flag}_id")).where(F.col(f"{flag}_id").isNotNull()).distinct()
-    # Spark sends the ids to all tasks only where they are few
-    flagged = documents.join(ids, documents["doc_id"] == ids[f"{flag}_id"], "left").withColumn(flag, F.col(f"{flag}_id").isNotNull()).drop(f"{flag}_id")
-    chunks = stored(_chunks(flagged, flag), "chunks")
+    chunks = stored(_chunks(documents), "chunks")
+    # ids alone are joined; of each chunk's documents the places of the target's, so that Spark knows how little that is
+    ids = chunks.select("chunk", F.posexplode("ids").alias("place", "doc_id")).where("doc_id is not null")
+    wanted = good.select("doc_id").where("doc_id is not null").distinct()
+    places = stored(ids.join(wanted, "doc_id", "left_semi").groupBy("chunk").agg(F.sort_array(F.collect_list("place")).alias("target")), "target")
+    marked = chunks.drop("ids").join(places, "chunk", "left")
     shards = max(1, -(-(chunks.agg(F.sum("characters")).first()[0] or 0) // SHARD))
 
     def ask(batches):
         for batch in batches:
             for chunk, docs, target in zip(*(batch.column(c).to_pylist() for c in ("chunk", "docs", "target")), strict=True):
-                e = events(texts_of(_docs(docs)))
+                table = _docs(docs)
+                e = events(texts_of(table))
                 order = np.argsort(e.keys)
                 keys = e.keys[order]
-                n, t = e.counts()[order], e.counts(np.frombuffer(target, np.uint8)[e.text].astype(float))[order]
+                n, t = e.counts(np.ones(table.num_rows))[order], e.counts(_target(table.num_rows, target))[order]
                 bounds = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
                 full = np.flatnonzero(np.diff(bounds)).tolist()
                 parts = [slice(bounds[s], bounds[s + 1]) for s in full]
-                columns = [full, [chunk] * len(full), [keys[p].tobytes() for p in parts], [_small(n[p]) for p in parts], [_small(t[p]) for p in parts]]
+                columns = [full, [chunk] * len(full), [_cut(keys[p]) for p in parts], [_packed(n[p]) for p in parts], [_packed(t[p]) for p in parts]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ASKED, strict=True)], schema=_ASKED)
 
     def add(table: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("keys")]
+        lists = [_uncut(x) for x in table.column("keys").to_pylist()]
         size = [len(x) for x in lists]
         keys, at = np.unique(np.concatenate(lists), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([_numbers(x, k) for x, k in zip(table.column(c).to_pylist(), size, strict=True)]), len(keys)).astype(np.int64) for c in ("n", "t")]
-        word = keys & np.uint64(3) == WORD
+        sums = [np.bincount(at, np.concatenate([_unpacked(x, k) for x, k in zip(table.column(c).to_pylist(), size, strict=True)]), len(keys)).astype(np.int64) for c in ("n", "t")]
+        word = (keys & np.uint64(1) == 0) & (keys != _uncut(_cut(np.array([_START & ~np.uint64(1)])))[0])
         cuts = np.cumsum(size)[:-1]
         once = [[int(x)] + [0] * (len(size) - 1) for x in (word.sum(), sums[0][word].sum(), sums[1][word].sum())]
-        answers = [[_small(x) for x in np.split(s[at], cuts)] for s in sums]
+        answers = [[_packed(x) for x in np.split(s[at], cuts)] for s in sums]
         return pa.table([table.column("chunk"), table.column("shard"), *answers, *once], schema=_TOTALS)
 
-    asked = chunks.mapInArrow(ask, "shard int, chunk long, keys binary, n binary, t binary")
+    asked = marked.mapInArrow(ask, "shard int, chunk long, keys binary, n binary, t binary")
     totals = stored(asked.groupBy("shard").applyInArrow(add, "chunk long, shard int, n binary, t binary, words long, total long, target_total long"), "totals")
     vocabulary, total, target_total = (x or 0 for x in totals.agg(F.sum("words"), F.sum("total"), F.sum("target_total")).first())
     scale = target_total / total if target_total else 1.0
@@ -179,9 +208,9 @@ def score(documents: DataFrame, good: DataFrame) -> DataFrame:
     names = schema.fieldNames()
 
     def bits(counts, own, own_words, total: float, share: float) -> np.ndarray:
-        word, context, pair = ((c - o) * share for c, o in zip(counts, own, strict=True))
+        word, before, pair = ((c - o) * share for c, o in zip(counts, own, strict=True))
         single = (word + SMOOTHING) / ((total - own_words) * share + SMOOTHING * max(1, vocabulary))
-        return -np.log2((pair + PRIOR * single) / (context + PRIOR))
+        return -np.log2((pair + PRIOR * single) / (before + PRIOR))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -192,18 +221,18 @@ def score(documents: DataFrame, good: DataFrame) -> DataFrame:
             size = np.bincount(_shard(e.keys, shards), minlength=shards)
             answers = right.sort_by("shard")
             n = np.bincount(e.text, minlength=table.num_rows)
-            own, own_n, is_target = e.own(), n[e.text], np.frombuffer(target, np.uint8)[e.text]
+            own, own_n, is_target = e.own(), n[e.text], _target(table.num_rows, target)[e.text]
             means = []
             for column, words, share, mine in (("n", total, scale, 1), ("t", target_total, 1.0, is_target)):
                 counts = np.empty(len(order), np.int64)
-                counts[order] = np.concatenate([_numbers(x, size[s]) for x, s in zip(answers.column(column).to_pylist(), answers.column("shard").to_pylist(), strict=True)])
+                counts[order] = np.concatenate([_unpacked(x, size[s]) for x, s in zip(answers.column(column).to_pylist(), answers.column("shard").to_pylist(), strict=True)])
                 each = bits(e.split(counts), [o * mine for o in own], own_n * mine, words, share)
                 means.append(np.bincount(e.text, each, table.num_rows) / np.maximum(n, 1))
             columns = [*table.columns, pa.array(n, pa.int64()), *map(pa.array, means), pa.array(means[1] - means[0])]
             out.append(pa.table(columns, names=names))
         return pa.concat_tables(out)
 
-    return chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(compare, schema)
+    return marked.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(compare, schema)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
