@@ -1,6 +1,7 @@
 """Corpus operators against brute force, exact round trips and held-out accuracy, and with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -57,6 +58,36 @@ def test_quality_of_odd_rows(spark, odd):
     assert (quality.train(odd, labels.limit(0)) == 0).all()
 
 
+def test_quality_training_by_dictionaries():
+    """The vectorised learner against per-coordinate updates written out with dictionaries."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words[: 40 if y else 60]) for _ in range(rng.randrange(0, 30))) for y in (0, 1) * 40] + ["a a a a b"]
+    labels = [float(i % 2) for i in range(len(texts))]
+    model = quality.Ftrl()
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.02 else -(z[i] - math.copysign(0.02, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.3 + 0.1)
+
+    def vector(t):
+        i, _ = quality.features([t])
+        return {**{k: c / math.sqrt(max(1, len(i))) for k, c in Counter(i.tolist()).items()}, quality.BUCKETS: 1.0}
+
+    for t, y in zip(texts, labels, strict=True):
+        model.learn(quality.features([t])[0], y)
+        x = vector(t)
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+        steps = [(i, (p - y) * v, weight(i)) for i, v in x.items()]
+        for i, g, w in steps:
+            s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.3
+            z[i] += g - s * w
+            n[i] += g * g
+    assert all(model.weights()[i] == pytest.approx(weight(i), abs=1e-9) for i in z)
+    got = quality.scores(texts, model.weights())
+    assert got == pytest.approx([1 / (1 + math.exp(-sum(weight(i) * v for i, v in vector(t).items()))) for t in texts])
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = language.op9_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -29,3 +29,19 @@ def test_stages(spark):
             assert docs.where("n_chars <> length(text)").count() == 0
     assert sizes[0] > sizes[1] >= sizes[2] > sizes[3] == sizes[4] <= sizes[5]
     assert {"doc_id", "sequence_id", "offset"} <= set(docs.columns)
+
+
+def test_repeated_ids_and_no_rows(spark, tmp_path):
+    """Texts of one doc_id are documents of their own, exact repetitions are one, and an empty table goes through."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    near = dict(corpus_pipeline.STAGES)["near copies"]
+    one, two = "the first text of this id has its own words and no more", "another text that shares nothing with what stands above"
+    rows = docs.limit(0).unionByName(
+        spark.createDataFrame([(1, one, 11), (1, two, 12), (1, two, 12), (2, one, 13), (3, None, 14), (None, one, 15)], "doc_id long, text string, t1 int"), allowMissingColumns=True
+    )
+    out = near(spark, rows, SF)
+    assert out.columns == rows.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["t1"]) for r in out.collect())
+    assert got == sorted([(1, one, 11), (1, two, 12), (3, "", 14), (0, one, 15)])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name

@@ -29,10 +29,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Deletes what shared_dir() has named since then (a length of its list), but for `keep`. Nothing may read those any more."""
+def made() -> int:
+    """How many paths shared_dir() has named so far."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Deletes what shared_dir() has named since then (all but the last, if so). Nothing may read those any more."""
     conf = spark._jsc.hadoopConfiguration()
-    for path in [p for p in _made[since:] if p not in keep]:
+    for path in _made[since : -1 if keep_last else None]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
         _made.remove(path)
