@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, near_copies, packing, quality, secrets
+from tidemark.llm import common, language, near_copies, packing, quality, secrets
 from tidemark.llm.common import stored
 
 #: Documents below these scores go.
@@ -89,8 +89,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table `documents`."""
+    """All stages over the table `documents`. What a stage needed besides its result is deleted after it."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    began = common.made()
     for name, stage in STAGES:
         documents = stored(stage(spark, documents, sf_dir), name.replace(" ", "-"))
+        common.release(spark, began, keep_last=True)
     return documents
