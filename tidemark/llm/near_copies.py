@@ -2,8 +2,8 @@
 
 A set is a text's word shingles. Each run starts one path for all sets; a node of a path chooses some of the HASHES min-wise
 coordinates by a hash of the node alone, and a set goes on to a child for each chosen coordinate and its own value there, so
-sets part unless they agree. A bucket of LEAF sets or fewer, one that keeps SAME of the bucket that it comes from (its sets are
-alike, so that its pairs are about as many as its links), and whatever is left after DEPTH rounds, is compared outright.
+sets part unless they agree. A bucket of LEAF sets or fewer, one most of whose sets agree in two more coordinates (so that its
+pairs are about as many as its links), and whatever is left after DEPTH rounds, is compared outright.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Min-wise coordinates of a set.
 HASHES = 64
-LEAF, DEPTH, SAME = 64, 4, 0.7
+LEAF, DEPTH, SAME = 64, 4, 0.6
 #: Share of pairs at the threshold that may be missed, also in buckets that go through all rounds.
 MISSED = 1e-4
 
@@ -107,6 +107,13 @@ def children(path: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, chars.mix(pick[row, col] ^ chars.mix(sketch[row, col].astype(np.uint64) + np.uint64(1)))
 
 
+def probes(path: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """A hash of each row's values in two coordinates that are the same for all sets of a bucket."""
+    row = np.arange(len(path))
+    one, two = (sketch[row, ((path >> np.uint64(s)) % np.uint64(HASHES)).astype(np.int64)].astype(np.uint64) for s in (9, 31))
+    return (chars.mix(one * np.uint64(3) + chars.mix(two)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _sketch(batch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, HASHES)
 
@@ -140,7 +147,7 @@ def keyed(documents: DataFrame, *others: str) -> DataFrame:
 
 def buckets(sets: DataFrame) -> DataFrame:
     """(path, rep) of sets that share a final bucket with another one."""
-    schema = "path long, rep long, parent long"
+    schema = "path long, rep long, probe int"
 
     def split(roots: bool):
         def run(batches):
@@ -152,27 +159,30 @@ def buckets(sets: DataFrame) -> DataFrame:
                 for start in starts:
                     path = np.full(len(sk), start, np.uint64) if roots else batch.column("path").to_numpy().view(np.uint64)
                     row, child = children(path, sk)
-                    parent = pa.nulls(len(row), pa.int64()) if roots else batch.column("n").take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("rep").take(pa.array(row)), parent], names=["path", "rep", "parent"])
+                    columns = [pa.array(child.view(np.int64)), batch.column("rep").take(pa.array(row)), pa.array(probes(child, sk[row]))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "rep", "probe"])
 
         return run
 
     now, out = sets.select("rep", "sketch").mapInArrow(split(True), schema), []
     for depth in range(1, DEPTH + 1):
         paths = stored(now, "paths")
-        # stored first: what is left is small, or meets the paths in a join of two plain tables, whose hot keys Spark can split
+        # stored first, so that the paths meet it in a join of two plain tables, whose hot keys Spark can split
         count = stored(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-        shared = stored(paths.join(count, "path"), "shared")
-        last = (F.col("n") <= LEAF) | F.coalesce(F.col("n") >= SAME * F.col("parent"), F.lit(False)) if depth < DEPTH else F.lit(True)
-        out.append(shared.where(last))
-        more = shared.where(~last).select("path", "rep", "n")
-        if depth == DEPTH or more.isEmpty():
+        shared = stored(paths.join(count.hint("merge"), "path"), "shared")
+        large = shared.where(F.col("n") > LEAF)
+        if depth == DEPTH or large.isEmpty():
+            out.append(shared)
             break
-        now = more.join(sets.select("rep", "sketch"), "rep").select("path", "rep", "n", "sketch").mapInArrow(split(False), schema)
-    found = out[0]
+        alike = large.groupBy("path", "n", "probe").agg(F.count("*").alias("top")).groupBy("path", "n").agg(F.max("top").alias("top"))
+        split_again = stored(alike.where(F.col("top") < SAME * F.col("n")).select("path"), "split")
+        out += [shared.where(F.col("n") <= LEAF), large.join(split_again, "path", "left_anti")]
+        more = large.join(split_again, "path", "left_semi").select("path", "rep")
+        now = more.join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch").mapInArrow(split(False), schema)
+    found = out[0].select("path", "rep")
     for x in out[1:]:
-        found = found.unionByName(x)
-    return found.select("path", "rep")
+        found = found.unionByName(x.select("path", "rep"))
+    return found
 
 
 def _grid(rows: DataFrame) -> DataFrame:
