@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import BY, running
+from tidemark.operators.windows import BY, running, settled
 
 
 def asof_join(
@@ -105,21 +105,25 @@ def differences(a: DataFrame, b: DataFrame, keys: Iterable[str]) -> DataFrame:
     return out.withColumn("side", side).where("side <> 'both' or fields <> ''").select(*keys, "side", "fields")
 
 
-def cross_rates(pairs: DataFrame, hops: int = 3) -> DataFrame:
-    """(base, quote, rate, path) between currencies through at most `hops` quoted pairs (base, quote, bid, ask, as MID).
+def cross_rates(pairs: DataFrame, price_types: Iterable[str] = ("BID", "ASK", "MID")) -> DataFrame:
+    """(price_type, base, quote, rate, path) between all currencies that quoted pairs (base, quote, bid, ask) lead to.
 
-    Each pair counts both ways; prices that aren't positive count for nothing. Of several paths the shortest, then the first
-    by name, stays. The table has a row for each pair of currencies at most.
+    A pair counts both ways, the other way as 1 / rate; prices that aren't positive count for nothing. Where one pair is quoted
+    more than once (or from either side), the larger rate counts. Of several paths the shortest, then the first by name, stays.
+    Each round puts two paths together, so paths double; the table never has more than a row for two currencies.
     """
-    good = pairs.where("bid > 0 and ask > 0").select("base", "quote", ((F.col("bid") + F.col("ask")) / 2).alias("rate"))
-    edges = good.unionByName(good.select(F.col("quote").alias("base"), F.col("base").alias("quote"), (1 / F.col("rate")).alias("rate")))
-    edges = edges.groupBy("base", "quote").agg(F.max("rate").alias("rate"))
-    step = edges.select(F.col("base").alias("quote"), F.col("quote").alias("_to"), F.col("rate").alias("_r"))
-    now = edges.withColumns({"path": F.concat_ws(">", "base", "quote"), "hops": F.lit(1)})
-    all_paths = now
-    for n in range(2, hops + 1):
-        now = now.join(step, "quote").where(F.col("_to") != F.col("base")).where(~F.array_contains(F.split("path", ">"), F.col("_to")))
-        now = now.select("base", F.col("_to").alias("quote"), (F.col("rate") * F.col("_r")).alias("rate"), F.concat_ws(">", "path", "_to").alias("path"), F.lit(n).alias("hops"))
-        all_paths = all_paths.unionByName(now)
-    best = all_paths.groupBy("base", "quote").agg(F.min_by(F.struct("rate", "path"), F.struct("hops", "path")).alias("x"))
-    return best.select("base", "quote", "x.rate", "x.path")
+    rate = {"BID": F.col("bid"), "ASK": F.col("ask"), "MID": (F.col("bid") + F.col("ask")) / 2}
+    kinds = F.array(*[F.struct(F.lit(t).alias("price_type"), rate[t].cast("double").alias("rate")) for t in price_types])
+    good = pairs.select("base", "quote", F.explode(kinds).alias("x")).select("x.price_type", "base", "quote", "x.rate").where("rate > 0 and base <> quote")
+    edges = good.unionByName(good.select("price_type", F.col("quote").alias("base"), F.col("base").alias("quote"), (1 / F.col("rate")).alias("rate")))
+    best = F.min_by(F.struct("rate", "path", "hops"), F.struct("hops", "path")).alias("x")
+    key, size = ["price_type", "base", "quote"], None
+    now = edges.groupBy(key).agg(F.max("rate").alias("rate")).select(*key, "rate", F.concat_ws(">", "base", "quote").alias("path"), F.lit(1).alias("hops"))
+    while True:
+        now = settled(now)
+        if size == (size := now.count()):
+            return now.drop("hops")
+        on = now.select("price_type", F.col("base").alias("quote"), F.col("quote").alias("_to"), F.col("rate").alias("_r"), F.expr("substr(path, length(base) + 1)").alias("_path"), F.col("hops").alias("_n"))
+        more = now.join(on, ["price_type", "quote"]).where(F.col("_to") != F.col("base"))
+        more = more.select("price_type", "base", F.col("_to").alias("quote"), (F.col("rate") * F.col("_r")).alias("rate"), F.concat("path", "_path").alias("path"), (F.col("hops") + F.col("_n")).alias("hops"))
+        now = now.unionByName(more).groupBy(key).agg(best).select(*key, "x.rate", "x.path", "x.hops")

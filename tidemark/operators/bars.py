@@ -221,9 +221,9 @@ def roll_offsets(rolls: DataFrame, backward: bool = True, ratio: bool = False) -
     return out.withColumn("adjust", F.exp("adjust")) if ratio else out
 
 
-def roll_violations(rolls: DataFrame) -> DataFrame:
-    """Rolls that don't rise in time, don't chain, or have a price that isn't positive."""
-    w = Window.orderBy("seq")
+def roll_violations(rolls: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+    """Rolls that don't rise in time, don't chain, or have a price that isn't positive; by: the columns that name a chain."""
+    w = Window.partitionBy(*by).orderBy("seq")
     reason = F.when(F.col("transition") <= F.lag("transition").over(w), "time").when(F.col("pre_id") != F.lag("post_id").over(w), "chain")
     reason = reason.when((F.col("pre_price") <= 0) | (F.col("post_price") <= 0), "price")
     return rolls.withColumn("reason", reason).where("reason is not null")

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import settled
+
 
 def gaps(log: DataFrame, by: Iterable[str] = ("run_id",), seq: str = "seq") -> DataFrame:
     """Ranges of missing sequence numbers within each run."""
@@ -32,15 +34,23 @@ def manifest_mismatches(log: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.where(~F.col("entries").eqNullSafe(F.col("stated_entries")) | ~F.col("high").eqNullSafe(F.col("stated_high")))
 
 
-def causes(log: DataFrame, depth: int = 3, key: str = "entry_id", parent: str = "causation_id") -> DataFrame:
-    """Each entry with its chain of causes, nearest first, up to a depth; the chain ends where a cause isn't in the log."""
-    up = log.select(F.col(key).alias("_id"), F.col(parent).alias("_parent"))
-    out = log.select(key, F.array().cast("array<bigint>").alias("chain"), F.col(parent).alias("_at"))
-    for _ in range(depth):
-        out = out.join(up, F.col("_at") == F.col("_id"), "left")
-        found = F.when(F.col("_id").isNotNull(), F.concat("chain", F.array("_id"))).otherwise(F.col("chain"))
-        out = out.select(key, found.alias("chain"), F.when(F.col("_id").isNotNull(), F.col("_parent")).alias("_at"))
-    return out.drop("_at")
+def causes(log: DataFrame, key: str = "entry_id", parent: str = "causation_id") -> DataFrame:
+    """Each entry with its whole chain of causes, nearest first; the chain ends where a cause isn't in the log.
+
+    Each round puts an entry's chain and that of its last cause together, so that chains double: a chain of n causes takes
+    log2(n) joins. Causes that lead back to themselves are an error.
+    """
+    up = log.select(F.col(key).alias("_k"))
+    at = log.select(key, F.col(parent).alias("_at")).join(up, F.col("_at") == F.col("_k"), "left")
+    now = settled(at.select(key, F.when(F.col("_k").isNotNull(), F.array("_k")).otherwise(F.array().cast(f"array<{dict(log.dtypes)[key]}>")).alias("chain"), F.col("_k").alias("_at")))
+    most = now.count()
+    for _ in range(most.bit_length() + 1):
+        if now.where("_at is not null").isEmpty():
+            return now.select(key, "chain")
+        then = now.select(F.col(key).alias("_k"), F.col("chain").alias("_more"), F.col("_at").alias("_next"))
+        joined = now.join(then, F.col("_at") == F.col("_k"), "left")
+        now = settled(joined.select(key, F.when(F.col("_k").isNotNull(), F.concat("chain", "_more")).otherwise(F.col("chain")).alias("chain"), F.col("_next").alias("_at")))
+    raise ValueError("an entry is among its own causes")
 
 
 def cursors(log: DataFrame, upto: int, by: Iterable[str], seq: str = "seq") -> DataFrame:

@@ -104,9 +104,9 @@ class Indicators:
         return made._with(made.df.drop("_er"))
 
     def vidya(self, x: str, k: int, out: str = "vidya") -> Indicators:
-        """alpha |CMO| / 100, recursive; 0 until the CMO has k values."""
+        """alpha |CMO| / 100, recursive from the row after the CMO has k values; 0 before."""
         made = self.cmo(x, k, "_cmo").add(_n=self.n())
-        a = F.when(F.col("_n") >= k, F.abs(F.col("_cmo")) / 100 * (2 / (k + 1))).otherwise(0.0)
+        a = F.when(F.col("_n") > k, F.abs(F.col("_cmo")) / 100 * (2 / (k + 1))).otherwise(0.0)
         df = made.df.withColumns({"a": 1 - a, "b": a * F.col(x), "seed": F.lit(0.0)})
         return self._with(affine(df, out, self.by, self.order, self.chunk).drop("_cmo", "_n"))
 
@@ -159,25 +159,26 @@ class Indicators:
         made = df.withColumns({"stoch_k": F.when(F.col("_r") != 0, 100 * F.col("_n") / F.col("_r")), "stoch_d": F.when(below != 0, 100 * top / below)})
         return self._with(made.drop("_n", "_r"))
 
-    def cci(self, k: int, scalar: float = 0.015, out: str = "cci") -> Indicators:
-        df = self.add(_tp=(F.col("high") + F.col("low") + F.col("close")) / 3).sma("_tp", k, "_m").df
+    def cci(self, k: int, scalar: float = 0.015, out: str = "cci", kind: str = "simple") -> Indicators:
+        df = self.add(_tp=(F.col("high") + F.col("low") + F.col("close")) / 3).average(kind, "_tp", k, "_m").df
         df = df.withColumn("_list", F.collect_list("_tp").over(self.frame(k)))
         mad = F.aggregate("_list", F.lit(0.0), lambda acc, v: acc + F.abs(v - F.col("_m"))) / F.size("_list")
-        return self._with(df.withColumn("_mad", mad).withColumn(out, F.when(F.col("_mad") > 0, (F.col("_tp") - F.col("_m")) / (scalar * F.col("_mad")))).drop("_tp", "_m", "_m_initialized", "_list", "_mad"))
+        return self._with(df.withColumn("_mad", mad).withColumn(out, F.when(F.col("_mad") > 0, (F.col("_tp") - F.col("_m")) / (scalar * F.col("_mad")))).drop("_tp", "_m", "_list", "_mad"))
 
-    def bollinger(self, k: int, width: float = 2.0) -> Indicators:
-        df = self.df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
-        m, s = F.avg("_tp").over(self.frame(k)), F.stddev_pop("_tp").over(self.frame(k))
-        return self._with(df.withColumns({"bb_upper": m + width * s, "bb_middle": m, "bb_lower": m - width * s}).drop("_tp"))
+    def bollinger(self, k: int, width: float = 2.0, kind: str = "simple") -> Indicators:
+        """Bands around an average of the typical price; the deviation of the last k prices is the one about that average."""
+        df = self.add(_tp=(F.col("high") + F.col("low") + F.col("close")) / 3).average(kind, "_tp", k, "_m").df
+        m, mean = F.col("_m"), F.avg("_tp").over(self.frame(k))
+        df = df.withColumn("_s", F.sqrt(F.var_pop("_tp").over(self.frame(k)) + (mean - m) * (mean - m)))
+        return self._with(df.withColumns({"bb_upper": m + width * F.col("_s"), "bb_middle": m, "bb_lower": m - width * F.col("_s")}).drop("_tp", "_m", "_s"))
 
     def bias(self, x: str, k: int, out: str = "bias", kind: str = "simple") -> Indicators:
         made = self.average(kind, x, k, "_m")
         return made._with(made.df.withColumn(out, F.col(x) / F.col("_m") - 1).drop("_m"))
 
-    def psychological_line(self, x: str, k: int, out: str = "psl") -> Indicators:
-        up = F.when(F.col(x) > self.lag(x), 1.0).otherwise(0.0)
-        made = self.add(_up=up)
-        return made._with(made.df.withColumn(out, 100 * F.avg("_up").over(self.frame(k))).drop("_up"))
+    def psychological_line(self, x: str, k: int, out: str = "psl", kind: str = "simple") -> Indicators:
+        made = self.add(_up=F.when(F.col(x) > self.lag(x), 1.0).otherwise(0.0)).average(kind, "_up", k, "_mean")
+        return made._with(made.df.withColumn(out, 100 * F.col("_mean")).drop("_up", "_mean"))
 
     def directional_movement(self, k: int, kind: str = "exponential") -> Indicators:
         up, down = F.col("high") - self.lag("high"), self.lag("low") - F.col("low")
@@ -203,49 +204,74 @@ class Indicators:
         return self._with(df.withColumns({"senkou_a": self.lag("_a", shift), "senkou_b": self.lag("_b", shift)}).drop("_a", "_b"))
 
     def klinger(self, fast: int, slow: int, signal: int, kind: str = "simple") -> Indicators:
-        tp = (F.col("high") + F.col("low") + F.col("close")) / 3
-        df = self.df.withColumn("_tp", tp)
-        sign = F.when(F.col("_tp") > self.lag("_tp"), 1.0).when(F.col("_tp") < self.lag("_tp"), -1.0).otherwise(0.0)
-        made = self._with(df.withColumn("_v", sign * F.col("volume"))).average(kind, "_v", fast, "_f").average(kind, "_v", slow, "_s")
-        made = made.add(kvo=F.col("_f") - F.col("_s")).average(kind, "kvo", signal, "kvo_signal")
-        return made._with(made.df.drop("_tp", "_v", "_f", "_s"))
+        """Fast less slow average of volume signed by the typical price's step (kvo_raw), averaged over `signal` rows from the
+        row on where the slow average is full; 0 before. The first row's price is a step up from 0."""
+        df = self.df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
+        step = F.col("_tp") - F.coalesce(self.lag("_tp"), F.lit(0.0))
+        made = self._with(df.withColumn("_v", F.signum(step) * F.col("volume"))).average(kind, "_v", fast, "_f").average(kind, "_v", slow, "_s")
+        made = made.add(kvo_raw=F.col("_f") - F.col("_s"), _fed=F.when(self.n() >= slow, F.col("_f") - F.col("_s"))).average(kind, "_fed", signal, "kvo")
+        return made._with(made.df.withColumn("kvo", F.coalesce(F.nanvl("kvo", F.lit(0.0)), F.lit(0.0))).drop("_tp", "_v", "_f", "_s", "_fed"))
 
     def obv(self, k: int = 0, out: str = "obv") -> Indicators:
         """Volume signed by close against open, over the last k bars (0: all)."""
         df = self.df.withColumn("_v", F.when(F.col("close") > F.col("open"), F.col("volume")).when(F.col("close") < F.col("open"), -F.col("volume")).otherwise(0.0))
         return self._with(df.withColumn(out, F.sum("_v").over(self.frame(k) if k else self.so_far)).drop("_v"))
 
-    def pressure(self, k: int, floor: float = 0.0, kind: str = "simple") -> Indicators:
-        made = self.atr(k, "_atr", floor=floor).average(kind, "volume", k, "_mv")
-        ratio = ((F.col("close") - F.col("low")) - (F.col("high") - F.col("close"))) / F.col("_atr") * (F.col("volume") / F.col("_mv"))
-        df = made.df.withColumn("pressure", F.coalesce(F.when((F.col("_atr") > 0) & (F.col("_mv") > 0), ratio), F.lit(0.0)))
-        return self._with(df.withColumn("pressure_total", F.sum("pressure").over(self.so_far)).drop("_atr", "_mv"))
+    def pressure(self, k: int, floor: float = 0.0, kind: str = "exponential") -> Indicators:
+        """Buying less selling pressure of a bar by its range against the mean range (at least floor) and its volume against
+        the mean volume; 0 where either is 0. pressure_total sums it up."""
+        made = self.add(_range=F.col("high") - F.col("low")).average(kind, "_range", k, "_atr").average(kind, "volume", k, "_mv")
+        atr = F.greatest("_atr", F.lit(float(floor)))
+        scale = F.when(atr > 0, atr).otherwise(F.greatest(F.abs("_range"), F.lit(float(floor))))
+        ratio = (F.col("close") - F.col("low") - (F.col("high") - F.col("close"))) / F.col("_scale") * (F.col("volume") / F.col("_mv"))
+        df = made.df.withColumn("_scale", scale).withColumn("pressure", F.coalesce(F.when((F.col("_scale") > 0) & (F.col("_mv") != 0), ratio), F.lit(0.0)))
+        return self._with(df.withColumn("pressure_total", F.sum("pressure").over(self.so_far)).drop("_range", "_atr", "_mv", "_scale"))
 
     def swings(self, k: int) -> Indicators:
-        """Direction (1 high, -1 low), whether it changed, the last swing's high and low with times, and their distance."""
-        df = self.df.withColumns({"_h": F.col("high") >= F.max("high").over(self.frame(k)), "_l": F.col("low") <= F.min("low").over(self.frame(k)), "_n": self.n()})
+        """Direction (1 high, -1 low), whether it turned, the highest swing high and lowest swing low with their times, their
+        distance in whole units, bars since either, and the bars that the present leg has taken.
+
+        A bar is a swing high if neither its high nor its low is passed within the last k bars, and a swing low in the same way;
+        one that is both only counts bars.
+        """
+        df = self.df.withColumns({"_top": F.max("high").over(self.frame(k)), "_h": F.col("high") >= F.max("high").over(self.frame(k)), "_l": F.col("low") <= F.min("low").over(self.frame(k))})
+        df = df.withColumns({"_up": F.col("_h") & (F.col("low") >= F.min("low").over(self.frame(k))), "_down": F.col("_l") & (F.col("high") <= F.max("high").over(self.frame(k)))}).drop("_h", "_l")
         plain = [f for f in self.df.schema.fields]
-        more = T.StructType.fromDDL("swing_direction int, swing_changed boolean, swing_high double, swing_low double, swing_high_time long, swing_low_time long, swing_length double")
+        more = T.StructType.fromDDL(
+            "swing_direction int, swing_changed boolean, swing_high double, swing_low double, swing_high_time long, swing_low_time long, swing_length long, "
+            "swing_since_high long, swing_since_low long, swing_duration long"
+        )
         t = self.order[0]
 
         def step(s, pdf):
             rows = []
-            for h, low, high_flag, low_flag, n, time in zip(pdf["high"], pdf["low"], pdf["_h"], pdf["_l"], pdf["_n"], pdf[t], strict=True):
-                d, changed = s["d"], False
-                if n >= k and high_flag != low_flag:
-                    new = 1 if high_flag else -1
-                    changed = d != 0 and new != d
-                    if new == 1:
-                        s["high"], s["high_t"] = (h, time) if new != d or h >= s["high"] else (s["high"], s["high_t"])
-                    else:
-                        s["low"], s["low_t"] = (low, time) if new != d or low <= s["low"] else (s["low"], s["low_t"])
-                    s["d"] = new
-                length = s["high"] - s["low"] if s["high_t"] and s["low_t"] else 0.0
-                rows.append((s["d"], changed, s["high"], s["low"], s["high_t"], s["low_t"], length))
+            for h, low, top, up, down, time in zip(*(pdf[c].to_numpy() for c in ("high", "low", "_top", "_up", "_down", t)), strict=True):
+                changed = False
+                s["since_high"] += 1
+                s["since_low"] += 1
+                if up and down:
+                    if s["high"] == 0:
+                        s["high"], s["high_t"] = h, time
+                elif up:
+                    changed = s["d"] == -1
+                    if h > s["high"]:
+                        s["high"], s["high_t"] = h, time
+                    s["d"], s["since_high"] = 1, 0
+                elif down:
+                    changed = s["d"] == 1
+                    if s["high"] == 0:
+                        s["high"], s["high_t"] = top, time
+                    if low < s["low"] or s["low"] == 0:
+                        s["low"], s["low_t"] = low, time
+                    s["d"], s["since_low"] = -1, 0
+                if s["high"] and s["low"]:
+                    s["length"] = int(abs(s["high"] - s["low"]) + 0.5)
+                    s["duration"] = {1: s["since_low"], -1: s["since_high"], 0: 0}[s["d"]]
+                rows.append((s["d"], changed, s["high"], s["low"], s["high_t"], s["low_t"], s["length"], s["since_high"], s["since_low"], s["duration"]))
             out = pdf[[f.name for f in plain]].reset_index(drop=True)
             return pd.concat([out, pd.DataFrame(rows, columns=more.fieldNames())], axis=1), s
 
-        start = lambda: {"d": 0, "high": 0.0, "low": 0.0, "high_t": 0, "low_t": 0}
+        start = lambda: {"d": 0, "high": 0.0, "low": 0.0, "high_t": 0, "low_t": 0, "length": 0, "since_high": 0, "since_low": 0, "duration": 0}
         return self._with(fold(df, self.by, self.order, start, step, T.StructType([*plain, *more.fields])))
 
     # volatility
@@ -279,19 +305,19 @@ class Indicators:
         made = self.atr(fast, "_f").atr(slow, "_s")
         return made._with(made.df.withColumn(out, F.when(F.col("_f") > 0, F.col("_s") / F.col("_f"))).drop("_f", "_s"))
 
-    def vhf(self, x: str, k: int, out: str = "vhf") -> Indicators:
-        df = self.df.withColumn("_c", F.coalesce(F.abs(F.col(x) - self.lag(x)), F.lit(0.0)))
+    def vhf(self, x: str, k: int, out: str = "vhf", kind: str = "simple") -> Indicators:
+        made = self.add(_c=F.coalesce(F.abs(F.col(x) - self.lag(x)), F.lit(0.0))).average(kind, "_c", k, "_mean")
         spread = F.max(x).over(self.frame(k)) - F.min(x).over(self.frame(k))
-        mean = F.avg("_c").over(self.frame(k))
-        return self._with(df.withColumn(out, F.when(mean > 0, spread / k / mean).otherwise(0.0)).drop("_c"))
-
-    def amat(self, x: str, fast: int, slow: int, signal: int, kind: str = "simple") -> Indicators:
-        """Long and short trend flags of the fast average against `signal` rows before; a flag stays once set."""
-        two = self.average(kind, x, fast, "_f").average(kind, x, slow, "_s")
-        up = (F.col("_f") > F.lag("_f", signal).over(self.rows)) & (F.col("_f") > F.col("_s"))
-        down = (F.col("_f") < F.lag("_f", signal).over(self.rows)) & (F.col("_f") < F.col("_s"))
-        df = two.df.withColumns({"_u": F.coalesce(up, F.lit(False)).cast("int"), "_d": F.coalesce(down, F.lit(False)).cast("int")})
-        return self._with(df.withColumns({"amat_long": F.max("_u").over(self.so_far) == 1, "amat_short": F.max("_d").over(self.so_far) == 1}).drop("_u", "_d", "_f", "_s"))
+        return self._with(made.df.withColumn(out, F.when(F.col("_mean") > 0, spread / k / F.col("_mean")).otherwise(0.0)).drop("_c", "_mean"))
+
+    def amat(self, x: str, fast: int, slow: int, signal: int, kind: str = "exponential") -> Indicators:
+        """Long and short trend flags: whether the fast average has ever stood above (below) its value `signal` rows before,
+        or that of the row where the slow average became full, if that is later."""
+        two = self.average(kind, x, fast, "_f").add(_n=self.n())
+        begin = F.max(F.when(F.col("_n") == slow, F.col("_f"))).over(self.so_far)
+        df = two.df.withColumn("_front", F.when(F.col("_n") - signal >= slow, F.lag("_f", signal).over(self.rows)).otherwise(begin))
+        flag = lambda c: F.max(F.coalesce((F.col("_n") >= slow) & c, F.lit(False)).cast("int")).over(self.so_far) == 1
+        return self._with(df.withColumns({"amat_long": flag(F.col("_f") > F.col("_front")), "amat_short": flag(F.col("_f") < F.col("_front"))}).drop("_n", "_front", "_f"))
 
     def fuzzy_candles(self, k: int, t1: float = 0.5, t2: float = 1.0, t3: float = 2.0) -> Indicators:
         """Direction, and classes of the candle's length, body and wicks against their means and deviations."""

@@ -28,6 +28,12 @@ def last(k: int, by: Iterable[str] = BY, order: Iterable[str] = ORDER) -> Window
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - k, Window.currentRow)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once, for rounds that build on it: a checkpoint in the shared folder, which also ends the lineage; where
+    no folder is set, kept by the executors and computed anew if one is lost."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def fold(df: DataFrame, by: Iterable[str], order: Iterable[str], start: Callable, step: Callable, schema) -> DataFrame:
     """Carries state along each key's rows: step(state, rows) -> (output rows, state), for consecutive rows of one key.
 

@@ -155,12 +155,12 @@ S["vendor_deltas"] = sql("select case when instrument_id = 'view' then 'VIEW' el
 
 def _rates(spark, d):
     o = views.table(spark, d, "orders").select((F.col("o_orderkey") % 3).cast("string").alias("currency"), F.expr("cast(cast(o_orderdate as timestamp_ntz) as date)").alias("day"), "o_orderkey", "o_totalprice")
-    rates = o.where("o_orderkey % 50 = 0").groupBy("currency", F.trunc("day", "month").alias("day")).agg(F.max("o_totalprice").alias("rate"))
-    return catalog.short_rate(o.where("o_orderkey % 7 = 0").select("currency", "day", "o_orderkey"), rates).select("o_orderkey", "rate")
+    rates = o.groupBy("currency", F.trunc("day", "month").alias("day")).agg(F.max("o_totalprice").alias("rate"))
+    return catalog.short_rate(o.select("currency", "day", "o_orderkey"), rates).select("o_orderkey", "rate")
 
 
 Q["short_rates"] = _rates
-S["short_rates"] = """with o as (select (o_orderkey % 3)::varchar as currency, o_orderdate::date as day, o_orderkey, o_totalprice from orders), r as (select currency, date_trunc('month', day)::date as m, max(o_totalprice) as rate from o where o_orderkey % 50 = 0 group by 1, 2)
-    select o.o_orderkey, r.rate from (select *, date_trunc('month', day)::date as m from o where o_orderkey % 7 = 0) o asof left join r on o.currency = r.currency and o.m <= r.m"""
+S["short_rates"] = """with o as (select (o_orderkey % 3)::varchar as currency, o_orderdate::date as day, o_orderkey, o_totalprice from orders), r as (select currency, date_trunc('month', day)::date as m, max(o_totalprice) as rate from o group by 1, 2)
+    select o.o_orderkey, r.rate from (select *, date_trunc('month', day)::date as m from o) o asof left join r on o.currency = r.currency and o.m <= r.m"""
 Q["predicate_combination"] = lambda spark, d: filled(spark, d).query("trades", where=(F.col("price") >= 10) & (F.col("size") < 5) | (F.col("aggressor_side") == "SELLER") & (F.col("price") < 1), ordered=False).select("seq")
 S["predicate_combination"] = sql("select seq from trades where price >= 10 and size < 5 or aggressor_side = 'SELLER' and price < 1", "trades")

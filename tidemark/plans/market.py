@@ -82,9 +82,9 @@ def _(spark, d):
 
 
 @query("merged_streams", sql("""select stream, count(*) as n, min(ts_event) as first_ts, max(ts_event) as last_ts from (
-    select 'quotes' as stream, ts_event from quotes union all select 'trades', ts_event from trades where ts_event % 2000 = 0) group by 1""", "quotes", "trades"))
+    select 'quotes' as stream, ts_event from quotes union all select 'trades', ts_event from trades) group by 1""", "quotes", "trades"))
 def _(spark, d):
-    both = frames.merged({"quotes": views.quotes(spark, d), "trades": views.trades(spark, d).where("ts_event % 2000 = 0")}, order=None)
+    both = frames.merged({"quotes": views.quotes(spark, d), "trades": views.trades(spark, d)}, order=None)
     return both.groupBy("stream").agg(F.count("*").alias("n"), F.min("ts_event").alias("first_ts"), F.max("ts_event").alias("last_ts"))
 
 
@@ -235,12 +235,12 @@ def _(spark, d):
     return rounded(bars.time_bars(t, DAY).drop("instrument_id"))
 
 
-@query("roll_violations", sql("""select seq, reason from (select seq, case when ts_event <= lag(ts_event) over (order by seq) then 'time' when order_side <> lag(case when order_side = 'BUY' then 'SELL' else 'BUY' end) over (order by seq) then 'chain'
-    when last_px <= 0 then 'price' end as reason from fills where seq % 7 < 2) where reason is not null""", "fills"))
+@query("roll_violations", sql("""select seq, reason from (select seq, case when ts_event <= lag(ts_event) over w then 'time' when order_side <> lag(case when order_side = 'BUY' then 'SELL' else 'BUY' end) over w then 'chain'
+    when last_px <= 0 then 'price' end as reason from fills window w as (partition by account_id, instrument_id order by seq)) where reason is not null""", "fills"))
 def _(spark, d):
-    f = views.fills(spark, d).where("seq % 7 < 2")
-    r = f.select("seq", F.col("ts_event").alias("transition"), F.col("order_side").alias("pre_id"), F.when(F.col("order_side") == "BUY", "SELL").otherwise("BUY").alias("post_id"), F.col("last_px").alias("pre_price"), F.col("last_px").alias("post_price"))
-    return bars.roll_violations(r).select("seq", "reason")
+    f = views.fills(spark, d)
+    r = f.select("account_id", "instrument_id", "seq", F.col("ts_event").alias("transition"), F.col("order_side").alias("pre_id"), F.when(F.col("order_side") == "BUY", "SELL").otherwise("BUY").alias("post_id"), F.col("last_px").alias("pre_price"), F.col("last_px").alias("post_price"))
+    return bars.roll_violations(r, ["account_id", "instrument_id"]).select("seq", "reason")
 
 
 @query("day_grid_join", sql("select r.series, r.day, round(r.ret - b.ret, 6) as active from returns r join benchmark_returns b using (day)", "returns", "benchmark_returns"))
@@ -265,16 +265,16 @@ def _(spark, d):
     return asof.differences(t.where("seq % 5 <> 0"), other, ["seq"])
 
 
-@query("cross_rates", """with recursive pairs as (select 'C' || n_nationkey as base, 'C' || (n_nationkey + 1) as quote, 1 + n_nationkey / 10::double as rate from nation where n_nationkey < 24),
-    edges as (select base, quote, rate from pairs union all select quote, base, 1 / rate from pairs),
-    p as (select base, quote, rate, base || '>' || quote as path, 1 as hops from edges
-      union all select p.base, e.quote, p.rate * e.rate, p.path || '>' || e.quote, hops + 1 from p join edges e on e.base = p.quote where hops < 3 and e.quote <> p.base and not list_contains(string_split(p.path, '>'), e.quote))
-    select base, quote, round(arg_min(rate, (hops, path)), 6) as rate, arg_min(path, (hops, path)) as path from p group by 1, 2""")
+@query("cross_rates", """with recursive q as (select 'C' || n_nationkey as base, 'C' || (n_nationkey + 1) as quote, 1 + n_nationkey / 10::double as bid, 1.01::double + n_nationkey / 10::double as ask from nation where n_nationkey < 24),
+    pairs as (select 'BID' as price_type, base, quote, bid as rate from q union all select 'ASK', base, quote, ask from q union all select 'MID', base, quote, (bid + ask) / 2 from q),
+    edges as (select * from pairs union all select price_type, quote, base, 1 / rate from pairs),
+    p as (select price_type, base, quote, rate, base || '>' || quote as path, 1 as hops from edges
+      union all select p.price_type, p.base, e.quote, p.rate * e.rate, p.path || '>' || e.quote, hops + 1 from p join edges e on e.price_type = p.price_type and e.base = p.quote where e.quote <> p.base and not list_contains(string_split(p.path, '>'), e.quote))
+    select price_type, base, quote, round(arg_min(rate, (hops, path)), 6) as rate, arg_min(path, (hops, path)) as path from p group by 1, 2, 3""")
 def _(spark, d):
     n = views.table(spark, d, "nation").where("n_nationkey < 24")
     k = F.col("n_nationkey")
-    rate = 1 + k / 10
-    pairs = n.select(F.concat(F.lit("C"), k.cast("string")).alias("base"), F.concat(F.lit("C"), (k + 1).cast("string")).alias("quote"), rate.alias("bid"), rate.alias("ask"))
+    pairs = n.select(F.concat(F.lit("C"), k.cast("string")).alias("base"), F.concat(F.lit("C"), (k + 1).cast("string")).alias("quote"), (1 + k / 10).alias("bid"), (1.01 + k / 10).alias("ask"))
     return rounded(asof.cross_rates(pairs))
 
 

@@ -33,7 +33,9 @@ def _manifest(spark, d):
 Q["manifest_mismatches"] = lambda spark, d: eventlog.manifest_mismatches(log(spark, d), _manifest(spark, d)).select("run_id", "entries", "high", "stated_entries", "stated_high")
 S["manifest_mismatches"] = sql("select a.run_id, a.entries, a.high, m.stated_entries, m.stated_high from (select run_id, count(*) as entries, max(seq) as high from event_log group by 1) a join (select event_id % 4 as run_id, count(*) as stated_entries, max(event_id // 4) as stated_high from events where event_id % 37 <> 0 or event_id % 4 = 2 group by 1) m using (run_id) where entries <> stated_entries or high <> stated_high", "event_log")
 Q["cause_chains"] = lambda spark, d: eventlog.causes(log(spark, d)).select("entry_id", F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"))
-S["cause_chains"] = sql("select e.entry_id, concat_ws('>', a.entry_id::varchar, b.entry_id::varchar, c.entry_id::varchar) as chain from event_log e left join event_log a on a.entry_id = e.causation_id left join event_log b on b.entry_id = a.causation_id left join event_log c on c.entry_id = b.causation_id", "event_log")
+S["cause_chains"] = f"""with recursive event_log as ({views.CTE['event_log']}), r as (select entry_id, causation_id as at, '' as chain, 0 as n from event_log
+    union all select r.entry_id, l.causation_id, case when n = 0 then '' else chain || '>' end || l.entry_id::varchar, n + 1 from r join event_log l on l.entry_id = r.at)
+    select entry_id, arg_max(chain, n) as chain from r group by 1"""
 Q["stream_cursors"] = lambda spark, d: eventlog.cursors(log(spark, d), 1000, ["run_id", "topic"])
 S["stream_cursors"] = sql("select run_id, topic, max(seq) as seq, arg_max(ts_init, seq) as ts_init from event_log where seq <= 1000 group by 1, 2", "event_log")
 Q["replay_slice"] = lambda spark, d: eventlog.replay(log(spark, d), eventlog.cursors(log(spark, d), 500, ["topic"]), eventlog.cursors(log(spark, d), 1500, ["topic"]), ["topic"]).select("entry_id", "topic", "seq")
@@ -62,8 +64,8 @@ Q["swap_trades"] = lambda spark, d: rounded(pools.as_trades(swaps(spark, d).sele
 S["swap_trades"] = sql("select pool as base_token, 'USD' as quote_token, 'BUY' as trade_side, count(*) as n, sum(base::decimal(18,2))::double as base, round(max(quote / base), 6) as top from swaps group by 1", "swaps")
 Q["price_impact"] = lambda spark, d: rounded(pools.impacts(swaps(spark, d).withColumns({"execution": F.col("quote") / F.col("base"), "spot": F.col("quote") / F.col("base") * (1 + F.col("log_index") / 100)}), ("block", "transaction_index", "log_index", "part", "base", "quote")).groupBy("pool").agg(F.max("impact_bps").alias("impact"), F.max("slippage_bps").alias("slippage"), F.count("impact_bps").alias("n")))
 S["price_impact"] = sql("select pool, round(max(abs(spot - b) / b * 10000), 6) as impact, round(max(abs(execution - b) / b * 10000), 6) as slippage, count(b) as n from (select *, lag(spot) over (partition by pool order by block, transaction_index, log_index, part, base, quote) as b from x) group by 1", "swaps", x=_SPOT)
-Q["block_order"] = lambda spark, d: swaps(spark, d).where("transaction_index % 50 = 0").withColumn("n", F.row_number().over(Window.partitionBy("pool").orderBy("block", "transaction_index", "log_index", "part", "base", "quote")).cast("long")).select("pool", "block", "transaction_index", "log_index", "n")
-S["block_order"] = sql("select pool, block, transaction_index, log_index, row_number() over (partition by pool order by block, transaction_index, log_index, part, base, quote) as n from swaps where transaction_index % 50 = 0", "swaps")
+Q["block_order"] = lambda spark, d: swaps(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("pool").orderBy("block", "transaction_index", "log_index", "part", "base", "quote")).cast("long")).select("pool", "block", "transaction_index", "log_index", "n")
+S["block_order"] = sql("select pool, block, transaction_index, log_index, row_number() over (partition by pool order by block, transaction_index, log_index, part, base, quote) as n from swaps", "swaps")
 _KIND = "select *, case transaction_index % 10 when 0 then 'mint' when 1 then 'burn' when 2 then 'collect' when 3 then 'flash' else 'swap' end as kind, base as liquidity, (part % 20) as lower, (part % 20) + 1 + log_index as upper, base as amount from swaps"
 
 

@@ -1,4 +1,4 @@
-"""Queries over hourly bars: indicators. Recursive ones have no SQL here; tests hold them against a plain loop."""
+"""Queries over hourly bars: indicators. The SQL of recursive ones walks each instrument row by row."""
 
 from __future__ import annotations
 
@@ -72,12 +72,14 @@ query("directional_movement_simple", ["dm_plus", "dm_minus"], lambda i: i.direct
 query("aroon", ["aroon_up", "aroon_down", "aroon"], lambda i: i.aroon(10), [r(f"100 * (10 - (n - arg_max(n, (high, -n)) {over(11)})) / 10"), r(f"100 * (10 - (n - arg_min(n, (low, n)) {over(10)})) / 10"), r(f"10 * (arg_max(n, (high, -n)) {over(11)} - arg_min(n, (low, n)) {over(10)})::double")], "x", x=f"select *, row_number() {over()} as n from b")
 _MID = lambda k: f"(max(high) {over(k)} + min(low) {over(k)}) / 2"
 query("ichimoku", ["tenkan", "kijun", "senkou_a", "senkou_b"], lambda i: i.ichimoku(), [r("t"), r("k"), r(f"lag((t + k) / 2, 26) {over()}"), r(f"lag(s, 26) {over()}")], "x", x=f"select *, {_MID(9)} as t, {_MID(26)} as k, {_MID(52)} as s from b")
-query("klinger_simple", ["kvo", "kvo_signal"], lambda i: i.klinger(5, 12, 4), [r("kvo"), r(f"avg(kvo) {over(4)}")], "x3", x=f"select *, {HLC} as tp from b", x2=f"select *, case when tp > lag(tp) {over()} then volume when tp < lag(tp) {over()} then -volume else 0 end as v from x", x3=f"select *, avg(v) {over(5)} - avg(v) {over(12)} as kvo from x2")
+_STEP = f"select *, coalesce(sign({HLC} - coalesce(lag({HLC}) {over()}, 0)), 0) * volume as v, row_number() {over()} as n from b"
+query("klinger_simple", ["kvo_raw", "kvo"], lambda i: i.klinger(5, 12, 4), [r("raw"), r(f"coalesce(avg(case when n >= 12 then raw end) {over(4)}, 0)")], "x2", x=_STEP, x2=f"select *, avg(v) {over(5)} - avg(v) {over(12)} as raw from x")
 _OBV = "case when close > open then volume when close < open then -volume else 0 end"
 query("obv", ["obv", "obv_all"], lambda i: i.obv(20).obv(0, "obv_all"), [r(f"sum({_OBV}) {over(20)}"), r(f"sum({_OBV}) {RUN}")])
 _TR = f"select *, greatest(high, coalesce(lag(close) {over()}, close)) - least(low, coalesce(lag(close) {over()}, close)) as tr from b"
 query("atr", ["atr"], lambda i: i.atr(14), [r(f"avg(tr) {over(14)}")], "x", x=_TR)
-query("pressure_simple", ["pressure", "pressure_total"], lambda i: i.pressure(10), [r("p"), r(f"sum(p) {RUN}")], "x2", x=_TR, x2=f"select *, coalesce(((close - low) - (high - close)) / nullif(avg(tr) {over(10)}, 0) * (volume / avg(volume) {over(10)}), 0) as p from x")
+_PRESSURE = "coalesce(((close - low) - (high - close)) / nullif(case when a > 0 then a else abs(high - low) end, 0) * (volume / nullif(m, 0)), 0)"
+query("pressure_simple", ["pressure", "pressure_total"], lambda i: i.pressure(10, kind="simple"), [r("p"), r(f"sum(p) {RUN}")], "x2", x=f"select *, avg(high - low) {over(10)} as a, avg(volume) {over(10)} as m from b", x2=f"select *, {_PRESSURE} as p from x")
 query("donchian", ["dc_upper", "dc_lower", "dc_middle"], lambda i: i.donchian(20), [f"max(high) {over(20)}", f"min(low) {over(20)}", r(f"(max(high) {over(20)} + min(low) {over(20)}) / 2")])
 query("keltner_channel", ["kc_upper", "kc_middle", "kc_lower", "kc_position"], lambda i: i.keltner(10, 1.5), [r("m + 1.5::double * a"), r("m"), r("m - 1.5::double * a"), r("case when a > 0 then (close - m) / (1.5::double * a) else 0 end")], "x2", x=_TR, x2=f"select *, avg({HLC}) {over(10)} as m, avg(tr) {over(10)} as a from x")
 query("rvi_simple", ["rvi"], lambda i: i.rvi("close", 10), [r(f"case when avg(u) {over(10)} + avg(d) {over(10)} > 0 then 100 * avg(u) {over(10)} / (avg(u) {over(10)} + avg(d) {over(10)}) else 0 end")], "x2", x=f"select *, coalesce(stddev_samp(close) {over(10)}, 0) as s, lag(close) {over()} as p from b", x2="select *, case when close > p then s else 0 end as u, case when close < p then s else 0 end as d from x")
@@ -85,34 +87,60 @@ query("volatility_ratio", ["vr"], lambda i: i.volatility_ratio(5, 20), [r(f"avg(
 query("vertical_horizontal_filter", ["vhf"], lambda i: i.vhf("close", 10), [r(f"coalesce((max(close) {over(10)} - min(close) {over(10)}) / 10 / nullif(avg(c) {over(10)}, 0), 0)")], "x", x=f"select *, coalesce(abs(close - lag(close) {over()}), 0) as c from b")
 query("fuzzy_direction", ["candle_direction"], lambda i: i.fuzzy_candles(10), ["sign(close - open)::int"])
 query("rolling_mean_std_mad", ["roll_mean", "roll_std", "roll_mad"], lambda i: i._with(indicators.rolling_stats(i.df, "close", 10)), [r("m"), r(f"stddev_pop(close) {over(10)}"), r("list_sum(list_transform(l, lambda v: abs(v - m))) / len(l)")], "x", x=f"select *, avg(close) {over(10)} as m, list(close) {over(10)} as l from b")
-query("amat_simple", ["amat_long", "amat_short"], lambda i: i.amat("close", 5, 20, 10), [f"max(u) {RUN} = 1", f"max(d) {RUN} = 1"], "x2", x=f"select *, avg(close) {over(5)} as f, avg(close) {over(20)} as s from b", x2=f"select *, case when f > lag(f, 10) {over()} and f > s then 1 else 0 end as u, case when f < lag(f, 10) {over()} and f < s then 1 else 0 end as d from x")
-
-#: Recursive: held against a loop in the tests.
-query("ema", ["ema"], lambda i: i.ema("close", 10))
-query("wilder_average", ["wilder"], lambda i: i.wilder("close", 10))
-query("dema", ["dema"], lambda i: i.dema("close", 10))
-query("adaptive_average", ["ama"], lambda i: i.ama("close", 10, 2, 30))
-query("vidya", ["vidya"], lambda i: i.vidya("close", 10))
-query("macd", ["macd"], lambda i: i.macd("close", 12, 26, "exponential"))
-query("rsi", ["rsi"], lambda i: i.rsi("close", 10))
-query("cmo", ["cmo"], lambda i: i.cmo("close", 10))
-query("directional_movement", ["dm_plus", "dm_minus"], lambda i: i.directional_movement(10))
-query("klinger", ["kvo", "kvo_signal"], lambda i: i.klinger(5, 12, 4, "exponential"))
-query("pressure", ["pressure"], lambda i: i.pressure(10, kind="exponential"))
-query("swings", ["swing_direction", "swing_changed", "swing_high", "swing_low", "swing_length"], lambda i: i.swings(5))
+_AMAT = f"select *, case when n - 10 >= 20 then lag(f, 10) {over()} else max(case when n = 20 then f end) {RUN} end as front from x"
+query("amat_simple", ["amat_long", "amat_short"], lambda i: i.amat("close", 5, 20, 10, "simple"), [f"coalesce(bool_or(f > front) {RUN}, false)", f"coalesce(bool_or(f < front) {RUN}, false)"], "x2", x=f"select *, avg(close) {over(5)} as f, row_number() {over()} as n from b", x2=_AMAT)
+
+query("swings", ["swing_direction", "swing_changed", "swing_high", "swing_low", "swing_length", "swing_since_high", "swing_since_low", "swing_duration"], lambda i: i.swings(5))
 query("hurst", ["hurst"], lambda i: i.hurst("close", 32))
-query("average_cross", ["cross"], lambda i: i.cross("close", 5, 20))
 query("fuzzy_candles", ["candle_direction", "candle_size", "candle_body", "candle_upper", "candle_lower"], lambda i: i.fuzzy_candles(10))
 
 
-def _recursive_sql(alpha: float) -> str:
-    return f"""with recursive trades as ({views.CTE['trades']}), b as ({_bars(LEFT)}), n as (select *, row_number() {over()} as n from b),
-        e as (select instrument_id, n, ts_event, close as y from n where n = 1 union all select n.instrument_id, n.n, n.ts_event, (1 - {alpha}::double) * e.y + {alpha}::double * n.close from e join n on n.instrument_id = e.instrument_id and n.n = e.n + 1)
-        select instrument_id, ts_event, round(y, 6)"""
-
-
-S["ema"] = _recursive_sql(2 / 11) + " as ema from e"
-S["wilder_average"] = _recursive_sql(0.1) + " as wilder from e"
+def walk(name: str, source: str, keep: str = "", **columns: tuple[str, str]) -> str:
+    """CTEs: columns y = (1 - a) * y_before + a * x over each instrument's rows of source, from (x, a) by name; y is the first
+    x that isn't null, and stays where x is null. keep: further columns of source."""
+    more = "".join(f", {c}" for c in keep.split()) if keep else ""
+    of = lambda t: "".join(f", {t}.{c}" for c in keep.split())
+    put = ", ".join(f"({x})::double as x_{c}, ({a})::double as a_{c}" for c, (x, a) in columns.items())
+    first = ", ".join(f"x_{c} as {c}" for c in columns)
+    then = ", ".join(f"case when s.x_{c} is null then e.{c} when e.{c} is null then s.x_{c} else (1 - s.a_{c}) * e.{c} + s.a_{c} * s.x_{c} end" for c in columns)
+    return f"""{name}_in as (select instrument_id, ts_event, n{more}, {put} from {source}),
+        {name} as (select instrument_id, ts_event, n{more}, {first} from {name}_in where n = 1 union all
+            select s.instrument_id, s.ts_event, s.n{of('s')}, {then} from {name} e join {name}_in s on s.instrument_id = e.instrument_id and s.n = e.n + 1)"""
+
+
+def recursive(name: str, columns: list[str], make, exprs: list[str], source: str, *ctes: str):
+    query(name, columns, make)
+    picked = ", ".join(f"{e} as {c}" for e, c in zip(exprs, columns, strict=True))
+    base = f"with recursive trades as ({views.CTE['trades']}), b as ({_bars(LEFT)}), n as (select *, row_number() {over()} as n, greatest(coalesce(close - lag(close) {over()}, 0), 0) as up, greatest(coalesce(lag(close) {over()} - close, 0), 0) as down from b)"
+    S[name] = f"{', '.join([base, *ctes])} select instrument_id, ts_event, {picked} from {source}"
+
+
+def ema(k: int) -> str:
+    return f"2 / {k + 1}::double"
+
+
+_CMO = "coalesce(100 * (g - l) / nullif(g + l, 0), 0)"
+_GAINS = walk("e", "n", "close", g=("up", "0.1"), l=("down", "0.1"))
+recursive("ema", ["ema"], lambda i: i.ema("close", 10), [r("y")], "e", walk("e", "n", y=("close", ema(10))))
+recursive("wilder_average", ["wilder"], lambda i: i.wilder("close", 10), [r("y")], "e", walk("e", "n", y=("close", "0.1")))
+recursive("dema", ["dema"], lambda i: i.dema("close", 10), [r("2 * y - z")], "f", walk("e", "n", y=("close", ema(10))), walk("f", "e", "y", z=("y", ema(10))))
+_ER = f"er as (select *, coalesce(abs(close - first_value(close) {over(10)}) / nullif(sum(c) {over(9)}, 0), 0) as er from (select *, abs(close - lag(close) {over()}) as c from n))"
+recursive("adaptive_average", ["ama"], lambda i: i.ama("close", 10, 2, 30), [r("y")], "e", _ER, walk("e", "er", y=("close", "pow(er * (2 / 3::double - 2 / 31::double) + 2 / 31::double, 2)")))
+recursive("vidya", ["vidya"], lambda i: i.vidya("close", 10), [r("y")], "f", _GAINS, walk("f", "e", y=("case when n = 1 then 0 else close end", f"case when n > 10 then abs({_CMO}) / 100 * {ema(10)} else 0 end")))
+recursive("macd", ["macd"], lambda i: i.macd("close", 12, 26, "exponential"), [r("f - s")], "e", walk("e", "n", f=("close", ema(12)), s=("close", ema(26))))
+recursive("rsi", ["rsi"], lambda i: i.rsi("close", 10), [r("coalesce(g / nullif(g + l, 0), 0.5)")], "e", walk("e", "n", g=("up", ema(10)), l=("down", ema(10))))
+recursive("cmo", ["cmo"], lambda i: i.cmo("close", 10), [r(_CMO)], "e", _GAINS)
+_MOVES = f"m as (select *, coalesce(high - lag(high) {over()}, 0) as u, coalesce(lag(low) {over()} - low, 0) as d from n)"
+recursive("directional_movement", ["dm_plus", "dm_minus"], lambda i: i.directional_movement(10), [r("p"), r("q")], "e", _MOVES, walk("e", "m", p=("case when u > d and u > 0 then u else 0 end", ema(10)), q=("case when d > u and d > 0 then d else 0 end", ema(10))))
+recursive(
+    "klinger", ["kvo_raw", "kvo"], lambda i: i.klinger(5, 12, 4, "exponential"), [r("f - s"), r("coalesce(y, 0)")], "g", f"v as ({_STEP})",
+    walk("e", "v", f=("v", ema(5)), s=("v", ema(12))), walk("g", "e", "f s", y=("case when n >= 12 then f - s end", ema(4))),
+)
+recursive("pressure", ["pressure"], lambda i: i.pressure(10), [r(_PRESSURE)], "e", walk("e", "n", "high low close volume", a=("high - low", ema(10)), m=("volume", ema(10))))
+recursive(
+    "average_cross", ["cross"], lambda i: i.cross("close", 5, 20), ["(case when g <> before and g <> 0 then g else 0 end)::int"], "x", walk("e", "n", f=("close", ema(5)), s=("close", ema(20))),
+    f"x as (select *, lag(g) {over()} as before from (select *, sign(round(f - s, 12)) as g from e))",
+)
 
 
 def _spread(spark, d):
