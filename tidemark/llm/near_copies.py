@@ -9,10 +9,11 @@ pairs are about as many as its links), and whatever is left after DEPTH rounds,
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chars
@@ -274,6 +275,28 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     return out
 
 
+def _key() -> Column:
+    return F.xxhash64(F.lit(5), "doc_id", "t1", "t2")
+
+
+def _sieve(wanted: DataFrame):
+    """A bitmap of the keys' hashes, of 16 bits a key and 4 MB at most, that keeps most other texts from being moved. Beyond
+    some 30 million keys it lets ever more through; the join after it decides."""
+    size = min(25, max(10, (16 * wanted.count()).bit_length()))
+
+    def run(batches):
+        bits = np.zeros(1 << size, np.uint8)
+        for batch in batches:
+            bits[batch.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - size)] = 1
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())], names=["bits"])
+
+    rows = wanted.select(_key().alias("h")).coalesce(16).mapInArrow(run, "bits binary").collect()  # 16 bitmaps at most
+    bits = np.zeros(1 << (size - 3), np.uint8)
+    for r in rows:
+        bits |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return wanted.sparkSession.sparkContext.broadcast((bits, 64 - size))
+
+
 def join(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Facts of each distinct set and the membership of documents.
 
@@ -308,16 +331,21 @@ def join(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = involved.select("rep").distinct().join(sets.select("rep", "first", "weight"), "rep").select("rep", "weight", "first.*")
     wanted = stored(wanted, "wanted")
 
+    sieve = _sieve(wanted)
+
     def own(batches):
+        bits, shift = sieve.value
         for batch in batches:
+            key = batch.column("h").to_numpy().view(np.uint64) >> np.uint64(shift)
+            batch = batch.filter(pa.array(np.unpackbits(bits[key >> np.uint64(3)][:, None], axis=1, bitorder="little")[np.arange(len(key)), key & np.uint64(7)] == 1))
             texts = texts_of(batch)
             for x, y in text_slices(texts):
                 s, at = shingles(texts[x:y])
-                columns = [batch.column(c).slice(x, y - x) for c in ("rep", "weight")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([s[at[i] : at[i + 1]].tobytes() for i in range(y - x)], pa.binary())], names=["rep", "weight", "shingles"])
+                columns = [batch.column(c).slice(x, y - x) for c in ("doc_id", "t1", "t2")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([s[at[i] : at[i + 1]].tobytes() for i in range(y - x)], pa.binary())], names=["doc_id", "t1", "t2", "shingles"])
 
-    texts = keyed(documents).where("text is not null").join(wanted, ["doc_id", "t1", "t2"]).select("rep", "weight", "text")
-    bags = stored(texts.mapInArrow(own, "rep long, weight long, shingles binary").dropDuplicates(["rep"]), "bags")
+    made = keyed(documents).where("text is not null and doc_id is not null").withColumn("h", _key()).mapInArrow(own, "doc_id long, t1 long, t2 long, shingles binary")
+    bags = stored(made.join(wanted, ["doc_id", "t1", "t2"]).select("rep", "weight", "shingles").dropDuplicates(["rep"]), "bags")
 
     def exact(table: pa.Table) -> pa.Table:
         a, b = _candidates(table)
