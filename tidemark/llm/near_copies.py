@@ -147,7 +147,7 @@ def keyed(documents: DataFrame, *others: str) -> DataFrame:
 
 
 def buckets(sets: DataFrame) -> DataFrame:
-    """(path, rep) of sets that share a final bucket with another one."""
+    """(path, rep, n) of sets that share a final bucket with another one; n is the bucket's size."""
     schema = "path long, rep long, probe int"
 
     def split(roots: bool):
@@ -175,17 +175,26 @@ def buckets(sets: DataFrame) -> DataFrame:
         if depth == DEPTH or large.isEmpty():
             out.append(shared)
             break
+        if depth == 1:  # the sketches of those that share anything
+            sets = stored(sets.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "sketch"), "sketches")
         alike = large.groupBy("path", "n", "probe").agg(F.count("*").alias("top")).groupBy("path", "n").agg(F.max("top").alias("top"))
         split_again = stored(alike.where(F.col("top") < SAME * F.col("n")).select("path"), "split")
         out += [shared.where(F.col("n") <= LEAF), large.join(split_again, "path", "left_anti")]
         more = large.join(split_again, "path", "left_semi").select("path", "rep")
         now = more.join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch").mapInArrow(split(False), schema)
-    found = out[0].select("path", "rep")
+    found = out[0].select("path", "rep", "n")
     for x in out[1:]:
-        found = found.unionByName(x.select("path", "rep"))
+        found = found.unionByName(x.select("path", "rep", "n"))
     return found
 
 
+def few(found: DataFrame) -> DataFrame:
+    """(path, rep) of the buckets, where two sets that are alone together in several buckets keep one of these."""
+    pairs = found.where("n = 2").groupBy("path").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
+    pairs = pairs.groupBy("a", "b").agg(F.min("path").alias("path")).select("path", F.explode(F.array("a", "b")).alias("rep"))
+    return found.where("n > 2").select("path", "rep").distinct().unionByName(pairs)
+
+
 def _grid(rows: DataFrame) -> DataFrame:
     """Deals each bucket's sets to parts of bounded size, and every pair of parts to a block (path, one, two), one <= two."""
     size = rows.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
@@ -309,7 +318,7 @@ def join(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("sketch").alias("sketch")
     )
     sets = stored(sets.withColumn("rep", F.monotonically_increasing_id()), "distinct")
-    found = stored(buckets(sets).distinct(), "buckets")
+    found = stored(few(buckets(sets)), "buckets")
     lists = found.groupBy("rep").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # a few dozen for each set
     known = stored(lists.join(sets.select("rep", "size", "sketch"), "rep"), "known")
     rows = found.join(known, "rep")
