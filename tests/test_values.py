@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tidemark.operators import asof, bars, book, derived, ledger, stats
 from tidemark.operators.indicators import Indicators
-from tidemark.operators.windows import affine
+from tidemark.operators.windows import affine, running_sum
 from tidemark.plans import registry
 from tidemark.sources import views
 from tidemark.sources.catalog import Catalog, OverlapError, merged_intervals, missing_intervals
@@ -44,6 +44,24 @@ def test_ema_is_the_loop_whatever_the_chunks(series):
     assert of(Indicators(series).dema("close", 10).df, "dema") == pytest.approx([2 * a - b for a, b in zip(want, two, strict=True)])
 
 
+def test_running_sum_is_the_same_in_spans(spark):
+    rows = [(k, t, i, float(i % 7)) for i, (k, t) in enumerate([("a", 5), ("a", 95), ("a", 105), (None, 3), (None, 250), ("b", None), ("b", 7), ("a", 105), ("a", -20)])]
+    df = spark.createDataFrame(rows, "instrument_id string, ts_event long, seq long, x double")
+    plain = sorted(map(tuple, running_sum(df, "y", F.col("x")).collect()), key=str)
+    assert len(plain) == len(rows)
+    for bucket in (1, 10, 100, 10_000):
+        assert sorted(map(tuple, running_sum(df, "y", F.col("x"), bucket=bucket).collect()), key=str) == plain
+    assert running_sum(df.limit(0), "y", F.col("x"), bucket=10).count() == 0
+
+
+def test_affine_keeps_rows_without_a_key(spark):
+    rows = [(None, t, t // 3, 0.5, 1.0, 2.0) for t in range(9)]
+    df = spark.createDataFrame(rows, "instrument_id string, ts_event long, chunk long, a double, b double, seed double")
+    whole = affine(df, "y", order=["ts_event"]).orderBy("ts_event").collect()
+    parts = affine(df, "y", order=["ts_event"], chunk="chunk").orderBy("ts_event").collect()
+    assert [r.y for r in parts] == [r.y for r in whole] and parts[0].y == 2.0
+
+
 def test_affine_of_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([("A", 1, 0.5, 1.0, 1.0), ("A", 2, 0.5, None, None), ("A", 3, 0.5, 4.0, 4.0), (None, 1, 0.5, 2.0, 2.0)], "instrument_id string, ts_event long, a double, b double, seed double")
     rows = affine(df, "y", order=["ts_event"]).orderBy("instrument_id", "ts_event").collect()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.windows import BY, ORDER, fold, ordered, running
+from tidemark.operators.windows import BY, ORDER, fold, ordered, running, running_sum
 
 DAY = 86_400_000_000_000
 
@@ -77,25 +77,26 @@ def composite_bars(bars: DataFrame, interval: int, by: Iterable[str] = BY) -> Da
     ).withColumnRenamed("end", "ts_event")
 
 
-def tick_bars(df: DataFrame, step: int, by: Iterable[str] = BY, order: Iterable[str] = ORDER, price: str = "price", size: str = "size") -> DataFrame:
-    """Bars of `step` ticks; what is left at the end isn't a bar."""
+def tick_bars(df: DataFrame, step: int, by: Iterable[str] = BY, order: Iterable[str] = ORDER, price: str = "price", size: str = "size", bucket: int | None = None) -> DataFrame:
+    """Bars of `step` ticks; what is left at the end isn't a bar. bucket: see windows.running_sum."""
     by, order = list(by), list(order)
     bar = F.expr(f"(_n - 1) div {step}")
-    rows = df.withColumn("_n", F.row_number().over(ordered(by, order))).withColumn("bar", bar)
+    rows = running_sum(df, "_n", F.lit(1).cast("long"), by, order, bucket).withColumn("bar", bar)
     return rows.groupBy(*by, "bar").agg(*_ohlcv(order, price, size), F.max(order[0]).alias("ts_event")).where(F.col("count") == step)
 
 
-def threshold_bars(df: DataFrame, amount: Column, step, by: Iterable[str] = BY, order: Iterable[str] = ORDER, price: str = "price", sums: dict[str, Column] | None = None) -> DataFrame:
+def threshold_bars(df: DataFrame, amount: Column, step, by: Iterable[str] = BY, order: Iterable[str] = ORDER, price: str = "price", sums: dict[str, Column] | None = None, bucket: int | None = None) -> DataFrame:
     """Bars that close whenever the running amount passes a multiple of step; a tick that crosses is split.
 
     Amounts are decimals, so bars hold exactly `step`; what is left at the end isn't a bar. `sums` adds up further shares of
-    the split amount (for example of one side).
+    the split amount (for example of one side). bucket: see windows.running_sum.
     """
     by, order = list(by), list(order)
     exact = "decimal(28,6)"
-    rows = df.withColumn("_x", amount.cast(exact)).where("_x > 0").withColumn("_hi", F.sum("_x").over(running(by, order)).cast(exact))
+    rows = running_sum(df.withColumn("_amount", amount.cast(exact)).where("_amount > 0"), "_hi", F.col("_amount"), by, order, bucket)
+    rows = rows.withColumn("_hi", F.col("_hi").cast(exact))
     unit = F.lit(step).cast(exact)
-    lo = (F.col("_hi") - F.col("_x")).cast(exact)
+    lo = (F.col("_hi") - F.col("_amount")).cast(exact)
     first = F.floor(lo / unit).cast("long")
     last_ = F.ceil(F.col("_hi") / unit).cast("long") - 1
     rows = rows.withColumn("_lo", lo).withColumn("bar", F.explode(F.sequence(first, last_)))

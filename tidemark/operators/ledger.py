@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import affine, ordered, running
+from tidemark.operators.windows import affine, ordered, running_sum
 
 #: Which status may follow which.
 TRANSITIONS = [
@@ -47,14 +47,16 @@ def execution_quality(events: DataFrame, reference: Column, by: str = "order_id"
     return out.where("avg_px is not null").select(by, (sign * (F.col("avg_px") - F.col("ref"))).alias("slippage"), (F.col("_f") - F.col("_s")).alias("latency"))
 
 
-def cycles(fills: DataFrame, by: Iterable[str], order: Iterable[str] = ("ts_event", "seq")) -> DataFrame:
+def cycles(fills: DataFrame, by: Iterable[str], order: Iterable[str] = ("ts_event", "seq"), bucket: int | None = None) -> DataFrame:
     """Fills cut where the net position crosses zero, with their position cycle: signed quantity, net before and after.
 
     A fill that crosses is two rows, one that closes and one that opens. All in closed form: running sums and their signs.
+    bucket: see windows.running_sum.
     """
     by, order = list(by), list(order)
     q = F.when(F.col("order_side") == "BUY", F.col("last_qty")).otherwise(-F.col("last_qty"))
-    rows = fills.withColumn("_q", q.cast("decimal(28,9)")).withColumn("_after", F.sum("_q").over(running(by, order)).cast("decimal(28,9)"))
+    rows = running_sum(fills.withColumn("_q", q.cast("decimal(28,9)")), "_after", F.col("_q"), by, order, bucket)
+    rows = rows.withColumn("_after", F.col("_after").cast("decimal(28,9)"))
     before = (F.col("_after") - F.col("_q")).cast("decimal(28,9)")
     rows = rows.withColumn("_before", before)
     crosses = F.col("_before") * F.col("_after") < 0
@@ -64,7 +66,7 @@ def cycles(fills: DataFrame, by: Iterable[str], order: Iterable[str] = ("ts_even
     two = F.array(part(F.col("_before"), zero, 0), part(zero, F.col("_after"), 1))
     rows = rows.withColumn("_p", F.explode(F.when(crosses, two).otherwise(whole))).select(*fills.columns, "_p.*")
     opens = F.col("before") == 0
-    rows = rows.withColumn("cycle", F.sum(opens.cast("int")).over(running(by, [*order, "part"])))
+    rows = running_sum(rows, "cycle", opens.cast("int"), by, [*order, "part"], bucket)
     return rows.withColumns({c: F.col(c).cast("double") for c in ("qty", "before", "after")})
 
 
@@ -85,14 +87,14 @@ def cost_basis(fills: DataFrame, by: Iterable[str], order: Iterable[str] = ("ts_
     return rows.withColumn("event", F.when(F.col("before") == 0, "OPENED").when(F.col("after") == 0, "CLOSED").otherwise("CHANGED"))
 
 
-def positions(fills: DataFrame, by: Iterable[str], order: Iterable[str] = ("ts_event", "seq")) -> DataFrame:
+def positions(fills: DataFrame, by: Iterable[str], order: Iterable[str] = ("ts_event", "seq"), bucket: int | None = None) -> DataFrame:
     """One row for each position cycle: side, peak, prices, realised result, return, times. Closed cycles have quantity 0.
 
     With a position_id in `by` this is hedging, without it netting. The result of a closed cycle is what was received less
-    what was paid, so no recurrence is needed.
+    what was paid, so no recurrence is needed. bucket: see windows.running_sum.
     """
     by, order = list(by), list(order)
-    rows = cycles(fills, by, order)
+    rows = cycles(fills, by, order, bucket)
     at = F.struct(*order, "part")
     opens = F.col("before") * F.col("qty") >= 0
     entry_qty, exit_qty = F.sum(F.when(opens, F.abs("qty"))), F.sum(F.when(~opens, F.abs("qty")))
@@ -143,8 +145,10 @@ def balance_changes(fills: DataFrame, base: Column, quote: Column) -> DataFrame:
     return fills.withColumn("_m", F.explode(moves)).select(*fills.columns, "_m.*")
 
 
-def running_balances(changes: DataFrame, by: Iterable[str] = ("account_id", "currency"), start: float = 0.0) -> DataFrame:
-    return changes.withColumn("balance", F.lit(start) + F.sum("change").over(running(by, ["ts_event", "seq"])))
+def running_balances(changes: DataFrame, by: Iterable[str] = ("account_id", "currency"), start: float = 0.0, bucket: int | None = None) -> DataFrame:
+    """The balance after each change. bucket: see windows.running_sum."""
+    rows = running_sum(changes, "balance", F.col("change"), by, ["ts_event", "seq"], bucket)
+    return rows.withColumn("balance", F.lit(start) + F.col("balance"))
 
 
 def locked(orders: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,24 @@ def last(k: int, by: Iterable[str] = BY, order: Iterable[str] = ORDER) -> Window
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - k, Window.currentRow)
 
 
+def running_sum(df: DataFrame, out: str, x: Column, by: Iterable[str] = BY, order: Iterable[str] = ORDER, bucket: int | None = None) -> DataFrame:
+    """Adds the sum of x over the key's rows up to the current one.
+
+    With `bucket`, a length in units of the first order column, only rows of one key and span are sorted together: each span is
+    first summed, and a row for each key and span brings the sum of all earlier ones, so that one hot key spreads over many
+    tasks. Null keys are one key, rows without a time come first.
+    """
+    by, order = list(by), list(order)
+    if bucket is None:
+        return df.withColumn(out, F.sum(x).over(running(by, order)))
+    rows = df.withColumns({"_x": x, "_span": F.call_function("div", F.col(order[0]), F.lit(bucket))})
+    spans = rows.groupBy(*by, "_span").agg(F.sum("_x").alias("_x"))
+    earlier = F.sum("_x").over(ordered(by, ["_span"]).rowsBetween(Window.unboundedPreceding, -1))
+    brought = spans.select(*by, "_span", earlier.alias("_x")).withColumn("_row", F.lit(False))
+    both = rows.withColumn("_row", F.lit(True)).unionByName(brought, allowMissingColumns=True)
+    return both.withColumn(out, F.sum("_x").over(running([*by, "_span"], ["_row", *order]))).where("_row").drop("_x", "_span", "_row")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once, for rounds that build on it: a checkpoint in the shared folder, which also ends the lineage; where
     no folder is set, kept by the executors and computed anew if one is lost."""
@@ -74,7 +92,7 @@ def affine(df: DataFrame, out: str, by: Iterable[str] = BY, order: Iterable[str]
 
     def replay(y, pdf):
         values = np.empty(len(pdf))
-        for i, (a, b, seed) in enumerate(zip(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["seed"].to_numpy(), strict=True)):
+        for i, (a, b, seed) in enumerate(zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["seed"].tolist(), strict=True)):
             new = seed if y is None else a * y + b
             y = y if new != new else new
             values[i] = np.nan if y is None else y
@@ -132,7 +150,9 @@ def affine(df: DataFrame, out: str, by: Iterable[str] = BY, order: Iterable[str]
         after.begun = True
         return rest, after
 
-    joined = df.join(carried, [*by, chunk])
+    names = {c: f"_{i}" for i, c in enumerate(keys.fieldNames())}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    joined = df.join(carried.withColumnsRenamed(names), same).drop(*names.values())
     return fold(joined, [*by, chunk], order, lambda: _Carry(None), resume, schema)
 
 

@@ -46,7 +46,7 @@ _POSITIONS = f"""select account_id, instrument_id, cycle, entry, signed_qty, pea
 
 
 def positions(spark, d):
-    return ledger.positions(fills(spark, d), BY)
+    return ledger.positions(fills(spark, d), BY, bucket=4 * _QTR)
 
 
 Q["positions_netting"] = lambda spark, d: rounded(positions(spark, d), 8)
@@ -89,7 +89,7 @@ Q["net_of_base_commission"] = lambda spark, d: rounded(fills(spark, d).withColum
 S["net_of_base_commission"] = sql("select account_id, instrument_id, round(sum(last_qty * case when order_side = 'BUY' then 0.999::double else 1 end), 6) as quantity from fills group by 1, 2", "fills")
 
 _MOVES = "(select account_id, ts_event, seq, unnest(['BASE', 'QUOTE']) as currency, unnest([s * last_qty, -s * last_qty * last_px]) as change from (select *, case when order_side = 'BUY' then 1.0::double else -1 end as s from fills))"
-Q["running_balances"] = lambda spark, d: rounded(ledger.running_balances(ledger.balance_changes(fills(spark, d), F.lit("BASE"), F.lit("QUOTE"))).select("account_id", "seq", "currency", "change", "balance"))
+Q["running_balances"] = lambda spark, d: rounded(ledger.running_balances(ledger.balance_changes(fills(spark, d), F.lit("BASE"), F.lit("QUOTE")), bucket=_QTR).select("account_id", "seq", "currency", "change", "balance"))
 S["running_balances"] = sql(f"select account_id, seq, currency, round(change, 6) as change, round(sum(change) over (partition by account_id, currency order by ts_event, seq rows unbounded preceding), 6) as balance from {_MOVES}", "fills")
 Q["locked_balances"] = lambda spark, d: rounded(ledger.locked(events(spark, d).where("event = 'ACCEPTED'")))
 S["locked_balances"] = sql("select account_id, case when order_side = 'BUY' then 'QUOTE' else 'BASE' end as currency, round(sum(case when order_side = 'BUY' then quantity * price else quantity end), 6) as locked from order_events where event = 'ACCEPTED' group by 1, 2", "order_events")
@@ -191,7 +191,7 @@ S["positions_report"] = sql(f"select account_id, instrument_id, cycle, entry, si
 
 
 def _account_states(spark, d):
-    b = ledger.running_balances(ledger.balance_changes(fills(spark, d), F.lit("BASE"), F.lit("QUOTE")))
+    b = ledger.running_balances(ledger.balance_changes(fills(spark, d), F.lit("BASE"), F.lit("QUOTE")), bucket=_QTR)
     return b.groupBy("account_id", "ts_event", "seq").agg(F.sort_array(F.collect_list(F.struct("currency", F.col("balance").alias("total")))).alias("balances"))
 
 

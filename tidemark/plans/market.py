@@ -323,7 +323,7 @@ def _(spark, d):
 
 @query("tick_bars", sql(f"""select instrument_id, bar, {OHLCV}, max(ts_event) as ts_event from (select *, (row_number() over {W} - 1) // 20 as bar from trades) group by 1, 2 having count(*) = 20""", "trades"))
 def _(spark, d):
-    return rounded(bars.tick_bars(views.trades(spark, d), 20))
+    return rounded(bars.tick_bars(views.trades(spark, d), 20, bucket=DAY))
 
 
 def _threshold(amount: str, step: int) -> str:
@@ -335,12 +335,12 @@ def _threshold(amount: str, step: int) -> str:
 
 @query("volume_bars", _threshold("size", 200))
 def _(spark, d):
-    return rounded(bars.volume_bars(views.trades(spark, d), 200))
+    return rounded(bars.volume_bars(views.trades(spark, d), 200, bucket=DAY))
 
 
 @query("value_bars", _threshold("round(price * size, 6)", 5000))
 def _(spark, d):
-    return rounded(bars.threshold_bars(views.trades(spark, d), F.round(F.col("price") * F.col("size"), 6), 5000))
+    return rounded(bars.threshold_bars(views.trades(spark, d), F.round(F.col("price") * F.col("size"), 6), 5000, bucket=DAY))
 
 
 @query("tick_runs_bars", sql(f"""select instrument_id, bar::bigint as bar, {OHLCV}, max(ts_event) as ts_event from (select *, sum(c) over (partition by instrument_id order by ts_event, seq rows unbounded preceding) - c as bar from

@@ -15,6 +15,8 @@ Q: dict = {}
 S: dict = {}
 
 HLC = "(high + low + close) / 3"
+#: Recursive averages are carried from week to week.
+WEEK = 7 * 24 * HOUR
 
 
 def over(k: int | None = None, end: int = 0) -> str:
@@ -30,7 +32,8 @@ def query(name: str, columns: list[str], make, exprs: list[str] | None = None, s
 
     def run(spark, d):
         b = rounded(bars.time_bars(views.trades(spark, d), HOUR))
-        return rounded(make(Indicators(b)).df.select("instrument_id", "ts_event", *columns))
+        b = b.withColumn("week", F.call_function("div", F.col("ts_event"), F.lit(WEEK)))
+        return rounded(make(Indicators(b, chunk="week")).df.select("instrument_id", "ts_event", *columns))
 
     Q[name] = run
     if exprs is not None:
@@ -156,7 +159,7 @@ Q["imbalance_trigger"] = lambda spark, d: Indicators(views.quotes(spark, d), ord
 
 def _vpin(spark, d):
     t = views.trades(spark, d)
-    b = bars.threshold_bars(t, F.round(F.col("price") * F.col("size"), 6), 5000, sums={"buy": F.col("aggressor_side") == "BUYER"})
+    b = bars.threshold_bars(t, F.round(F.col("price") * F.col("size"), 6), 5000, sums={"buy": F.col("aggressor_side") == "BUYER"}, bucket=24 * HOUR)
     return rounded(Indicators(b, order=("bar",)).vpin(10).df.select("instrument_id", "bar", "vpin", "vpin_signed"))
 
 
