@@ -127,6 +127,11 @@ def fee(maker_rate: float, taker_rate: float) -> Column:
     return F.col("last_qty") * F.col("last_px") * F.when(F.col("liquidity_side") == "MAKER", maker_rate).otherwise(taker_rate)
 
 
+def commissions(fills: DataFrame, amount: Column, by: Iterable[str], currency: str = "currency") -> DataFrame:
+    """What each position has paid in each currency: amounts of different currencies are never added up."""
+    return fills.withColumn("_c", amount).groupBy(*by, currency).agg(F.sum("_c").alias("commission"), F.count("*").alias("fills"))
+
+
 def fixed_fee(amount: float, order_key: str, once: bool = True) -> Column:
     """A fixed amount for each order (its first fill) or each fill."""
     first = F.row_number().over(Window.partitionBy(order_key).orderBy("ts_event", "seq")) == 1

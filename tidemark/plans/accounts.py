@@ -81,6 +81,8 @@ S["notional_value"] = sql("select seq, round(case when seq % 2 = 0 then last_qty
 _FEE = "last_qty * last_px * case when liquidity_side = 'MAKER' then 0.0002::double else 0.0005::double end"
 Q["maker_taker_fees"] = lambda spark, d: rounded(fills(spark, d).groupBy(*BY).agg(F.sum(ledger.fee(0.0002, 0.0005)).alias("commission")))
 S["maker_taker_fees"] = sql(f"select account_id, instrument_id, round(sum({_FEE}), 6) as commission from fills group by 1, 2", "fills")
+Q["commissions_by_currency"] = lambda spark, d: rounded(ledger.commissions(fills(spark, d).withColumn("currency", F.concat(F.lit("C"), (F.col("seq") % 3).cast("string"))), ledger.fee(0.0002, 0.0005), BY))
+S["commissions_by_currency"] = sql(f"select account_id, instrument_id, 'C' || (seq % 3) as currency, round(sum({_FEE}), 6) as commission, count(*) as fills from fills group by 1, 2, 3", "fills")
 Q["fixed_fees"] = lambda spark, d: rounded(fills(spark, d).withColumn("list", F.floor(F.col("seq") / 3)).withColumn("fee", ledger.fixed_fee(1.5, "list")).groupBy("account_id").agg(F.sum("fee").alias("fees")))
 S["fixed_fees"] = sql("select account_id, round(sum(case when n = 1 then 1.5::double else 0 end), 6) as fees from (select *, row_number() over (partition by seq // 3 order by ts_event, seq) as n from fills) group by 1", "fills")
 Q["option_fees"] = lambda spark, d: rounded(fills(spark, d).select("seq", F.col("last_qty").alias("quantity"), F.col("last_px").alias("underlying"), (F.col("last_px") * (F.col("seq") % 7) / 1000).alias("premium")).select("seq", ledger.option_fee(0.0003).alias("fee")), 12)

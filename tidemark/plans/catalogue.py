@@ -164,3 +164,78 @@ S["short_rates"] = """with o as (select (o_orderkey % 3)::varchar as currency, o
     select o.o_orderkey, r.rate from (select *, date_trunc('month', day)::date as m from o) o asof left join r on o.currency = r.currency and o.m <= r.m"""
 Q["predicate_combination"] = lambda spark, d: filled(spark, d).query("trades", where=(F.col("price") >= 10) & (F.col("size") < 5) | (F.col("aggressor_side") == "SELLER") & (F.col("price") < 1), ordered=False).select("seq")
 S["predicate_combination"] = sql("select seq from trades where price >= 10 and size < 5 or aggressor_side = 'SELLER' and price < 1", "trades")
+
+
+def _typed(spark, d):
+    """One catalog with four types, each read back by its own scan."""
+    c = Catalog(spark, scratch(spark))
+    both = lambda df: df.withColumn("ts_init", F.col("ts_event"))
+    c.write(both(views.quotes(spark, d)), "quotes")
+    c.write(both(views.trades(spark, d)), "trades")
+    c.write(both(_bar_table(spark, d)), "bars")
+    c.write(both(views.deltas(spark, d)), "deltas")
+    return c
+
+
+def _typed_scans(spark, d):
+    c, k = _typed(spark, d), {"start": MID - 100 * HOUR, "end": MID + 100 * HOUR, "ordered": False}
+    value = {"quotes": c.quotes(**k).withColumn("value", F.col("bid_price")), "trades": c.trades(**k).withColumn("value", F.col("price")), "bars": c.bars(**k).withColumn("value", F.col("volume")), "deltas": c.deltas(**k).withColumn("value", F.col("size"))}
+    out = [df.groupBy("instrument_id").agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("most")).withColumn("kind", F.lit(name)) for name, df in value.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+_BETWEEN = f"ts_event between {MID - 100 * HOUR} and {MID + 100 * HOUR}"
+Q["catalog_typed_scans"] = _typed_scans
+S["catalog_typed_scans"] = sql(" union all ".join(f"select '{kind}' as kind, instrument_id, count(*) as n, round(max({value}), 6) as most from {source} where {_BETWEEN} group by 2"
+    for kind, source, value in (("quotes", "quotes", "bid_price"), ("trades", "trades", "price"), ("bars", "b", "volume"), ("deltas", "deltas", "size"))), "quotes", "trades", "deltas", b=_bars(LEFT))
+
+
+def _listing(spark, d):
+    c = _typed(spark, d)
+    kinds = [r["kind"] for r in c.kinds().collect()]
+    files = [c.files(k).withColumn("kind", F.lit(k)) for k in kinds]
+    out = files[0]
+    for f in files[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("kind", "identifier").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("rows").alias("n"))
+
+
+Q["catalog_listing"] = _listing
+S["catalog_listing"] = sql(" union all ".join(f"select '{k}' as kind, instrument_id as identifier, min(ts_event) as first, max(ts_event) as last, count(*) as n from {t} group by 2" for k, t in (("quotes", "quotes"), ("trades", "trades"), ("bars", "b"), ("deltas", "deltas"))), "quotes", "trades", "deltas", b=_bars(LEFT))
+
+
+def _file_pruning(spark, d):
+    """Rows in [MID, end) read from only the files that a range of time needs: those of the second write."""
+    c = filled(spark, d)
+    return c.files_between("trades", MID, 1 << 62).groupBy("identifier").agg(F.sum("rows").alias("n"), F.min("first").alias("first"))
+
+
+Q["catalog_file_pruning"] = _file_pruning
+S["catalog_file_pruning"] = sql(f"select instrument_id as identifier, count(*) as n, min(ts_event) as first from trades where ts_event >= {MID} group by 1", "trades")
+
+
+def _extended(spark, d):
+    """A range without rows counts as covered until the intervals are read anew from the rows."""
+    c = filled(spark, d)
+    c.extend("trades", "view", 0, 1000)
+    before = c.intervals("trades").groupBy("identifier").agg(F.count("*").alias("intervals"), F.min("first").alias("first")).withColumn("state", F.lit("extended"))
+    kept = before.collect()
+    c.consolidate("trades", partitions=2)
+    c.reset_coverage("trades")
+    after = c.intervals("trades").groupBy("identifier").agg(F.min("first").alias("first")).select("identifier", F.lit(None).cast("long").alias("intervals"), "first", F.lit("reset").alias("state"))
+    return spark.createDataFrame(kept, before.schema).unionByName(after)
+
+
+Q["catalog_extended_coverage"] = _extended
+S["catalog_extended_coverage"] = sql(f"""select 'extended' as state, identifier, count(*) as intervals, min(first) as first from (select instrument_id as identifier, min(ts_event) as first from trades group by instrument_id, ts_event < {MID} union all select 'view', 0) group by 2
+    union all select 'reset', instrument_id, null, min(ts_event) from trades group by 2""", "trades")
+
+
+def _parquet(spark, d):
+    path = scratch(spark)
+    views.trades(spark, d).select("instrument_id", "price", "size", F.timestamp_micros(F.expr("ts_event div 1000")).alias("time")).write.parquet(path)
+    return catalog.load_ticks_parquet(spark, path, "time").groupBy("instrument_id").agg(F.count("*").alias("n"), F.min("ts_event").alias("first"), F.max("ts_init").alias("last"), F.sum("size").alias("size"))
+
+
+Q["parquet_ticks"] = _parquet
+S["parquet_ticks"] = sql("select instrument_id, count(*) as n, min(ts_event) as first, max(ts_event) as last, sum(size) as size from trades group by 1", "trades")

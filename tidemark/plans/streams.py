@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.windows import rounded
 from tidemark.plans.catalogue import scratch
+from tidemark.plans.depth import DERIVED
 from tidemark.sources import views
+from tidemark.sources.catalog import Catalog
 from tidemark.sources.views import sql
 from tidemark.streaming import streams
 
@@ -26,8 +28,9 @@ def run(spark, d, make, mode: str = "append"):
     return replay(spark, t.select("instrument_id", "price", "size", "aggressor_side", "ts", "seq"), make, mode)
 
 
-def replay(spark, t, make, mode: str = "append"):
-    """t, cut by time and read as a stream, a part a trigger; a last row only moves the watermark past all others.
+def replay(spark, t, make, mode: str = "append", **last):
+    """t, cut by time and read as a stream, a part a trigger; a last row only moves the watermark past all others. last: values
+    of its columns where it isn't to be empty or 0.
 
     The cuts divide the span of ts evenly, and the first and the last part are open, so every row is in one part; rows without
     ts come with the first. Each part is several files by ranges of ts; the stream reads them all before the next is written.
@@ -41,10 +44,12 @@ def replay(spark, t, make, mode: str = "append"):
         number = F.when(us >= lo + (hi - lo) * k // PARTS, k).otherwise(number)
     parts = [t.where(number == k).repartitionByRange("ts").sortWithinPartitions("ts", "seq") for k in range(PARTS)]
     ts = F.timestamp_micros(F.lit(hi).cast("long")) + F.expr(f"interval {END}")
-    end = spark.range(1).coalesce(1).select(F.lit("~end").alias("instrument_id"), F.lit(0.0).alias("price"), F.lit(0.0).alias("size"), F.lit("").alias("aggressor_side"), ts.alias("ts"), F.lit(-1).cast("long").alias("seq"))
+    values = {"instrument_id": "~end", "seq": -1, **last}
+    end = spark.range(1).coalesce(1).select(*[(ts if f.name == "ts" else F.lit(values.get(f.name, "" if f.dataType.simpleString() == "string" else 0)).cast(f.dataType)).alias(f.name) for f in t.schema])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema)
     for part in [*parts, end]:
         part.write.mode("append").parquet(f"{folder}/in")
-        out = make(streams.read_files(spark, f"{folder}/in", files_per_trigger=(1 << 31) - 1))
+        out = make(streams.read_files(spark, f"{folder}/in", schema, (1 << 31) - 1))
         q = out.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out").where("instrument_id <> '~end'")
@@ -74,3 +79,45 @@ Q["stream_subscription"] = lambda spark, d: run(spark, d, lambda s: streams.subs
 S["stream_subscription"] = sql("select instrument_id, count(*) as n from trades where instrument_id like '_i%' group by 1", "trades")
 Q["stream_snapshots"] = lambda spark, d: run(spark, d, lambda s: streams.snapshots(s, "6 hours", "10 minutes")).select("instrument_id", F.unix_micros("end").alias("end"), "price", "size", "seq")
 S["stream_snapshots"] = sql("select instrument_id, (ts_event // 21600000000000 + 1) * 21600000000 as end, arg_max(price, (ts_event, seq)) as price, arg_max(size, (ts_event, seq)) as size, arg_max(seq, (ts_event, seq)) as seq from trades group by 1, 2", "trades")
+
+
+def _book(spark, d):
+    """Book updates as a stream; the quotes that they lead to."""
+    t = views.deltas(spark, d).withColumn("ts", F.timestamp_micros(F.expr("ts_event div 1000"))).drop("ts_event")
+    return replay(spark, t, streams.book_quotes, action="CLEAR")
+
+
+Q["stream_book_quotes"] = _book
+S["stream_book_quotes"] = f"select * exclude (ts_event) from ({DERIVED})"
+
+
+def _converted(spark, d):
+    """What a stream wrote, taken into a catalog and read back by it."""
+    c = Catalog(spark, scratch(spark))
+    folder = scratch(spark)
+    run(spark, d, lambda s: s).withColumn("ts_event", F.unix_micros("ts") * 1000).withColumn("ts_init", F.col("ts_event")).write.parquet(folder)
+    c.convert_stream(folder, "trades")
+    return c.trades(ordered=False).groupBy("instrument_id").agg(F.count("*").alias("n"), F.min("ts_init").alias("first"), F.sum("size").alias("size"))
+
+
+Q["stream_to_catalog"] = _converted
+S["stream_to_catalog"] = sql("select instrument_id, count(*) as n, min(ts_event) as first, sum(size) as size from trades group by 1", "trades")
+
+
+def _late(spark, d):
+    """Trades of which every seventh comes with the last part, whatever its time; late ones go to a table of their own."""
+    folder = scratch(spark)
+    t = views.trades(spark, d).withColumn("ts", F.timestamp_micros(F.expr("ts_event div 1000"))).drop("ts_event").select("instrument_id", "price", "size", "aggressor_side", "ts", "seq")
+    held = F.col("seq") % 7 == 0
+    for part in (t.where(~held), t.where(held)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        source = streams.read_files(spark, f"{folder}/in", files_per_trigger=(1 << 31) - 1)
+        q = streams.with_late_rows(source, f"{folder}/state", f"{folder}/rows", f"{folder}/late", 86_400).trigger(availableNow=True).start()
+        q.awaitTermination()
+    read = lambda name: spark.read.parquet(f"{folder}/{name}").select("instrument_id", F.lit(name).alias("went_to"))
+    return read("rows").unionByName(read("late")).groupBy("instrument_id", "went_to").agg(F.count("*").alias("n"))
+
+
+Q["stream_late_rows"] = _late
+S["stream_late_rows"] = sql("""select instrument_id, case when seq % 7 = 0 and make_timestamp(ts_event // 1000) < (select max(make_timestamp(ts_event // 1000)) from trades where seq % 7 <> 0) - interval 1 day then 'late' else 'rows' end as went_to, count(*) as n
+    from trades group by 1, 2""", "trades")

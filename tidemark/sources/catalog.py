@@ -6,6 +6,7 @@ those without rows. Everything is read and written by Spark, so the root may be
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
@@ -46,7 +47,22 @@ class Catalog:
     def _coverage(self, kind: str) -> str:
         return f"{self.root}/coverage/{kind}"
 
+    def _fs(self, path: str):
+        """The file system of a path, and a maker of its paths."""
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        return make(path).getFileSystem(self.spark._jsc.hadoopConfiguration()), make
+
+    def _recover(self, path: str) -> None:
+        """Ends a replacement that was cut off between its two moves: the new table if it is whole, else the old one."""
+        fs, at = self._fs(path)
+        if not fs.exists(at(path)):
+            if fs.exists(at(f"{path}.new/_SUCCESS")):
+                fs.rename(at(f"{path}.new"), at(path))
+            elif fs.exists(at(f"{path}.old")):
+                fs.rename(at(f"{path}.old"), at(path))
+
     def _read(self, path: str) -> DataFrame | None:
+        self._recover(path)
         try:
             return self.spark.read.option("mergeSchema", "true").parquet(path)
         except AnalysisException:
@@ -82,12 +98,22 @@ class Catalog:
     def deltas(self, **k) -> DataFrame:
         return self.query("deltas", **k)
 
+    def kinds(self) -> DataFrame:
+        """(kind) of every type that the catalog has rows of."""
+        fs, at = self._fs(self.root)
+        data = at(f"{self.root}/data")
+        names = [x.getPath().getName() for x in fs.listStatus(data)] if fs.exists(data) else []
+        return self.spark.createDataFrame([(n,) for n in sorted(names) if not n.endswith((".new", ".old"))], "kind string")
+
     def custom(self, name: str, **k) -> DataFrame:
         return self.query(f"custom_{name}", **k)
 
     def instruments(self, kinds: Iterable[str], identifiers: Iterable[str] | None = None) -> DataFrame:
         """Instruments of all the given classes in one table; columns that a class lacks are null."""
+        kinds = list(kinds)
         frames = [self.query(k, identifiers, ordered=False).withColumn("class", F.lit(k)) for k in kinds if self._read(self._data(k)) is not None]
+        if not frames:
+            raise ValueError(f"the catalog has none of {', '.join(kinds)}")
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
     def files(self, kind: str) -> DataFrame:
@@ -113,16 +139,45 @@ class Catalog:
     # writing
 
     def write(self, df: DataFrame, kind: str, by: str = "instrument_id", check_overlap: bool = True) -> None:
-        """Appends rows; refuses if an identifier's new interval meets one that is covered."""
-        df = df.withColumn("identifier", safe_identifier(F.col(by)))
-        new = df.groupBy("identifier").agg(F.min(TIME).alias("first"), F.max(TIME).alias("last"))
-        if check_overlap:
-            have = self.intervals(kind).select("identifier", F.col("first").alias("_a"), F.col("last").alias("_b"))
-            clash = new.join(have, "identifier").where((F.col("first") <= F.col("_b")) & (F.col("last") >= F.col("_a"))).limit(1).collect()
-            if clash:
-                raise OverlapError(f"{kind} of {clash[0]['identifier']} is covered from {clash[0]['_a']} to {clash[0]['_b']}")
-        df.sortWithinPartitions("identifier", TIME).write.mode("append").partitionBy("identifier").parquet(self._data(kind))
-        new.coalesce(1).write.mode("append").parquet(self._coverage(kind))
+        """Appends rows; refuses if an identifier's new interval meets one that is covered.
+
+        df is computed once: its rows go to a folder of their own, from which the intervals are read, and only then move, files
+        as they are, into the table and the coverage. A write that fails before that leaves the catalog as it was.
+        """
+        staged = f"{self.root}/staging/{uuid.uuid4().hex}"
+        fs, at = self._fs(self.root)
+        try:
+            rows = df.withColumn("identifier", safe_identifier(F.col(by))).sortWithinPartitions("identifier", TIME)
+            rows.write.partitionBy("identifier").parquet(f"{staged}/data")
+            new = self._read(f"{staged}/data")
+            if new is None or "identifier" not in new.columns:
+                return
+            new = new.groupBy(F.col("identifier").cast("string").alias("identifier")).agg(F.min(TIME).alias("first"), F.max(TIME).alias("last"))
+            new.coalesce(1).write.parquet(f"{staged}/coverage")
+            if check_overlap:
+                have = self.intervals(kind).select("identifier", F.col("first").alias("_a"), F.col("last").alias("_b"))
+                clash = self._read(f"{staged}/coverage").join(have, "identifier").where((F.col("first") <= F.col("_b")) & (F.col("last") >= F.col("_a"))).first()
+                if clash:
+                    raise OverlapError(f"{kind} of {clash['identifier']} is covered from {clash['_a']} to {clash['_b']}")
+            self._move(f"{staged}/data", self._data(kind))
+            self._move(f"{staged}/coverage", self._coverage(kind))
+        finally:
+            fs.delete(at(staged), True)
+
+    def _move(self, source: str, target: str) -> None:
+        """Moves a table's files into another of the same partitions; Spark's file names are unique."""
+        self._recover(target)
+        fs, at = self._fs(target)
+        files = fs.listFiles(at(source), True)
+        folder = fs.getFileStatus(at(source)).getPath().toString()
+        while files.hasNext():
+            path = files.next().getPath()
+            if path.getName().startswith("part-"):
+                to = at(target + path.toString()[len(folder) :])
+                fs.mkdirs(to.getParent())
+                if not fs.rename(path, to):
+                    raise OSError(f"{path.toString()} can't be moved to {to.toString()}")
+        self.spark.catalog.refreshByPath(target)
 
     def write_custom(self, df: DataFrame, name: str, by: str = "instrument_id") -> None:
         """Rows of a user's own type, with the type's name and columns as JSON in `data_type`."""
@@ -134,13 +189,17 @@ class Catalog:
         self.spark.createDataFrame([(identifier, first, last)], "identifier string, first long, last long").write.mode("append").parquet(self._coverage(kind))
 
     def _swap(self, df: DataFrame, path: str, *by: str) -> None:
-        """Replaces a table by df, which may read the table: written beside it first, then moved."""
-        jvm = self.spark._jvm
-        df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}.new") if by else df.write.mode("overwrite").parquet(f"{path}.new")
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(target, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}.new"), target)
+        """Replaces a table by df, which may read the table: written beside it first, then both are moved.
+
+        Until the new table is whole the old one stays; a job that is cut off between the moves is ended by the next read.
+        """
+        fs, at = self._fs(path)
+        out = df.write.mode("overwrite")
+        (out.partitionBy(*by) if by else out).parquet(f"{path}.new")
+        fs.delete(at(f"{path}.old"), True)
+        fs.rename(at(path), at(f"{path}.old"))
+        fs.rename(at(f"{path}.new"), at(path))
+        fs.delete(at(f"{path}.old"), True)
         self.spark.catalog.refreshByPath(path)
 
     def consolidate(self, kind: str, deduplicate: bool = False, partitions: int | None = None) -> None:
@@ -168,6 +227,10 @@ class Catalog:
         """Recomputes the intervals from the files' rows."""
         self._swap(self.files(kind).select("identifier", "first", "last"), self._coverage(kind))
 
+    def files_between(self, kind: str, start: int, end: int) -> DataFrame:
+        """files() that hold rows of [start, end]."""
+        return self.files(kind).where((F.col("first") <= end) & (F.col("last") >= start))
+
     def convert_stream(self, path: str, kind: str, by: str = "instrument_id") -> None:
         """Takes the files of a stream's sink into the catalog."""
         self.write(self.spark.read.parquet(path), kind, by)
