@@ -261,3 +261,25 @@ def test_unrealized_result_of_all_open_positions(spark):
     assert several and set(got) == set(want)
     for key, pair in want.items():
         assert all(abs(a - b) <= 1e-5 * max(1, abs(b)) for a, b in zip(got[key], pair, strict=True)), key
+
+
+def test_catalog_is_whole_after_cut_off_writes(spark, tmp_path):
+    root = f"{tmp_path}/catalog"
+    c = Catalog(spark, f"file://{root}")
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("'A.X' as instrument_id", "id as ts_init", "double(id) as price")
+    c.write(rows(0, 10), "trades")
+    with pytest.raises(OverlapError):
+        c.write(rows(5, 15), "trades")
+    with pytest.raises(Exception, match="raised"):
+        c.write(rows(20, 30).withColumn("price", F.raise_error(F.lit("raised")).cast("double")), "trades")
+    assert c.trades().count() == 10 and [tuple(r) for r in c.intervals("trades").collect()] == [("A.X", 0, 9)]
+    c.write(rows(0, 0), "trades")
+    assert not any((tmp_path / "catalog" / "staging").iterdir())
+    data = tmp_path / "catalog" / "data" / "trades"
+    data.rename(f"{data}.old")  # as if cut off before the new table came in
+    assert c.trades().count() == 10
+    rows(0, 3).withColumn("identifier", F.col("instrument_id")).write.partitionBy("identifier").parquet(f"file://{data}.new")
+    data.rename(f"{data}.old")
+    assert c.trades().count() == 3
+    with pytest.raises(ValueError, match="none of"):
+        c.instruments(["equity"])
