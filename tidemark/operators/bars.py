@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,15 +126,15 @@ def _sequential(df: DataFrame, closes, by: list[str], order: list[str]) -> DataF
 
     def step(state, pdf):
         out = []
-        s = state
-        for price, size, side, t in zip(pdf["price"], pdf["size"], pdf["aggressor_side"], pdf[order[0]], strict=True):
+        s, key = state, tuple(pdf[by].iloc[0])
+        for price, size, side, t in zip(*(pdf[c].tolist() for c in ("price", "size", "aggressor_side", order[0])), strict=True):
             b = s.get("bar")
             if b is None:
                 b = s["bar"] = [price, price, price, price, 0.0, 0, t]
             b[1], b[2], b[3], b[4], b[5], b[6] = max(b[1], price), min(b[2], price), price, b[4] + size, b[5] + 1, t
             sign = 1 if side == "BUYER" else -1 if side == "SELLER" else 0
             if sign and closes(s, sign, size, price):
-                out.append((*pdf[by].iloc[0], s.setdefault("n", 0), *b[:6], b[6]))
+                out.append((*key, s.setdefault("n", 0), *b[:6], b[6]))
                 s["n"] += 1
                 s["bar"] = None
         return pd.DataFrame(out, columns=[*by, "bar", "open", "high", "low", "close", "volume", "count", "ts_event"]), s
@@ -189,12 +188,12 @@ def renko_bars(df: DataFrame, brick: float, by: Iterable[str] = BY, order: Itera
     by, order = list(by), list(order)
 
     def step(s, pdf):
-        out = []
-        for price, t in zip(pdf["price"], pdf[order[0]], strict=True):
+        out, key = [], tuple(pdf[by].iloc[0])
+        for price, t in zip(pdf["price"].tolist(), pdf[order[0]].tolist(), strict=True):
             at = s.setdefault("at", price)
             while abs(price - at) >= brick:
-                new = at + np.sign(price - at) * brick
-                out.append((*pdf[by].iloc[0], s.setdefault("n", 0), at, new, t))
+                new = at + (brick if price > at else -brick)
+                out.append((*key, s.setdefault("n", 0), at, new, t))
                 s["n"] += 1
                 at = s["at"] = new
         return pd.DataFrame(out, columns=[*by, "bar", "open", "close", "ts_event"]), s

@@ -177,8 +177,8 @@ def derived_quotes(deltas: DataFrame) -> DataFrame:
     """
 
     def step(s, pdf):
-        out = []
-        for action, side, price, size, flags, t, seq in zip(*(pdf[c] for c in ("action", "side", "price", "size", "flags", "ts_event", "seq")), strict=True):
+        out, key = [], pdf["instrument_id"].iloc[0]
+        for action, side, price, size, flags, t, seq in zip(*(pdf[c].tolist() for c in ("action", "side", "price", "size", "flags", "ts_event", "seq")), strict=True):
             if action == "CLEAR":
                 s["BUY"], s["SELL"] = {}, {}
             elif action == "DELETE" or size == 0:
@@ -190,7 +190,7 @@ def derived_quotes(deltas: DataFrame) -> DataFrame:
                 new = (b, a, s["BUY"][b], s["SELL"][a])
                 if new != s["last"]:
                     s["last"] = new
-                    out.append((pdf["instrument_id"].iloc[0], *new, t, seq))
+                    out.append((key, *new, t, seq))
         return pd.DataFrame(out, columns=["instrument_id", "bid_price", "ask_price", "bid_size", "ask_size", "ts_event", "seq"]), s
 
     schema = T.StructType.fromDDL("instrument_id string, bid_price double, ask_price double, bid_size double, ask_size double, ts_event long, seq long")

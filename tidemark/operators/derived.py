@@ -55,13 +55,13 @@ def active_strikes(atm: DataFrame, by: Iterable[str], order: Iterable[str], spac
     by, order = list(by), list(order)
 
     def step(s, pdf):
-        out = []
-        for price, t in zip(pdf["atm"], pdf[order[0]], strict=True):
+        out, key = [], tuple(pdf[by].iloc[0])
+        for price, t in zip(pdf["atm"].tolist(), pdf[order[0]].tolist(), strict=True):
             c = s["centre"]
             new = round(price / spacing) * spacing
             if c is None or (abs(price - c) > spacing * (0.5 + hysteresis) and t - s["at"] >= cooldown):
                 s["centre"], s["at"] = new, t
-                out.append((*pdf[by].iloc[0], t, new, new - width * spacing, new + width * spacing))
+                out.append((*key, t, new, new - width * spacing, new + width * spacing))
         return pd.DataFrame(out, columns=[*by, order[0], "centre", "lowest", "highest"]), s
 
     schema = T.StructType([atm.schema[c] for c in by] + T.StructType.fromDDL(f"{order[0]} long, centre double, lowest double, highest double").fields)

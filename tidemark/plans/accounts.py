@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import asof, ledger
 from tidemark.operators.windows import rounded
 from tidemark.sources import views
-from tidemark.sources.views import sql
+from tidemark.sources.views import recursive, sql
 
 Q: dict = {}
 S: dict = {}
@@ -52,9 +52,20 @@ def positions(spark, d):
 Q["positions_netting"] = lambda spark, d: rounded(positions(spark, d), 8)
 S["positions_netting"] = sql(_POSITIONS, "fills", c=_CYCLES)
 Q["positions_hedging"] = lambda spark, d: rounded(ledger.positions(fills(spark, d).withColumn("position_id", F.col("seq") % 500), ["position_id", *BY]).groupBy("entry").agg(F.count("*").alias("n"), F.sum("peak_qty").alias("peak")))
+S["positions_hedging"] = sql(f"select entry, count(*) as n, sum(peak_qty) as peak from ({_POS}) group by 1", "fills", h="select * replace (account_id || '-' || seq % 500 as account_id) from fills", c=_CYCLES.replace("from fills", "from h"))
 Q["position_events"] = lambda spark, d: ledger.cycles(fills(spark, d), BY).groupBy("account_id", F.when(F.col("before") == 0, "OPENED").when(F.col("after") == 0, "CLOSED").otherwise("CHANGED").alias("event")).agg(F.count("*").alias("n"))
 S["position_events"] = sql("select account_id, case when before = 0 then 'OPENED' when after = 0 then 'CLOSED' else 'CHANGED' end as event, count(*) as n from c group by 1, 2", "fills", c=_CYCLES)
-Q["cost_basis"] = lambda spark, d: rounded(ledger.cost_basis(fills(spark, d), BY).select(*BY, "seq", "part", "cycle", "after", "avg_px_open", "realized_pnl", "event"))
+Q["cost_basis"] = lambda spark, d: rounded(ledger.cost_basis(fills(spark, d), BY).select(*BY, "seq", "part", "cycle", "after", "avg_px_open", "realized_pnl", "event"), 10)
+#: Cost of the open quantity, walked fill by fill within a cycle.
+_COSTS = {
+    "c": _CYCLES, "m": "select *, row_number() over (partition by account_id, instrument_id, cycle order by ts_event, seq, part) as n from c",
+    "f": """select account_id, instrument_id, cycle, n, qty * last_px as cost, 0::double as was from m where n = 1 union all
+        select m.account_id, m.instrument_id, m.cycle, m.n, case when m.before * m.qty >= 0 then f.cost + m.qty * m.last_px else m.after / m.before * f.cost end, f.cost
+        from f join m on m.account_id = f.account_id and m.instrument_id = f.instrument_id and m.cycle = f.cycle and m.n = f.n + 1""",
+    "b": """select *, case when after <> 0 then cost / after end as avg_px_open, case when before * qty < 0 then -qty * (last_px - was / before) else 0 end as realized_pnl,
+        case when before = 0 then 'OPENED' when after = 0 then 'CLOSED' else 'CHANGED' end as event from m join f using (account_id, instrument_id, cycle, n)""",
+}
+S["cost_basis"] = recursive("select account_id, instrument_id, seq, part, cycle, after, round(avg_px_open, 10) as avg_px_open, round(realized_pnl, 10) as realized_pnl, event from b", "fills", **_COSTS)
 Q["realized_pnl_total"] = lambda spark, d: rounded(positions(spark, d).where("signed_qty = 0").groupBy("account_id").agg(F.sum("realized_pnl").alias("realized_pnl"), F.count("*").alias("closed")))
 S["realized_pnl_total"] = sql(f"select account_id, round(sum(cash), 6) as realized_pnl, count(*) as closed from ({_POS}) where signed_qty = 0 group by 1", "fills", c=_CYCLES)
 
@@ -73,6 +84,8 @@ def unrealized(rows, marks_):
 
 
 Q["unrealized_pnl"] = lambda spark, d: rounded(unrealized(ledger.cost_basis(fills(spark, d), BY), marks(spark, d)))
+S["unrealized_pnl"] = recursive(f"""select account_id, instrument_id, round((mark - avg_px_open) * after, 6) as unrealized, round(after * (1 / avg_px_open - 1 / mark), 6) as unrealized_inverse from (
+    select account_id, instrument_id, last(after order by ts_event, seq, part) as after, last(avg_px_open order by ts_event, seq, part) as avg_px_open from b group by 1, 2) join ({_MARK}) using (instrument_id) where after <> 0""", "fills", **_COSTS)
 Q["realized_pnl_kinds"] = lambda spark, d: rounded(positions(spark, d).where("signed_qty = 0").select(*BY, "cycle", ledger.pnl(F.col("avg_px_open"), F.col("avg_px_close"), F.when(F.col("entry") == "LONG", F.col("peak_qty")).otherwise(-F.col("peak_qty")), F.lit(2.0), F.lit(False)).alias("standard"), ledger.pnl(F.col("avg_px_open"), F.col("avg_px_close"), F.when(F.col("entry") == "LONG", F.col("peak_qty")).otherwise(-F.col("peak_qty")), F.lit(2.0), F.lit(True)).alias("inverse")))
 S["realized_pnl_kinds"] = sql(f"select account_id, instrument_id, cycle, round((avg_px_close - avg_px_open) * q * 2, 6) as standard, round(q * 2 * (1 / avg_px_open - 1 / avg_px_close), 6) as inverse from (select *, case when entry = 'LONG' then peak_qty else -peak_qty end as q from ({_POS}) where signed_qty = 0)", "fills", c=_CYCLES)
 Q["notional_value"] = lambda spark, d: rounded(fills(spark, d).select("seq", ledger.notional(F.col("last_qty"), F.col("last_px"), F.lit(10.0), F.col("seq") % 2 == 0).alias("notional")))

@@ -64,6 +64,11 @@ def _sweep(spark, d):
 Q["book_sweep"] = _sweep
 S["book_sweep"] = _sql(f"select instrument_id, ts, round(sum(price * take) / sum(take), 6) as avg_px, arg_max(price, level) as worst_px, count(*) as n from ({_WALK}) where take > 0 group by 1, 2")
 Q["book_exposure_walk"] = lambda spark, d: rounded(books(spark, d).select(*GRID, book.exposure_walk(F.col("asks"), F.lit(200.0)).alias("x")).select(*GRID, "x.price", "x.quantity"))
+_UNITS = "case when k.price > 0 then least(floor(f.money / k.price), k.size) else 0 end"
+S["book_exposure_walk"] = views.recursive("select instrument_id, ts, round(case when q > 0 then v / q else 0 end, 6) as price, q as quantity from (select instrument_id, ts, arg_max(q, level) as q, arg_max(v, level) as v from f group by 1, 2)", "deltas",
+    e=_EPOCH, history=_HISTORY, live=_LIVE, ranked=_RANKED, k="select instrument_id, ts, level, price, size from ranked where side = 'SELL' and level <= 20",
+    f=f"""select instrument_id, ts, 0::bigint as level, 200::double as money, 0::double as q, 0::double as v from ranked where level <= 20 group by 1, 2 union all
+        select k.instrument_id, k.ts, k.level, f.money - {_UNITS} * k.price, f.q + {_UNITS}, f.v + {_UNITS} * k.price from f join k on k.instrument_id = f.instrument_id and k.ts = f.ts and k.level = f.level + 1""")
 Q["book_violations"] = lambda spark, d: book.violations(live(spark, d), GRID)
 S["book_violations"] = _sql("select instrument_id, ts, 'crossed' as reason from live group by 1, 2 having max(price) filter (side = 'BUY') >= min(price) filter (side = 'SELL') union all select distinct instrument_id, ts, 'orders' from (select instrument_id, ts, side, price from live group by all having count(*) > 1)")
 Q["book_grouped"] = lambda spark, d: book.grouped(live(spark, d), GRID, 5.0)

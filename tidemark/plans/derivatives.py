@@ -65,6 +65,11 @@ S["strikes_by_delta"] = sql("""select distinct series, strike, atm from a where
 Q["chain_accessors"] = lambda spark, d: chain(spark, d).groupBy("series").agg(F.countDistinct("strike").alias("strikes"), F.sum((F.col("kind") == "CALL").cast("long")).alias("calls"), F.sum((F.col("kind") == "PUT").cast("long")).alias("puts"))
 S["chain_accessors"] = sql("select series, count(distinct strike) as strikes, count(*) filter (kind = 'CALL') as calls, count(*) filter (kind = 'PUT') as puts from c group by 1", c=_CHAIN)
 Q["chain_rebalance"] = lambda spark, d: derived.active_strikes(views.trades(spark, d).select("instrument_id", "ts_event", "seq", F.col("price").alias("atm")), ["instrument_id"], ["ts_event", "seq"], 5.0, 3, 0.1, 3_600_000_000_000)
+_TURNS = "abs(t.price - f.centre) > 3 and t.ts_event - f.since >= 3600000000000"
+S["chain_rebalance"] = views.recursive("select instrument_id, since as ts_event, centre, centre - 15 as lowest, centre + 15 as highest from f where hit", "trades",
+    t="select *, row_number() over (partition by instrument_id order by ts_event, seq) as n, round_even(price / 5, 0) * 5 as near from trades",
+    f=f"""select instrument_id, n, ts_event as since, near as centre, true as hit from t where n = 1 union all
+        select t.instrument_id, t.n, case when {_TURNS} then t.ts_event else f.since end, case when {_TURNS} then t.near else f.centre end, {_TURNS} from f join t on t.instrument_id = f.instrument_id and t.n = f.n + 1""")
 
 
 def positions(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import asof, bars, frames
 from tidemark.operators.windows import rounded
 from tidemark.sources import views
-from tidemark.sources.views import sql
+from tidemark.sources.views import recursive, sql
 
 HOUR, DAY = 3_600_000_000_000, 86_400_000_000_000
 W = "(partition by instrument_id order by ts_event, seq)"
@@ -350,11 +350,33 @@ def _(spark, d):
     return rounded(bars.tick_runs_bars(views.trades(spark, d), 3))
 
 
+_AMOUNT = {"tick": "1", "volume": "size", "value": "size * price"}
+_TICKS = f"select *, row_number() over {W} as n, case aggressor_side when 'BUYER' then 1 when 'SELLER' then -1 else 0 end as sign from trades"
+
+
+def folded(kind: str, step: float, runs: bool) -> str:
+    """Bars of imbalances or runs, walked tick by tick: the state is the sum, its side and whether the last tick closed a bar."""
+    if runs:
+        side = "case when k.sign = 0 then (case when f.done then 0 else f.side end) else k.sign end"
+        total = "case when k.sign = 0 then (case when f.done then 0 else f.s end) else k.x + case when not f.done and f.side = k.sign then f.s else 0 end end"
+    else:
+        side, total = "0", "case when f.done then 0 else f.s end + k.sign * k.x"
+    walk = f"""select instrument_id, 0::bigint as n, 0::bigint as bar, 0::double as s, 0 as side, false as done from k group by 1 union all
+        select instrument_id, n, bar, s, side, sign <> 0 and abs(s) >= {step} from (select k.instrument_id, k.n, f.bar + f.done::int as bar, {total} as s, {side} as side, k.sign from f join k on k.instrument_id = f.instrument_id and k.n = f.n + 1)"""
+    return recursive(f"select instrument_id, bar, {OHLCV}, max(ts_event) as ts_event from t join f using (instrument_id, n) group by 1, 2 having bool_or(done)", "trades", t=_TICKS, k=f"select instrument_id, n, sign, ({_AMOUNT[kind]})::double as x from t", f=walk)
+
+
 for _kind, _step in (("tick", 6), ("volume", 60.0), ("value", 900.0)):
     Q[f"{_kind}_imbalance_bars"] = lambda spark, d, k=_kind, s=_step: rounded(bars.imbalance_bars(views.trades(spark, d), s, k))
+    S[f"{_kind}_imbalance_bars"] = folded(_kind, _step, False)
 for _kind, _step in (("volume", 20.0), ("value", 300.0)):
     Q[f"{_kind}_runs_bars"] = lambda spark, d, k=_kind, s=_step: rounded(bars.runs_bars(views.trades(spark, d), s, k))
+    S[f"{_kind}_runs_bars"] = folded(_kind, _step, True)
 Q["renko_bars"] = lambda spark, d: rounded(bars.renko_bars(views.trades(spark, d), 10.0))
+S["renko_bars"] = recursive("select instrument_id, bar - 1 as bar, round(open, 6) as open, round(brick_close, 6) as close, ts_event from f where brick", "trades", t=_TICKS,
+    f="""select instrument_id, n, price, ts_event, price as brick_close, price as open, 0::bigint as bar, false as brick from t where n = 1 union all
+        select t.instrument_id, t.n, t.price, t.ts_event, case when abs(f.price - f.brick_close) >= 10 then f.brick_close + sign(f.price - f.brick_close) * 10.0::double else f.brick_close end, f.brick_close, f.bar + (abs(f.price - f.brick_close) >= 10)::int, abs(f.price - f.brick_close) >= 10
+        from f join t on t.instrument_id = f.instrument_id and t.n = f.n + case when abs(f.price - f.brick_close) >= 10 then 0 else 1 end""")
 
 
 _PAIR = """(select ts_event, seq, last_value(case when instrument_id = 'view' then {'bid': bid_price, 'ask': ask_price} end ignore nulls) over w as v, last_value(case when instrument_id = 'click' then {'bid': bid_price, 'ask': ask_price} end ignore nulls) over w as c

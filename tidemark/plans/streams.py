@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.windows import rounded
 from tidemark.plans.catalogue import scratch
 from tidemark.plans.depth import DERIVED
+from tidemark.plans.market import _TICKS, folded
 from tidemark.sources import views
 from tidemark.sources.catalog import Catalog
-from tidemark.sources.views import sql
+from tidemark.sources.views import recursive, sql
 from tidemark.streaming import streams
 
 Q: dict = {}
@@ -68,8 +69,16 @@ S["stream_sessions"] = sql("select instrument_id, min(ts_event) // 1000 as start
 Q["stream_rate_monitor"] = lambda spark, d: run(spark, d, lambda s: streams.rate_monitor(s, "30 minutes", "10 minutes", 4, "10 minutes")).select("instrument_id", F.unix_micros("end").alias("end"), "n")
 S["stream_rate_monitor"] = sql("select instrument_id, (ts_event // 600000000000 + k) * 600000000 as end, count(*) as n from trades, (values (1), (2), (3)) as r(k) group by 1, 2 having count(*) > 4", "trades")
 Q["stream_imbalance_bars"] = lambda spark, d: run(spark, d, lambda s: streams.imbalance_bars(s, 6))
+S["stream_imbalance_bars"] = f"select * exclude (ts_event) from ({folded('tick', 6, False)})"
 Q["stream_ema"] = lambda spark, d: rounded(run(spark, d, lambda s: streams.ema(s, 10)))
+S["stream_ema"] = recursive("select instrument_id, seq, round(y, 6) as ema from f", "trades", t=_TICKS,
+    f="select instrument_id, seq, n, price as y from t where n = 1 union all select t.instrument_id, t.seq, t.n, (1 - 2 / 11::double) * f.y + 2 / 11::double * t.price from f join t on t.instrument_id = f.instrument_id and t.n = f.n + 1")
 Q["stream_positions"] = lambda spark, d: rounded(run(spark, d, lambda s: streams.position_fold(s)))
+S["stream_positions"] = recursive("select instrument_id, seq, net, round(a, 6) as avg_px, round(pnl, 6) as realized from f where n > 0", "trades", t=_TICKS,
+    k="select instrument_id, seq, n, price, case when sign = 1 then size else -size end as x from t",
+    f="""select instrument_id, -1::bigint as seq, 0::bigint as n, 0::double as net, 0::double as a, 0::double as pnl from k group by 1 union all
+        select k.instrument_id, k.seq, k.n, f.net + k.x, case when f.net * k.x < 0 then (case when abs(k.x) > abs(f.net) then k.price else f.a end) when f.net + k.x <> 0 then (f.a * abs(f.net) + k.price * abs(k.x)) / (abs(f.net) + abs(k.x)) else 0 end,
+        f.pnl + case when f.net * k.x < 0 then least(abs(f.net), abs(k.x)) * (k.price - f.a) * sign(f.net) else 0 end from f join k on k.instrument_id = f.instrument_id and k.n = f.n + 1""")
 Q["stream_latest_legs"] = lambda spark, d: run(spark, d, lambda s: streams.latest_legs(s, ("view", "click"))).select("seq", "first", "second")
 S["stream_latest_legs"] = sql("""select seq, a as first, b as second from (select seq, last_value(case when instrument_id = 'view' then price end ignore nulls) over w as a, last_value(case when instrument_id = 'click' then price end ignore nulls) over w as b
     from trades where instrument_id in ('view', 'click') window w as (order by ts_event, seq rows between unbounded preceding and current row)) where a is not null and b is not null""", "trades")

@@ -155,6 +155,10 @@ S["spread_analyzer"] = sql("select instrument_id, seq, round(ask_price - bid_pri
 Q["book_imbalance_ratio"] = lambda spark, d: rounded(views.quotes(spark, d).select("seq", indicators.book_imbalance_ratio().alias("ratio")))
 S["book_imbalance_ratio"] = sql("select seq, round(least(bid_size, ask_size) / greatest(bid_size, ask_size), 6) as ratio from quotes", "quotes")
 Q["imbalance_trigger"] = lambda spark, d: Indicators(views.quotes(spark, d), order=("ts_event", "seq")).imbalance_trigger(8, 0.3, 6 * HOUR).select("instrument_id", "seq")
+S["imbalance_trigger"] = views.recursive("select instrument_id, seq from f where hit", "quotes",
+    t="select instrument_id, seq, ts_event, row_number() over (partition by instrument_id order by ts_event, seq) as n from quotes where greatest(bid_size, ask_size) >= 8 and least(bid_size, ask_size) / greatest(bid_size, ask_size) < 0.3::double",
+    f=f"""select instrument_id, seq, n, ts_event as since, true as hit from t where n = 1 union all
+        select t.instrument_id, t.seq, t.n, case when t.ts_event - f.since >= {6 * HOUR} then t.ts_event else f.since end, t.ts_event - f.since >= {6 * HOUR} from f join t on t.instrument_id = f.instrument_id and t.n = f.n + 1""")
 
 
 def _vpin(spark, d):

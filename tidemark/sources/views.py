@@ -172,3 +172,8 @@ def sql(body: str, *names: str, **more: str) -> str:
     parts = [f"{n} as ({CTE[n]})" for name in names for n in [*_NEEDS.get(name, []), name]] + [f"{k} as ({v})" for k, v in more.items()]
     parts = list(dict.fromkeys(parts))
     return (f"with {', '.join(parts)} " if parts else "") + body
+
+
+def recursive(body: str, *names: str, **more: str) -> str:
+    """sql() whose expressions may build on themselves."""
+    return "with recursive" + sql(body, *names, **more)[len("with") :]
