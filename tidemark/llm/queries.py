@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, language, lm_score, near_copies, packing, quality, secrets, vectors, warc
+from tidemark.llm import bpe, language, lm_score, near_copies, packing, quality, secrets, spelling, vectors, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chosen_path_join": near_copies.op8_chosen_path_join,
     "op9_language_id": language.op9_language_id,
     "op10_lm_scoring": lm_score.op10_lm_scoring,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 ORACLE_SQL = {
     "op3_multi_index_dedup": """
