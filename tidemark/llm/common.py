@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,29 +19,36 @@ FAN_IN = 32
 SLICE = 1 << 14
 
 
-_made: list[str] = []
+class _Made(threading.local):
+    """Paths by thread: two pipelines at once in one process don't delete each other's tables."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir; where that is unset, below the warehouse, which executors share too."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-scratch"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.paths.append(path)
     return path
 
 
 def made() -> int:
     """How many paths shared_dir() has named so far."""
-    return len(_made)
+    return len(_made.paths)
 
 
 def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
     """Deletes what shared_dir() has named since then (all but the last, if so). Nothing may read those any more."""
     conf = spark._jsc.hadoopConfiguration()
-    for path in _made[since : -1 if keep_last else None]:
+    for path in _made.paths[since : -1 if keep_last else None]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
-        _made.remove(path)
+        _made.paths.remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -51,6 +59,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows as a stored table; whatever else it stored in the shared folder is deleted."""
+    began = made()
+    out = stored(make(), name)
+    release(spark, began, keep_last=True)
+    return out
+
+
 def added(df: DataFrame, **columns: str) -> T.StructType:
     """df's schema and the given columns (name and type) after it."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in columns.items())).fields])
