@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, language, lm_score, near_copies, packing, quality, secrets, spelling, suffixes, vectors, warc
+from tidemark.llm import bpe, language, lm_score, near_copies, packing, quality, secrets, spelling, suffixes, trie, vectors, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_lm_scoring": lm_score.op10_lm_scoring,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_suffix_dedup": suffixes.op13_suffix_dedup,
 }
 ORACLE_SQL = {
