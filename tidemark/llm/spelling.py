@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chars
-from tidemark.llm.common import stored, texts_of
+from tidemark.llm.common import finished, stored, texts_of
 
 #: Words have so many code points and occurrences at least; a word's form is FACTOR times as frequent as the word.
 LENGTH, COUNT, FACTOR = 6, 5, 5
@@ -33,6 +33,8 @@ LONG = 64
 BITS, PROBES, BLOCK, SEGMENT = 16, 6, 8, 1024
 #: Bytes of filters that are broadcast at a time.
 FILTER_BYTES = 1 << 25
+#: Words that one task probes, about.
+PROBED = 1 << 14
 #: Edits that are generated at once, words that a task counts before it hands them on, bytes of text read at once.
 AT_ONCE, HELD, PIECE = 1 << 20, 1 << 17, 1 << 20
 
@@ -198,6 +200,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     layout = Layout({r["length"]: r["count"] for r in sizes})
     found = spark.createDataFrame([], "a string, an long, b string")
     step = FILTER_BYTES // (8 * BLOCK)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["count"] for r in sizes) // PROBED)
     for low in range(0, layout.blocks, step):
         high = min(low + step, layout.blocks)
         place, fill = _set_bits(layout, low, high)
@@ -228,8 +231,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
                                 made = [words[i][:p] + (chr(c) if c else "") + words[i][p + 1 :] for i, p, c in zip(source.tolist(), at[here].tolist(), new[here].tolist(), strict=True)]
                                 yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(source)), pa.array(n[source]), pa.array(made, pa.string())], names=["a", "an", "b"])
 
-        probed = [*shards, *(k + 1 for k in shards)]
-        found = found.unionByName(stored(words.where(size.isin(probed)).mapInArrow(probe, "a string, an long, b string"), "edits"))
+        probed = words.where(size.isin([*shards, *(k + 1 for k in shards)])).repartition(tasks)  # little to read, much to probe
+        found = found.unionByName(stored(probed.mapInArrow(probe, "a string, an long, b string"), "edits"))
     return found.join(words.select(F.col("word").alias("b"), F.col("n").alias("bn")), "b").select("a", "an", "b", "bn")
 
 
@@ -247,16 +250,7 @@ def roots(forms: DataFrame) -> DataFrame:
         now = more.select("word", "root")
 
 
-def variants(documents: DataFrame) -> DataFrame:
-    """word, form, root, n, n_near and form_n of every word of the documents (doc_id, text).
-
-    Words are maximal runs of A-Z, a-z and U+00C0 to U+00FF with only A-Z lower-cased, of LENGTH letters or more and with COUNT
-    occurrences or more in all documents. Of a run with a crc32 of `doc_id:run` that DAMAGE divides, the letter at crc32 modulo
-    its length is left out first. Two words are near if one inserted, deleted or replaced letter makes one the other. A word's
-    form is its near word with most occurrences (of equals the first by code points) if these are FACTOR times the word's or
-    more, else null; root is the last word that forms lead to, the word itself without a form. Null and empty texts have no
-    words; a null doc_id counts as an empty one; repeated rows count as often as they are there; other columns are not read.
-    """
+def _variants(documents: DataFrame) -> DataFrame:
     words = stored(vocabulary(documents), "vocabulary")
     pairs = near_pairs(words)
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("bn").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("an").alias("m"))))
@@ -270,6 +264,19 @@ def variants(documents: DataFrame) -> DataFrame:
     return facts.join(roots(facts), "word").select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def variants(documents: DataFrame) -> DataFrame:
+    """word, form, root, n, n_near and form_n of every word of the documents (doc_id, text).
+
+    Words are maximal runs of A-Z, a-z and U+00C0 to U+00FF with only A-Z lower-cased, of LENGTH letters or more and with COUNT
+    occurrences or more in all documents. Of a run with a crc32 of `doc_id:run` that DAMAGE divides, the letter at crc32 modulo
+    its length is left out first. Two words are near if one inserted, deleted or replaced letter makes one the other. A word's
+    form is its near word with most occurrences (of equals the first by code points) if these are FACTOR times the word's or
+    more, else null; root is the last word that forms lead to, the word itself without a form. Null and empty texts have no
+    words; a null doc_id counts as an empty one; repeated rows count as often as they are there; other columns are not read.
+    """
+    return finished(documents.sparkSession, lambda: _variants(documents), "variants")
+
+
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms and roots of the words of all documents."""
     return variants(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
