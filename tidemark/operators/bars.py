@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.operators.windows import BY, ORDER, fold, ordered, running, running_sum
+from tidemark.operators import kernels
+from tidemark.operators.kernels import folded
+from tidemark.operators.windows import BY, ORDER, ordered, running, running_sum
 
 DAY = 86_400_000_000_000
 
@@ -118,57 +118,14 @@ def value_bars(df: DataFrame, step, **more) -> DataFrame:
     return threshold_bars(df, F.col("price") * F.col("size"), step, **more)
 
 
-_BAR = "bar long, open double, high double, low double, close double, volume double, count long, ts_event long"
-
-
-def _sequential(df: DataFrame, closes, by: list[str], order: list[str]) -> DataFrame:
-    """Bars whose end depends on all ticks since the last one: closes(state, sign, size, price) -> whether the bar ends here."""
-
-    def step(state, pdf):
-        out = []
-        s, key = state, tuple(pdf[by].iloc[0])
-        for price, size, side, t in zip(*(pdf[c].tolist() for c in ("price", "size", "aggressor_side", order[0])), strict=True):
-            b = s.get("bar")
-            if b is None:
-                b = s["bar"] = [price, price, price, price, 0.0, 0, t]
-            b[1], b[2], b[3], b[4], b[5], b[6] = max(b[1], price), min(b[2], price), price, b[4] + size, b[5] + 1, t
-            sign = 1 if side == "BUYER" else -1 if side == "SELLER" else 0
-            if sign and closes(s, sign, size, price):
-                out.append((*key, s.setdefault("n", 0), *b[:6], b[6]))
-                s["n"] += 1
-                s["bar"] = None
-        return pd.DataFrame(out, columns=[*by, "bar", "open", "high", "low", "close", "volume", "count", "ts_event"]), s
-
-    schema = T.StructType([df.schema[c] for c in by] + T.StructType.fromDDL(_BAR).fields)
-    return fold(df.select(*dict.fromkeys([*by, *order, "price", "size", "aggressor_side"])), by, order, dict, step, schema)
-
-
 def imbalance_bars(df: DataFrame, step: float, kind: str = "tick", by: Iterable[str] = BY, order: Iterable[str] = ORDER) -> DataFrame:
     """Bars that close when buys less sells reach `step` either way, in ticks, volume or value."""
-
-    def closes(s, sign, size, price):
-        s["sum"] = s.get("sum", 0) + sign * (1 if kind == "tick" else size if kind == "volume" else size * price)
-        done = abs(s["sum"]) >= step
-        if done:
-            s["sum"] = 0
-        return done
-
-    return _sequential(df, closes, list(by), list(order))
+    return folded(df, kernels.ImbalanceBars(step, kind), by, order)
 
 
 def runs_bars(df: DataFrame, step: float, kind: str = "tick", by: Iterable[str] = BY, order: Iterable[str] = ORDER) -> DataFrame:
     """Bars that close when a run of one side reaches `step`; a change of side or a close begins a new run."""
-
-    def closes(s, sign, size, price):
-        x = 1 if kind == "tick" else size if kind == "volume" else size * price
-        s["sum"] = x + (s.get("sum", 0) if s.get("side") == sign else 0)
-        s["side"] = sign
-        done = s["sum"] >= step
-        if done:
-            s["sum"], s["side"] = 0, None
-        return done
-
-    return _sequential(df, closes, list(by), list(order))
+    return folded(df, kernels.RunsBars(step, kind), by, order)
 
 
 def tick_runs_bars(df: DataFrame, step: int, by: Iterable[str] = BY, order: Iterable[str] = ORDER) -> DataFrame:
@@ -185,21 +142,7 @@ def tick_runs_bars(df: DataFrame, step: int, by: Iterable[str] = BY, order: Iter
 
 def renko_bars(df: DataFrame, brick: float, by: Iterable[str] = BY, order: Iterable[str] = ORDER) -> DataFrame:
     """A bar for each brick that the price moves from the last brick's close; one tick may give several."""
-    by, order = list(by), list(order)
-
-    def step(s, pdf):
-        out, key = [], tuple(pdf[by].iloc[0])
-        for price, t in zip(pdf["price"].tolist(), pdf[order[0]].tolist(), strict=True):
-            at = s.setdefault("at", price)
-            while abs(price - at) >= brick:
-                new = at + (brick if price > at else -brick)
-                out.append((*key, s.setdefault("n", 0), at, new, t))
-                s["n"] += 1
-                at = s["at"] = new
-        return pd.DataFrame(out, columns=[*by, "bar", "open", "close", "ts_event"]), s
-
-    schema = T.StructType([df.schema[c] for c in by] + T.StructType.fromDDL("bar long, open double, close double, ts_event long").fields)
-    return fold(df.select(*by, *order, "price"), by, order, dict, step, schema)
+    return folded(df, kernels.RenkoBars(brick), by, order)
 
 
 def roll_offsets(rolls: DataFrame, backward: bool = True, ratio: bool = False) -> DataFrame:

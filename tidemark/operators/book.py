@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.operators.windows import fold, running
+from tidemark.operators.kernels import BookQuotes, folded
+from tidemark.operators.windows import running
 
 FOREVER = 1 << 62
 
@@ -173,28 +172,9 @@ def mbp_key(flags: Column, side: Column, price: Column, tob: int = 64, mbp: int
 def derived_quotes(deltas: DataFrame) -> DataFrame:
     """Quotes after each F_LAST delta, when both sides stand and the best prices or sizes have changed.
 
-    Memory is one instrument's live levels.
+    Memory is one instrument's live levels; a delta costs the logarithm of their number.
     """
-
-    def step(s, pdf):
-        out, key = [], pdf["instrument_id"].iloc[0]
-        for action, side, price, size, flags, t, seq in zip(*(pdf[c].tolist() for c in ("action", "side", "price", "size", "flags", "ts_event", "seq")), strict=True):
-            if action == "CLEAR":
-                s["BUY"], s["SELL"] = {}, {}
-            elif action == "DELETE" or size == 0:
-                s[side].pop(price, None)
-            else:
-                s[side][price] = size
-            if flags & 128 and s["BUY"] and s["SELL"]:
-                b, a = max(s["BUY"]), min(s["SELL"])
-                new = (b, a, s["BUY"][b], s["SELL"][a])
-                if new != s["last"]:
-                    s["last"] = new
-                    out.append((key, *new, t, seq))
-        return pd.DataFrame(out, columns=["instrument_id", "bid_price", "ask_price", "bid_size", "ask_size", "ts_event", "seq"]), s
-
-    schema = T.StructType.fromDDL("instrument_id string, bid_price double, ask_price double, bid_size double, ask_size double, ts_event long, seq long")
-    return fold(deltas, ["instrument_id"], ["ts_event", "seq"], lambda: {"BUY": {}, "SELL": {}, "last": None}, step, schema)
+    return folded(deltas, BookQuotes())
 
 
 def top_from_ticks(kind: str) -> dict[str, Column]:

@@ -52,8 +52,9 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-def fold(df: DataFrame, by: Iterable[str], order: Iterable[str], start: Callable, step: Callable, schema) -> DataFrame:
-    """Carries state along each key's rows: step(state, rows) -> (output rows, state), for consecutive rows of one key.
+def fold(df: DataFrame, by: Iterable[str], order: Iterable[str], start: Callable, step: Callable, schema, end: Callable | None = None) -> DataFrame:
+    """Carries state along each key's rows: step(state, rows) -> (output rows, state), for consecutive rows of one key; end(key,
+    state) -> output rows, after a key's last.
 
     Spark sorts (and spills) each partition, and a task sees its rows batch by batch, so no key is ever held as a whole.
     Null keys are one key.
@@ -71,10 +72,14 @@ def fold(df: DataFrame, by: Iterable[str], order: Iterable[str], start: Callable
             for a, b in zip(cuts, cuts[1:], strict=False):
                 own = tuple(keys.iloc[a])
                 if own != key or state is None:
+                    if end and state is not None:
+                        yield end(key, state)
                     key, state = own, start()
                 out, state = step(state, pdf.iloc[a:b])
                 if len(out):
                     yield out
+        if end and state is not None:
+            yield end(key, state)
 
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
