@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators import frames
+from tidemark.operators import frames, kernels
+from tidemark.streaming.keyed import keyed
 
 TRADES = "instrument_id string, price double, size double, aggressor_side string, ts timestamp, seq long"
 
@@ -59,97 +58,52 @@ def rate_monitor(stream: DataFrame, interval: str, slide: str, limit: int, delay
     return out.select("instrument_id", F.col("window.end").alias("end"), "n")
 
 
-def _keyed(stream: DataFrame, start, step, output: str, state: str) -> DataFrame:
-    """State carried along each instrument's rows in order of (ts, seq) within a trigger.
-
-    start() and step(values, row) work on a tuple of plain values, the same as folds do in batch.
-    """
-
-    def run(key, batches, held: GroupState):
-        values = list(held.get) if held.exists else list(start())
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        out = []
-        for row in rows.itertuples(index=False):
-            out += step(values, row, key[0])
-        held.update(tuple(values))
-        names = [x.strip().split(" ")[0] for x in output.split(",")]
-        yield pd.DataFrame(out, columns=names)
-
-    return stream.groupBy("instrument_id").applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
-
-
 def imbalance_bars(stream: DataFrame, step: float) -> DataFrame:
     """Bars that close when buys less sells reach `step`; one open bar is kept for each instrument."""
-
-    def start():
-        return (0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)
-
-    def one(v, row, key):
-        imbalance, n, o, h, lo, _, volume, bar = v
-        sign = 1 if row.aggressor_side == "BUYER" else -1 if row.aggressor_side == "SELLER" else 0
-        o, h, lo = (row.price, row.price, row.price) if n == 0 else (o, max(h, row.price), min(lo, row.price))
-        v[:] = [imbalance + sign, n + 1, o, h, lo, row.price, volume + row.size, bar]
-        if sign and abs(v[0]) >= step:
-            out = [(key, bar, o, h, lo, row.price, v[6], v[1])]
-            v[:] = [0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, bar + 1]
-            return out
-        return []
-
-    return _keyed(stream, start, one, "instrument_id string, bar long, open double, high double, low double, close double, volume double, count long", "imbalance double, n long, o double, h double, l double, c double, v double, bar long")
+    return keyed(stream, kernels.ImbalanceBars(step)).drop("ts_event")
 
 
 def ema(stream: DataFrame, k: int) -> DataFrame:
     """The exponential average at every tick."""
-    alpha = 2 / (k + 1)
-
-    def one(v, row, key):
-        v[0] = row.price if not v[1] else (1 - alpha) * v[0] + alpha * row.price
-        v[1] = 1
-        return [(key, row.seq, v[0])]
-
-    return _keyed(stream, lambda: (0.0, 0), one, "instrument_id string, seq long, ema double", "y double, begun int")
+    return keyed(stream, kernels.Average(2 / (k + 1), name="ema"))
 
 
 def position_fold(stream: DataFrame) -> DataFrame:
     """Net quantity, average open price and realised result after each trade, of size signed by aggressor."""
+    return keyed(stream, kernels.Positions())
 
-    def one(v, row, key):
-        q, avg, pnl = v
-        x = row.size if row.aggressor_side == "BUYER" else -row.size
-        if q * x >= 0:
-            avg = (avg * abs(q) + row.price * abs(x)) / (abs(q) + abs(x)) if q + x else 0.0
-        else:
-            closed = min(abs(q), abs(x))
-            pnl += closed * (row.price - avg) * (1 if q > 0 else -1)
-            avg = row.price if abs(x) > abs(q) else avg
-        v[:] = [q + x, avg, pnl]
-        return [(key, row.seq, v[0], v[1], v[2])]
 
-    return _keyed(stream, lambda: (0.0, 0.0, 0.0), one, "instrument_id string, seq long, net double, avg_px double, realized double", "q double, a double, p double")
+class _Legs(kernels.Kernel):
+    """The latest prices of two legs at each update of either, once both are known."""
 
+    reads = ("leg", "price", "seq")
+    output = "seq long, first double, second double"
+    state = "first double, second double"
 
-def latest_legs(stream: DataFrame, legs: tuple[str, str]) -> DataFrame:
-    """The latest price of two legs at each update of either, once both are known; one key holds the pair."""
-    one_, two = legs
-    pair = stream.where(F.col("instrument_id").isin(one_, two)).withColumns({"leg": F.col("instrument_id"), "instrument_id": F.lit("pair")})
+    def __init__(self, first: str):
+        self.first = first
 
-    def step(v, row, key):
-        k = 0 if row.leg == one_ else 1
-        v[k], v[k + 2] = row.price, 1
-        return [(key, row.seq, v[0], v[1])] if v[2] and v[3] else []
+    def start(self):
+        return [None, None]
 
-    return _keyed(pair, lambda: (0.0, 0.0, 0, 0), step, "instrument_id string, seq long, first double, second double", "a double, b double, x int, y int")
+    def update(self, state, rows):
+        out = []
+        for leg, price, seq in rows:
+            state[leg != self.first] = price
+            if None not in state:
+                out.append((seq, *state))
+        return out
 
 
-def changed_prices(stream: DataFrame) -> DataFrame:
-    """Rows whose price differs from the one before."""
+def latest_legs(stream: DataFrame, legs: tuple[str, str]) -> DataFrame:
+    """The latest price of two legs at each update of either, once both are known; one key holds the pair."""
+    pair = stream.where(F.col("instrument_id").isin(*legs)).withColumns({"leg": F.col("instrument_id"), "instrument_id": F.lit("pair")})
+    return keyed(pair, _Legs(legs[0]))
 
-    def one(v, row, key):
-        out = [(key, row.seq, row.price)] if not v[1] or row.price != v[0] else []
-        v[:] = [row.price, 1]
-        return out
 
-    return _keyed(stream, lambda: (0.0, 0), one, "instrument_id string, seq long, price double", "p double, begun int")
+def changed_prices(stream: DataFrame) -> DataFrame:
+    """Rows whose price differs from the one before."""
+    return keyed(stream, kernels.Changed())
 
 
 def rolling_sink(stream: DataFrame, path: str, checkpoint: str, seconds: int = 60, rows: int = 1_000_000, by: tuple[str, ...] = ("instrument_id",)):
@@ -184,29 +138,10 @@ def with_late_rows(stream: DataFrame, checkpoint: str, table: str, late_table: s
 def book_quotes(stream: DataFrame) -> DataFrame:
     """Quotes from book updates (action, side, price, size, flags): after each F_LAST, when both sides stand and have changed.
 
-    The state is the live levels of one instrument, as text; it is given back when a CLEAR empties the book.
+    Levels are entries of map state. An update costs the logarithm of the number of levels; they are read as a whole only in a
+    trigger in which a best level goes.
     """
-    import json
-
-    def one(v, row, key):
-        book = json.loads(v[0]) if v[0] else {"BUY": {}, "SELL": {}, "last": None}
-        if row.action == "CLEAR":
-            book["BUY"], book["SELL"] = {}, {}
-        elif row.action == "DELETE" or row.size == 0:
-            book[row.side].pop(repr(row.price), None)
-        else:
-            book[row.side][repr(row.price)] = row.size
-        out = []
-        if row.flags & frames.F_LAST and book["BUY"] and book["SELL"]:
-            bid, ask = max(book["BUY"], key=float), min(book["SELL"], key=float)
-            new = [float(bid), float(ask), book["BUY"][bid], book["SELL"][ask]]
-            if new != book["last"]:
-                book["last"] = new
-                out = [(key, row.seq, *new)]
-        v[0] = json.dumps(book)
-        return out
-
-    return _keyed(stream, lambda: ("",), one, "instrument_id string, seq long, bid_price double, ask_price double, bid_size double, ask_size double", "levels string")
+    return keyed(stream, kernels.BookQuotes()).drop("ts_event")
 
 
 def snapshots(stream: DataFrame, interval: str, delay: str) -> DataFrame:
