@@ -99,13 +99,15 @@ S["book_level_exposure"] = _sql("select instrument_id, ts, round(sum(price * siz
 Q["mbp_keys"] = lambda spark, d: views.deltas(spark, d).select("seq", book.mbp_key(F.when(F.col("seq") % 3 == 0, 64).otherwise(16), F.col("side"), F.col("price").cast("long")).alias("key"))
 S["mbp_keys"] = sql("select seq, case when seq % 3 = 0 then side else price::bigint::varchar end as key from deltas", "deltas")
 #: Each update's level stands until the next one of its side and price or the next CLEAR.
+LEVELS = dict(
+    r="select *, row_number() over (partition by instrument_id order by ts_event, seq) as n from deltas",
+    c="select *, coalesce(min(case when action = 'CLEAR' then n end) over (partition by instrument_id order by n rows between current row and unbounded following), 1::bigint << 60) as cleared from r",
+    l="select * from (select *, least(cleared, coalesce(lead(n) over (partition by instrument_id, side, price order by n), 1::bigint << 60)) as gone from c where action <> 'CLEAR') where action <> 'DELETE' and size > 0",
+)
 DERIVED = sql("""select instrument_id, seq, ts_event, bid_price, ask_price, bid_size, ask_size from (select *, lag((bid_price, ask_price, bid_size, ask_size)) over (partition by instrument_id order by n) as before from (
     select f.instrument_id, f.seq, f.ts_event, f.n, max(l.price) filter (l.side = 'BUY') as bid_price, min(l.price) filter (l.side = 'SELL') as ask_price, arg_max(l.size, l.price) filter (l.side = 'BUY') as bid_size, arg_min(l.size, l.price) filter (l.side = 'SELL') as ask_size
     from r f join l on l.instrument_id = f.instrument_id and l.n <= f.n and l.gone > f.n where f.flags >= 128 group by 1, 2, 3, 4) where bid_price is not null and ask_price is not null)
-    where before is null or before <> (bid_price, ask_price, bid_size, ask_size)""", "deltas",
-    r="select *, row_number() over (partition by instrument_id order by ts_event, seq) as n from deltas",
-    c="select *, coalesce(min(case when action = 'CLEAR' then n end) over (partition by instrument_id order by n rows between current row and unbounded following), 1::bigint << 60) as cleared from r",
-    l="select * from (select *, least(cleared, coalesce(lead(n) over (partition by instrument_id, side, price order by n), 1::bigint << 60)) as gone from c where action <> 'CLEAR') where action <> 'DELETE' and size > 0")
+    where before is null or before <> (bid_price, ask_price, bid_size, ask_size)""", "deltas", **LEVELS)
 Q["derived_quotes"] = lambda spark, d: book.derived_quotes(views.deltas(spark, d))
 S["derived_quotes"] = DERIVED
 Q["quotes_from_depth"] = lambda spark, d: books(spark, d).where("size(bids) > 0 and size(asks) > 0").select(*GRID, F.col("bids")[0]["price"].alias("bid_price"), F.col("asks")[0]["price"].alias("ask_price"), F.col("bids")[0]["size"].alias("bid_size"), F.col("asks")[0]["size"].alias("ask_size"))

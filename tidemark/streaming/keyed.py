@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, MutableMapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,17 +26,16 @@ class _Plain:
     """A kernel's state as one value."""
 
     def __init__(self, handle: StatefulProcessorHandle, kernel: Kernel, ttl: int | None):
-        self.kernel, self.value = kernel, handle.getValueState("state", kernel.state, ttl)
+        self.kernel, self.value, self.doubles = kernel, handle.getValueState("state", kernel.state, ttl), ()
 
     def load(self) -> list:
         return _plain(self.value.get()) if self.value.exists() else self.kernel.start()
 
     def save(self, state: list) -> None:
+        for i in self.doubles:  # Spark takes a whole number for a double as null
+            state[i] = None if state[i] is None else float(state[i])
         self.value.update(tuple(state))
 
-    def clear(self) -> None:
-        self.value.clear()
-
 
 def _plain(row) -> list:
     return [list(v) if isinstance(v, (list, tuple)) or hasattr(v, "tolist") and getattr(v, "ndim", 0) else v for v in row]
@@ -121,11 +120,6 @@ class _Book:
             side.levels.flush()
         self.value.update((book.bids.best, book.asks.best, list(book.last or ()), len(book.bids.levels), len(book.asks.levels)))
 
-    def clear(self) -> None:
-        self.value.clear()
-        for m in self.maps:
-            m.clear()
-
 
 class _Processor(StatefulProcessor):
     """Runs a kernel over each key's rows; see keyed()."""
@@ -134,10 +128,12 @@ class _Processor(StatefulProcessor):
         self.kernel, self.keys, self.rows, self.waits, self.every, self.idle, self.ttl = kernel, keys, rows, waits, every, idle, ttl
         # names are read off here, since that takes a session
         self.columns, self.out, self.values = names_of(rows), [*keys, *names_of(kernel.output)], names_of(kernel.state)
+        self.doubles = [i for i, f in enumerate(T.StructType.fromDDL(kernel.state)) if isinstance(f.dataType, T.DoubleType)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.store = (_Book if hasattr(self.kernel, "levels") else _Plain)(handle, self.kernel, self.ttl)
+        self.store.doubles = self.doubles
         if self.waits:
             self.waiting = handle.getListState("waiting", self.rows, self.ttl)
         if self.every:
@@ -164,7 +160,7 @@ class _Processor(StatefulProcessor):
             at = end
             if strike is None or strike > until:
                 break
-            if empty >= self.idle:  # the clock stands until the next row
+            if empty > self.idle:  # the clock stands until the next row
                 strike = None
                 if at == len(rows):
                     break
@@ -219,7 +215,7 @@ class _Processor(StatefulProcessor):
 
 def keyed(
     stream: DataFrame, kernel: Kernel, by: tuple[str, ...] = ("instrument_id",), delay: str | None = None, every: int | None = None, idle: int = 10,
-    initial: DataFrame | None = None, ttl: int | None = None, time: Column | None = None,
+    initial: DataFrame | None = None, ttl: int | None = None,
 ) -> DataFrame:
     """The key's columns and what the kernel gives out over each key's rows, in order of (ts, seq).
 
@@ -243,7 +239,7 @@ def keyed(
         stream = stream.withWatermark("ts", delay)
     if delay is not None or every is not None:
         stream = stream.where("ts is not null")
-    stream = stream.withColumns({"at_ns": F.coalesce(nanos, F.lit(-(1 << 62))), "ts_event": F.unix_micros("ts") * 1000, **({} if time is None else {"ts_event": time})})
+    stream = stream.withColumns({"at_ns": F.coalesce(nanos, F.lit(-(1 << 62))), "ts_event": F.unix_micros("ts") * 1000})
     fields = [stream.schema[c] for c in kernel.reads]
     rows = "at_ns long, row_seq long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in fields)
     chosen = stream.select(*by, *(["ts"] if delay is not None else []), "at_ns", F.col("seq").alias("row_seq"), *kernel.reads)
