@@ -225,7 +225,8 @@ def keyed(
     without rows in between, up to `idle` times without any, after which it waits for the next row. With delay the clock follows
     the rows' time (event time); without it follows the machines' (processing time), and rows count from when they come. initial:
     states by key, as kernels.states() gives them, of keys the stream goes on from. ttl: milliseconds (of processing time) after
-    which the state of a key without rows goes; not together with delay. Rows without a time are left out with delay or a clock.
+    which the state of a key without rows goes; not together with delay. With ttl or a clock of processing time a query goes on
+    until it is stopped, also with the trigger availableNow. Rows without a time are left out with delay or a clock.
     The state store is set to RocksDB if it is still Spark's default.
     """
     spark = stream.sparkSession
