@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tidemark.operators import asof, bars, book, derived, ledger, stats
 from tidemark.operators.indicators import Indicators
-from tidemark.operators.windows import affine, running_sum
+from tidemark.operators.windows import affine, rounded, running_sum
 from tidemark.plans import registry
 from tidemark.sources import views
 from tidemark.sources.catalog import Catalog, OverlapError, merged_intervals, missing_intervals
@@ -283,3 +283,29 @@ def test_catalog_is_whole_after_cut_off_writes(spark, tmp_path):
     assert c.trades().count() == 3
     with pytest.raises(ValueError, match="none of"):
         c.instruments(["equity"])
+
+
+def test_indicators_in_spans_are_those_of_whole_keys(spark):
+    """All indicators over the last rows, with short spans, long frames and a key of few rows; others refuse."""
+    b = bars.time_bars(views.trades(spark, SF), 3_600_000_000_000).withColumn("instrument_id", F.when(F.col("ts_event") % 1_000_000_000_000 == 0, "few").otherwise("many")).dropDuplicates(["instrument_id", "ts_event"])
+    make = lambda i: (
+        i.sma("close", 5).wma("close", 4).efficiency_ratio("close", 7).linreg("close", 6).macd("close", 3, 9).rsi("close", 5, kind="simple").cmo("close", 5, kind="simple").roc("close", 5)
+        .cci(5).bias("close", 4).psychological_line("close", 6).directional_movement(5, "simple").obv(8).donchian(9).keltner(5, 2.0).rvi("close", 6).volatility_ratio(3, 8).vhf("close", 6).fuzzy_candles(6)
+        .klinger(3, 6, 4).cross("close", 3, 8, "simple").stochastics(5, 3, 3, "simple", "moving_average")
+    )
+    i = Indicators(b)
+    whole, spans = rounded(make(i).df), rounded(i.in_spans(make, 86_400_000_000_000, 10).df)
+    assert sorted(whole.columns) == sorted(spans.columns)
+    key = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert key(whole) == key(spans)
+    for bad in (lambda x: x.ema("close", 3), lambda x: x.obv(), lambda x: x.swings(3), lambda x: x.vwap(F.lit(1), "close", "volume")):
+        with pytest.raises(ValueError):
+            i.in_spans(bad, 1, 10)
+
+
+def test_stochastics_of_rising_and_falling_bars(spark):
+    for rising, want in ((True, (80.0, 75.0)), (False, (20.0, 25.0))):
+        lows = [1.0 + 0.0001 * (k if rising else 3 - k) for k in range(4)]
+        df = spark.createDataFrame([("A", k, x + 0.0002, x, x + 0.0001) for k, x in enumerate(lows)], "instrument_id string, ts_event long, high double, low double, close double")
+        last_ = Indicators(df).stochastics(14, 3).df.orderBy("ts_event").collect()[-1]
+        assert (round(last_["stoch_k"], 6), round(last_["stoch_d"], 6)) == want

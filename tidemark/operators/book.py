@@ -29,18 +29,13 @@ def level_history(deltas: DataFrame, key: str = "price") -> DataFrame:
     return acts.select("instrument_id", "side", key, "size", F.col("ts_event").alias("valid_from"), F.coalesce("_next", "cleared", F.lit(FOREVER)).alias("valid_to"), "seq")
 
 
-def book_at(history: DataFrame, grid: DataFrame, time: str = "ts", step: int | None = None) -> DataFrame:
-    """Levels that stand at each time of a grid, with their rank from the best price of their side.
-
-    With step (the grid's distance) a level is put out to the times that it covers instead of being compared with all.
-    """
-    if step is None:
-        live = history.join(F.broadcast(grid), (F.col("valid_from") <= F.col(time)) & (F.col("valid_to") > F.col(time)))
-    else:
-        ends = grid.agg(F.min(time).alias("_a"), F.max(time).alias("_b"))
-        first = F.greatest(F.expr(f"((valid_from - 1) div {step} + 1) * {step}"), F.col("_a"))
-        final = F.least(F.expr(f"((valid_to - 1) div {step}) * {step}"), F.col("_b"))
-        live = history.join(F.broadcast(ends)).where(first <= final).withColumn(time, F.explode(F.sequence(first, final, F.lit(step)))).drop("_a", "_b")
+def book_at(history: DataFrame, grid: DataFrame, step: int, time: str = "ts") -> DataFrame:
+    """Levels that stand at each time of an even grid (its first and last time suffice), with their rank from the best price of
+    their side. A level is put out to the times that it covers, so nothing is compared with a whole grid."""
+    ends = grid.agg(F.min(time).alias("_a"), F.max(time).alias("_b"))
+    first = F.greatest(F.expr(f"((valid_from - 1) div {step} + 1) * {step}"), F.col("_a"))
+    final = F.least(F.expr(f"((valid_to - 1) div {step}) * {step}"), F.col("_b"))
+    live = history.join(F.broadcast(ends)).where(first <= final).withColumn(time, F.explode(F.sequence(first, final, F.lit(step)))).drop("_a", "_b")
     better = F.when(F.col("side") == "BUY", -F.col("price")).otherwise(F.col("price"))
     return live.withColumn("level", F.row_number().over(Window.partitionBy("instrument_id", time, "side").orderBy(better, "seq")))
 

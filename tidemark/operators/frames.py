@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import BY, ORDER, ordered, running
+from tidemark.operators.windows import BY, ORDER, ordered, running, running_sum
 
 F_LAST = 128
 
@@ -66,13 +66,19 @@ def between(df: DataFrame, start: int | None = None, end: int | None = None, lim
     return out.orderBy(*order).limit(limit) if limit is not None else out
 
 
-def merged(streams: dict[str, DataFrame], order: Iterable[str] | None = ORDER) -> DataFrame:
-    """Rows of all streams with their name in `stream`, by time, then name, then sequence. order=None leaves them unsorted."""
+def merged(streams: dict[str, DataFrame], order: Iterable[str] | None = ORDER, places: int | None = None) -> DataFrame:
+    """Rows of all streams with their name in `stream`, by time, then name, then sequence. order=None leaves them unsorted.
+
+    places: instead of a sort, each row's place (from 1) in that order, counted by spans of so many units of time: rows of a span
+    are sorted by themselves, and a count for each span brings what came before.
+    """
     frames = [df.withColumn("stream", F.lit(name)) for name, df in streams.items()]
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     if order is None:
         return out
     first, *rest = order
+    if places is not None:
+        return running_sum(out, "place", F.lit(1).cast("long"), [], [first, "stream", *rest], places)
     return out.orderBy(first, "stream", *rest)
 
 

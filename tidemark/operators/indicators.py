@@ -7,7 +7,7 @@ that are there; `<name>_initialized` tells when the window is full.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.windows import BY, affine, fold, last, ordered, running
+from tidemark.operators.windows import BY, affine, fold, last, ordered, running, running_sum
 
 ORDER = ("ts_event",)
 
@@ -29,6 +29,25 @@ class Indicators:
     def _with(self, df: DataFrame) -> Indicators:
         return Indicators(df, self.by, self.order, self.chunk)
 
+    def in_spans(self, make: Callable[[Indicators], Indicators], bucket: int, rows: int = 1 << 16) -> Indicators:
+        """make(self) with every key cut into spans of so many rows, which many tasks share.
+
+        For indicators over the last k rows. Each span also gets the last rows of the span before, as many as all frames of make
+        reach back together, and these don't come out again. bucket: a length in units of the first order column for counting
+        the key's rows (see windows.running_sum). Recursive indicators and those over all rows so far refuse; the former spread
+        by `chunk`.
+        """
+        reach = [0]
+        make(_Spanned(self.df.withColumn("_place", F.lit(0).cast("long")), self.by, self.order, reach))
+        rows, back = max(rows, reach[0]), reach[0]
+        df = running_sum(self.df, "_place", F.lit(1).cast("long"), self.by, self.order, bucket)
+        span = F.expr(f"(_place - 1) div {rows}")
+        own, next_ = F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own"))
+        handed = F.when((F.col("_place") - 1) % rows >= rows - back, F.array(own, next_)).otherwise(F.array(own))
+        df = df.withColumn("_at", F.explode(handed)).withColumns({"_span": F.col("_at.span"), "_own": F.col("_at.own")}).drop("_at")
+        out = make(_Spanned(df, [*self.by, "_span"], self.order, reach)).df
+        return self._with(out.where("_own").drop("_place", "_span", "_own"))
+
     def add(self, **columns: Column) -> Indicators:
         return self._with(self.df.withColumns(columns))
 
@@ -152,12 +171,21 @@ class Indicators:
         first = F.first(x).over(self.frame(k))
         return self.add(**{out: F.log(F.col(x) / first) if log else (F.col(x) - first) / first})
 
-    def stochastics(self, k: int, d: int) -> Indicators:
+    def stochastics(self, k: int, d: int, slowing: int = 1, kind: str = "exponential", d_method: str = "ratio") -> Indicators:
+        """%K, averaged over `slowing` rows by `kind` where that is above 1, and %D: of the last d rows (ratio) the sum of closes
+        above the lowest low over the sum of ranges, or (moving_average) the average of the slowed %K."""
         low, high = F.min("low").over(self.frame(k)), F.max("high").over(self.frame(k))
-        df = self.df.withColumns({"_n": F.col("close") - low, "_r": high - low})
-        top, below = F.sum("_n").over(self.frame(d)), F.sum("_r").over(self.frame(d))
-        made = df.withColumns({"stoch_k": F.when(F.col("_r") != 0, 100 * F.col("_n") / F.col("_r")), "stoch_d": F.when(below != 0, 100 * top / below)})
-        return self._with(made.drop("_n", "_r"))
+        made = self._with(self.df.withColumns({"_n": F.col("close") - low, "_r": high - low}))
+        made = made.add(stoch_k=F.when(F.col("_r") != 0, 100 * F.col("_n") / F.col("_r")))
+        if slowing > 1:
+            made = made.average(kind, "stoch_k", slowing, "_slow")
+            made = made._with(made.df.drop("stoch_k").withColumnRenamed("_slow", "stoch_k"))
+        if d_method == "ratio":
+            top, below = F.sum("_n").over(self.frame(d)), F.sum("_r").over(self.frame(d))
+            made = made.add(stoch_d=F.when(below != 0, 100 * top / below))
+        else:
+            made = made.average(kind, "stoch_k", d, "stoch_d")
+        return self._with(made.df.drop("_n", "_r"))
 
     def cci(self, k: int, scalar: float = 0.015, out: str = "cci", kind: str = "simple") -> Indicators:
         df = self.add(_tp=(F.col("high") + F.col("low") + F.col("close")) / 3).average(kind, "_tp", k, "_m").df
@@ -367,7 +395,7 @@ class Indicators:
     def cross(self, x: str, fast: int, slow: int, kind: str = "exponential", out: str = "cross") -> Indicators:
         """1 or -1 where the fast average passes above or below the slow one, else 0."""
         two = self.average(kind, x, fast, "_f").average(kind, x, slow, "_s").add(_g=F.signum(F.round(F.col("_f") - F.col("_s"), 12)))
-        before = F.lag("_g").over(self.rows)
+        before = self.lag("_g")
         return two._with(two.df.withColumn(out, F.when((F.col("_g") != before) & (F.col("_g") != 0), F.col("_g")).otherwise(0.0).cast("int")).drop("_f", "_s", "_g"))
 
     def imbalance_trigger(self, least: float, ratio: float, gap: int) -> DataFrame:
@@ -386,6 +414,37 @@ class Indicators:
         return fold(self.df.where(hit), self.by, self.order, lambda: {"at": None}, step, self.df.schema)
 
 
+class _Spanned(Indicators):
+    """Indicators over spans: counts how far frames reach back, numbers rows by the whole key, refuses what has no frame."""
+
+    def __init__(self, df: DataFrame, by: list[str], order: list[str], reach: list[int]):
+        super().__init__(df, by, order)
+        self.reach = reach
+
+    def _with(self, df: DataFrame) -> Indicators:
+        return _Spanned(df, self.by, self.order, self.reach)
+
+    def frame(self, k: int):
+        self.reach[0] += k - 1
+        return super().frame(k)
+
+    def lag(self, c, k: int = 1) -> Column:
+        self.reach[0] += k
+        return super().lag(c, k)
+
+    def n(self) -> Column:
+        return F.col("_place")
+
+    @property
+    def so_far(self):
+        raise ValueError("an indicator over all rows so far can't be had from spans")
+
+    def _refused(self, *_, **__):
+        raise ValueError("an indicator with a state can't be had from spans")
+
+    _recursive = vidya = vwap = swings = imbalance_trigger = _refused
+
+
 def spread_analyzer(df: DataFrame, k: int, by: Iterable[str] = BY, order: Iterable[str] = ("ts_event", "seq")) -> DataFrame:
     s = F.col("ask_price") - F.col("bid_price")
     return df.withColumn("spread", s).withColumn("spread_avg", F.avg("spread").over(last(k, by, order)))

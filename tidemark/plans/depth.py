@@ -20,7 +20,7 @@ _HISTORY = """select a.instrument_id, side, price, size, ts_event as valid_from,
     left join (select instrument_id, epoch - 1 as epoch, min(ts_event) as cleared from e where action = 'CLEAR' group by 1, 2) c on c.instrument_id = a.instrument_id and c.epoch = a.epoch
     where action <> 'DELETE' and size > 0"""
 _EPOCH = "select *, count(case when action = 'CLEAR' then 1 end) over (partition by instrument_id order by ts_event, seq rows unbounded preceding) as epoch from deltas"
-_LIVE = f"select h.*, g.ts from history h join (select 1704067200000000000 + i * {STEP} as ts from range(1, 100) r(i)) g on h.valid_from <= g.ts and h.valid_to > g.ts"
+_LIVE = f"select h.*, g.ts from history h join (select i * {STEP} as ts from range((select min(ts_event) // {STEP} + 1 from deltas), (select max(ts_event) // {STEP} + 1 from deltas)) r(i)) g on h.valid_from <= g.ts and h.valid_to > g.ts"
 _RANKED = "select *, row_number() over (partition by instrument_id, ts, side order by case when side = 'BUY' then -price else price end, seq) as level from live"
 
 
@@ -33,8 +33,9 @@ def history(spark, d):
 
 
 def live(spark, d):
-    grid = spark.range(1, 100).select((F.lit(1704067200000000000) + F.col("id") * STEP).alias("ts"))
-    return book.book_at(history(spark, d), grid, step=STEP)
+    """Every STEP from the first update to the last."""
+    ends = views.deltas(spark, d).agg(F.expr(f"(min(ts_event) div {STEP} + 1) * {STEP}").alias("a"), F.expr(f"max(ts_event) div {STEP} * {STEP}").alias("b"))
+    return book.book_at(history(spark, d), ends.select(F.explode(F.array("a", "b")).alias("ts")), STEP)
 
 
 def books(spark, d):

@@ -81,11 +81,10 @@ def _(spark, d):
     return frames.between(views.trades(spark, d), 1704412800000000000, 1704844800000000000, 500)
 
 
-@query("merged_streams", sql("""select stream, count(*) as n, min(ts_event) as first_ts, max(ts_event) as last_ts from (
-    select 'quotes' as stream, ts_event from quotes union all select 'trades', ts_event from trades) group by 1""", "quotes", "trades"))
+@query("merged_streams", sql("""select stream, seq, ts_event, row_number() over (order by ts_event, stream, seq) as place from (
+    select 'quotes' as stream, ts_event, seq from quotes union all select 'trades', ts_event, seq from trades)""", "quotes", "trades"))
 def _(spark, d):
-    both = frames.merged({"quotes": views.quotes(spark, d), "trades": views.trades(spark, d)}, order=None)
-    return both.groupBy("stream").agg(F.count("*").alias("n"), F.min("ts_event").alias("first_ts"), F.max("ts_event").alias("last_ts"))
+    return frames.merged({"quotes": views.quotes(spark, d), "trades": views.trades(spark, d)}, places=DAY).select("stream", "seq", "ts_event", "place")
 
 
 @query("range_chunks", sql("""select c.chunk, c.lo, c.hi, count(t.seq) as n from (select i as chunk, 1704067200000000000 + i * 259200000000000 as lo,

@@ -27,6 +27,10 @@ def over(k: int | None = None, end: int = 0) -> str:
 RUN = "over (partition by instrument_id order by ts_event rows between unbounded preceding and current row)"
 
 
+#: What each query makes.
+MADE: dict = {}
+
+
 def query(name: str, columns: list[str], make, exprs: list[str] | None = None, source: str = "b", **more: str):
     """make(Indicators) -> Indicators; exprs: SQL of the columns over `source`."""
 
@@ -35,7 +39,7 @@ def query(name: str, columns: list[str], make, exprs: list[str] | None = None, s
         b = b.withColumn("week", F.call_function("div", F.col("ts_event"), F.lit(WEEK)))
         return rounded(make(Indicators(b, chunk="week")).df.select("instrument_id", "ts_event", *columns))
 
-    Q[name] = run
+    Q[name], MADE[name] = run, (columns, make)
     if exprs is not None:
         picked = ", ".join(f"{e} as {c}" for e, c in zip(exprs, columns, strict=True))
         S[name] = sql(f"select instrument_id, ts_event, {picked} from {source}", "trades", b=_bars(LEFT), **more)
@@ -57,7 +61,8 @@ def _wma(x: str, k: int) -> str:
 
 query("hma", ["hma"], lambda i: i.hma("close", 9), [r(_wma("d", 3))], "h2", h1=f"select instrument_id, ts_event, {_wma('close', 4)} as h, {_wma('close', 9)} as k from b", h2="select instrument_id, ts_event, 2 * h - k as d from h1")
 query("vwap", ["vwap"], lambda i: i.vwap(F.expr("(ts_event - 1) div 86400000000000"), "close", "volume"), [r("sum(close * volume) over w / sum(volume) over w")], "(select *, (ts_event - 1) // 86400000000000 as day from b) window w as (partition by instrument_id, day order by ts_event rows unbounded preceding)")
-query("linreg", ["lr_slope", "lr_value", "lr_intercept"], lambda i: i.linreg("close", 8), [r(f"case when n >= 8 then regr_slope(close, n) {over(8)} end"), r(f"case when n >= 8 then regr_intercept(close, n) {over(8)} + n * regr_slope(close, n) {over(8)} end"), r(f"case when n >= 8 then regr_intercept(close, n) {over(8)} + (n - 8) * regr_slope(close, n) {over(8)} end")], "x", x=f"select *, row_number() {over()} as n from b")
+query("linreg", ["lr_slope", "lr_value", "lr_intercept", "lr_r2", "lr_cfo"], lambda i: i.linreg("close", 8), [r(f"case when n >= 8 then regr_slope(close, n) {over(8)} end"), r(f"case when n >= 8 then regr_intercept(close, n) {over(8)} + n * regr_slope(close, n) {over(8)} end"), r(f"case when n >= 8 then regr_intercept(close, n) {over(8)} + (n - 8) * regr_slope(close, n) {over(8)} end"),
+    r(f"case when n >= 8 then regr_r2(close, n) {over(8)} end"), r(f"case when n >= 8 then 100 * (close - regr_intercept(close, n) {over(8)} - n * regr_slope(close, n) {over(8)}) / close end")], "x", x=f"select *, row_number() {over()} as n from b")
 query("efficiency_ratio", ["er"], lambda i: i.efficiency_ratio("close", 10), [r(f"coalesce(abs(close - first_value(close) {over(10)}) / nullif(sum(c) {over(9)}, 0), 0)")], "x", x=f"select *, abs(close - lag(close) {over()}) as c from b")
 query("macd_simple", ["macd"], lambda i: i.macd("close", 5, 12), [r(f"avg(close) {over(5)} - avg(close) {over(12)}")])
 _GAIN = f"select *, greatest(coalesce(close - lag(close) {over()}, 0), 0) as up, greatest(coalesce(lag(close) {over()} - close, 0), 0) as down from b"
@@ -66,6 +71,8 @@ query("cmo_simple", ["cmo"], lambda i: i.cmo("close", 10, kind="simple"), [r(f"c
 query("roc", ["roc"], lambda i: i.roc("close", 6), [r(f"(close - first_value(close) {over(6)}) / first_value(close) {over(6)}")])
 query("roc_log", ["roc"], lambda i: i.roc("close", 6, log=True), [r(f"ln(close / first_value(close) {over(6)})")])
 query("stochastics", ["stoch_k", "stoch_d"], lambda i: i.stochastics(10, 3), [r("100 * n / nullif(g, 0)"), r(f"100 * sum(n) {over(3)} / nullif(sum(g) {over(3)}, 0)")], "x", x=f"select *, close - min(low) {over(10)} as n, max(high) {over(10)} - min(low) {over(10)} as g from b")
+query("stochastics_slowed", ["stoch_k", "stoch_d"], lambda i: i.stochastics(10, 3, 4, "simple", "moving_average"), [r("k"), r(f"avg(k) {over(3)}")], "y",
+    x=f"select *, 100 * (close - min(low) {over(10)}) / nullif(max(high) {over(10)} - min(low) {over(10)}, 0) as raw from b", y=f"select *, avg(raw) {over(4)} as k from x")
 query("cci", ["cci"], lambda i: i.cci(10), [r("(tp - m) / (0.015::double * nullif(list_sum(list_transform(l, lambda v: abs(v - m))) / len(l), 0))")], "x2", x=f"select *, {HLC} as tp from b", x2=f"select *, avg(tp) {over(10)} as m, list(tp) {over(10)} as l from x")
 query("bollinger", ["bb_upper", "bb_middle", "bb_lower"], lambda i: i.bollinger(12), [r(f"avg(tp) {over(12)} + 2 * stddev_pop(tp) {over(12)}"), r(f"avg(tp) {over(12)}"), r(f"avg(tp) {over(12)} - 2 * stddev_pop(tp) {over(12)}")], "x", x=f"select *, {HLC} as tp from b")
 query("bias", ["bias"], lambda i: i.bias("close", 7), [r(f"close / avg(close) {over(7)} - 1")])
@@ -172,3 +179,20 @@ S["vpin"] = sql("""select instrument_id, bar, round(avg(abs(s)) over w, 6) as vp
     from (select *, least(hi, (bar + 1) * 5000) - greatest(hi - x, bar * 5000) as part from (select *, unnest(range(floor((hi - x) / 5000)::bigint, ceil(hi / 5000)::bigint)) as bar
     from (select *, sum(x) over (partition by instrument_id order by ts_event, seq rows unbounded preceding) as hi from (select *, (round(price * size, 6))::decimal(18,6) as x from trades))))
     group by 1, 2 having sum(part) = 5000) window w as (partition by instrument_id order by bar rows 9 preceding)""", "trades")
+
+#: Indicators over the last rows, from spans that many tasks share; a span holds so many rows.
+SPAN_ROWS = 64
+
+
+def _in_spans(name: str):
+    columns, make = MADE[name]
+
+    def run(spark, d):
+        b = Indicators(rounded(bars.time_bars(views.trades(spark, d), HOUR)))
+        return rounded(b.in_spans(make, WEEK, SPAN_ROWS).df.select("instrument_id", "ts_event", *columns))
+
+    Q[f"{name}_in_spans"], S[f"{name}_in_spans"] = run, S[name]
+
+
+for _name in ("sma", "hma", "linreg", "stochastics_slowed", "bollinger", "aroon", "ichimoku", "atr"):
+    _in_spans(_name)
