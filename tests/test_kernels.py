@@ -140,3 +140,15 @@ def test_old_states_go(spark, tmp_path):
         q.stop()
     with pytest.raises(ValueError):
         keyed(streams.read_files(spark, f"{tmp_path}/in", ROWS), kernels.Changed(), delay="1 hour", ttl=3000)
+
+
+def test_spans_give_what_one_pass_gives(spark, monkeypatch):
+    """Spans in which the runs meet at once, late (so that the walk is done again) or never, empty keys and one row."""
+    t = views.trades(spark, SF)
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    hour = 3_600_000_000_000
+    for kernel, bucket, closes in ((kernels.ImbalanceBars(3), 24 * hour, 1), (kernels.RunsBars(40.0, "volume"), 48 * hour, 2), (kernels.ImbalanceBars(500.0, "value"), 7 * 24 * hour, 1), (kernels.TickBars(7), 24 * hour, 1), (kernels.ImbalanceBars(5), hour, 4)):
+        assert key(kernels.folded_in_spans(t, kernel, bucket, closes=closes)) == key(kernels.folded(t, kernel))
+    odd = t.withColumn("instrument_id", F.when(F.col("instrument_id") != "view", F.col("instrument_id"))).withColumn("aggressor_side", F.when(F.col("seq") % 5 != 0, F.col("aggressor_side")))
+    assert key(kernels.folded_in_spans(odd, kernels.RunsBars(2), 24 * hour, closes=1)) == key(kernels.folded(odd, kernels.RunsBars(2)))
+    assert key(kernels.folded_in_spans(t.limit(0), kernels.TickBars(2), hour)) == [] and key(kernels.folded_in_spans(t.limit(1), kernels.TickBars(1), hour)) == key(kernels.folded(t.limit(1), kernels.TickBars(1)))

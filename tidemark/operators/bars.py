@@ -118,14 +118,20 @@ def value_bars(df: DataFrame, step, **more) -> DataFrame:
     return threshold_bars(df, F.col("price") * F.col("size"), step, **more)
 
 
-def imbalance_bars(df: DataFrame, step: float, kind: str = "tick", by: Iterable[str] = BY, order: Iterable[str] = ORDER) -> DataFrame:
-    """Bars that close when buys less sells reach `step` either way, in ticks, volume or value."""
-    return folded(df, kernels.ImbalanceBars(step, kind), by, order)
+def _folded(df, kernel, by, order, bucket):
+    return folded(df, kernel, by, order) if bucket is None else kernels.folded_in_spans(df, kernel, bucket, by, order)
 
 
-def runs_bars(df: DataFrame, step: float, kind: str = "tick", by: Iterable[str] = BY, order: Iterable[str] = ORDER) -> DataFrame:
-    """Bars that close when a run of one side reaches `step`; a change of side or a close begins a new run."""
-    return folded(df, kernels.RunsBars(step, kind), by, order)
+def imbalance_bars(df: DataFrame, step: float, kind: str = "tick", by: Iterable[str] = BY, order: Iterable[str] = ORDER, bucket: int | None = None) -> DataFrame:
+    """Bars that close when buys less sells reach `step` either way, in ticks, volume or value. bucket: see
+    kernels.folded_in_spans."""
+    return _folded(df, kernels.ImbalanceBars(step, kind), by, order, bucket)
+
+
+def runs_bars(df: DataFrame, step: float, kind: str = "tick", by: Iterable[str] = BY, order: Iterable[str] = ORDER, bucket: int | None = None) -> DataFrame:
+    """Bars that close when a run of one side reaches `step`; a change of side or a close begins a new run.
+    bucket: see kernels.folded_in_spans."""
+    return _folded(df, kernels.RunsBars(step, kind), by, order, bucket)
 
 
 def tick_runs_bars(df: DataFrame, step: int, by: Iterable[str] = BY, order: Iterable[str] = ORDER) -> DataFrame:

@@ -7,14 +7,16 @@ state in place. A user's own indicator is a subclass.
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Callable, Iterable, Iterator, MutableMapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.windows import BY, ORDER, fold
+from tidemark.operators.windows import BY, ORDER, fold, settled
 
 TICK = ("price", "size", "aggressor_side", "ts_event")
 
@@ -58,7 +60,7 @@ def folded(df: DataFrame, kernel: Kernel, by: Iterable[str] = BY, order: Iterabl
 
     def step(state, pdf):
         key = tuple(pdf[by].iloc[0])
-        return pd.DataFrame([(*key, *x) for x in kernel.update(state, rows_of(pdf, kernel.reads))], columns=names), state
+        return pd.DataFrame([(*key, *x) for x in kernel.update(state, rows_of(pdf, kernel.reads))], columns=names, dtype=object), state
 
     schema = T.StructType([df.schema[c] for c in by] + T.StructType.fromDDL(kernel.output).fields)
     return fold(df.select(*dict.fromkeys([*by, *order, *kernel.reads])), by, order, kernel.start, step, schema)
@@ -80,6 +82,101 @@ def states(df: DataFrame, kernel: Kernel, by: Iterable[str] = BY, order: Iterabl
     return fold(df.select(*dict.fromkeys([*by, *order, *kernel.reads])), by, order, kernel.start, step, schema, end)
 
 
+def folded_in_spans(df: DataFrame, kernel: Kernel, bucket: int, by: Iterable[str] = BY, order: Iterable[str] = ORDER, closes: int = 8) -> DataFrame:
+    """folded() of a kernel that begins anew with each output, one key spread over many tasks.
+
+    kernel.counter is the place of the number of outputs so far, in its state and as the first output column; just after an
+    output the rest of the state is that of start(). Each span of `bucket` units of the first order column is run on its own, as
+    if it began with a fresh state. Where a run from the state that really comes in has an output at the same row, the two go on
+    alike. So only the rows before a span's first `closes` outputs are walked again in order, by one task a key, until the runs
+    meet; the rest of the span is taken as it is, its numbers moved. If they don't meet within these rows the walk is done again
+    with eight times as many, at worst with all.
+    """
+    by, order = list(by), list(order)
+    counter, names, outputs = kernel.counter, names_of(kernel.output), T.StructType.fromDDL(kernel.output).fields
+    keys = [df.schema[c] for c in by]
+    places = [T.StructField(f"_o{i}", df.schema[c].dataType) for i, c in enumerate(order)]
+    at = [f.name for f in places]
+    span = F.call_function("div", F.col(order[0]), F.lit(bucket))
+    rows = df.select(*dict.fromkeys([*by, *order, *kernel.reads])).withColumn("_span", F.coalesce(span, F.lit(-(1 << 62))))
+    columns = [*by, "_span", "_k", *at, "_state", *names]
+
+    def speculate(state, pdf):
+        held, n = state
+        out = []
+        own = tuple(pdf[[*by, "_span"]].iloc[0])
+        for place, row in zip(rows_of(pdf, order), rows_of(pdf, kernel.reads), strict=True):
+            for x in kernel.update(held, (row,)):
+                n += 1
+                out.append((*own, n, *place, None, *x))
+        return pd.DataFrame(out, columns=columns), (held, n)
+
+    def ended(key, state):
+        return pd.DataFrame([(*key, state[1], *[None] * len(at), json.dumps(state[0]), *[None] * len(names))], columns=columns)
+
+    schema = T.StructType([*keys, T.StructField("_span", T.LongType()), T.StructField("_k", T.LongType()), *places, T.StructField("_state", T.StringType()), *outputs])
+    alone = settled(fold(rows, [*by, "_span"], order, lambda: (kernel.start(), 0), speculate, schema, ended))
+    made = alone.where("_state is null")
+
+    def same(other: str) -> list:
+        return [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in (*by, "_span")]
+
+    def renamed(some: DataFrame, other: str) -> DataFrame:
+        return some.withColumnsRenamed({c: f"{other}{c}" for c in (*by, "_span", "_k")})
+
+    def zero(kind: str) -> Column:
+        return F.lit(None if kind in ("string", "boolean", "timestamp") else 0).cast(kind)
+
+    def filled(some: DataFrame) -> DataFrame:
+        """With the columns that rows have; whole numbers as 0, since pandas would make doubles of a column with nulls."""
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"_state": "string"}
+        return some.withColumns({c: zero(k) for c, k in kinds.items() if c not in some.columns})
+
+    found = ["_span", "_what", "_k", "_by"]
+    walked = T.StructType([*keys, *T.StructType.fromDDL("_span long, _what string, _k long, _by long").fields, *outputs])
+    nothing = [None] * len(names)
+    while True:
+        limits = renamed(made.where(F.col("_k") == closes).select(*by, "_span", *at), "_l")
+        before = F.struct(*order) <= F.struct(*at)
+        first = rows.join(limits, same("_l"), "left").where(F.col(at[0]).isNull() | before).drop(*limits.columns)
+        first = first.withColumns({"_late": F.lit(0), "_kind": F.lit(0)})
+        marks = made.where(F.col("_k") <= closes).select(*by, "_span", "_k", *[F.col(a).alias(c) for a, c in zip(at, order, strict=True)], F.lit(0).alias("_late"), F.lit(1).alias("_kind"))
+        ends = alone.where("_state is not null").select(*by, "_span", "_k", "_state", F.lit(1).alias("_late"), F.lit(2).alias("_kind"))
+        first = first.withColumns({"_k": zero("long"), "_state": F.lit(None).cast("string")})
+        events = first.unionByName(filled(marks)).unionByName(filled(ends))
+
+        def walk(s, pdf, closes=closes):
+            out, own = [], tuple(pdf[by].iloc[0])
+            for number, kind, k, final, row in zip(*(pdf[c].tolist() for c in ("_span", "_kind", "_k", "_state")), rows_of(pdf, kernel.reads), strict=True):
+                if s["failed"]:
+                    break
+                if kind == 2:
+                    if s["moved"] is not None:
+                        s["state"] = json.loads(final)
+                        s["state"][counter] += s["moved"]
+                    elif k >= closes:  # the rows end before the runs have met
+                        s["failed"] = True
+                        out.append((*own, number, "failed", None, None, *nothing))
+                    s["moved"] = None
+                elif s["moved"] is None and kind == 0:
+                    new = kernel.update(s["state"], (row,))
+                    s["closed"] = bool(new)
+                    out += [(*own, number, "row", None, None, *x) for x in new]
+                elif s["moved"] is None and s["closed"]:
+                    s["moved"] = s["state"][counter] - int(k)
+                    out.append((*own, number, "met", int(k), s["moved"], *nothing))
+            return pd.DataFrame(out, columns=[*by, *found, *names], dtype=object), s
+
+        start = lambda: {"state": kernel.start(), "moved": None, "closed": False, "failed": False}
+        again = settled(fold(events, by, ["_span", "_late", *order, "_kind"], start, walk, walked))
+        if again.where("_what = 'failed'").isEmpty():
+            break
+        closes *= 8
+    met = renamed(again.where("_what = 'met'").select(*by, "_span", "_k", "_by"), "_m")
+    rest = made.join(met, same("_m")).where(F.col("_k") > F.col("_m_k")).withColumn(names[0], F.col(names[0]) + F.col("_by"))
+    return again.where("_what = 'row'").select(*by, *names).unionByName(rest.select(*by, *names))
+
+
 class Together(Kernel):
     """Several kernels over the same rows; each row of output has the name of its kernel in front. Outputs are those of the widest
     kernel; what another lacks is null."""
@@ -135,6 +232,7 @@ class _Bars(Kernel):
     reads = TICK
     output = "bar long, open double, high double, low double, close double, volume double, count long, ts_event long"
     state = "bar long, n long, o double, h double, l double, c double, v double, x double, y double"
+    counter = 0
 
     def start(self):
         return [0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
@@ -154,6 +252,7 @@ class _Bars(Kernel):
             if done:
                 out.append((bar, o, h, lo, c, v, n, t))
                 bar, n, v = bar + 1, 0, 0.0
+                o = h = lo = c = 0.0
         state[:] = [bar, n, o, h, lo, c, v, x, y]
         return out
 

@@ -371,6 +371,12 @@ for _kind, _step in (("tick", 6), ("volume", 60.0), ("value", 900.0)):
 for _kind, _step in (("volume", 20.0), ("value", 300.0)):
     Q[f"{_kind}_runs_bars"] = lambda spark, d, k=_kind, s=_step: rounded(bars.runs_bars(views.trades(spark, d), s, k))
     S[f"{_kind}_runs_bars"] = folded(_kind, _step, True)
+# the same with a key's days shared by many tasks
+for _kind, _step in (("tick", 6), ("volume", 60.0), ("value", 900.0)):
+    Q[f"{_kind}_imbalance_bars_in_spans"] = lambda spark, d, k=_kind, s=_step: rounded(bars.imbalance_bars(views.trades(spark, d), s, k, bucket=DAY))
+    S[f"{_kind}_imbalance_bars_in_spans"] = S[f"{_kind}_imbalance_bars"]
+Q["value_runs_bars_in_spans"] = lambda spark, d: rounded(bars.runs_bars(views.trades(spark, d), 300.0, "value", bucket=DAY))
+S["value_runs_bars_in_spans"] = S["value_runs_bars"]
 Q["renko_bars"] = lambda spark, d: rounded(bars.renko_bars(views.trades(spark, d), 10.0))
 S["renko_bars"] = recursive("select instrument_id, bar - 1 as bar, round(open, 6) as open, round(brick_close, 6) as close, ts_event from f where brick", "trades", t=_TICKS,
     f="""select instrument_id, n, price, ts_event, price as brick_close, price as open, 0::bigint as bar, false as brick from t where n = 1 union all

@@ -141,7 +141,7 @@ class _Processor(StatefulProcessor):
 
     def _table(self, key, out) -> Iterator[pd.DataFrame]:
         if out:
-            yield pd.DataFrame([(*key, *x) for x in out], columns=self.out)
+            yield pd.DataFrame([(*key, *x) for x in out], columns=self.out, dtype=object)
 
     def _taken(self, state, rows: list[tuple], until: int | None) -> list[tuple]:
         """Rows in order, (time, seq, what the kernel reads); between them the clock's snapshots, up to a time."""
