@@ -356,7 +356,8 @@ class Indicators:
 
         def ladder(c: str) -> Column:
             x = F.col(c)
-            return F.when(x == 0, 0).when(x <= m(c) - s(c) * t2, 1).when(x <= m(c) + s(c) * t1, 2).when(x <= m(c) + s(c) * t3, 3).otherwise(4)
+            above = lambda t: F.round(x - m(c) - s(c) * t, 9)  # noqa: E731  (of two rows one lies just on the border)
+            return F.when(x == 0, 0).when(above(-t2) <= 0, 1).when(above(t1) <= 0, 2).when(above(t3) <= 0, 3).otherwise(4)
 
         out = {"candle_direction": F.signum(F.col("close") - F.col("open")).cast("int"), "candle_size": ladder("_len"), "candle_body": ladder("_bp"), "candle_upper": ladder("_uw"), "candle_lower": ladder("_lw")}
         return self._with(df.withColumns(out).drop("_len", "_body", "_bp", "_uw", "_lw"))

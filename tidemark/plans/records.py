@@ -112,3 +112,5 @@ Q["event_json_columns"] = lambda spark, d: views.table(spark, d, "events").selec
 S["event_json_columns"] = """select event_id, (props->>'$.k')::int as k, '{"event_type":"' || event_type || '","user_id":' || user_id || '}' as text from events"""
 Q["depth_arrays"] = lambda spark, d: rounded(views.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("size")))).alias("levels")).select("l_orderkey", scalars.depth_totals(F.col("levels")).alias("total"), F.element_at("levels", 1)["price"].alias("best")))
 S["depth_arrays"] = "select l_orderkey, sum(l_quantity) as total, min(l_extendedprice) as best from lineitem group by 1"
+Q["utc_times"] = lambda spark, d: views.trades(spark, d).select("seq", F.unix_micros(scalars.to_utc(F.timestamp_micros(F.expr("ts_event div 1000")), "Asia/Tokyo")).alias("utc"))
+S["utc_times"] = "select event_id as seq, epoch_us(ts - interval 9 hours) as utc from events"

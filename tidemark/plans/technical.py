@@ -101,8 +101,23 @@ _AMAT = f"select *, case when n - 10 >= 20 then lag(f, 10) {over()} else max(cas
 query("amat_simple", ["amat_long", "amat_short"], lambda i: i.amat("close", 5, 20, 10, "simple"), [f"coalesce(bool_or(f > front) {RUN}, false)", f"coalesce(bool_or(f < front) {RUN}, false)"], "x2", x=f"select *, avg(close) {over(5)} as f, row_number() {over()} as n from b", x2=_AMAT)
 
 query("swings", ["swing_direction", "swing_changed", "swing_high", "swing_low", "swing_length", "swing_since_high", "swing_since_low", "swing_duration"], lambda i: i.swings(5))
+_HURST = """select w.instrument_id, w.ts_event, round(s.slope, 6) as hurst from w left join s using (instrument_id, ts_event)"""
 query("hurst", ["hurst"], lambda i: i.hurst("close", 32))
-query("fuzzy_candles", ["candle_direction", "candle_size", "candle_body", "candle_upper", "candle_lower"], lambda i: i.fuzzy_candles(10))
+S["hurst"] = sql(_HURST, "trades", b=_bars(LEFT), q=f"select *, ln(close / lag(close) {over()}) as x from b", w=f"select instrument_id, ts_event, list(x) filter (x is not null) {over(32)} as x from q",
+    v="select instrument_id, ts_event, n, p, p // n as part, x[p + 1] as x from w, (values (4), (8), (16)) as l(n), range(32) as r(p) where len(x) = 32",
+    d="select *, sum(x - m) over (partition by instrument_id, ts_event, n, part order by p) as c from (select *, avg(x) over (partition by instrument_id, ts_event, n, part) as m from v)",
+    e="select instrument_id, ts_event, n, avg((hi - lo) / nullif(s, 0)) as rs from (select instrument_id, ts_event, n, part, max(c) as hi, min(c) as lo, stddev_pop(x) as s from d group by all) group by all",
+    s="select instrument_id, ts_event, case when count(*) > 1 then regr_slope(ln(rs), ln(n)) end as slope from e where rs > 0 group by all")
+
+
+def _ladder(x: str) -> str:
+    m, s = f"avg({x}) {over(10)}", f"stddev_pop({x}) {over(10)}"
+    return f"case when {x} = 0 then 0 when round({x} - {m} + {s}, 9) <= 0 then 1 when round({x} - {m} - 0.5::double * {s}, 9) <= 0 then 2 when round({x} - {m} - 2 * {s}, 9) <= 0 then 3 else 4 end"
+
+
+query("fuzzy_candles", ["candle_direction", "candle_size", "candle_body", "candle_upper", "candle_lower"], lambda i: i.fuzzy_candles(10), ["sign(close - open)::int", *map(_ladder, ("size", "body", "upper", "lower"))], "x",
+    x="""select *, coalesce(abs(open - close) / nullif(size, 0), 0) as body, coalesce((high - greatest(open, close)) / nullif(size, 0), 0) as upper, coalesce((least(open, close) - low) / nullif(size, 0), 0) as lower
+    from (select *, high - low as size from b)""")
 
 
 def walk(name: str, source: str, keep: str = "", **columns: tuple[str, str]) -> str:
