@@ -55,3 +55,25 @@ def test_rows_of_any_time_are_streamed(spark):
     assert sorted(r["seq"] for r in plans.replay(spark, df, lambda s: s).collect()) == [0, 1, 2, 3, 4, 5]
     bars_ = plans.replay(spark, df, lambda s: streams.time_bars(s, "1 hour", "10 minutes")).select("start").collect()
     assert len(bars_) == 5 and plans.replay(spark, df.limit(0), lambda s: s).count() == 0
+
+
+def test_a_replay_goes_on_with_the_slice_it_was_cut_off_in(spark, tmp_path):
+    from tidemark.sources.catalog import Catalog
+
+    c = Catalog(spark, f"{tmp_path}/catalog")
+    t = spark.range(40).select(F.lit("A").alias("instrument_id"), F.col("id").cast("double").alias("price"), F.col("id").alias("seq"), (F.col("id") * 10).alias("ts_event"), (F.col("id") * 10).alias("ts_init"))
+    c.write(t, "trades")
+    seen, fails = [], [True]
+
+    def handle(rows, n):
+        if n == 2 and fails.pop() if fails else False:
+            raise RuntimeError("cut off")
+        seen.append((n, sorted((r["stream"], r["seq"]) for r in rows.collect())))
+
+    try:
+        streams.replayed(c, ["trades"], 0, 399, 100, handle, f"{tmp_path}/state")
+    except Exception as e:  # noqa: BLE001
+        assert "cut off" in str(e)
+    assert [n for n, _ in seen] == [0, 1]
+    assert streams.replayed(c, ["trades"], 0, 399, 100, handle, f"{tmp_path}/state") == 4
+    assert [n for n, _ in seen] == [0, 1, 2, 3] and [x for _, rows in seen for x in rows] == [("trades", k) for k in range(40)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import kernels
+from tidemark.operators import frames, kernels
 from tidemark.operators.windows import rounded
 from tidemark.plans import market
 from tidemark.plans.catalogue import scratch
@@ -251,3 +252,29 @@ def _late(spark, d):
 Q["stream_late_rows"] = _late
 S["stream_late_rows"] = sql("""select instrument_id, case when seq % 7 = 0 and make_timestamp(ts_event // 1000) < (select max(make_timestamp(ts_event // 1000)) from trades where seq % 7 <> 0) - interval 1 day then 'late' else 'rows' end as went_to, count(*) as n
     from trades group by 1, 2""", "trades")
+
+
+def _replayed(spark, d):
+    """Trades and quotes of a catalog in their common order, slice by slice, by a replay that is stopped once and then goes on;
+    a row's place is counted on from slice to slice."""
+    c = Catalog(spark, scratch(spark))
+    for kind in ("trades", "quotes"):
+        c.write(getattr(views, kind)(spark, d).withColumn("ts_init", F.col("ts_event")), kind)
+    first, last_ = c.bounds("trades").agg(F.min("first"), F.max("last")).first()
+    folder = scratch(spark)
+
+    def handle(rows, n):
+        placed = frames.merged({"": rows.withColumnRenamed("stream", "kind")}, order=("ts_event", "kind", "seq"), places=24 * HOUR).drop("stream")
+        placed.write.mode("overwrite").parquet(f"{folder}/slice={n}")
+
+    step = -(-(last_ - first + 1) // 4)
+    for slices in (2, None):
+        streams.replayed(c, ["trades", "quotes"], first, last_, step, handle, f"{folder}-state", slices)
+    out = spark.read.parquet(folder)
+    counts = out.groupBy("slice").agg(F.count("*").alias("n"))
+    before = counts.select("slice", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each slice
+    return out.join(F.broadcast(before), "slice").select(F.col("kind").alias("stream"), "seq", "ts_event", (F.col("place") + F.col("before")).alias("place"))
+
+
+Q["stream_replay"] = _replayed
+S["stream_replay"] = market.S["merged_streams"]

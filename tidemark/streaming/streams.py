@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,3 +150,32 @@ def snapshots(stream: DataFrame, interval: str, delay: str) -> DataFrame:
     last = F.max_by(F.struct("price", "size", "seq"), F.struct("ts", "seq")).alias("x")
     out = stream.withWatermark("ts", delay).groupBy("instrument_id", F.window("ts", interval)).agg(last)
     return out.select("instrument_id", F.col("window.end").alias("end"), "x.price", "x.size", "x.seq")
+
+
+def replayed(catalog, kinds: list[str], start: int, end: int, step: int, handle, checkpoint: str, slices: int | None = None, **query) -> int:
+    """Gives the catalog's rows with ts_init in [start, end] to handle(rows, slice) in order of time, `step` nanoseconds a trigger.
+
+    rows: all kinds together, the kind in `stream`; of a slice only its files' row groups are read, as catalog.query() does. The
+    offset is the slice's number, kept in the checkpoint: a replay that was stopped, or cut off within a slice, goes on with that
+    slice, so handle should replace what it wrote for it before. slices: stop after so many (in all). Returns how many are done.
+    """
+    spark = catalog.spark
+    todo = max(0, -(-(end - start + 1) // step))
+    todo = todo if slices is None else min(todo, slices)
+
+    over = "all slices are done"
+
+    def one(batch: DataFrame, n: int) -> None:
+        if n >= todo:  # ends the query without an offset for this slice
+            raise StopIteration(over)
+        lo = start + n * step
+        rows = {k: catalog.query(k, start=lo, end=min(lo + step - 1, end), ordered=False, **query) for k in kinds}
+        handle(frames.merged(rows, order=None), n)
+
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    try:
+        ticks.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start().awaitTermination()
+    except StreamingQueryException as e:
+        if over not in str(e):
+            raise
+    return todo
