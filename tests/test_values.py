@@ -309,3 +309,22 @@ def test_stochastics_of_rising_and_falling_bars(spark):
         df = spark.createDataFrame([("A", k, x + 0.0002, x, x + 0.0001) for k, x in enumerate(lows)], "instrument_id string, ts_event long, high double, low double, close double")
         last_ = Indicators(df).stochastics(14, 3).df.orderBy("ts_event").collect()[-1]
         assert (round(last_["stoch_k"], 6), round(last_["stoch_d"], 6)) == want
+
+
+def test_mirror_is_read_in_ranges(spark):
+    """Four ranges of rows, filters in the database, exact decimals, an empty table and null ranges."""
+    from decimal import Decimal
+
+    from tidemark.sources.catalog import read_mirror, write_mirror
+
+    url, driver = "jdbc:derby:memory:ranges;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.range(1000).select(F.col("id"), F.concat(F.lit("k"), F.col("id") % 7).alias("name"), (F.col("id").cast("decimal(38,16)") / 3).cast("decimal(38,16)").alias("x"))
+    write_mirror(df, url, "t", keys=["name"], driver=driver)
+    back = read_mirror(spark, url, "t", ["x"], "id", 4, "\"name\" <> 'k3'", driver=driver)
+    assert back.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.where("name <> 'k3'").collect()))
+    plan = back.where("id > 900")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*IsNotNull(id), *GreaterThan(id,900)]" in plan
+    assert back.where("id = 1").collect()[0]["x"] == Decimal("0.3333333333333333")
+    write_mirror(df.limit(0), url, "none", keys=["name"], driver=driver)
+    assert read_mirror(spark, url, "none", ["x"], "id", 4, driver=driver).count() == 0

@@ -239,3 +239,19 @@ def _parquet(spark, d):
 
 Q["parquet_ticks"] = _parquet
 S["parquet_ticks"] = sql("select instrument_id, count(*) as n, min(ts_event) as first, max(ts_event) as last, sum(size) as size from trades group by 1", "trades")
+
+
+def _mirrored(spark, d):
+    """Fills written to a database and read back in four ranges of their sequence, without those that the database filters.
+
+    The database is Derby, which comes with Spark, within the one process of a local session.
+    """
+    url, driver = f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    fills = views.fills(spark, d).withColumn("last_px", F.col("last_px").cast("decimal(20,8)")).select("instrument_id", "order_side", "last_qty", "last_px", "ts_event", "seq")
+    catalog.write_mirror(fills, url, "fills", partitions=4, keys=["instrument_id", "order_side"], driver=driver)
+    back = catalog.read_mirror(spark, url, "fills", ["last_px"], "seq", 4, "\"order_side\" = 'BUY'", driver=driver)
+    return back.where("last_qty > 10").withColumn("last_px", F.round(F.col("last_px").cast("double"), 6))
+
+
+Q["mirror_round_trip"] = _mirrored
+S["mirror_round_trip"] = sql("select instrument_id, order_side, last_qty, round(last_px, 6) as last_px, ts_event, seq from fills where order_side = 'BUY' and last_qty > 10", "fills")

@@ -289,15 +289,38 @@ def load_vendor_depth(spark: SparkSession, path: str, levels: int) -> DataFrame:
     return df.select(F.concat("symbol", F.lit("."), F.upper("exchange")).alias("instrument_id"), side("bids").alias("bids"), side("asks").alias("asks"), (F.col("timestamp") * 1000).alias("ts_event"), (F.col("local_timestamp") * 1000).alias("ts_init"))
 
 
-def read_mirror(spark: SparkSession, url: str, table: str, decimals: Iterable[str] = (), **options: str) -> DataFrame:
-    """A table of the relational mirror over JDBC; numbers kept as text become decimals."""
-    df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+#: Digits of a decimal that is kept as text, its sign and point.
+_TEXT = 48
+
+
+def read_mirror(spark: SparkSession, url: str, table: str, decimals: Iterable[str] = (), column: str | None = None, partitions: int = 1, where: str | None = None, **options: str) -> DataFrame:
+    """A table of the relational mirror over JDBC; numbers kept as text become decimals.
+
+    column: a whole number, date or time by which the table is read in so many partitions, each a range of its values; the ends
+    of the whole are asked from the database first, of the rows that `where` (in its SQL) keeps. Further filters and the columns
+    that are used go down to the database.
+    """
+    source = f"(select * from {table} where {where}) t" if where else table
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if column is not None:
+        name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+        low, high = spark.read.format("jdbc").options(url=url, query=f"select min({name}) as low, max({name}) as high from {source}", **options).load().first()
+        if low is not None:
+            reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=partitions)
+    df = reader.option("dbtable", source).load()
     return df.withColumns({c: F.col(c).cast("decimal(38,16)") for c in decimals})
 
 
-def write_mirror(df: DataFrame, url: str, table: str, **options: str) -> None:
-    text = {f.name: F.col(f.name).cast("string") for f in df.schema.fields if "Decimal" in str(f.dataType)}
-    df.withColumns(text).write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
+def write_mirror(df: DataFrame, url: str, table: str, partitions: int = 8, batch: int = 10_000, keys: Iterable[str] = (), **options: str) -> None:
+    """Appends df to a table of the mirror, so many rows a batch over so many connections at most; decimals are kept as text.
+
+    keys: text columns that the database should be able to compare (made as varchar).
+    """
+    exact = [f.name for f in df.schema.fields if f.dataType.typeName() == "decimal"]
+    kinds = ", ".join([f"{c} varchar({_TEXT})" for c in exact] + [f"{c} varchar(256)" for c in keys])
+    made = {"createTableColumnTypes": kinds} if kinds else {}
+    df = df.withColumns({c: F.col(c).cast("string") for c in exact})
+    df.write.format("jdbc").options(url=url, dbtable=table, batchsize=batch, numPartitions=partitions, **made, **options).mode("append").save()
 
 
 # conversions
