@@ -326,5 +326,5 @@ def test_mirror_is_read_in_ranges(spark):
     plan = back.where("id > 900")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [*IsNotNull(id), *GreaterThan(id,900)]" in plan
     assert back.where("id = 1").collect()[0]["x"] == Decimal("0.3333333333333333")
-    write_mirror(df.limit(0), url, "none", keys=["name"], driver=driver)
-    assert read_mirror(spark, url, "none", ["x"], "id", 4, driver=driver).count() == 0
+    write_mirror(df.limit(0), url, "no_rows", keys=["name"], driver=driver)
+    assert read_mirror(spark, url, "no_rows", ["x"], "id", 4, driver=driver).count() == 0
