@@ -278,3 +278,25 @@ def _replayed(spark, d):
 
 Q["stream_replay"] = _replayed
 S["stream_replay"] = market.S["merged_streams"]
+
+
+def _rotated(spark, d):
+    """Trades in files of 40 rows at most and of one day, the day beginning at 17:00, of three instruments; the last trigger is
+    run again before the files are read."""
+    folder = scratch(spark)
+    t = views.trades(spark, d).withColumn("ts", F.timestamp_micros(F.expr("ts_event div 1000"))).select("instrument_id", "price", "size", "aggressor_side", "ts", "seq")
+    conf = spark._jsc.hadoopConfiguration()
+    for part in (0, 1, None):
+        if part is None:  # as after a failure before the trigger was committed
+            commit = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state/commits/1")
+            commit.getFileSystem(conf).delete(commit, False)
+        else:
+            t.where(F.col("seq") % 2 == part).write.mode("append").parquet(f"{folder}/in")
+        source = streams.read_files(spark, f"{folder}/in", files_per_trigger=(1 << 31) - 1)
+        streams.rotating_sink(source, f"{folder}/out", f"{folder}/state", 40, 24 * HOUR, 17 * HOUR, ["v*", "?lick", "signup"]).trigger(availableNow=True).start().awaitTermination()
+    files = streams.read_sink(spark, f"{folder}/out").groupBy("period", "file").agg(F.count("*").alias("n"))
+    return files.groupBy("period").agg(F.sum("n").alias("n"), (F.max("n") <= 40).alias("bounded"))
+
+
+Q["stream_rotated_files"] = _rotated
+S["stream_rotated_files"] = sql(f"select (ts_event - {17 * HOUR}) // {24 * HOUR} as period, count(*) as n, true as bounded from trades where instrument_id in ('view', 'click', 'signup') group by 1", "trades")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,10 +109,32 @@ def changed_prices(stream: DataFrame) -> DataFrame:
     return keyed(stream, kernels.Changed())
 
 
-def rolling_sink(stream: DataFrame, path: str, checkpoint: str, seconds: int = 60, rows: int = 1_000_000, by: tuple[str, ...] = ("instrument_id",)):
-    """A writer of files by key that rotate by time and size; start() it."""
-    out = stream.writeStream.format("parquet").partitionBy(*by).option("path", path).option("checkpointLocation", checkpoint)
-    return out.option("maxRecordsPerFile", rows).trigger(processingTime=f"{seconds} seconds")
+def rotating_sink(stream: DataFrame, path: str, checkpoint: str, rows: int = 1_000_000, every: int | None = None, offset: int = 0, include: list[str] | None = None, by: tuple[str, ...] = ()):
+    """A writer of Parquet files that rotate; start() it. read_sink() reads what is whole.
+
+    A file holds `rows` rows at most (size), rows of one period of `every` nanoseconds of ts only (interval; with an offset a
+    schedule, such as each day at 17:00) and of one value of the columns `by`. include: patterns of instrument_id (`*`, `?`) that
+    are kept. Each trigger replaces its own folder and then its line of the manifest, so one that runs again after a failure
+    leaves every row once. Rows without a time have a null period.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        if include is not None:
+            batch = batch.where(reduce(lambda a, b: a | b, [frames.topic_matches(F.col("instrument_id"), x) for x in include]))
+        period = F.floor((F.unix_micros("ts") * 1000 - offset) / every).cast("long") if every else F.lit(0).cast("long")
+        rows_ = batch.withColumn("period", period)
+        folder = f"{path}/data/batch={n}"
+        rows_.repartition("period", *by).write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy("period", *by).parquet(folder)
+        spark = batch.sparkSession
+        spark.range(1).select(F.lit(n).cast("long").alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/line={n}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def read_sink(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a rotating_sink() whose trigger the manifest has, with period, batch and file."""
+    done = spark.read.parquet(f"{path}/manifest").select("batch")
+    return spark.read.parquet(f"{path}/data").withColumn("file", F.col("_metadata.file_path")).join(F.broadcast(done), "batch")  # a line for each trigger
 
 
 def with_late_rows(stream: DataFrame, checkpoint: str, table: str, late_table: str, delay_seconds: int):
