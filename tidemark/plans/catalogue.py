@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -255,3 +256,63 @@ def _mirrored(spark, d):
 
 Q["mirror_round_trip"] = _mirrored
 S["mirror_round_trip"] = sql("select instrument_id, order_side, last_qty, round(last_px, 6) as last_px, ts_event, seq from fills where order_side = 'BUY' and last_qty > 10", "fills")
+
+
+def _vendor_files(spark, d):
+    """Vendor quotes, trades and tickers written as CSV and loaded; some sides, sizes and rates are missing."""
+    head = [F.lit("xv").alias("exchange"), F.col("instrument_id").alias("symbol"), F.expr("ts_event div 1000").alias("timestamp"), F.expr("ts_event div 1000 + 5").alias("local_timestamp")]
+    q, t = views.quotes(spark, d), views.trades(spark, d)
+    gone = lambda c, m: F.when(F.col("seq") % m != 0, F.col(c))
+    folders = [scratch(spark) for _ in range(3)]
+    q.select(*head, gone("ask_size", 5).alias("ask_amount"), gone("ask_price", 5).alias("ask_price"), "bid_price", F.col("bid_size").alias("bid_amount")).write.option("header", True).csv(folders[0])
+    t.select(*head, F.col("seq").alias("id"), F.when(F.col("seq") % 9 == 0, "unknown").when(F.col("aggressor_side") == "BUYER", "buy").otherwise("sell").alias("side"), "price", F.when(F.col("seq") % 7 == 0, 0.0).otherwise(F.col("size")).alias("amount")).write.option("header", True).csv(folders[1])
+    ticker = [F.lit(None).cast("long").alias("funding_timestamp"), gone("size", 3).alias("funding_rate"), *[F.lit(None).cast("double").alias(c) for c in ("predicted_funding_rate", "open_interest", "last_price")], gone("price", 4).alias("index_price"), F.col("price").alias("mark_price")]
+    t.select(*head, *ticker).write.option("header", True).csv(folders[2])
+    quotes, trades_ = catalog.load_vendor_quotes(spark, folders[0], {"view": "VIEW"}), catalog.load_vendor_trades(spark, folders[1], {"view": "VIEW"})
+    loaded = {"quotes": (quotes, "ask_price"), "trades": (trades_.where("aggressor_side <> 'NO_AGGRESSOR'"), "size")}
+    loaded |= {k: (df, "rate" if k == "funding_rates" else "value") for k, df in catalog.load_vendor_derivatives(spark, folders[2], {"view": "VIEW"}).items()}
+    out = [df.groupBy("instrument_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col(c).cast("double")), 4).alias("total"), F.max("ts_init").alias("last")).withColumn("kind", F.lit(k)) for k, (df, c) in loaded.items()]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+_NAMED = "case when instrument_id = 'view' then 'VIEW' else instrument_id end || '.XV' as instrument_id"
+Q["vendor_files"] = _vendor_files
+S["vendor_files"] = sql(" union all ".join(f"select '{kind}' as kind, {_NAMED}, count(*) as n, round(sum({value}), 4) as total, max(ts_event + 5000) as last from {source} where {rows} group by 2" for kind, value, source, rows in (
+    ("quotes", "case when seq % 5 = 0 then 0 else ask_price end", "quotes", "true"), ("trades", "size", "trades", "seq % 7 <> 0 and seq % 9 <> 0"), ("funding_rates", "size", "trades", "seq % 3 <> 0"),
+    ("mark_prices", "price", "trades", "true"), ("index_prices", "price", "trades", "seq % 4 <> 0"))), "quotes", "trades")
+
+
+def _more_scans(spark, d):
+    """Types of which few rows are kept, each by its own scan."""
+    c, t = Catalog(spark, scratch(spark)), trades(spark, d)
+    value, times = F.col("price").alias("value"), ("ts_event", "ts_init")
+    tables = {
+        "mark_prices": t.select("instrument_id", value, *times), "index_prices": t.where("seq % 2 = 0").select("instrument_id", value, *times),
+        "funding_rates": t.where("seq % 3 = 0").select("instrument_id", F.col("size").cast("decimal(38,16)").alias("rate"), F.lit(8).alias("interval"), F.col("ts_event").alias("next_funding_ns"), *times),
+        "instrument_status": t.where("seq % 5 = 0").select("instrument_id", F.lit("TRADING").alias("action"), (F.col("seq") % 2 == 0).alias("is_trading"), *times),
+        "instrument_closes": t.where("seq % 7 = 0").select("instrument_id", F.lit("END_OF_SESSION").alias("close_type"), F.col("price").alias("close_price"), *times),
+        "option_greeks": t.where("seq % 11 = 0").select("instrument_id", F.lit(0.5).alias("delta"), *times),
+    }
+    for kind, df in tables.items():
+        c.write(df, kind)
+    out = [getattr(c, kind)(identifiers=["view", "click"], start=MID - 100 * HOUR, ordered=False).groupBy("instrument_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind)) for kind in tables]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+Q["catalog_more_scans"] = _more_scans
+S["catalog_more_scans"] = sql(" union all ".join(f"select '{kind}' as kind, instrument_id, count(*) as n from trades where instrument_id in ('view', 'click') and ts_event >= {MID - 100 * HOUR} and seq % {m} = 0 group by 2"
+    for kind, m in (("mark_prices", 1), ("index_prices", 2), ("funding_rates", 3), ("instrument_status", 5), ("instrument_closes", 7), ("option_greeks", 11))), "trades")
+
+
+def _loaded_rates(spark, d):
+    """Monthly rates as an agency's XML, loaded, and looked up by the orders of each month."""
+    folder = scratch(spark)
+    o = views.table(spark, d, "orders").select(F.expr("cast(cast(o_orderdate as timestamp_ntz) as date)").alias("day"), "o_orderkey", F.lit("USD").alias("currency"))
+    months = o.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg((F.max("o_orderkey") % 900).alias("r"))
+    line = F.format_string('<generic:Obs><generic:ObsDimension value="%s"/><generic:ObsValue value="%s"/></generic:Obs>', "month", (F.col("r") / 100).cast("string"))
+    months.agg(F.concat(F.lit("<data>"), F.array_join(F.collect_list(line), ""), F.lit("</data>"))).write.text(folder)  # a few dozen months
+    return catalog.short_rate(o, catalog.load_rates(spark, folder, "USD")).select("o_orderkey", F.round("rate", 6).alias("rate"))
+
+
+Q["rates_from_xml"] = _loaded_rates
+S["rates_from_xml"] = "select o_orderkey, round((max(o_orderkey) over (partition by date_trunc('month', o_orderdate)) % 900) / 100 / 100, 6) as rate from orders"

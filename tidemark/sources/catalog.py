@@ -98,6 +98,27 @@ class Catalog:
     def deltas(self, **k) -> DataFrame:
         return self.query("deltas", **k)
 
+    def depth10(self, **k) -> DataFrame:
+        return self.query("depth10", **k)
+
+    def mark_prices(self, **k) -> DataFrame:
+        return self.query("mark_prices", **k)
+
+    def index_prices(self, **k) -> DataFrame:
+        return self.query("index_prices", **k)
+
+    def funding_rates(self, **k) -> DataFrame:
+        return self.query("funding_rates", **k)
+
+    def option_greeks(self, **k) -> DataFrame:
+        return self.query("option_greeks", **k)
+
+    def instrument_status(self, **k) -> DataFrame:
+        return self.query("instrument_status", **k)
+
+    def instrument_closes(self, **k) -> DataFrame:
+        return self.query("instrument_closes", **k)
+
     def kinds(self) -> DataFrame:
         """(kind) of every type that the catalog has rows of."""
         fs, at = self._fs(self.root)
@@ -270,6 +291,44 @@ def load_ticks_parquet(spark: SparkSession, path: str, time: str) -> DataFrame:
     return spark.read.parquet(path).withColumns({"ts_event": F.unix_micros(F.col(time)) * 1000, "ts_init": F.unix_micros(F.col(time)) * 1000}).drop(time)
 
 
+def _vendor(spark: SparkSession, path: str, columns: str, symbols: dict[str, str] | None) -> DataFrame:
+    """A vendor's CSV: the columns that all its files have (times in microseconds become nanoseconds), then its own."""
+    df = spark.read.csv(path, header=True, schema=f"exchange string, symbol string, timestamp long, local_timestamp long, {columns}")
+    known = F.create_map(*[F.lit(x) for kv in (symbols or {}).items() for x in kv])[F.col("symbol")] if symbols else F.lit(None).cast("string")
+    name = F.concat(F.coalesce(known, F.col("symbol")), F.lit("."), F.upper("exchange"))
+    return df.withColumns({"instrument_id": name, "ts_event": F.col("timestamp") * 1000, "ts_init": F.col("local_timestamp") * 1000}).drop("exchange", "symbol", "timestamp", "local_timestamp")
+
+
+def load_vendor_quotes(spark: SparkSession, path: str, symbols: dict[str, str] | None = None) -> DataFrame:
+    """Vendor quotes; a missing side is 0."""
+    df = _vendor(spark, path, "ask_amount double, ask_price double, bid_price double, bid_amount double", symbols)
+    value = lambda c: F.coalesce(c, F.lit(0.0))
+    return df.select("instrument_id", value("bid_price").alias("bid_price"), value("ask_price").alias("ask_price"), value("bid_amount").alias("bid_size"), value("ask_amount").alias("ask_size"), "ts_event", "ts_init")
+
+
+def load_vendor_trades(spark: SparkSession, path: str, symbols: dict[str, str] | None = None) -> DataFrame:
+    """Vendor trades; side is that of the aggressor, trades without a size go."""
+    df = _vendor(spark, path, "id string, side string, price double, amount double", symbols).where("amount > 0")
+    side = F.when(F.col("side") == "buy", "BUYER").when(F.col("side") == "sell", "SELLER").otherwise("NO_AGGRESSOR")
+    return df.select("instrument_id", "price", F.col("amount").alias("size"), side.alias("aggressor_side"), F.col("id").alias("trade_id"), "ts_event", "ts_init")
+
+
+def load_vendor_derivatives(spark: SparkSession, path: str, symbols: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """A vendor's ticker of derivatives as funding_rates, mark_prices and index_prices, each of the rows that have one."""
+    columns = "funding_timestamp long, funding_rate decimal(38,16), predicted_funding_rate double, open_interest double, last_price double, index_price double, mark_price double"
+    df = _vendor(spark, path, columns, symbols)
+    rates = df.where("funding_rate is not null").select("instrument_id", F.col("funding_rate").alias("rate"), F.lit(None).cast("int").alias("interval"), (F.col("funding_timestamp") * 1000).alias("next_funding_ns"), "ts_event", "ts_init")
+    prices = {f"{k}_prices": df.where(f"{k}_price is not null").select("instrument_id", F.col(f"{k}_price").alias("value"), "ts_event", "ts_init") for k in ("mark", "index")}
+    return {"funding_rates": rates, **prices}
+
+
+def load_rates(spark: SparkSession, path: str, currency: str) -> DataFrame:
+    """(currency, day, rate) of a table of monthly interest rates in percent, in the statistical agencies' generic XML: `Obs`
+    elements with the month and the value as attributes. day is the month's first."""
+    obs = spark.read.format("xml").option("rowTag", "generic:Obs").schema("`generic:ObsDimension` struct<_value:string>, `generic:ObsValue` struct<_value:double>").load(path)
+    return obs.select(F.lit(currency).alias("currency"), F.to_date(F.concat(F.col("`generic:ObsDimension`._value"), F.lit("-01"))).alias("day"), (F.col("`generic:ObsValue`._value") / 100).alias("rate"))
+
+
 def load_vendor_deltas(spark: SparkSession, path: str, symbols: dict[str, str] | None = None) -> DataFrame:
     """Vendor book updates: microseconds to nanoseconds, amount 0 is a DELETE, a snapshot's first row of a time a CLEAR before it."""
     schema = "exchange string, symbol string, timestamp long, local_timestamp long, is_snapshot boolean, side string, price double, amount double"
