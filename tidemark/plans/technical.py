@@ -9,7 +9,7 @@ from tidemark.operators.indicators import Indicators
 from tidemark.operators.windows import rounded
 from tidemark.plans.market import HOUR, LEFT, _bars
 from tidemark.sources import views
-from tidemark.sources.views import sql
+from tidemark.sources.views import recursive, sql
 
 Q: dict = {}
 S: dict = {}
@@ -101,6 +101,20 @@ _AMAT = f"select *, case when n - 10 >= 20 then lag(f, 10) {over()} else max(cas
 query("amat_simple", ["amat_long", "amat_short"], lambda i: i.amat("close", 5, 20, 10, "simple"), [f"coalesce(bool_or(f > front) {RUN}, false)", f"coalesce(bool_or(f < front) {RUN}, false)"], "x2", x=f"select *, avg(close) {over(5)} as f, row_number() {over()} as n from b", x2=_AMAT)
 
 query("swings", ["swing_direction", "swing_changed", "swing_high", "swing_low", "swing_length", "swing_since_high", "swing_since_low", "swing_duration"], lambda i: i.swings(5))
+# the walk: a step's direction, extremes and counts, then what follows from these
+S["swings"] = recursive("""select instrument_id, ts_event, d as swing_direction, changed as swing_changed, round(hi, 6) as swing_high, round(lo, 6) as swing_low, length as swing_length, sh as swing_since_high, sl as swing_since_low, duration as swing_duration
+    from f where n > 0""", "trades", b=_bars(LEFT),
+    m=f"select *, row_number() {over()} as n, max(high) {over(5)} as top, min(low) {over(5)} as bottom from b",
+    x="select instrument_id, ts_event, n, high, low, top, high >= top and low >= bottom as up, high <= top and low <= bottom as down from m",
+    f="""select distinct instrument_id, null::bigint as ts_event, 0::bigint as n, 0 as d, false as changed, 0::double as hi, 0::double as lo, 0::bigint as sh, 0::bigint as sl, 0::bigint as length, 0::bigint as duration from x
+        union all select instrument_id, ts_event, n, d, changed, hi, lo, sh, sl, case when hi <> 0 and lo <> 0 then floor(abs(hi - lo) + 0.5)::bigint else length end,
+            case when hi <> 0 and lo <> 0 then (case d when 1 then sl when -1 then sh else 0 end) else duration end
+        from (select x.instrument_id, x.ts_event, x.n, case when up and not down then 1 when down and not up then -1 else f.d end as d,
+            (up and not down and f.d = -1) or (down and not up and f.d = 1) as changed,
+            case when up and down then (case when f.hi = 0 then high else f.hi end) when up then greatest(high, f.hi) when down and f.hi = 0 then top else f.hi end as hi,
+            case when down and not up and (low < f.lo or f.lo = 0) then low else f.lo end as lo,
+            case when up and not down then 0 else f.sh + 1 end as sh, case when down and not up then 0 else f.sl + 1 end as sl, f.length, f.duration
+            from f join x on x.instrument_id = f.instrument_id and x.n = f.n + 1)""")
 _HURST = """select w.instrument_id, w.ts_event, round(s.slope, 6) as hurst from w left join s using (instrument_id, ts_event)"""
 query("hurst", ["hurst"], lambda i: i.hurst("close", 32))
 S["hurst"] = sql(_HURST, "trades", b=_bars(LEFT), q=f"select *, ln(close / lag(close) {over()}) as x from b", w=f"select instrument_id, ts_event, list(x) filter (x is not null) {over(32)} as x from q",
