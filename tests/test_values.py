@@ -328,3 +328,13 @@ def test_mirror_is_read_in_ranges(spark):
     assert back.where("id = 1").collect()[0]["x"] == Decimal("0.3333333333333333")
     write_mirror(df.limit(0), url, "no_rows", keys=["name"], driver=driver)
     assert read_mirror(spark, url, "no_rows", ["x"], "id", 4, driver=driver).count() == 0
+
+
+def test_balances_are_exact_at_halves(spark, tmp_path):
+    """A balance of 2952.5, for which doubles sum up to 2952.4999999999995."""
+    rows = [(100 * k + 1, 20, "1-URGENT", price, f"2024-01-01 00:00:0{k}") for k, price in enumerate([636273.88, 839837.57, 138.55])]  # sells of two, of a thousandth
+    df = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double, o_orderdate string")
+    df.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert sum(2 * (r[3] / 1000) for r in rows) < 2952.5
+    got = {r["seq"]: r["balances"] for r in registry.QUERIES["account_state_json"](spark, str(tmp_path)).collect()}
+    assert got[201] == '[{"currency":"BASE","total":-6},{"currency":"QUOTE","total":2953}]'

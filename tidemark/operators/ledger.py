@@ -150,10 +150,17 @@ def balance_changes(fills: DataFrame, base: Column, quote: Column) -> DataFrame:
     return fills.withColumn("_m", F.explode(moves)).select(*fills.columns, "_m.*")
 
 
-def running_balances(changes: DataFrame, by: Iterable[str] = ("account_id", "currency"), start: float = 0.0, bucket: int | None = None) -> DataFrame:
-    """The balance after each change. bucket: see windows.running_sum."""
-    rows = running_sum(changes, "balance", F.col("change"), by, ["ts_event", "seq"], bucket)
-    return rows.withColumn("balance", F.lit(start) + F.col("balance"))
+def running_balances(changes: DataFrame, by: Iterable[str] = ("account_id", "currency"), start: float = 0.0, bucket: int | None = None, digits: int | None = None) -> DataFrame:
+    """The balance after each change. bucket: see windows.running_sum.
+
+    digits: changes have so many decimal places at most, and are summed as decimals, so the balance is exact (a decimal) whatever
+    the order and the spans; sums of doubles are off in their last bits, which decides at a half that is to be rounded.
+    """
+    kind = None if digits is None else f"decimal(38,{digits})"
+    change, first = (F.col("change"), F.lit(start)) if kind is None else (F.round("change", digits).cast(kind), F.lit(start).cast(kind))
+    rows = running_sum(changes, "balance", change, by, ["ts_event", "seq"], bucket)
+    balance = first + F.col("balance")
+    return rows.withColumn("balance", balance if kind is None else balance.cast(kind))
 
 
 def locked(orders: DataFrame) -> DataFrame:

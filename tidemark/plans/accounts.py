@@ -206,11 +206,12 @@ S["positions_report"] = sql(f"select account_id, instrument_id, cycle, entry, si
 
 
 def _account_states(spark, d):
-    b = ledger.running_balances(ledger.balance_changes(fills(spark, d), F.lit("BASE"), F.lit("QUOTE")), bucket=_QTR)
+    """Balances of each account after each fill, as decimals, exact to eight places."""
+    b = ledger.running_balances(ledger.balance_changes(fills(spark, d), F.lit("BASE"), F.lit("QUOTE")), bucket=_QTR, digits=8)
     return b.groupBy("account_id", "ts_event", "seq").agg(F.sort_array(F.collect_list(F.struct("currency", F.col("balance").alias("total")))).alias("balances"))
 
 
-Q["account_report"] = lambda spark, d: rounded(_account_states(spark, d).select("account_id", "seq", F.explode("balances").alias("b")).select("account_id", "seq", "b.currency", "b.total"))
+Q["account_report"] = lambda spark, d: rounded(_account_states(spark, d).select("account_id", "seq", F.explode("balances").alias("b")).select("account_id", "seq", "b.currency", F.col("b.total").cast("double").alias("total")))
 S["account_report"] = sql(f"select account_id, seq, currency, round(sum(change) over (partition by account_id, currency order by ts_event, seq rows unbounded preceding), 6) as total from {_MOVES}", "fills")
 Q["account_state_json"] = lambda spark, d: _account_states(spark, d).select("account_id", "seq", F.to_json(F.transform("balances", lambda b: F.struct(b["currency"].alias("currency"), F.round(b["total"]).cast("long").alias("total")))).alias("balances"))
 S["account_state_json"] = sql(f"""select account_id, seq, '[' || string_agg('{{"currency":"' || currency || '","total":' || round(total)::bigint || '}}', ',' order by currency) || ']' as balances from (select account_id, seq, currency, sum(change) over (partition by account_id, currency order by ts_event, seq rows unbounded preceding) as total from {_MOVES}) group by 1, 2""", "fills")
