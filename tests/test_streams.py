@@ -77,3 +77,82 @@ def test_a_replay_goes_on_with_the_slice_it_was_cut_off_in(spark, tmp_path):
     assert [n for n, _ in seen] == [0, 1]
     assert streams.replayed(c, ["trades"], 0, 399, 100, handle, f"{tmp_path}/state") == 4
     assert [n for n, _ in seen] == [0, 1, 2, 3] and [x for _, rows in seen for x in rows] == [("trades", k) for k in range(40)]
+
+
+def test_a_trigger_holds_so_many_rows(spark, monkeypatch):
+    """Parts of more rows than a trigger should have are cut in order of time, with equal times together and none lost."""
+    seen = []
+    read = streams.read_files
+    monkeypatch.setattr(streams, "read_files", lambda spark, path, schema, files: (seen.append(files), read(spark, path, schema, files))[1])
+    t = views.trades(spark, SF).withColumn("ts", F.timestamp_micros(F.expr("ts_event div 1000"))).drop("ts_event")
+    t = t.withColumn("ts", F.when(F.col("seq") % 50 != 0, F.date_trunc("hour", "ts")))  # ties, and rows without a time
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    once = key(plans.replay(spark, t, streams.position_fold, parts=1, end=False))
+    assert key(plans.replay(spark, t, streams.position_fold, parts=1, end=False, rows=300)) == once and len(once) == t.count()
+    assert seen == [(1 << 31) - 1, 1]
+
+
+def test_waiting_rows_are_taken_pack_by_pack(spark, monkeypatch, tmp_path):
+    """Packs that overlap in time, ties, several watermarks: what is taken out is in order and each row comes once."""
+    import random
+
+    import pyarrow as pa
+
+    from tidemark.streaming import keyed
+
+    class Value:
+        def __init__(self):
+            self.x = None
+
+        def exists(self):
+            return self.x is not None
+
+        def get(self):
+            return self.x
+
+        def update(self, x):
+            self.x = x
+
+    class Map(dict):
+        getValue, updateValue, removeKey = dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    class Handle:
+        getMapState = getValueState = lambda self, name, *_: Value() if name == "packs_made" else Map()
+
+    monkeypatch.setattr(keyed, "PACK", 7)
+    waiting, rng, schema = keyed._Waiting(Handle(), None), random.Random(2), pa.schema([("at_ns", pa.int64()), ("row_seq", pa.int64())])
+    rows, got, largest = [], [], 0
+    for wave in range(30):
+        new = [(wave * 10 + rng.randint(0, 25), len(rows) + i) for i in range(rng.randint(1, 40))]
+        rows += new
+        waiting.add([pa.Table.from_pylist([{"at_ns": a, "row_seq": b} for a, b in part], schema) for part in (new[::2], new[1::2])])
+        if wave % 3 == 0:
+            for table in waiting.until(wave * 10 - 20):
+                largest = max(largest, table.num_rows)
+                got += [r for part in keyed._slices(table, True) for r in part]
+            assert sorted(got) == sorted(r for r in rows if r[0] <= wave * 10 - 20)
+    got += [r for table in waiting.until(1 << 60) for part in keyed._slices(table, True) for r in part]
+    assert got == sorted(rows) and not waiting.index and not waiting.packs and largest < 150
+
+
+def test_a_store_is_emptied_once_a_trigger(spark):
+    """Many clears of a book cost one of its store."""
+    from tidemark.streaming.keyed import _StoredLevels
+
+    class Store(dict):
+        cleared = 0
+        getValue, updateValue, removeKey, containsKey = dict.__getitem__, dict.__setitem__, dict.__delitem__, dict.__contains__
+
+        def clear(self):
+            self.cleared += 1
+            dict.clear(self)
+
+    store = Store({(1.0,): (5.0,), (2.0,): (6.0,)})
+    levels = _StoredLevels(store, 2)
+    for k in range(50):
+        levels.clear()
+        levels[3.0], levels[4.0] = 1.0, float(k)
+        del levels[3.0]
+        assert dict(levels) == {4.0: float(k)}
+    levels.flush()
+    assert store == {(4.0,): (49.0,)} and store.cleared == 1

@@ -23,23 +23,27 @@ S: dict = {}
 
 #: Parts that the input is cut into by time; keyed queries are started anew between fewer of them.
 PARTS, FEWER = 3, 2
+#: Rows of a trigger of keyed queries, about.
+ROWS = 1 << 20
 #: How long after the last row the end comes: longer than any window and delay.
 END = "365 days"
 
 
-def run(spark, d, make, mode: str = "append", held=None, parts=PARTS, end=True):
+def run(spark, d, make, mode: str = "append", held=None, parts=PARTS, end=True, rows=None):
     """The trades as a stream, as replay() gives them."""
     t = views.trades(spark, d).withColumn("ts", F.timestamp_micros(F.call_function("div", F.col("ts_event"), F.lit(1000)))).drop("ts_event")
-    return replay(spark, t.select("instrument_id", "price", "size", "aggressor_side", "ts", "seq"), make, mode, held, parts, end)
+    return replay(spark, t.select("instrument_id", "price", "size", "aggressor_side", "ts", "seq"), make, mode, held, parts, end, rows)
 
 
-def replay(spark, t, make, mode: str = "append", held=None, parts=PARTS, end=True, **last):
+def replay(spark, t, make, mode: str = "append", held=None, parts=PARTS, end=True, rows=None, **last):
     """t, cut by time and read as a stream, a part a trigger; a last row (if end) only moves the watermark past all others. Of
     `held` rows one comes a part later than its time says. last: values of the last row's columns where it isn't to be
     empty or 0.
 
     The cuts divide the span of ts evenly, and the first and the last part are open, so every row is in one part; rows without
     ts come with the first. Each part is several files by ranges of ts; the stream reads them all before the next is written.
+    rows: a part of more rows than that is cut into triggers of about so many (see _pieces), since the Python side of a keyed
+    query holds a key's rows of one trigger together.
     """
     folder = scratch(spark)
     us = F.unix_micros("ts")
@@ -50,22 +54,45 @@ def replay(spark, t, make, mode: str = "append", held=None, parts=PARTS, end=Tru
         number = F.when(us >= lo + (hi - lo) * k // parts, k).otherwise(number)
     if held is not None:
         number = F.least(number + (F.col("seq") % held == 2).cast("int"), F.lit(parts - 1))
-    cut = [t.where(number == k).repartitionByRange("ts").sortWithinPartitions("ts", "seq") for k in range(parts)]
+    cut = [t.where(number == k) for k in range(parts)]
     ts = F.timestamp_micros(F.lit(hi).cast("long")) + F.expr(f"interval {END}")
     values = {"instrument_id": "~end", "seq": -1, **last}
     close = spark.range(1).coalesce(1).select(*[(ts if f.name == "ts" else F.lit(values.get(f.name, "" if f.dataType.simpleString() == "string" else 0)).cast(f.dataType)).alias(f.name) for f in t.schema])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema)
     for part in [*cut, close] if end else cut:
-        part.write.mode("append").parquet(f"{folder}/in")
-        out = make(streams.read_files(spark, f"{folder}/in", schema, (1 << 31) - 1))
+        files = _pieces(part, f"{folder}/in", rows, schema) if rows and part is not close else 0
+        if not files:
+            (part if part is close else part.repartitionByRange("ts").sortWithinPartitions("ts", "seq")).write.mode("append").parquet(f"{folder}/in")
+        out = make(streams.read_files(spark, f"{folder}/in", schema, files or (1 << 31) - 1))
         q = out.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out").where("instrument_id <> '~end'")
 
 
+def _pieces(part, folder: str, rows: int, schema: str) -> int:
+    """Writes a part of more than so many rows as files of about so many each, in order of time, to be read one a trigger.
+
+    A stream takes files by the time they were written. So the part is first put aside, by pieces between quantiles of ts, and
+    then the pieces are written one after the other: every row is moved twice, however many pieces there are. Rows of one time
+    stay together, those without any come first. Returns how many files belong to a trigger; 0 if nothing was written.
+    """
+    n = part.count()
+    if n <= rows:
+        return 0
+    spark, us, m = part.sparkSession, F.unix_micros("ts"), -(-n // rows)
+    least, found = part.agg(F.min(us), F.percentile_approx(us, [k / m for k in range(1, m)], max(10_000, 100 * m))).first()
+    bounds = [b for b in sorted(set(found or [])) if b > least]
+    piece = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: us >= b)) if bounds else F.lit(0)
+    aside = scratch(spark)
+    part.withColumn("piece", piece).repartition("piece").sortWithinPartitions("piece", "ts", "seq").write.partitionBy("piece").parquet(aside)
+    for k in range(len(bounds) + 1):
+        spark.read.schema(schema).parquet(f"{aside}/piece={k}").coalesce(1).write.mode("append").parquet(folder)
+    return 1
+
+
 def once(spark, d, make):
     """run() for operators that give out rows as they come."""
-    return run(spark, d, make, parts=FEWER, end=False)
+    return run(spark, d, make, parts=FEWER, end=False, rows=ROWS)
 
 
 _NS = "epoch_us(date_trunc('hour', make_timestamp(ts_event // 1000)))"
@@ -105,7 +132,7 @@ S["stream_snapshots"] = sql("select instrument_id, (ts_event // 21600000000000 +
 def _book(spark, d):
     """Book updates as a stream; the quotes that they lead to."""
     t = views.deltas(spark, d).withColumn("ts", F.timestamp_micros(F.expr("ts_event div 1000"))).drop("ts_event")
-    return replay(spark, t, streams.book_quotes, parts=FEWER, end=False)
+    return replay(spark, t, streams.book_quotes, parts=FEWER, end=False, rows=ROWS)
 
 
 Q["stream_book_quotes"] = _book
@@ -182,7 +209,7 @@ S["stream_indicators"] = recursive(f"""select instrument_id, kind, seq, round(va
 
 #: Every so many rows one comes a part late; by how much at most.
 LATE, DELAY = 5, "25 days"
-Q["stream_positions_in_order"] = lambda spark, d: rounded(run(spark, d, lambda s: keyed(s, kernels.Positions(), delay=DELAY), held=LATE, parts=FEWER))
+Q["stream_positions_in_order"] = lambda spark, d: rounded(run(spark, d, lambda s: keyed(s, kernels.Positions(), delay=DELAY), held=LATE, parts=FEWER, rows=ROWS))
 S["stream_positions_in_order"] = S["stream_positions"]
 
 
@@ -193,7 +220,7 @@ def _resumed(spark, d):
     kernel = kernels.ImbalanceBars(6)
     begun = kernels.states(t.where(F.col("ts_event") < middle), kernel)
     later = t.where(F.col("ts_event") >= middle).withColumn("ts", F.timestamp_micros(F.expr("ts_event div 1000"))).drop("ts_event")
-    return replay(spark, later, lambda s: keyed(s, kernel, initial=begun), parts=FEWER, end=False)
+    return replay(spark, later, lambda s: keyed(s, kernel, initial=begun), parts=FEWER, end=False, rows=ROWS)
 
 
 Q["stream_resumed_bars"] = _resumed
@@ -204,9 +231,9 @@ S["stream_resumed_bars"] = f"select * from ({folded('tick', 6, False)}) where ts
 #: Six hours; how many times a clock strikes without rows before it waits for the next.
 EVERY, IDLE = 6 * HOUR, 2
 _STRIKES = f"select distinct instrument_id, (ts_event // {EVERY} + 1 + k) * {EVERY} as b from {{}}, range({IDLE + 1}) as r(k)"
-Q["stream_clock_latest"] = lambda spark, d: run(spark, d, lambda s: keyed(s, kernels.Latest("price double, size double, seq long"), delay=DELAY, every=EVERY, idle=IDLE), held=LATE, parts=FEWER)
+Q["stream_clock_latest"] = lambda spark, d: run(spark, d, lambda s: keyed(s, kernels.Latest("price double, size double, seq long"), delay=DELAY, every=EVERY, idle=IDLE), held=LATE, parts=FEWER, rows=ROWS)
 S["stream_clock_latest"] = sql("select s.instrument_id, b as ts_event, arg_max(price, (t.ts_event, t.seq)) as price, arg_max(size, (t.ts_event, t.seq)) as size, arg_max(seq, (t.ts_event, t.seq)) as seq from s join trades t on t.instrument_id = s.instrument_id and t.ts_event < b group by 1, 2", "trades", s=_STRIKES.format("trades"))
-Q["stream_clock_positions"] = lambda spark, d: rounded(run(spark, d, lambda s: keyed(s, kernels.Valued(), delay=DELAY, every=EVERY, idle=IDLE), held=LATE, parts=FEWER))
+Q["stream_clock_positions"] = lambda spark, d: rounded(run(spark, d, lambda s: keyed(s, kernels.Valued(), delay=DELAY, every=EVERY, idle=IDLE), held=LATE, parts=FEWER, rows=ROWS))
 S["stream_clock_positions"] = f"""with p as ({S['stream_positions'].replace('round(a, 6)', 'a').replace('round(pnl, 6)', 'pnl')}), q as (select p.*, e.value as price, epoch_us(e.ts) * 1000 as done from p join events e on e.event_id = p.seq), s as ({_STRIKES.format('(select instrument_id, done as ts_event from q)')})
     select s.instrument_id, b as ts_event, arg_max(net, (done, seq)) as net, round(arg_max(realized, (done, seq)), 6) as realized, round(arg_max(net * (price - avg_px), (done, seq)), 6) as unrealized from s join q on q.instrument_id = s.instrument_id and q.done < b group by 1, 2"""
 
@@ -214,7 +241,7 @@ S["stream_clock_positions"] = f"""with p as ({S['stream_positions'].replace('rou
 def _tops(spark, d):
     """The best levels of each book at the times of a clock."""
     t = views.deltas(spark, d).withColumn("ts", F.timestamp_micros(F.expr("ts_event div 1000"))).drop("ts_event")
-    return replay(spark, t, lambda s: keyed(s, kernels.BookTops(), delay=DELAY, every=EVERY, idle=IDLE), held=LATE, parts=FEWER, action="CLEAR")
+    return replay(spark, t, lambda s: keyed(s, kernels.BookTops(), delay=DELAY, every=EVERY, idle=IDLE), held=LATE, parts=FEWER, rows=ROWS, action="CLEAR")
 
 
 Q["stream_clock_books"] = _tops
