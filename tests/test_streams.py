@@ -156,3 +156,14 @@ def test_a_store_is_emptied_once_a_trigger(spark):
         assert dict(levels) == {4.0: float(k)}
     levels.flush()
     assert store == {(4.0,): (49.0,)} and store.cleared == 1
+
+
+def test_files_of_one_period_are_written_by_many_tasks(spark, tmp_path):
+    t = spark.range(2000).select(F.lit("A").alias("instrument_id"), F.lit(1.0).alias("price"), F.lit(1.0).alias("size"), F.lit("BUYER").alias("aggressor_side"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"))
+    t.coalesce(1).write.parquet(f"{tmp_path}/in")
+    streams.rotating_sink(streams.read_files(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state", 5).trigger(availableNow=True).start().awaitTermination()
+    out = streams.read_sink(spark, f"{tmp_path}/out")
+    files = out.groupBy("file").agg(F.count("*").alias("n")).collect()
+    assert sorted(r["seq"] for r in out.select("seq").collect()) == list(range(2000)) and max(r["n"] for r in files) == 5
+    tasks = {r["file"].rsplit("/", 1)[1].split("-")[1] for r in files}
+    assert len(tasks) > 8 and len(files) < 400 * 1.1

@@ -12,6 +12,8 @@ from tidemark.operators import frames, kernels
 from tidemark.streaming.keyed import keyed
 
 TRADES = "instrument_id string, price double, size double, aggressor_side string, ts timestamp, seq long"
+#: Full files that a share of a period has at least where rotating_sink() deals one out.
+FILES = 16
 
 
 def read_files(spark: SparkSession, path: str, schema: str = TRADES, files_per_trigger: int = 1) -> DataFrame:
@@ -124,8 +126,16 @@ def rotating_sink(stream: DataFrame, path: str, checkpoint: str, rows: int = 1_0
         period = F.floor((F.unix_micros("ts") * 1000 - offset) / every).cast("long") if every else F.lit(0).cast("long")
         rows_ = batch.withColumn("period", period)
         folder = f"{path}/data/batch={n}"
-        rows_.repartition("period", *by).write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy("period", *by).parquet(folder)
         spark = batch.sparkSession
+        # what a task costs is its files, so a period of many is dealt out; a share has FILES or more, as each ends in one that isn't full
+        count, groups = rows_.agg(F.count("*"), F.approx_count_distinct(F.struct("period", *by))).first()
+        shares = max(1, count // (rows * FILES * max(1, groups)))
+        share = F.pmod(F.xxhash64(*batch.columns), F.lit(shares))
+        dealt = rows_.repartition(max(1, min(groups * shares, 8 * spark.sparkContext.defaultParallelism)), "period", *by, share)
+        # tasks put their files in place themselves, since the driver would do so one by one: a task that runs again makes files of
+        # the same names, and what a trigger left before it failed isn't in the manifest
+        placed = dealt.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+        placed.option("maxRecordsPerFile", rows).partitionBy("period", *by).parquet(folder)
         spark.range(1).select(F.lit(n).cast("long").alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/line={n}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
