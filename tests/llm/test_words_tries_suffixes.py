@@ -224,3 +224,26 @@ def test_order_of_suffixes():
     keys = [(int(group[i]), data[start[i] : start[i] + suffixes.SPAN].tobytes()) for i in order]
     assert keys == sorted(keys)
     assert new.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
+
+
+def test_little_is_shuffled_for_repeats(spark):
+    """Runs are moved once and without hashes; what they are told comes back by their numbers (1.12 times the text before)."""
+    jvm = spark.sparkContext._jvm
+
+    def shuffled():
+        store, none = spark.sparkContext._jsc.sc().statusStore(), jvm.java.util.ArrayList()
+        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    size, before = documents.selectExpr("sum(octet_length(text))").first()[0], shuffled()
+    suffixes.without_repeats(documents)
+    assert 0 < shuffled() - before < 0.9 * size
+
+
+def test_anchors_are_dealt_out_evenly():
+    """The least hashes of many are small ones; shards get equal shares all the same (most was the first one's before)."""
+    data = np.random.default_rng(5).integers(97, 123, 200_000).astype(np.uint8)
+    shard, keys, at = suffixes._asking(suffixes.Runs(data, np.array([0, len(data)]), np.array([0])), 30)
+    shares = np.bincount(shard, minlength=30)
+    assert len(keys) > 5000 and shares.sum() == len(keys) and shares.max() < 1.5 * shares.mean() and (np.diff(shard) >= 0).all()

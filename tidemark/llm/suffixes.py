@@ -141,8 +141,11 @@ def _copies(chunks: DataFrame) -> DataFrame:
 
 
 def _asking(runs: Runs, shards: int):
-    """The runs' distinct keys by shard: (shard of each key, 32 bits of it, the key's number for each run)."""
-    keys, at = np.unique(runs.key, return_inverse=True)
+    """The runs' distinct keys by shard: (shard of each key, 32 bits of it, the key's number for each run).
+
+    Keys are mixed once more: anchors have the least hashes, most of which would be the first shard's.
+    """
+    keys, at = np.unique(chars.mix(runs.key), return_inverse=True)
     return (keys >> np.uint64(32)).astype(np.int64) * shards >> 32, keys.astype(np.uint32), at
 
 
@@ -204,11 +207,12 @@ def _identity(data: np.ndarray, first: np.ndarray, length: np.ndarray, at: np.nd
     return one, two
 
 
-_FOUND = "h1 long, h2 long, chunk long, place int, first int, doc long, content binary, at int, single boolean, last long"
+_FOUND = "chunk long, number int, place int, first int, doc long, content binary, at int, single boolean, last long"
 
 
 def _send(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Runs and single suffixes of a chunk that may have an equal in another document; content, for the first of equal ones."""
+    """Runs and single suffixes of a chunk that may have an equal in another document; equal ones have one number, and the first
+    of them the content."""
     out = []
     for chunk, docs, copies in zip(*(left.column(c).to_pylist() for c in ("chunk", "docs", "copies")), strict=True):
         data, bounds, ids, runs = _open(docs, copies)
@@ -230,13 +234,15 @@ def _send(left: pa.Table, right: pa.Table) -> pa.Table:
         new = np.ones(len(order), bool)
         new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
         ends = np.append(np.flatnonzero(new)[1:], len(order)) - 1 if len(order) else np.empty(0, np.int64)
+        number = np.empty(len(order), np.int32)
+        number[order] = np.cumsum(new) - 1
         last = np.zeros(len(order), np.int64)
         last[order[new]] = doc[order[ends]]
         sent = np.zeros(len(order), bool)
         sent[order[new]] = True
         text = data.tobytes()
         content = [text[f : f + n] if s else None for f, n, s in zip(first.tolist(), length.tolist(), sent.tolist(), strict=True)]
-        columns = [h1.view(np.int64), h2.view(np.int64), np.full(len(row), chunk), runs.doc[row].astype(np.int32), (first - bounds[runs.doc[row]]).astype(np.int32), doc]
+        columns = [np.full(len(row), chunk), number, runs.doc[row].astype(np.int32), (first - bounds[runs.doc[row]]).astype(np.int32), doc]
         out.append(pa.table([*map(pa.array, columns), pa.array(content, pa.binary()), pa.array(place.astype(np.int32)), pa.array(single), pa.array(last)], names=[x.split()[0] for x in _FOUND.split(", ")]))
     return pa.concat_tables(out)
 
@@ -268,50 +274,44 @@ def sorted_groups(data: np.ndarray, start: np.ndarray, group: np.ndarray) -> tup
     return order, new
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    """Rows of equal (key, content, at), which stand together, as one: the smallest doc and the largest last."""
-    if table.num_rows < 2:
-        return table
-    new = np.ones(table.num_rows, bool)
-    new[1:] = np.any([pc.not_equal(table.column(c).slice(1), table.column(c).slice(0, table.num_rows - 1)).to_numpy() for c in ("key", "content", "at")], axis=0)
-    heads = np.flatnonzero(new)
-    least, most = np.minimum.reduceat(table.column("doc").to_numpy(), heads), np.maximum.reduceat(table.column("last").to_numpy(), heads)
-    table = table.take(pa.array(heads))
-    return table.set_column(table.column_names.index("doc"), "doc", pa.array(least)).set_column(table.column_names.index("last"), "last", pa.array(most))
-
-
-_SPANS = pa.struct([("from", pa.int32()), ("to", pa.int32()), ("doc", pa.int64())])
+_TOLD = "chunk long, number int, from int, to int, doc long"
 
 
 def _compared(table: pa.Table) -> pa.Table:
-    """(h1, h2, spans) of the runs that someone with a larger doc_id than another's equal suffix has: for which of the run's
-    suffixes [from, to) which smallest document has an equal one."""
-    table = _merged(table.combine_chunks())
-    content = table.column("content").combine_chunks()
+    """For which suffixes [from, to) of a chunk's run which smallest document has an equal one, of the runs that are there in a
+    document with a larger doc_id. Equal rows stand together and are compared as one."""
+    table = table.combine_chunks()
+    differs = {c: pc.not_equal(table.column(c).slice(1), table.column(c).slice(0, table.num_rows - 1)).to_numpy() for c in ("key", "content", "at")}
+    heads = np.append(0, np.flatnonzero(differs["key"] | differs["content"] | differs["at"]) + 1)
+    members = np.diff(np.append(heads, table.num_rows))
+    lowest = np.minimum.reduceat(table.column("doc").to_numpy(), heads)
+    new = np.append(True, differs["key"])[heads]
+    content = table.column("content").take(pa.array(heads)).combine_chunks()
     offsets = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1].astype(np.int64)
     data = np.frombuffer(content.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets -= offsets[0]
-    new = np.ones(table.num_rows, bool)
-    new[1:] = pc.not_equal(table.column("key").slice(1), table.column("key").slice(0, table.num_rows - 1)).to_numpy()
     n = np.diff(offsets) - SPAN + 1
     row = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    anchor = table.column("at").to_numpy()[row] - inner
+    begin = np.cumsum(n) - n
+    inner = np.arange(len(row)) - begin[row]
+    anchor = table.column("at").to_numpy()[heads][row] - inner
     order, first = sorted_groups(data, offsets[:-1][row] + inner, (np.cumsum(new) - 1)[row] * SPAN + anchor)
-    doc = table.column("doc").to_numpy()[row]
+    doc = lowest[row]
     least = np.empty(len(row), np.int64)
     least[order] = np.minimum.reduceat(doc[order], np.flatnonzero(first))[np.cumsum(first) - 1]
-    told = np.minimum.reduceat(least, np.cumsum(n) - n) < table.column("last").to_numpy()
-    begins = inner == 0
-    begins[1:] |= least[1:] != least[:-1]
-    begins &= told[row]
-    at = np.flatnonzero(begins)
-    stop = np.cumsum(n)
-    ends = np.minimum(np.append(at[1:], len(row)), stop[row[at]]) - (stop - n)[row[at]] if len(at) else at
-    spans = pa.StructArray.from_arrays([pa.array(inner[at].astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array(least[at])], fields=list(_SPANS))
-    bounds = np.append(0, np.cumsum(np.bincount(row[at], minlength=len(n))[told])) if len(n) else np.zeros(1)
-    kept = table.filter(pa.array(told))
-    return pa.table([kept.column("h1"), kept.column("h2"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans)], names=["h1", "h2", "spans"])
+    # stretches of a run's suffixes with one smallest document, and those that each of the run's equal rows is told
+    starts = inner == 0
+    starts[1:] |= least[1:] != least[:-1]
+    at = np.flatnonzero(starts)
+    to = np.append(at[1:], len(row)) - begin[row[at]]
+    count = np.bincount(row[at], minlength=len(n))
+    each = np.repeat(count, members)
+    of = np.repeat(np.arange(table.num_rows), each)
+    stretch = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(np.repeat(np.cumsum(count) - count, members), each)
+    told = least[at[stretch]] < table.column("last").to_numpy()[of]
+    of, stretch = of[told], stretch[told]
+    columns = [table.column(c).to_numpy()[of] for c in ("chunk", "number")] + [inner[at[stretch]].astype(np.int32), to[stretch].astype(np.int32), least[at[stretch]]]
+    return pa.table([*map(pa.array, columns)], names=[x.split()[0] for x in _TOLD.split(", ")])
 
 
 def _buckets(batches) -> Iterator[pa.RecordBatch]:
@@ -331,7 +331,7 @@ def _buckets(batches) -> Iterator[pa.RecordBatch]:
         cut = len(same) - int(same.sum())  # the last key's rows may go on
         if cut:
             yield from _compared(table.slice(0, cut)).combine_chunks().to_batches()
-        held = [_merged(table.slice(cut).combine_chunks())]
+        held = [table.slice(cut)]
         size = held[0].num_rows
     if size:
         yield from _compared(pa.concat_tables(held)).combine_chunks().to_batches()
@@ -340,6 +340,33 @@ def _buckets(batches) -> Iterator[pa.RecordBatch]:
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+_GONE = "chunk long, place int, start int, length int"
+
+
+def _spread(left: pa.Table, right: pa.Table) -> pa.Table:
+    """What all rows of a chunk that have an equal in an earlier document lose: the bytes of the right's suffixes, as maximal
+    stretches of each document."""
+    right = right.sort_by([("number", "ascending")])
+    number, begin, to, least = (right.column(c).to_numpy() for c in ("number", "from", "to", "doc"))
+    own = left.column("number").to_numpy()
+    low = np.searchsorted(number, own, "left")
+    each = np.searchsorted(number, own, "right") - low
+    row = np.repeat(np.arange(len(own)), each)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + low[row]
+    kept = least[at] < left.column("doc").to_numpy()[row]
+    row, at = row[kept], at[kept]
+    start = left.column("place").to_numpy()[row].astype(np.int64) << 32 | (left.column("first").to_numpy()[row] + begin[at])
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate((start + to[at] - begin[at] + SPAN - 1)[order])
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > end[:-1]
+    heads = np.flatnonzero(new)
+    length = end[np.append(heads[1:], len(start)) - 1] - start[heads] if len(heads) else heads
+    place, start = start[heads] >> 32, start[heads] & 0xFFFFFFFF
+    columns = [np.full(len(heads), left.column("chunk")[0].as_py() if len(own) else 0), place.astype(np.int32), start.astype(np.int32), length.astype(np.int32)]
+    return pa.table([*map(pa.array, columns)], names=[x.split()[0] for x in _GONE.split(", ")])
+
+
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     """What is left of each document of a chunk without the spans of right and without copies."""
     rows: list[tuple] = []
@@ -374,16 +401,17 @@ def _removed(documents: DataFrame, name: str) -> DataFrame:
     marked = chunks.select("chunk", "docs").join(copies, "chunk", "left")
     asked = marked.mapInArrow(_ask(shards), "shard int, chunk long, keys binary, n binary")
     answers = stored(asked.groupBy("shard").applyInArrow(_answer, "chunk long, shard int, codes binary"), "answers")
-    found = stored(marked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send, _FOUND), "found")
+    # the same for found: what a chunk is told of its runs comes to them, by their numbers
+    found = marked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send, _FOUND)
+    found.write.bucketBy(buckets, "chunk").option("path", shared_dir(spark, "found")).saveAsTable(f"{name}_found")
+    found = spark.table(f"{name}_found")
 
     key = F.when(F.col("single"), F.concat(F.expr(f"substring(content, at + 1, {ANCHOR})"), "content")).otherwise(F.expr(f"substring(content, at + 1, {ANCHOR})"))
-    rows = found.where("content is not null").select(key.alias("key"), "content", "at", "doc", "last", "h1", "h2")
-    ranges = rows.repartitionByRange("key").sortWithinPartitions("key", "content", "at")
-    spans = stored(ranges.mapInArrow(_buckets, "h1 long, h2 long, spans array<struct<from:int,to:int,doc:long>>"), "spans")
-    told = found.select("h1", "h2", "chunk", "place", "first", "doc").join(spans.hint("merge"), ["h1", "h2"])
-    told = told.select("chunk", "place", "first", "doc", F.explode("spans").alias("s")).where(F.col("s.doc") < F.col("doc"))
-    told = told.select("chunk", "place", (F.col("first") + F.col("s.from")).alias("start"), (F.col("s.to") - F.col("s.from") + SPAN - 1).alias("length"))
-    return marked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_cut, _RESULT)
+    rows = found.where("content is not null").select("content", "at", "single", "doc", "last", "chunk", "number")
+    ranges = rows.repartitionByRange(key).withColumn("key", key).drop("single").sortWithinPartitions("key", "content", "at")
+    told = stored(ranges.mapInArrow(_buckets, _TOLD), "told")
+    gone = found.select("chunk", "number", "place", "first", "doc").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_spread, _GONE)
+    return marked.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(_cut, _RESULT)
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
@@ -399,7 +427,8 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     try:
         return finished(documents.sparkSession, lambda: _removed(documents, name), "kept")
     finally:
-        documents.sparkSession.sql(f"drop table if exists {name}")
+        for table in (name, f"{name}_found"):
+            documents.sparkSession.sql(f"drop table if exists {table}")
 
 
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
